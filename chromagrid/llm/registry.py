@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_counts
 from .common import table
 
 
@@ -41,5 +41,13 @@ j AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM j
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op10_mixing": op10_mixing}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_packing": op4_packing, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
