@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, token_counts
+from . import exact_dedup, mixing, packing, simhash, token_counts
 from .common import table
 
 
@@ -49,5 +49,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_packing": op4_packing, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
