@@ -22,8 +22,8 @@ ODD = re.compile("[^\t\n\r\x20-\x7e¡-ſ‐-‧€]")
 ODD_CHUNK = re.compile("[^\x21-\x7e¡-ÿ]|<\\|")
 #: White space at which str.split() cuts and which isn't of the word rule; texts with it go to the library.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: Chunks that a worker remembers.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers, twice: those used of late and those used before.
+REMEMBERED = 80_000
 
 
 def place(name: str) -> str:
@@ -71,7 +71,7 @@ class WordIds(dict):
         import regex
         import tiktoken
 
-        self.tokenizer = library(path)
+        self.path, self.older = path, {}
         spec = json.load(open(path, encoding="utf-8"))
         to_byte, special = byte_alphabet(), {t["content"] for t in spec["added_tokens"]}
         ranks = {}
@@ -83,11 +83,13 @@ class WordIds(dict):
         self.words = regex.compile(WORD_PATTERN).findall
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = library(self.path).encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(2, "little") for i in ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        if ODD_CHUNK.search(chunk):
+        if (out := self.older.get(chunk)) is not None:
+            pass
+        elif ODD_CHUNK.search(chunk):
             out = self.whole(chunk)
         else:
             out = b"".join(i.to_bytes(2, "little") for w in self.words(chunk.lower()) for i in self.pieces(w.encode() + self.END))
@@ -102,6 +104,7 @@ class WordIds(dict):
 
     def trim(self) -> None:
         if len(self) > REMEMBERED:
+            self.older = dict(self)
             self.clear()
 
 
