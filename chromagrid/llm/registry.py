@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, minhash, mixing, packing, simhash, substring_dedup, token_counts, toxicity
+from . import exact_dedup, html_extract, lm_score, minhash, mixing, packing, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -74,5 +74,9 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_html_extract": op2_html_extract, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_minhash": op6_minhash, "op8_toxicity": op8_toxicity, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_html_extract": op2_html_extract, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_minhash": op6_minhash, "op7_lm_score": op7_lm_score, "op8_toxicity": op8_toxicity, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
