@@ -9,6 +9,8 @@ import functools
 import json
 import os
 import re
+import sys
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -22,8 +24,9 @@ ODD = re.compile("[^\t\n\r\x20-\x7e¡-ſ‐-‧€]")
 ODD_CHUNK = re.compile("[^\x21-\x7e¡-ÿ]|<\\|")
 #: White space at which str.split() cuts and which isn't of the word rule; texts with it go to the library.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+LITTLE = sys.byteorder == "little"
 #: Chunks that a worker remembers, twice: those used of late and those used before.
-REMEMBERED = 80_000
+REMEMBERED = 140_000
 
 
 def place(name: str) -> str:
@@ -92,7 +95,10 @@ class WordIds(dict):
         elif ODD_CHUNK.search(chunk):
             out = self.whole(chunk)
         else:
-            out = b"".join(i.to_bytes(2, "little") for w in self.words(chunk.lower()) for i in self.pieces(w.encode() + self.END))
+            ids = array("H")
+            for w in self.words(chunk.lower()):
+                ids.extend(self.pieces(w.encode() + self.END))
+            out = ids.tobytes() if LITTLE else ids.byteswap() or ids.tobytes()
         if len(chunk) <= 64:
             self[chunk] = out
         return out
