@@ -197,8 +197,9 @@ def tonemapped(v: Column, space: Column, headroom: float = 3.0) -> tuple[Column,
 
 
 def brightness_contrast(c: Column, brightness: float, contrast: float) -> Column:
+    """Both in percent, -100 to 100."""
     k = 259.0 * (contrast + 255.0) / (255.0 * (259.0 - contrast))
-    return clamp(half_up(k * (c + brightness - 128.0) + 128.0).cast("double"), 0, 255).cast("int")
+    return clamp(half_up((c - 128.0) * k + 128.0 + brightness / 100.0 * 255.0).cast("double"), 0, 255).cast("int")
 
 
 def gamma_corrected(c: Column, gamma: float) -> Column:
