@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
-from .stencils import COL, ROW, open_close
+from .stencils import along_col, along_row, open_close
 
 
 def above_quantile(px: DataFrame, col: str, p: float, out: str, floor: float | None = None, share: float = 1.0, below: bool = False) -> DataFrame:
@@ -47,7 +47,7 @@ def sky(px: DataFrame) -> DataFrame:
 def step_edges(px: DataFrame, lum: str, least: float = 0.04) -> DataFrame:
     """Difference to the left neighbour; interior only.  Needs w and h."""
     inner = F.col("x").between(1, F.col("w") - 2) & F.col("y").between(1, F.col("h") - 2)
-    return px.withColumn("edge", inner & (F.abs(F.col(lum) - F.lag(lum).over(ROW)) > least))
+    return px.withColumn("edge", inner & (F.abs(F.col(lum) - F.lag(lum).over(along_row())) > least))
 
 
 def ranked_edges(px: DataFrame, lum: str = "l") -> DataFrame:
@@ -56,7 +56,7 @@ def ranked_edges(px: DataFrame, lum: str = "l") -> DataFrame:
 
     The element is found from counts per gradient size: a bounded number of rows
     per image (at most 511), never a sort of all pixels."""
-    grad = F.abs(F.col(lum) - F.lag(lum).over(ROW)) + F.abs(F.col(lum) - F.lag(lum).over(COL))
+    grad = F.abs(F.col(lum) - F.lag(lum).over(along_row())) + F.abs(F.col(lum) - F.lag(lum).over(along_col()))
     p = px.withColumn("grad", grad)
     hist = p.where("grad IS NOT NULL").groupBy("img", "grad").agg(F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy("img").orderBy("grad")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
-from .stencils import COL, ROW, extreme
+from .stencils import along_col, along_row, extreme
 
 
 def share(c: Column) -> Column:
@@ -55,7 +55,7 @@ def haze(px: DataFrame, r: int = 7) -> DataFrame:
 def checker_share(px: DataFrame) -> DataFrame:
     """Share of 2 x 2 blocks of two colors at most."""
     p = px.withColumn("c", C.pack_argb(F.col("r"), F.col("g"), F.col("b")))
-    p = p.withColumn("e", F.lead("c").over(ROW)).withColumns({"s": F.lead("c").over(COL), "se": F.lead("e").over(COL)})
+    p = p.withColumn("e", F.lead("c").over(along_row())).withColumns({"s": F.lead("c").over(along_col()), "se": F.lead("e").over(along_col())})
     few = F.size(F.array_distinct(F.array("c", "e", "s", "se"))) <= 2
     return p.where("e IS NOT NULL AND s IS NOT NULL").groupBy("img").agg(share(few).alias("checker"))
 
@@ -97,7 +97,7 @@ def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def edge_rate(px: DataFrame, out: str) -> DataFrame:
-    d = F.abs(F.col("luma") - F.lag("luma").over(ROW))
+    d = F.abs(F.col("luma") - F.lag("luma").over(along_row()))
     return px.withColumn("er", d).where("er IS NOT NULL").groupBy("img").agg(share(F.col("er") > 0.03).alias(out))
 
 
@@ -107,7 +107,7 @@ def edge_keep(ref: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def banding(ref: DataFrame, out: DataFrame) -> DataFrame:
-    step = lambda df, n: df.select("img", "y", "x", F.abs(F.lead("luma").over(ROW) - F.lag("luma").over(ROW)).alias(n))
+    step = lambda df, n: df.select("img", "y", "x", F.abs(F.lead("luma").over(along_row()) - F.lag("luma").over(along_row())).alias(n))
     both = step(ref, "gr").join(step(out, "go"), ["img", "y", "x"])
     n = F.count_if(F.col("gr") > 0.01)
     return both.groupBy("img").agg(F.when(n == 0, 0.0).otherwise(F.count_if((F.col("gr") > 0.01) & (F.col("go") < 0.003)) / n).alias("banding"))
@@ -124,7 +124,7 @@ def delta_e95(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def edge_energy(px: DataFrame) -> DataFrame:
     """Sum of horizontal luma steps less a tenth per ringing sign pattern, interior only; needs h, w."""
-    p = px.withColumns({"l1": F.lag("luma").over(ROW)})
+    p = px.withColumns({"l1": F.lag("luma").over(along_row())})
     inner = F.col("y").between(1, F.col("h") - 2) & F.col("x").between(1, F.col("w") - 2)
     ring = (F.col("x") > 1) & ((F.col("l1") - F.col("luma")) * (F.col("l1") - F.col("luma")) > 0)
     return p.where(inner).groupBy("img").agg((F.sum(F.abs(F.col("luma") - F.col("l1"))) - 0.2 * 0.5 * F.count_if(ring)).alias("energy"))
@@ -132,30 +132,30 @@ def edge_energy(px: DataFrame) -> DataFrame:
 
 def blockiness(px: DataFrame) -> DataFrame:
     """Mean luma step across 8-pixel boundaries: columns, rows, both."""
-    p = px.withColumns({"bv": F.when((F.col("x") % 8 == 0) & (F.col("x") > 0), F.abs(F.col("luma") - F.lag("luma").over(ROW))), "bh": F.when((F.col("y") % 8 == 0) & (F.col("y") > 0), F.abs(F.col("luma") - F.lag("luma").over(COL)))})
+    p = px.withColumns({"bv": F.when((F.col("x") % 8 == 0) & (F.col("x") > 0), F.abs(F.col("luma") - F.lag("luma").over(along_row()))), "bh": F.when((F.col("y") % 8 == 0) & (F.col("y") > 0), F.abs(F.col("luma") - F.lag("luma").over(along_col())))})
     v, h = F.coalesce(F.avg("bv"), F.lit(0.0)), F.coalesce(F.avg("bh"), F.lit(0.0))
     return p.groupBy("img").agg(v.alias("vertical"), h.alias("horizontal"), ((v + h) * 0.5).alias("both"))
 
 
 def thread_changes(px: DataFrame, col: str = "idx") -> DataFrame:
-    p = px.withColumn("before", F.lag(col).over(ROW))
+    p = px.withColumn("before", F.lag(col).over(along_row()))
     return p.groupBy("img").agg((F.count_if(F.col(col) != F.col("before")) * 100.0 / F.count(F.lit(1))).alias("changes_per_100"))
 
 
 def small_islands(px: DataFrame, col: str = "idx") -> DataFrame:
     """4-connected areas of one or two cells per 1000: cells without an equal neighbour, and pairs
     of cells that have each other alone.  No components are needed."""
-    eq = {k: F.coalesce((f(col).over(w) == F.col(col)).cast("int"), F.lit(0)) for k, f, w in (("e", F.lead, ROW), ("w", F.lag, ROW), ("s", F.lead, COL), ("n", F.lag, COL))}
+    eq = {k: F.coalesce((f(col).over(w) == F.col(col)).cast("int"), F.lit(0)) for k, f, w in (("e", F.lead, along_row()), ("w", F.lag, along_row()), ("s", F.lead, along_col()), ("n", F.lag, along_col()))}
     p = px.withColumns({f"q_{k}": v for k, v in eq.items()}).withColumn("deg", F.col("q_e") + F.col("q_w") + F.col("q_s") + F.col("q_n"))
-    mate = F.when(F.col("q_e") == 1, F.lead("deg").over(ROW)).when(F.col("q_w") == 1, F.lag("deg").over(ROW)).when(F.col("q_s") == 1, F.lead("deg").over(COL)).otherwise(F.lag("deg").over(COL))
+    mate = F.when(F.col("q_e") == 1, F.lead("deg").over(along_row())).when(F.col("q_w") == 1, F.lag("deg").over(along_row())).when(F.col("q_s") == 1, F.lead("deg").over(along_col())).otherwise(F.lag("deg").over(along_col()))
     p = p.withColumn("mate", F.when(F.col("deg") == 1, mate))
     return p.groupBy("img").agg(((F.count_if(F.col("deg") == 0) + F.count_if(F.col("mate") == 1) / 2) * 1000.0 / F.count(F.lit(1))).alias("islands_per_1000"))
 
 
 def runs(px: DataFrame, col: str = "idx") -> DataFrame:
     """Horizontal runs: (img, y, run, start, length, value)."""
-    p = px.withColumn("new", F.coalesce((F.col(col) != F.lag(col).over(ROW)).cast("int"), F.lit(1)))
-    p = p.withColumn("run", F.sum("new").over(ROW))
+    p = px.withColumn("new", F.coalesce((F.col(col) != F.lag(col).over(along_row())).cast("int"), F.lit(1)))
+    p = p.withColumn("run", F.sum("new").over(along_row()))
     return p.groupBy("img", "y", "run").agg(F.min("x").alias("start"), F.count(F.lit(1)).alias("length"), F.min(col).alias("value"))
 
 

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from ..sources.rasters import sizes
 
-ROW = Window.partitionBy("img", "y").orderBy("x")
-COL = Window.partitionBy("img", "x").orderBy("y")
+def along_row() -> WindowSpec:
+    return Window.partitionBy("img", "y").orderBy("x")
+
+
+def along_col() -> WindowSpec:
+    return Window.partitionBy("img", "x").orderBy("y")
 
 
 def with_size(px: DataFrame) -> DataFrame:
@@ -27,10 +31,10 @@ def with_size(px: DataFrame) -> DataFrame:
 
 def around(px: DataFrame, col: str) -> DataFrame:
     """``px`` with the eight neighbours of ``col`` (null outside): nw n ne w_ e_ sw s se, prefixed n_."""
-    rows = px.withColumns({"n_w": F.lag(col).over(ROW), "n_e": F.lead(col).over(ROW)})
-    out = {"n_n": F.lag(col).over(COL), "n_s": F.lead(col).over(COL)}
+    rows = px.withColumns({"n_w": F.lag(col).over(along_row()), "n_e": F.lead(col).over(along_row())})
+    out = {"n_n": F.lag(col).over(along_col()), "n_s": F.lead(col).over(along_col())}
     for a, f in (("n", F.lag), ("s", F.lead)):
-        out |= {f"n_{a}w": f("n_w").over(COL), f"n_{a}e": f("n_e").over(COL)}
+        out |= {f"n_{a}w": f("n_w").over(along_col()), f"n_{a}e": f("n_e").over(along_col())}
     return rows.withColumns(out)
 
 
@@ -49,7 +53,7 @@ def sobel(px: DataFrame, col: str, out: str = "mag") -> DataFrame:
 
 def laplacian(px: DataFrame, col: str, out: str = "lap") -> DataFrame:
     """Four-neighbour Laplacian; 0 at the border."""
-    v = F.lag(col).over(ROW) + F.lead(col).over(ROW) + F.lag(col).over(COL) + F.lead(col).over(COL) - 4 * F.col(col)
+    v = F.lag(col).over(along_row()) + F.lead(col).over(along_row()) + F.lag(col).over(along_col()) + F.lead(col).over(along_col()) - 4 * F.col(col)
     return px.withColumn(out, F.coalesce(v, F.lit(0.0)))
 
 
@@ -61,12 +65,12 @@ def local_variance(px: DataFrame, col: str, radii: tuple[int, ...] = (1, 3, 4))
     """Adds var3, var7, var9 (2 r + 1): population variance of the box clipped at the border."""
     first = {}
     for r in radii:
-        w = _frame(ROW, r)
+        w = _frame(along_row(), r)
         first |= {f"s_{r}": F.sum(col).over(w), f"q_{r}": F.sum(F.col(col) * F.col(col)).over(w), f"c_{r}": F.count(col).over(w)}
     rows = px.withColumns(first)
     second = {}
     for r in radii:
-        w = _frame(COL, r)
+        w = _frame(along_col(), r)
         n = F.sum(f"c_{r}").over(w)
         mean = F.sum(f"s_{r}").over(w) / n
         second[f"var{2 * r + 1}"] = F.greatest(F.lit(0.0), F.sum(f"q_{r}").over(w) / n - mean * mean)
@@ -77,7 +81,7 @@ def extreme(px: DataFrame, col: str, r: int, least: bool, out: str) -> DataFrame
     """Minimum or maximum of the square of radius r (of what lies inside)."""
     f = F.min if least else F.max
     tmp = f"{out}_row"
-    return px.withColumn(tmp, f(col).over(_frame(ROW, r))).withColumn(out, f(tmp).over(_frame(COL, r))).drop(tmp)
+    return px.withColumn(tmp, f(col).over(_frame(along_row(), r))).withColumn(out, f(tmp).over(_frame(along_col(), r))).drop(tmp)
 
 
 def open_close(px: DataFrame, mask: str, r: int = 1) -> DataFrame:
@@ -102,7 +106,7 @@ def _box_pass(px: DataFrame, cols: list[str], r: int, w: WindowSpec, at: str, si
 def box_blur(px: DataFrame, cols: list[str], r: int, whole: bool = False) -> DataFrame:
     """Mean of the square of radius r, edges repeated; ``whole``: integer division in each
     direction.  Replaces ``cols``; px needs w and h."""
-    return _box_pass(_box_pass(px, cols, r, ROW, "x", "w", whole), cols, r, COL, "y", "h", whole)
+    return _box_pass(_box_pass(px, cols, r, along_row(), "x", "w", whole), cols, r, along_col(), "y", "h", whole)
 
 
 def variance_field(px: DataFrame, col: str, r: int, out: str = "field", mean: str = "mean") -> DataFrame:
@@ -131,7 +135,7 @@ def gaussian(px: DataFrame, cols: list[str], sigma: float, r: int | None = None)
     """Separable Gaussian of radius max(1, round(2 sigma)), edges repeated; replaces ``cols``."""
     r = r or max(1, math.floor(2 * sigma + 0.5))
     k = kernel(sigma, r)
-    return _convolved(_convolved(px, cols, k, ROW), cols, k, COL)
+    return _convolved(_convolved(px, cols, k, along_row()), cols, k, along_col())
 
 
 def gaussian_bytes(px: DataFrame, sigma: float, cols: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
@@ -205,9 +209,9 @@ def halo_removed(px: DataFrame, amount: float = 0.25, r: int = 2) -> DataFrame:
 def deringed(px: DataFrame) -> DataFrame:
     """3 x 3 bilateral smoothing of 0..1 channels, edges repeated."""
     p = px
-    left = {f"dr_{c}_{k}": F.coalesce(f(c).over(ROW), F.col(c)) for c in "rgb" for k, f in (("w", F.lag), ("e", F.lead))} | {f"dr_{c}_c": F.col(c) for c in "rgb"}
+    left = {f"dr_{c}_{k}": F.coalesce(f(c).over(along_row()), F.col(c)) for c in "rgb" for k, f in (("w", F.lag), ("e", F.lead))} | {f"dr_{c}_c": F.col(c) for c in "rgb"}
     p = p.withColumns(left)
-    near = {f"dr_{c}_{k}{m}": F.coalesce(f(f"dr_{c}_{k}").over(COL), F.col(f"dr_{c}_{k}")) for c in "rgb" for k in "wce" for m, f in (("n", F.lag), ("s", F.lead))}
+    near = {f"dr_{c}_{k}{m}": F.coalesce(f(f"dr_{c}_{k}").over(along_col()), F.col(f"dr_{c}_{k}")) for c in "rgb" for k in "wce" for m, f in (("n", F.lag), ("s", F.lead))}
     p = p.withColumns(near)
     lum = lambda s: C.luma709(*(F.col(f"dr_{c}_{s}") for c in "rgb"))
     names = [k + m for k in "wce" for m in ("", "n", "s")]
@@ -220,7 +224,7 @@ def deringed(px: DataFrame) -> DataFrame:
 def deblocked(px: DataFrame, strength: float = 0.5, cols: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """Draws pixel pairs across 8-pixel boundaries together, first in rows, then in columns."""
     p = px
-    for w, at in ((ROW, "x"), (COL, "y")):
+    for w, at in ((along_row(), "x"), (along_col(), "y")):
         right = (F.col(at) % 8 == 7) & F.lead(at).over(w).isNotNull()
         left = (F.col(at) % 8 == 0) & (F.col(at) > 0)
 
@@ -241,5 +245,5 @@ def unsharp_bytes(px: DataFrame, amount: float = 0.5) -> DataFrame:
 
 def box_sums(px: DataFrame, cols: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """Sum of the 3 x 3 square, edges repeated, as bs_*."""
-    p = px.withColumns({f"bs_{c}": F.coalesce(F.lag(c).over(ROW), F.col(c)) + F.col(c) + F.coalesce(F.lead(c).over(ROW), F.col(c)) for c in cols})
-    return p.withColumns({f"bs_{c}": F.coalesce(F.lag(f"bs_{c}").over(COL), F.col(f"bs_{c}")) + F.col(f"bs_{c}") + F.coalesce(F.lead(f"bs_{c}").over(COL), F.col(f"bs_{c}")) for c in cols})
+    p = px.withColumns({f"bs_{c}": F.coalesce(F.lag(c).over(along_row()), F.col(c)) + F.col(c) + F.coalesce(F.lead(c).over(along_row()), F.col(c)) for c in cols})
+    return p.withColumns({f"bs_{c}": F.coalesce(F.lag(f"bs_{c}").over(along_col()), F.col(f"bs_{c}")) + F.col(f"bs_{c}") + F.coalesce(F.lead(f"bs_{c}").over(along_col()), F.col(f"bs_{c}")) for c in cols})
