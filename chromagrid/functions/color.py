@@ -236,12 +236,13 @@ def round2(x: Column) -> Column:
     return half_up(x * 100.0) / 100.0
 
 
-def grid_size(w: Column, h: Column, mode: Column, value: Column, keep: Column) -> tuple[Column, Column]:
-    """Target grid: mode BY_WIDTH, BY_HEIGHT or BY_DPI (value taken as the width)."""
-    ratio = w / h
-    other_h, other_w = F.greatest(F.lit(1), half_up(value / ratio).cast("int")), F.greatest(F.lit(1), half_up(value * ratio).cast("int"))
+def grid_size(w: Column, h: Column, aspect: Column, mode: Column, keep: Column) -> tuple[Column, Column]:
+    """Target grid from wanted sizes: BY_HEIGHT keeps h, BY_WIDTH and BY_DPI keep w; the other follows
+    the aspect if ``keep``."""
     tall = mode == "BY_HEIGHT"
-    return F.when(tall, F.when(keep, other_w).otherwise(w)).otherwise(value).cast("int"), F.when(tall, value).otherwise(F.when(keep, other_h).otherwise(h)).cast("int")
+    w, h = F.greatest(F.lit(1), w), F.greatest(F.lit(1), h)
+    new_w, new_h = F.greatest(F.lit(1), half_up(h * aspect).cast("int")), F.greatest(F.lit(1), half_up(w / aspect).cast("int"))
+    return F.when(keep & tall, new_w).otherwise(w), F.when(keep & ~tall, new_h).otherwise(h)
 
 
 def physical_cm(stitches: Column, density: Column) -> Column:

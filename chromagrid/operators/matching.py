@@ -140,14 +140,15 @@ def legend(palette: DataFrame, entries: DataFrame, symbols: DataFrame, brand: st
 def pages_of_cells(px: DataFrame, page_w: int, page_h: int, overlap: int) -> DataFrame:
     """(img, page_y, page_x, y, x, ...): every cell on each page that shows it.
 
-    Pages repeat ``overlap`` cells of the page before.  The pages of a cell follow from
+    px needs w and h.  Pages repeat ``overlap`` cells of the page before.  The pages of a cell follow from
     arithmetic, so the range join is an explode of at most a few numbers per axis."""
 
-    def axis(at: str, size: int) -> Column:
-        step = size - overlap
-        last = F.floor(F.col(at) / step)
+    def axis(at: str, size: int, whole: str) -> Column:
+        step = max(1, size - overlap)
+        pages = F.greatest(F.lit(1), F.ceil((F.col(whole) - overlap) / step))
+        last = F.least(F.floor(F.col(at) / step), pages - 1)
         first = F.greatest(F.lit(0), F.ceil((F.col(at) - size + 1) / step))
         return F.sequence(first.cast("int"), last.cast("int"))
 
-    p = px.withColumn("page_x", F.explode(axis("x", page_w)))
-    return p.withColumn("page_y", F.explode(axis("y", page_h)))
+    p = px.withColumn("page_x", F.explode(axis("x", page_w, "w")))
+    return p.withColumn("page_y", F.explode(axis("y", page_h, "h")))
