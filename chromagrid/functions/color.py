@@ -277,3 +277,8 @@ def blended(base: Column, over: Column, alpha: Column, strength: float) -> Colum
 
 def mix3(orig: Column, at_edge: Column, at_flat: Column, edge: Column, flat: Column) -> Column:
     return clamp(F.when(flat, at_flat).when(edge, 0.5 * orig + 0.5 * at_edge).otherwise(0.5 * orig + 0.25 * at_flat + 0.25 * at_edge), 0, 1)
+
+
+def icc_confident(space: Column) -> Column:
+    """False where the color space is unknown, sRGB or linear sRGB."""
+    return ~F.coalesce(space, F.lit("SRGB")).isin("SRGB", "LINEAR_SRGB")

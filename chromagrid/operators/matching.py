@@ -152,3 +152,10 @@ def pages_of_cells(px: DataFrame, page_w: int, page_h: int, overlap: int) -> Dat
 
     p = px.withColumn("page_x", F.explode(axis("x", page_w, "w")))
     return p.withColumn("page_y", F.explode(axis("y", page_h, "h")))
+
+
+def auto_levels(px: DataFrame) -> DataFrame:
+    """Each channel stretched to 0..255 per image."""
+    ends = px.groupBy("img").agg(*(f(c).alias(f"{n}_{c}") for c in RGB for n, f in (("lo", F.min), ("hi", F.max))))
+    scale = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), 255.0 / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(1.0)
+    return px.join(ends, "img").select("img", "y", "x", *(C.clamp(C.half_up((F.col(c) - F.col(f"lo_{c}")) * scale(c)).cast("double"), 0, 255).cast("int").alias(c) for c in RGB))
