@@ -171,3 +171,12 @@ def planes_equal(a: DataFrame, b: DataFrame, cols: tuple[str, ...] = ("r", "g",
     for c in cols:
         same = same & F.col(c).eqNullSafe(F.col(f"q_{c}"))
     return both.groupBy("img").agg((F.count_if(~same) == 0).alias("equal"))
+
+
+def two_center_means(px: DataFrame, a: tuple, b: tuple) -> DataFrame:
+    """One weighted Lloyd step between two OKLab centers over all pixels: mean by weight and by count."""
+    cols = ("ok_l", "ok_a", "ok_b")
+    d = lambda q: F.round(C.squared(tuple(F.col(c) for c in cols), tuple(F.lit(float(v)) for v in q)), 12)
+    p = px.withColumn("pick", F.when(d(a) <= d(b), 0).otherwise(1))
+    out = [x for c in cols for x in ((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c[3:]), (F.sum(F.col(c) * F.col("w")) / F.count(F.lit(1))).alias(f"by_count_{c[3:]}"))]
+    return p.groupBy("img", "pick").agg(*out)

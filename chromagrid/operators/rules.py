@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import color as C
+
 
 def scene_class(m: DataFrame) -> DataFrame:
     """kind, subtype, confidence from colors, coverage, checker, edge_rate, var_lap, flat_pct, grad_skin, grad_sky."""
@@ -72,3 +74,14 @@ def deblock_strength(mean: Column) -> Column:
 def consistent(px: DataFrame, k: int) -> DataFrame:
     """Per image: cells, whether the grid is full, whether all indices lie in 0..k-1."""
     return px.groupBy("img").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) == (F.max("x") + 1) * (F.max("y") + 1)).alias("full"), (F.count_if(~F.col("idx").between(0, k - 1) | F.col("idx").isNull()) == 0).alias("in_range"))
+
+
+def unified(px: DataFrame, skin_sat: float = -0.07, skin_smooth: float = 0.20, sky_hue: float = 0.07, sky_v: float = -0.04) -> DataFrame:
+    """Moves saturation of skin and hue and value of sky; deltas of saturation and value are in
+    percent.  px: r, g, b in 0..1 with skin and sky."""
+    p = px.withColumns(dict(zip(("un_h", "un_s", "un_v"), C.hsv(F.col("r"), F.col("g"), F.col("b")), strict=True)))
+    s = C.clamp(C.clamp(F.col("un_s") + skin_sat / 100.0, 0, 1) * (1 - min(0.6, max(0.0, skin_smooth))), 0, 1)
+    h = C.lerp(F.col("un_h"), F.lit(210 / 360.0), F.lit(min(0.2, max(0.0, sky_hue))))
+    v = C.clamp(F.col("un_v") + sky_v / 100.0, 0, 1)
+    p = p.withColumns({"un_s": F.when(F.col("skin"), s).otherwise(F.col("un_s")), "un_h": F.when(F.col("sky"), h).otherwise(F.col("un_h")), "un_v": F.when(F.col("sky"), v).otherwise(F.col("un_v"))})
+    return p.withColumns(dict(zip("rgb", C.rgb_of_hsv(F.col("un_h"), F.col("un_s"), F.col("un_v")), strict=True))).drop("un_h", "un_s", "un_v")
