@@ -41,8 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
     after = by_limit.rowsBetween(0, Window.unboundedFollowing)
     left = F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("lim").over(before), F.lit(0.0))
-    share = ranked.withColumn("level", left / F.sum("w").over(after))
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("lim"), F.struct(F.col("lim") / F.col("w"), "level"))).over(every)["level"]
+    share = ranked.withColumns({"level": left / F.sum("w").over(after), "place": F.row_number().over(by_limit)})
+    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("lim"), F.struct("place", "level"))).over(every)["level"]
     return share.withColumn("top", level).select("source", "source_size", F.coalesce(F.least(F.col("lim"), F.col("top") * F.col("w")), F.lit(0.0)).alias("target"))
 
 

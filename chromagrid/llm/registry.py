@@ -33,8 +33,8 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, (source_size * 3)::DOUBLE AS lim FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE
         - coalesce(sum(lim) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
-        / sum(w) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-t AS (SELECT source, source_size, coalesce(least(lim, w * (SELECT arg_min(level, lim / w) FROM l WHERE level * w <= lim)), 0.0) AS target FROM l),
+        / sum(w) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY lim / w, source NULLS LAST) AS place FROM r),
+t AS (SELECT source, source_size, coalesce(least(lim, w * (SELECT arg_min(level, place) FROM l WHERE level * w <= lim)), 0.0) AS target FROM l),
 j AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
