@@ -78,7 +78,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     thin = stored(thin, "exact-keys")
     marked = maybe_repeated(thin, "sha", thin.count(), "maybe")
     order = F.struct((-F.col("len")).alias("l"), F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("row").alias("r"))
-    groups = marked.where("maybe").groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
+    # written first: a join of two plain exchanges is one that Spark can split at a hot text
+    groups = stored(marked.where("maybe").groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")), "exact-groups")
     again = marked.where("maybe").join(groups, "sha").select("id", F.col("best.i").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best.r")).alias("kept"), "sha")
     alone = marked.where("NOT maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return alone.unionByName(again).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
@@ -101,6 +102,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     probed = keyed.withColumns({word: place, mask: _mask(bits)}).join(F.broadcast(held) if small else held, word, "left")
     probed = probed.withColumn(flag, F.coalesce(F.col(twice), F.lit(0).cast("bigint")).bitwiseAND(F.col(mask)) == F.col(mask))
     best = free_name(docs, "ex_best")
-    groups = probed.where(flag).groupBy(sha).agg(F.min(own).alias(best))
+    groups = stored(probed.where(flag).groupBy(sha).agg(F.min(own).alias(best)), "exact-groups")
     kept = probed.where(flag).join(groups, sha).where(F.col(own).eqNullSafe(F.col(best))).dropDuplicates([sha])
     return probed.where(~F.col(flag)).select(*docs.columns).unionByName(kept.select(*docs.columns))
