@@ -4,7 +4,7 @@ Token k-mers are edges of the graph; of each window of words only its smallest-h
 k-mer (the leftmost of equals) is kept as an anchor.  Equal windows have equal anchors at
 equal places, so nothing repeated is missed, and anchors are a small part of all k-mers.
 Consecutive windows with one anchor form a span: a nonbranching path, compacted to one
-row with a 128-bit hash of all its words.  Joins on anchors and spans then decide
+row.  A 64-bit hash of its words and the 64-bit hash of its anchor know a span.  Joins on anchors and spans then decide
 
 * an anchor in one document only: nothing here is repeated;
 * a span that begins in a smaller document: all its windows are repeated;
@@ -13,8 +13,8 @@ row with a 128-bit hash of all its words.  Joins on anchors and spans then decid
   other such spans.
 
 Windows removed are mapped back to word positions of their documents, where the
-words are cut and what is left is hashed.  Equality of 128-bit hashes stands for
-equality of words.
+words are cut and what is left is hashed.  Equality of 128 bits (anchor and span, or
+anchor and window) stands for equality of words.
 
 A null text has no words; a text shorter than a window has no windows.  Rows with equal ids
 are parts of one document and each keeps its own words; a null id is larger than
@@ -70,14 +70,14 @@ def run_hash(sums: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray
 
 
 def spans(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(row, id, anchor, s1, s2, lo, n): windows lo .. lo + n - 1 of a row share an anchor."""
+    """(row, id, anchor, span, lo, n): windows lo .. lo + n - 1 of a row share an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 h, first = W.hashed(part.column(2))
-                cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
                 for i in range(part.num_rows):
                     own = h[first[i] : first[i + 1]]
                     if len(own) < window:
@@ -86,19 +86,19 @@ def spans(docs: DataFrame, window: int, k: int) -> DataFrame:
                     where = smallest(mers, window - k + 1)
                     lo = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
                     n = np.diff(np.concatenate([lo, [len(where)]]))
-                    a, b = prefix_sums(own, 1), prefix_sums(own, 2)
-                    for c, v in zip(cols, (np.full(len(lo), i), mers[where[lo]].view(np.int64), run_hash(a, lo, lo + n + window - 1), run_hash(b, lo, lo + n + window - 1), lo, n), strict=True):
+                    span = run_hash(prefix_sums(own, 1), lo, lo + n + window - 1)
+                    for c, v in zip(cols, (np.full(len(lo), i), mers[where[lo]].view(np.int64), span, lo, n), strict=True):
                         c.append(v)
                 if cols[0]:
-                    i, anchor, s1, s2, lo, n = map(np.concatenate, cols)
+                    i, anchor, span, lo, n = map(np.concatenate, cols)
                     pick = pa.array(i)
-                    yield pa.record_batch([part.column(0).take(pick), part.column(1).take(pick), pa.array(anchor), pa.array(s1), pa.array(s2), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["row", "id", "anchor", "s1", "s2", "lo", "n"])
+                    yield pa.record_batch([part.column(0).take(pick), part.column(1).take(pick), pa.array(anchor), pa.array(span), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["row", "id", "anchor", "span", "lo", "n"])
 
-    return docs.mapInArrow(run, "row bigint, id bigint, anchor bigint, s1 bigint, s2 bigint, lo int, n int")
+    return docs.mapInArrow(run, "row bigint, id bigint, anchor bigint, span bigint, lo int, n int")
 
 
 def window_hashes(rows: DataFrame, window: int) -> DataFrame:
-    """(row, id, text, spans: array of (anchor, lo, n)) -> (anchor, w1, w2, row, id, lo) per window."""
+    """(row, id, text, spans: array of (anchor, lo, n)) -> (anchor, hash, row, id, lo) per window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,36 +109,38 @@ def window_hashes(rows: DataFrame, window: int) -> DataFrame:
                 flat, offs = lists.flatten(), lists.offsets.to_numpy()
                 offs = offs - offs[0]
                 anchor, lo, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
-                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+                cols: list[list[np.ndarray]] = [[] for _ in range(4)]
                 for i in range(part.num_rows):
                     own, m = h[first[i] : first[i + 1]], slice(offs[i], offs[i + 1])
                     sizes = n[m].astype(np.int64)
                     at_word = np.repeat(lo[m] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                    a, b = prefix_sums(own, 3), prefix_sums(own, 4)
-                    for c, v in zip(cols, (np.full(len(at_word), i), np.repeat(anchor[m], sizes), run_hash(a, at_word, at_word + window), run_hash(b, at_word, at_word + window), at_word), strict=True):
+                    of = run_hash(prefix_sums(own, 3), at_word, at_word + window)
+                    for c, v in zip(cols, (np.full(len(at_word), i), np.repeat(anchor[m], sizes), of, at_word), strict=True):
                         c.append(v)
-                i, anchors, w1, w2, los = map(np.concatenate, cols)
+                i, anchors, of, los = map(np.concatenate, cols)
                 pick = pa.array(i)
-                yield pa.record_batch([pa.array(anchors), pa.array(w1), pa.array(w2), part.column(0).take(pick), part.column(1).take(pick), pa.array(los.astype(np.int32))], names=["anchor", "w1", "w2", "row", "id", "lo"])
+                yield pa.record_batch([pa.array(anchors), pa.array(of), part.column(0).take(pick), part.column(1).take(pick), pa.array(los.astype(np.int32))], names=["anchor", "hash", "row", "id", "lo"])
 
-    return rows.mapInArrow(run, "anchor bigint, w1 bigint, w2 bigint, row bigint, id bigint, lo int")
+    return rows.mapInArrow(run, "anchor bigint, hash bigint, row bigint, id bigint, lo int")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """docs: (row, id, text) -> (id, row, cuts: array of (lo, n)): n windows from word lo on
     begin in a document of a smaller id."""
     parts = stored(spans(docs, window, k), "substr-spans")
-    shared = parts.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("s1").alias("p"), F.max("s1").alias("q"), F.min("s2").alias("r"), F.max("s2").alias("s")).where("a < b")
-    shared = shared.select("anchor", ((F.col("p") < F.col("q")) | (F.col("r") < F.col("s"))).alias("branches"))
-    of = parts.join(shared, "anchor")
-    first = of.groupBy("anchor", "s1", "s2").agg(F.min("id").alias("origin"))
-    known = stored(of.join(first, ["anchor", "s1", "s2"]).select("row", "id", "anchor", "lo", "n", "branches", "origin"), "substr-shared")
+    # Aggregates are written before they are joined: a join of two plain exchanges, with nothing
+    # on top that needs its keys together, is one that Spark can split at a hot anchor or span.
+    shared = parts.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("span").alias("p"), F.max("span").alias("q")).where("a < b")
+    shared = stored(shared.select("anchor", (F.col("p") < F.col("q")).alias("branches")), "substr-anchors")
+    of = stored(parts.join(shared, "anchor"), "substr-repeated")
+    first = stored(of.groupBy("anchor", "span").agg(F.min("id").alias("origin")), "substr-origins")
+    known = stored(of.join(first, ["anchor", "span"]).select("row", "id", "anchor", "lo", "n", "branches", "origin"), "substr-shared")
     whole = known.where("origin < id").select("id", "row", "lo", "n")
     open_ = known.where("origin = id AND branches").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("spans"))
     each = window_hashes(docs.join(open_, ["id", "row"]).select("row", "id", "text", "spans"), window)
     each = stored(each, "substr-windows")
-    least = each.groupBy("anchor", "w1", "w2").agg(F.min("id").alias("origin"), F.max("id").alias("top")).where("origin < top").drop("top")
-    single = each.join(least, ["anchor", "w1", "w2"]).where("origin < id").select("id", "row", "lo", F.lit(1).alias("n"))
+    least = stored(each.groupBy("anchor", "hash").agg(F.min("id").alias("origin"), F.max("id").alias("top")).where("origin < top").drop("top"), "substr-least")
+    single = each.join(least, ["anchor", "hash"]).where("origin < id").select("id", "row", "lo", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("cuts"))
 
 
