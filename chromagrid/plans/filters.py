@@ -351,3 +351,8 @@ def k17_flow_legend(spark: SparkSession, d: str) -> DataFrame:
 def k01_k11_planes(spark: SparkSession, d: str) -> DataFrame:
     """Hand-off of a plane and a mask as columns of a table by image."""
     return f1(spark, d).select("img", "y", "x", *(C.byte(C.encoded(C.linear(C.unit(F.col(c))))).alias(c) for c in "rgb"), F.when(F.col("r") > 120, 255).otherwise(0).alias("alpha"))
+
+
+@query()
+def k01_k02_png_files(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.png_files(f1(spark, d)).select("img", "name", F.length("content").alias("bytes"))
