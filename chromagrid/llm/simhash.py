@@ -10,13 +10,15 @@ outweigh those against.  Votes for bits j and j + 32 are summed in the two halve
 64 bits are cut into blocks, of which at least (blocks - r) agree between two such
 fingerprints; one table per choice of that many blocks holds them first, and equal
 leading blocks make candidates, which are verified on all bits.  Equal fingerprints are
-one class; only classes are compared.  A leading key of many different fingerprints is
-split by its next block as often as needed (``neighbours`` deals them by further tables),
-see there.
+one class; only classes are compared.  More blocks make more tables with longer leading
+keys, hence fewer candidates that aren't neighbours.
 
 A null text is empty; a text without words has the fingerprint of no votes (all zero).
 Words are lower-cased and taken between blanks and U+0009-U+000D.  Rows with a null id
-have no place in the order of documents: they have no edited text and no next document.
+have no place in the order of documents: their edited text and what follows from it is null.
+Equal rows (id and text) give one row; of several texts of one id, the one that is largest lends
+its head to the document before, and the least fingerprint counts as the next one's.  Further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -76,8 +78,9 @@ def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, edited, next): the last quarter of each text is replaced by as many
     first code points of the next document, or all it has."""
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where("id IS NOT NULL")
-    n = F.char_length("text")
+    every = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    base, n = every.where("id IS NOT NULL"), F.char_length("text").cast("bigint").alias("n_chars")
+    rest = every.where("id IS NULL").select("id", n, "text", F.lit(None).cast("string").alias("edited"), F.col("id").alias("next"))
     order = next_ids(docs, id_col)
     lengths = docs.select(F.col(id_col).alias("id"), F.floor(F.char_length(text_of(text_col)) / 4).cast("int").alias("quarter")).where("id IS NOT NULL").groupBy("id").agg(F.max("quarter").alias("quarter"))
     wants = order.join(lengths, "id").select(F.col("next").alias("id"), F.col("id").alias("before"), "quarter")
@@ -85,18 +88,18 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     heads = heads.groupBy(F.col("before").alias("id")).agg(F.max("head").alias("head"))
     keep = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))")
     head = F.expr("substring(coalesce(head, ''), 1, cast(floor(char_length(text) / 4) as int))")
-    return base.join(heads, "id", "left").select("id", n.cast("bigint").alias("n_chars"), "text", F.concat(keep, head).alias("edited")).join(order, "id", "left")
+    return base.join(heads, "id", "left").select("id", n, "text", F.concat(keep, head).alias("edited")).join(order, "id", "left").unionByName(rest)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     both = edited(docs, id_col, text_col)
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    rows = both.select("id", "next", "n_chars", F.sha2("edited", 256).alias("sha"), kinds.alias("x"))
-    rows = rows.select("id", "next", "n_chars", "sha", F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
-    fps = fingerprints(rows, ["id", "next", "n_chars", "sha", "kind"], "t")
-    fps = stored(fps.groupBy("id", "next", "n_chars").agg(F.max("sha").alias("sha"), F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp")), "simhash-prints")
-    after = fps.select(F.col("id").alias("next"), F.col("fp").alias("next_fp"))
+    rows = both.select("id", "next", "n_chars", F.xxhash64("text").alias("th"), F.sha2("edited", 256).alias("sha"), kinds.alias("x"))
+    rows = rows.select("id", "next", "n_chars", "th", "sha", F.col("x.kind").alias("kind"), F.col("x.t").alias("t")).where("t IS NOT NULL")
+    fps = fingerprints(rows, ["id", "next", "n_chars", "th", "sha", "kind"], "t")
+    fps = stored(fps.groupBy("id", "next", "n_chars", "th").agg(F.max("sha").alias("sha"), F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp")), "simhash-prints")
+    after = fps.where("id IS NOT NULL").groupBy(F.col("id").alias("next")).agg(F.min("fp").alias("next_fp"))
     out = fps.join(after, "next", "left")
     text = lambda c: F.lpad(F.lower(F.hex(F.col(c))), 16, "0")
     return out.select(F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
