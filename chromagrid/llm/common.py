@@ -47,6 +47,19 @@ def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to Python, at most: whole texts can be long.
+BATCH = 1000
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in batches of BATCH rows at most; the session's limit is lowered for that
+    and stays so, as the plan runs later."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is no markup.
@@ -237,4 +239,4 @@ def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -
             texts = [main_text(x) for x in b.column(at).to_pylist()]
             yield pa.record_batch([*(b.column(i) for i in range(at)), pa.array(texts, pa.string())], names=[*others, out_col])
 
-    return pages.select(*others, F.col(html_col).cast("string").alias(html_col)).mapInArrow(run, schema)
+    return mapped(pages.select(*others, F.col(html_col).cast("string").alias(html_col)), run, schema)

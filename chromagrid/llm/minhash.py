@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BROADCAST_BYTES, free_name, stored, text_of
+from .common import BROADCAST_BYTES, free_name, mapped, stored, text_of
 
 BINS = 128
 ROWS = 4
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     bits.append(b"")
             yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "k1", "k2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary")
+    return mapped(docs, run, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary")
 
 
 def star_edges(reps: DataFrame, share: float) -> DataFrame:
@@ -122,7 +122,7 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
             keep = pa.array((x == y).sum(axis=1) >= least)
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return mapped(both, run, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -144,7 +144,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return mapped(both, run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

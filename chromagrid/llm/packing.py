@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import partitions, stored
+from .common import mapped, partitions, stored
 
 WINDOW = 4096
 QUANTUM = 256
@@ -45,7 +45,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path
             yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "id", "source", "n", "ids"])
 
     cols = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "row bigint, id bigint, source string, n bigint, ids binary")
+    return mapped(cols, run, "row bigint, id bigint, source string, n bigint, ids binary")
 
 
 def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
@@ -66,7 +66,8 @@ def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame
             total = int(sums[-1]) if len(v) else total
 
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", run_part int, run_local bigint"
-    local = df.repartitionByRange(partitions(df.sparkSession), *[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order]).mapInArrow(run, schema)
+    ranges = df.repartitionByRange(partitions(df.sparkSession), *[F.col(c).asc_nulls_last() for c in order])
+    local = ranges.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order]).mapInArrow(run, schema)
     local = stored(local, name)
     # one row per partition
     totals = sorted(local.groupBy("run_part").agg(F.sum(value).alias("s")).collect())
@@ -133,5 +134,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             pick = pa.array(cols[0], pa.int64())
             yield pa.record_batch([b.column(0).take(pick), b.column(1).take(pick), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    out = both.mapInArrow(run, "id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = mapped(both, run, "id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)

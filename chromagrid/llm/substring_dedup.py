@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import stored, text_of
+from .common import mapped, stored, text_of
 
 WINDOW = 50
 #: Words of a token k-mer.
@@ -94,7 +94,7 @@ def spans(docs: DataFrame, window: int, k: int) -> DataFrame:
                     pick = pa.array(i)
                     yield pa.record_batch([part.column(0).take(pick), part.column(1).take(pick), pa.array(anchor), pa.array(span), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["row", "id", "anchor", "span", "lo", "n"])
 
-    return docs.mapInArrow(run, "row bigint, id bigint, anchor bigint, span bigint, lo int, n int")
+    return mapped(docs, run, "row bigint, id bigint, anchor bigint, span bigint, lo int, n int")
 
 
 def window_hashes(rows: DataFrame, window: int) -> DataFrame:
@@ -121,7 +121,7 @@ def window_hashes(rows: DataFrame, window: int) -> DataFrame:
                 pick = pa.array(i)
                 yield pa.record_batch([pa.array(anchors), pa.array(of), part.column(0).take(pick), part.column(1).take(pick), pa.array(los.astype(np.int32))], names=["anchor", "hash", "row", "id", "lo"])
 
-    return rows.mapInArrow(run, "anchor bigint, hash bigint, row bigint, id bigint, lo int")
+    return mapped(rows, run, "anchor bigint, hash bigint, row bigint, id bigint, lo int")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -179,7 +179,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 yield pa.record_batch([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
     joined = rows.join(cuts, ["id", "row"], "left").select("id", "text", "cuts")
-    out = joined.mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
+    out = mapped(joined, run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.nullif("id", top).alias(id_col), "n_words", "n_removed", "kept_text")
 
 
