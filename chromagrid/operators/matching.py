@@ -30,15 +30,20 @@ def nearest(colors: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataF
     """(r, g, b, idx, d): for each distinct color the palette row of least squared distance,
     the first of equals.  metric: rgb (8-bit) or oklab."""
     own = colors.select(*RGB).distinct()
-    pal = palette.select("idx", *(F.col(c).alias(f"p_{c}") for c in RGB))
+    keys, pal = RGB, palette.select("idx", *RGB)
     if metric == "oklab":
-        own = with_oklab(own)
-        lab = C.oklab(F.col("p_r"), F.col("p_g"), F.col("p_b"), clamped=True)
-        pal = pal.select("idx", *(v.alias(f"p_ok_{n}") for n, v in zip("lab", lab, strict=True)))
-        d = F.round(C.squared(tuple(F.col(f"ok_{n}") for n in "lab"), tuple(F.col(f"p_ok_{n}") for n in "lab")), 12)
+        own, pal, keys = with_oklab(own), with_oklab(pal), ("ok_l", "ok_a", "ok_b")
+    pal = pal.select("idx", *(F.col(c).alias(f"p_{c}") for c in keys))
+    exact = (lambda d: F.round(d, 12)) if metric == "oklab" else (lambda d: d)
+    mine = tuple(F.col(c) for c in keys)
+    if palette.limit(SMALL + 1).count() <= SMALL:
+        # the palette is one array of at most SMALL entries: no row per pair, no aggregation
+        one = pal.agg(F.sort_array(F.collect_list(F.struct(*pal.columns))).alias("pal"))
+        near = F.array_min(F.transform("pal", lambda p: F.struct(exact(C.squared(mine, tuple(p[f"p_{c}"] for c in keys))).alias("d"), p["idx"].alias("idx"))))
+        best = own.join(F.broadcast(one), F.lit(True)).select(*RGB, near.alias("m")).where("m IS NOT NULL")
     else:
-        d = C.squared(tuple(F.col(c) for c in RGB), tuple(F.col(f"p_{c}") for c in RGB))
-    best = own.join(small(pal), F.lit(True)).groupBy(*RGB).agg(F.min(F.struct(d.alias("d"), F.col("idx"))).alias("m"))
+        d = exact(C.squared(mine, tuple(F.col(f"p_{c}") for c in keys)))
+        best = own.join(pal, F.lit(True)).groupBy(*RGB).agg(F.min(F.struct(d.alias("d"), F.col("idx"))).alias("m"))
     return best.select(*RGB, F.col("m.idx").alias("idx"), F.col("m.d").alias("d"))
 
 
