@@ -251,7 +251,7 @@ def j09_k07_legend(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {S.F4}, p AS (SELECT 0 AS img, i AS px, j AS py, i * 36 AS sx, j * 26 AS sy, least(240, i * 36 + 40) AS ex, least(136, j * 26 + 30) AS ey FROM range(7) t(i), range(6) u(j) WHERE i < ceil(236 / 36.0) AND j < ceil(132 / 26.0))
-SELECT px AS page_x, py AS page_y, count(*) AS cells, sum(x) AS sum_x, sum(y) AS sum_y, sum(r) AS sum_r FROM p JOIN f4 ON x >= sx AND x < ex AND y >= sy AND y < ey GROUP BY ALL""")
+SELECT px AS page_x, py AS page_y, count(*) AS cells, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(r)::BIGINT AS sum_r FROM p JOIN f4 ON x >= sx AND x < ex AND y >= sy AND y < ey GROUP BY ALL""")
 def j07_page_cells(spark: SparkSession, d: str) -> DataFrame:
     p = matching.pages_of_cells(stencils.with_size(rasters.checkerboard(spark)), 40, 30, 4)
     return p.groupBy("page_x", "page_y").agg(F.count(F.lit(1)).alias("cells"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.sum("r").alias("sum_r"))
