@@ -117,7 +117,7 @@ def delta_e95(a: DataFrame, b: DataFrame) -> DataFrame:
     """Element at place floor(0.95 n) of the sorted OKLab distances (channels in 0..1)."""
     lab = lambda df, s: df.select("img", "y", "x", *(v.alias(f"{n}{s}") for n, v in zip("lmn", C.oklab_of_linear((F.col("r"), F.col("g"), F.col("b")), True), strict=True)))
     d = lab(a, "1").join(lab(b, "2"), ["img", "y", "x"]).withColumn("d", C.distance(tuple(F.col(f"{n}1") for n in "lmn"), tuple(F.col(f"{n}2") for n in "lmn")))
-    # place k (from 0) of n is the interpolated percentile at exactly k / (n - 1)
+    # one sorted array per image, of at most the decoder's cap of pixels
     n = d.groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("d")).alias("all"))
     return n.select("img", F.element_at("all", F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1).cast("int") + 1).alias("de95"))
 

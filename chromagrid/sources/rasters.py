@@ -36,15 +36,6 @@ def embedding_images(spark: SparkSession, d: str) -> DataFrame:
     return px.select("img", "y", "x", at(0).alias("r"), at(21).alias("g"), at(42).alias("b"))
 
 
-def lineitem_image(spark: SparkSession, d: str) -> DataFrame:
-    """One large image of 600 columns."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet")
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    n = F.row_number().over(order) - 1
-    top = lambda c: F.least(F.lit(255.0), F.floor(c)).cast("int")
-    return li.select(n.alias("n"), "l_quantity", "l_discount", "l_extendedprice").select(F.lit(0).alias("img"), F.floor(F.col("n") / 600).cast("int").alias("y"), (F.col("n") % 600).alias("x"), top(5.1 * F.col("l_quantity")).alias("r"), top(2550 * F.abs("l_discount")).alias("g"), top(0.0024 * F.col("l_extendedprice")).alias("b"))
-
-
 def blocky_images(spark: SparkSession, d: str) -> DataFrame:
     """The embedding images in blocks of 6 x 6."""
     px = embedding_images(spark, d)
