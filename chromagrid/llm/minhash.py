@@ -8,6 +8,8 @@ every member to three centers (smallest id, largest id, smallest hash with the b
 that a bucket of m classes yields at most 3 m edges.  Edges pass a size test, which is
 exact, and a comparison of the 8-bit sketches; the rest are confirmed on full shingle sets.
 Connected components follow by spreading smallest ids and following pointers.
+What the stars leave open is settled in blocks: members of a bucket that are no centers and
+lie in different components are compared each with each, by the same tests.
 
 A null or empty text, or one without words, has no shingles, is linked with nothing and
 stays.  A text with fewer words than a shingle is one shingle.  Rows with a null id stay
@@ -33,6 +35,8 @@ BANDS = BINS // ROWS
 #: Agreement of sketches below which a pair isn't confirmed: 4.7 standard deviations
 #: of the estimate below 0.85, 4 below 0.8 less 0.15.
 SLACK = 0.15
+#: Members of a block when all pairs of a bucket are compared.
+BLOCK = 256
 _SEQ = np.random.default_rng(71).integers(0, BINS, (BINS, 96))
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 
@@ -99,17 +103,60 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return mapped(docs, run, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary")
 
 
+def centers(rows: DataFrame) -> DataFrame:
+    """(key, centers): the three centers of each bucket of two classes or more."""
+    who = F.struct("id", "n")
+    found = rows.groupBy("key").agg(F.min(who).alias("c1"), F.max(who).alias("c2"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id"), F.col("n"))).alias("c3")).where("c1.id < c2.id")
+    return found.select("key", F.array("c1", "c2", F.struct(F.col("c3.id").alias("id"), F.col("c3.n").alias("n"))).alias("centers"))
+
+
 def star_edges(reps: DataFrame, share: float) -> DataFrame:
     """(a, b), a < b: from every class to the centers of its buckets."""
     rows = reps.select("id", "n", F.explode("bands").alias("key"))
-    who = F.struct("id", "n")
-    centers = rows.groupBy("key").agg(F.min(who).alias("c1"), F.max(who).alias("c2"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id"), F.col("n"))).alias("c3")).where("c1.id < c2.id")
-    centers = centers.select("key", F.array("c1", "c2", F.struct(F.col("c3.id").alias("id"), F.col("c3.n").alias("n"))).alias("centers"))
-    pairs = rows.join(centers, "key").select("id", "n", F.explode("centers").alias("c")).where("id <> c.id")
+    pairs = rows.join(centers(rows), "key").select("id", "n", F.explode("centers").alias("c")).where("id <> c.id")
     fits = F.least("n", "c.n") >= F.lit(share) * F.greatest("n", "c.n")
     return pairs.where(fits).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
+def left_open(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, component, k): members of a bucket that no star compared and no path of links
+    joins yet; k is the number of blocks of the bucket."""
+    rows = reps.select("id", "n", F.explode("bands").alias("key"))
+    named = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("component"))
+    ids = centers(rows).select("key", F.col("centers.id").alias("ids"))
+    rest = named.join(ids, "key").where("NOT array_contains(ids, id)").select("key", "id", "component")
+    open_ = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return rest.join(open_.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")), "key")
+
+
+def block_edges(rest: DataFrame, reps: DataFrame, share: float) -> DataFrame:
+    """(a, b), a < b: pairs of ``left_open`` of different components that pass the tests of size and sketch.
+
+    A bucket is cut into k blocks; each pair of blocks is a group of its own, so no task holds a whole bucket."""
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    rows = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    rows = rows.join(reps.select("id", "n", "sketch"), "id").select("key", "i", "j", "own", "id", "component", "n", "sketch")
+    least = int((share - SLACK) * BINS)
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j, own, ids, part, n = (group.column(c).to_numpy() for c in ("i", "j", "own", "id", "component", "n"))
+        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        first = np.flatnonzero(own == i)
+        second = np.flatnonzero(own == j)
+        a, b = [], []
+        for x in first:
+            to = second[second > x] if i[0] == j[0] else second
+            to = to[(part[to] != part[x]) & (ids[to] != ids[x]) & (np.minimum(n[to], n[x]) >= share * np.maximum(n[to], n[x]))]
+            to = to[(bits[to] == bits[x]).sum(axis=1) >= least]
+            a.append(np.minimum(ids[to], ids[x]))
+            b.append(np.maximum(ids[to], ids[x]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
     """``pairs`` whose sketches agree in nearly ``share`` of the bins or more."""
     prints = reps.select("id", "sketch")
@@ -176,6 +223,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     pairs = stored(likely(pairs, reps.dropDuplicates(["id"]), num / den), "near-likely")
     links = stored(confirmed(pairs, texts.where("id IS NOT NULL"), size, num, den), "near-links")
     roots = components(links)
+    rest = stored(left_open(reps, roots), "near-open")
+    if rest.limit(1).count():
+        pairs = stored(block_edges(rest, reps, num / den), "near-blocks")
+        more = stored(confirmed(pairs, texts.where("id IS NOT NULL"), size, num, den), "near-more")
+        roots = components(links.unionByName(more))
     named = classes.join(roots, classes["class"] == roots["node"], "left").select(*keys, F.coalesce("root", "class").alias("component"))
     thin = prints.select("id", *keys)
     out = thin.where("n > 0 AND id IS NOT NULL").join(named, keys).select("id", "n", "component")

@@ -299,6 +299,28 @@ def test_minhash_equals_all_pairs(spark, size, num):
     assert got == brute_near(docs, size, num, 100)
 
 
+def family(n=320, words=400, edits=10):
+    """A base text with the middle id; its copies reach 0.85 with the base and about 0.74 with each other."""
+    rng = random.Random(4)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in range(edits if i != n // 2 else 0):
+            w[(k * words // edits) + rng.randrange(5, words // edits - 5)] = f"e{i}x{k}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_minhash_of_a_family_around_its_middle_text(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 32)  # several blocks in a bucket
+    docs = family()
+    want = {i: c for i, (_, c, _) in brute_near(docs, 3, 85, 100).items()}
+    assert len(set(want.values())) == 1
+    got = minhash.grouped(frame(spark, [(i, t, "s") for i, t in docs]), size=3, num=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_minhash_edges(edge, empty):
     rows = minhash.grouped(edge).collect()
     assert len(rows) == len(edge_rows()) and all(r.kept for r in rows if r.doc_id is None)
