@@ -7,15 +7,17 @@ count before the word plus the word's own; inside a word a prefix ends with the
 one token t for which the prefix without t has a last token u and (u, t) stays two
 tokens when encoded together, hence count(prefix) = count(prefix without t) + 1.
 
-Whole corpora use the same table at token ends only: tokens before a token end are
-the encoding of that prefix, so the table is the running sum of token lengths and its
-last entry the count of the text.  A null text counts as empty (no tokens, no bytes).
+Whole corpora use the same table, kept at every token end: the dynamic programming gives the
+tokens of each distinct word, the table is the running sum of their lengths, and the number
+of its entries the count of the text.  Texts outside of vocab.ODD's characters go to the library.
+A null text counts as empty (no tokens, no bytes).
 Repeated rows are counted each; further columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from . import vocab
 from .common import mapped
 
-#: Distance of the checkpoints of a text's table, in tokens.
-EVERY = 256
+#: Distance of the entries of a text's table, in tokens.
+EVERY = 1
 
 
 class PrefixCounter:
@@ -39,12 +41,15 @@ class PrefixCounter:
         self.special = sorted(self.encoding.special_tokens_set)
         self.stays = functools.lru_cache(1 << 16)(self._stays)
         self.word = functools.lru_cache(1 << 16)(self._word)
+        self.sizes = functools.lru_cache(1 << 18)(self._sizes)
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda text: [text]
 
     def _stays(self, a: bytes, b: bytes) -> bool:
-        return len(self.encoding._core_bpe.encode_single_piece(a + b)) == 2 and self.encoding._core_bpe.encode_single_piece(a + b)[0] == self.ranks[a]
+        both = self.encoding._core_bpe.encode_single_piece(a + b)
+        return len(both) == 2 and both[0] == self.ranks[a]
 
-    def _word(self, word: bytes) -> tuple[int, ...]:
-        """Tokens of each prefix of one word of the pre-tokenizer."""
+    def _prefixes(self, word: bytes) -> tuple[list[int], list[bytes]]:
+        """Number of tokens and last token of each prefix of one word of the pre-tokenizer."""
         count, last = [0], [b""]
         for i in range(1, len(word) + 1):
             for j in range(max(0, i - self.longest), i):
@@ -53,7 +58,29 @@ class PrefixCounter:
                     count.append(count[j] + 1)
                     last.append(token)
                     break
-        return tuple(count)
+        return count, last
+
+    def _word(self, word: bytes) -> tuple[int, ...]:
+        return tuple(self._prefixes(word)[0])
+
+    def _sizes(self, word: str) -> tuple[int, ...]:
+        """Bytes of each token of one word: last tokens, followed from the word's end."""
+        raw, out = word.encode(), []
+        last, at = self._prefixes(raw)[1], len(raw)
+        while at:
+            out.append(len(last[at]))
+            at -= out[-1]
+        return tuple(reversed(out))
+
+    def ends(self, text: str) -> np.ndarray:
+        """Byte offset after each token of a text."""
+        sizes: list[int] = []
+        for k, part in enumerate(self.parts(text)):
+            if k % 2:
+                sizes.append(len(part.encode()))
+            else:
+                sizes.extend(itertools.chain.from_iterable(map(self.sizes, self.split(part))))
+        return np.cumsum(np.array(sizes, np.int64))
 
     def _plain(self, text: str) -> list[int]:
         """Counts of each code point prefix of a text without special strings."""
@@ -105,26 +132,24 @@ def counter(path: str) -> PrefixCounter:
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, path: str | None = None) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit, ends: for each text, the byte offsets after
-    every EVERY-th token, exact places for truncation."""
+    every EVERY-th token (each one), exact places for truncation."""
     path = path or vocab.place("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ranks = vocab.byte_encoding(path)
-        size = np.zeros(max(ranks.values()) + 2, np.int64)
-        for t, i in ranks.items():
+        table = counter(path)
+        size = np.zeros(max(table.ranks.values()) + 2, np.int64)
+        for t, i in table.ranks.items():
             size[i] = len(t)
-        for t in encoding.special_tokens_set:
-            size[encoding.encode_single_token(t)] = len(t.encode())
-        encode = functools.partial(encoding.encode, allowed_special="all")
+        for t in table.special:
+            size[table.encoding.encode_single_token(t)] = len(t.encode())
         for batch in batches:
             n_bytes, n_tokens, ends = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                ids = vocab.library(path).encode(text, add_special_tokens=False).ids if vocab.ODD.search(text) else encode(text)
-                table = np.cumsum(size[ids]) if ids else np.zeros(0, np.int64)
-                n_bytes.append(int(table[-1]) if ids else 0)
-                n_tokens.append(len(table))
-                ends.append(table[EVERY - 1 :: EVERY])
+                found = np.cumsum(size[np.array(vocab.library(path).encode(text, add_special_tokens=False).ids, np.int64)]) if vocab.ODD.search(text) else table.ends(text)
+                n_bytes.append(int(found[-1]) if len(found) else 0)
+                n_tokens.append(len(found))
+                ends.append(found[EVERY - 1 :: EVERY])
             yield pa.record_batch([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(np.array(n_tokens, np.int64) > limit), pa.array(ends, pa.list_(pa.int64()))], names=["id", "n_bytes", "n_tokens", "over_limit", "ends"])
 
     out = mapped(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, ends array<bigint>")

@@ -445,6 +445,23 @@ def test_checkpoints_are_token_ends(spark):
         assert len(lib.encode(text.encode()[:end].decode(), add_special_tokens=False).ids) == k * token_counts.EVERY
 
 
+def test_token_count_query_has_every_token_end(spark, sf_dir, documents, monkeypatch):
+    path = vocab.place("byte_bpe_50k.json")
+    lib, seen = vocab.library(path), []
+    c = token_counts.counter(path)
+    monkeypatch.setattr(c, "ends", lambda t, f=c.ends: seen.append(t) or f(t))
+    for text in [*list(documents.values())[:200], "a<|endoftext|>b", "x  \n y don't 'll're", "ab" * 3000]:
+        ids = lib.encode(text, add_special_tokens=False).ids
+        ends = c.ends(text).tolist()
+        assert len(ends) == len(ids) and (ends or [0])[-1] == len(text.encode())
+    rows = registry.op9_token_counts(spark, sf_dir).where("n_tokens > 300").limit(20).collect()
+    for r in rows:
+        assert len(r.ends) == r.n_tokens
+        cut = documents[r.doc_id].encode()[: r.ends[299]].decode(errors="ignore")
+        assert len(lib.encode(cut, add_special_tokens=False).ids) <= 300
+    assert rows and seen
+
+
 # mixing
 
 
