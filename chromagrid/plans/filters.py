@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,11 +329,19 @@ def q16_merged_colors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q17_q18_q20_symbols(spark: SparkSession, d: str) -> DataFrame:
-    rows = matching.thread_statistics(f1(spark, d).where("img = 0"), rasters.swatches(spark, d)).orderBy("rank").limit(60).collect()
-    smart = kernels.smart_symbols([(r.code, (i * 37 % 100) / 100, r["count"]) for i, r in enumerate(rows)], "■▲●", "□△○", "✚✖☆", sinks.LETTERS)
-    smart = kernels.set_symbol(smart, rows[0].code, "@", sinks.LETTERS)
-    unique = kernels.unique_symbols(list(smart.values()), sinks.LETTERS)
-    return spark.createDataFrame([(k, v, u) for (k, v), u in zip(smart.items(), unique, strict=True)], "code string, symbol string, unique string")
+    """Symbols of all colors that an image uses, for each image."""
+    sw = rasters.swatches(spark, d)
+    used = matching.thread_statistics(f1(spark, d), sw, limit=sw.count()).select("img", "rank", "code", "count")
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("rank").to_pylist()
+        smart = kernels.smart_symbols([(r["code"], (i * 37 % 100) / 100, r["count"]) for i, r in enumerate(rows)], "■▲●", "□△○", "✚✖☆", sinks.LETTERS)
+        smart = kernels.set_symbol(smart, rows[0]["code"], "@", sinks.LETTERS)
+        unique = kernels.unique_symbols(list(smart.values()), sinks.LETTERS)
+        out = {"code": pa.array(smart.keys(), pa.string()), "symbol": pa.array(smart.values(), pa.string()), "unique": pa.array(unique, pa.string())}
+        return pa.table({"img": group.column("img"), **out})
+
+    return used.groupBy("img").applyInArrow(run, f"img {used.schema['img'].dataType.simpleString()}, code string, symbol string, unique string")
 
 
 @query()

@@ -116,3 +116,14 @@ def test_callable_and_plain_nearest_agree(spark):
     a = kernels.dithered(px, pal, "none").orderBy("y", "x").collect()
     b = kernels.dithered(px, pal, "none", nearest=lambda r, g, _: (((r - 120) ** 2 + (g - 120) ** 2) < (r**2 + g**2)).astype(int)).orderBy("y", "x").collect()
     assert [r.idx for r in a] == [r.idx for r in b]
+
+
+def test_symbols_of_every_image(spark, sf_dir):
+    from chromagrid.operators import matching
+    from chromagrid.plans import filters
+    from chromagrid.sources import rasters
+
+    got = filters.QUERIES["q17_q18_q20_symbols"](spark, sf_dir).collect()
+    want = matching.thread_statistics(filters.f1(spark, sf_dir), rasters.swatches(spark, sf_dir), limit=10**6).collect()
+    assert sorted((r.img, r.code) for r in got) == sorted((r.img, r.code) for r in want)
+    assert len({r.img for r in got}) > 1 and len({(r.img, r.unique) for r in got}) == len(got)
