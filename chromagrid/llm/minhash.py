@@ -2,14 +2,20 @@
 
 One hash of each word shingle falls into one of BINS bins, the smallest of a bin is its
 value; an empty bin takes the value of a filled bin found by its own fixed random
-sequence (optimal densification).  Four bins make a band.  Documents with equal sets are
-one class.  Classes that share a band get candidate edges in the shape of stars, from
-every member to three centers (smallest id, largest id, smallest hash with the band), so
-that a bucket of m classes yields at most 3 m edges.  Edges pass a size test, which is
-exact, and a comparison of the 8-bit sketches; the rest are confirmed on full shingle sets.
+sequence (optimal densification).  Four bins make a band, classes (documents with equal
+sets) that share a band lie in one bucket.  Candidates come in three rounds, each confirmed
+on the full shingle sets before the next:
+
+1. a star with one edge a class: to the smallest id in any of its buckets;
+2. stars of the buckets that still hold two components: from every member outside of the
+   component of the bucket's smallest id to that id;
+3. what is open then is compared within its bucket, block against block, inside of a task:
+   only pairs of different components, and only in the first bucket that both share.  A
+   task puts out no pair but those links that join two of its components.
+
+So a bucket of m classes makes at most 2 m edges and m rows for each of its m / BLOCK blocks, and no
+pair that shares a band is lost: rounds end with every such pair compared, or in one component.
 Connected components follow by spreading smallest ids and following pointers.
-What the stars leave open is settled in blocks: members of a bucket that are no centers and
-lie in different components are compared each with each, by the same tests.
 
 A null or empty text, or one without words, has no shingles, is linked with nothing and
 stays.  A text with fewer words than a shingle is one shingle.  Rows with a null id stay
@@ -23,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -32,11 +38,8 @@ from .common import BROADCAST_BYTES, free_name, mapped, stored, text_of
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: Agreement of sketches below which a pair isn't confirmed: 4.7 standard deviations
-#: of the estimate below 0.85, 4 below 0.8 less 0.15.
-SLACK = 0.15
-#: Members of a block when all pairs of a bucket are compared.
-BLOCK = 256
+#: Members and shingles of a block, about, when the members of a bucket are compared.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 _SEQ = np.random.default_rng(71).integers(0, BINS, (BINS, 96))
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 
@@ -81,117 +84,136 @@ def sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, k1, k2, bands, sketch): set size, 128-bit set hash, band keys, 8 bits of each bin."""
+    """(id, n, k1, k2, bands): set size, 128-bit set hash, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
-            n, k1, k2, bands, bits = [], [], [], [], []
+            n, k1, k2, bands = [], [], [], []
             for s in sets(part.column(1), size):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     k1.append(int(W.mix(s + np.uint64(5)).sum(dtype=np.uint64).astype(np.int64)))
                     k2.append(int(W.mix(s + np.uint64(9)).sum(dtype=np.uint64).astype(np.int64)))
-                if len(s):
-                    v = sketch(s)
-                    bands.append(band_keys(v))
-                    bits.append((v & np.uint64(255)).astype(np.uint8).tobytes())
-                else:
-                    bands.append(np.zeros(0, np.int64))
-                    bits.append(b"")
-            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "k1", "k2", "bands", "sketch"])
+                bands.append(band_keys(sketch(s)) if len(s) else np.zeros(0, np.int64))
+            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands"])
 
-    return mapped(docs, run, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary")
+    return mapped(docs, run, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def centers(rows: DataFrame) -> DataFrame:
-    """(key, centers): the three centers of each bucket of two classes or more."""
-    who = F.struct("id", "n")
-    found = rows.groupBy("key").agg(F.min(who).alias("c1"), F.max(who).alias("c2"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id"), F.col("n"))).alias("c3")).where("c1.id < c2.id")
-    return found.select("key", F.array("c1", "c2", F.struct(F.col("c3.id").alias("id"), F.col("c3.n").alias("n"))).alias("centers"))
+def small(df: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """A stored table, hinted for a broadcast only if its counted rows prove it small."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def star_edges(reps: DataFrame, share: float) -> DataFrame:
-    """(a, b), a < b: from every class to the centers of its buckets."""
-    rows = reps.select("id", "n", F.explode("bands").alias("key"))
-    pairs = rows.join(centers(rows), "key").select("id", "n", F.explode("centers").alias("c")).where("id <> c.id")
-    fits = F.least("n", "c.n") >= F.lit(share) * F.greatest("n", "c.n")
-    return pairs.where(fits).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+def buckets(reps: DataFrame) -> DataFrame:
+    """(key, band, id, n, low, low_n): members of the buckets of two classes or more; low: the smallest id."""
+    rows = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    many = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")).where("low.id < high")
+    many = stored(many.select("key", F.col("low.id").alias("low"), F.col("low.n").alias("low_n")), "near-keys")
+    return rows.join(small(many), "key").select("key", "band", "id", "n", "low", "low_n")
 
 
-def left_open(reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, component, k): members of a bucket that no star compared and no path of links
-    joins yet; k is the number of blocks of the bucket."""
-    rows = reps.select("id", "n", F.explode("bands").alias("key"))
-    named = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("component"))
-    ids = centers(rows).select("key", F.col("centers.id").alias("ids"))
-    rest = named.join(ids, "key").where("NOT array_contains(ids, id)").select("key", "id", "component")
-    open_ = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rest.join(open_.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")), "key")
+def fits(a: str, b: str, share: float) -> Column:
+    """Sets of these sizes can reach ``share``."""
+    return F.least(a, b) >= F.lit(share) * F.greatest(a, b)
 
 
-def block_edges(rest: DataFrame, reps: DataFrame, share: float) -> DataFrame:
-    """(a, b), a < b: pairs of ``left_open`` of different components that pass the tests of size and sketch.
+def with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` of buckets that hold two components or more, with ``comp``."""
+    named = rows.join(small(roots).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    open_ = stored(named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key"), "near-open-keys")
+    return named.join(small(open_), "key")
 
-    A bucket is cut into k blocks; each pair of blocks is a group of its own, so no task holds a whole bucket."""
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    rows = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    rows = rows.join(reps.select("id", "n", "sketch"), "id").select("key", "i", "j", "own", "id", "component", "n", "sketch")
-    least = int((share - SLACK) * BINS)
-
-    def run(group: pa.Table) -> pa.Table:
-        i, j, own, ids, part, n = (group.column(c).to_numpy() for c in ("i", "j", "own", "id", "component", "n"))
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        first = np.flatnonzero(own == i)
-        second = np.flatnonzero(own == j)
-        a, b = [], []
-        for x in first:
-            to = second[second > x] if i[0] == j[0] else second
-            to = to[(part[to] != part[x]) & (ids[to] != ids[x]) & (np.minimum(n[to], n[x]) >= share * np.maximum(n[to], n[x]))]
-            to = to[(bits[to] == bits[x]).sum(axis=1) >= least]
-            a.append(np.minimum(ids[to], ids[x]))
-            b.append(np.maximum(ids[to], ids[x]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
-    """``pairs`` whose sketches agree in nearly ``share`` of the bins or more."""
-    prints = reps.select("id", "sketch")
-    both = pairs.join(prints.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(prints.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").select("a", "b", "sa", "sb")
-    least = int((share - SLACK) * BINS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            keep = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+def star_groups(edges: DataFrame) -> DataFrame:
+    """(center, id, n) -> rows (g, i, j, own, band, comp, id): a center and a block of its members are a group."""
+    sizes = edges.groupBy("center").agg(blocks_of().alias("k"))
+    dealt = edges.join(sizes, "center").select("center", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("j"), "id")
+    dealt = stored(dealt, "near-stars")
+    sides = dealt.select("center", "j", F.col("j").alias("own"), "id").unionByName(dealt.select("center", "j").distinct().select("center", "j", F.lit(-1).alias("own"), F.col("center").alias("id")))
+    return sides.select(F.col("center").alias("g"), F.lit(-1).alias("i"), "j", "own", F.lit(0).alias("band"), F.col("id").alias("comp"), "id")
+
 
-    return mapped(both, run, "a bigint, b bigint")
+def blocks_of() -> Column:
+    """Number of blocks of a group, by members and by shingles."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(a, b) with den * intersection >= num * union on full shingle sets."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    bound = ids.count() * 16
-    few = texts.join(F.broadcast(ids) if bound <= BROADCAST_BYTES else ids, "id", "left_semi")
-    both = pairs.join(few.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(few.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+def block_groups(rest: DataFrame) -> DataFrame:
+    """(key, band, id, n, comp) -> rows (g, i, j, own, band, comp, id): each pair of blocks of a bucket is a group."""
+    sizes = stored(rest.groupBy("key").agg(blocks_of().alias("k")), "near-blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    dealt = rest.join(small(sizes), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return dealt.select(F.col("key").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "comp", "id")
+
+
+def joined(own: np.ndarray, ids: np.ndarray, comp: np.ndarray, bands: list[np.ndarray | None], band: int, held: list[np.ndarray], first: int, other: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links of one group between its blocks ``first`` and ``other`` that join two components."""
+    left, right = np.flatnonzero(own == first), np.flatnonzero(own == other)
+    n = np.array([len(s) for s in held])
+    keys = np.stack([b[:band] for b in bands]) if band else None
+    edge, codes = np.concatenate([[0], np.cumsum(n)]), None
+    out: list[tuple[int, int]] = []
+    for x in left:
+        to = right[right > x] if first == other else right
+        to = to[(comp[to] != comp[x]) & (ids[to] != ids[x]) & (den * np.minimum(n[to], n[x]) >= num * np.maximum(n[to], n[x]))]
+        if keys is not None and len(to):
+            to = to[~(keys[to] == keys[x]).any(axis=1)]  # compared in an earlier bucket
+        if not len(to):
+            continue
+        if len(to) <= 8:
+            common = np.array([len(np.intersect1d(held[x], held[t], assume_unique=True)) for t in to])
+        else:
+            if codes is None:
+                codes = np.unique(np.concatenate(held), return_inverse=True)[1]
+            mark = np.zeros(int(codes.max()) + 1, np.int64)
+            mark[codes[edge[x] : edge[x + 1]]] = 1
+            common = np.add.reduceat(mark[codes], edge[:-1])[to]
+        for t in to[den * common >= num * (n[x] + n[to] - common)]:
+            if comp[t] != comp[x]:
+                out.append((int(min(ids[x], ids[t])), int(max(ids[x], ids[t]))))
+                comp[comp == comp[t]] = comp[x]
+    return out
+
+
+def compared(groups: DataFrame, reps: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: links within groups, den * intersection >= num * union on full shingle sets.
+
+    Links are left out only where others join the same two documents."""
+    groups = stored(groups, "near-groups")
+    ids = stored(groups.select("id").distinct(), "near-ids")
+    some = small(ids)
+    prints = reps.join(some, "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
+    rows = groups.where("band > 0").join(prints, "id").unionByName(groups.where("band = 0").withColumn("bands", F.lit(None).cast("array<bigint>")))
+    rows = rows.join(texts.join(some, "id", "left_semi"), "id").select("g", "i", "j", "own", "band", "comp", "id", "bands", "text")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "own", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def settled() -> list[tuple[int, int]]:
+            if not group:
+                return []
+            own, ids, comp, band, bands, held = zip(*group, strict=True)
+            return joined(np.array(own), np.array(ids), np.array(comp), list(bands), band[0], list(held), key[1], key[2], num, den)
+
+        def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*links, strict=True) if links else ((), ())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
-            keep, last, held = [], None, None
-            a_ids, ta = part.column(0).to_pylist(), part.column(2)
-            for i, s in enumerate(sets(part.column(3), size)):
-                if a_ids[i] != last or held is None:
-                    held, last = next(sets(ta.slice(i, 1), size)), a_ids[i]
-                inner = len(np.intersect1d(held, s, assume_unique=True))
-                keep.append(den * inner >= num * (len(held) + len(s) - inner))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
+            links: list[tuple[int, int]] = []
+            g, i, j, own, band, comp, ids = (part.column(c).to_pylist() for c in range(7))
+            for r, s in enumerate(sets(part.column(8), size)):
+                if (g[r], i[r], j[r]) != key:
+                    links += settled()
+                    key, group = (g[r], i[r], j[r]), []
+                of = part.column(7)[r]
+                group.append((own[r], ids[r], comp[r], band[r], of.values.to_numpy() if band[r] else None, s))
+            yield table(links)
+        yield table(settled())
 
-    return mapped(both, run, "a bigint, b bigint").distinct()
+    return mapped(rows, run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,16 +240,24 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     keys = ["k1", "k2", "n"]
     classes = stored(prints.where("n > 0 AND id IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("class")), "near-classes")
     heads = classes.select(F.col("class").alias("id")).distinct()
-    reps = stored(prints.where("n > 0").join(heads, "id").select("id", "n", "bands", "sketch"), "near-reps")
-    pairs = stored(star_edges(reps, num / den), "near-candidates")
-    pairs = stored(likely(pairs, reps.dropDuplicates(["id"]), num / den), "near-likely")
-    links = stored(confirmed(pairs, texts.where("id IS NOT NULL"), size, num, den), "near-links")
+    reps = stored(prints.where("n > 0").join(heads, "id").select("id", "n", "bands"), "near-reps")
+    known, share = texts.where("id IS NOT NULL"), num / den
+    shared = stored(buckets(reps), "near-buckets")
+    outer = shared.where("id <> low").where(fits("n", "low_n", share))
+    first = stored(outer.groupBy("id").agg(F.min("low").alias("center"), F.min("n").alias("n")), "near-first")
+    links = stored(compared(star_groups(first), reps, known, size, num, den), "near-links")
     roots = components(links)
-    rest = stored(left_open(reps, roots), "near-open")
-    if rest.limit(1).count():
-        pairs = stored(block_edges(rest, reps, num / den), "near-blocks")
-        more = stored(confirmed(pairs, texts.where("id IS NOT NULL"), size, num, den), "near-more")
-        roots = components(links.unionByName(more))
+    open_ = stored(with_components(shared, roots), "near-open")
+    if open_.limit(1).count():
+        low = roots.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
+        second = open_.where("id <> low").where(fits("n", "low_n", share)).join(small(low), "low", "left").where("comp <> coalesce(low_root, low)")
+        second = second.groupBy("id", F.col("low").alias("center")).agg(F.min("n").alias("n")).join(first.select("id", "center"), ["id", "center"], "left_anti")
+        links = stored(links.unionByName(compared(star_groups(second), reps, known, size, num, den)), "near-links")
+        roots = components(links)
+        rest = stored(with_components(shared.where("id <> low"), roots), "near-rest")
+        if rest.limit(1).count():
+            links = links.unionByName(compared(block_groups(rest), reps, known, size, num, den))
+            roots = components(links)
     named = classes.join(roots, classes["class"] == roots["node"], "left").select(*keys, F.coalesce("root", "class").alias("component"))
     thin = prints.select("id", *keys)
     out = thin.where("n > 0 AND id IS NOT NULL").join(named, keys).select("id", "n", "component")

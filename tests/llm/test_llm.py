@@ -321,6 +321,39 @@ def test_minhash_of_a_family_around_its_middle_text(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def near_threshold(seed, groups=6, members=120, words=120):
+    """Variants with 1 to 4 words changed: similarities on both sides of 0.85."""
+    rng, out = random.Random(seed), []
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_minhash_of_groups_near_the_threshold(spark, monkeypatch, seed):
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    docs = near_threshold(seed)
+    got = minhash.grouped(frame(spark, [(i, t, "s") for i, t in docs]), size=3, num=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(docs, 3, 85, 100)
+
+
+def test_minhash_query_equals_all_pairs(spark, sf_dir, documents):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in registry.op6_minhash(spark, sf_dir).collect()}
+    assert got == brute_near(documents.items(), 3, 85, 100)
+
+
+def test_minhash_blocks_put_out_no_more_than_a_tree_of_links():
+    s = [np.arange(100, dtype=np.uint64)] * 40
+    links = minhash.joined(np.zeros(40, int), np.arange(40), np.arange(40), [None] * 40, 0, s, 0, 0, 85, 100)
+    assert len(links) == 39
+
+
 def test_minhash_edges(edge, empty):
     rows = minhash.grouped(edge).collect()
     assert len(rows) == len(edge_rows()) and all(r.kept for r in rows if r.doc_id is None)
