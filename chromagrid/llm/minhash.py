@@ -40,6 +40,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: Members and shingles of a block, about, when the members of a bucket are compared.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Members of a block of a star, about.
+STAR = 128
 _SEQ = np.random.default_rng(71).integers(0, BINS, (BINS, 96))
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 
@@ -127,21 +129,21 @@ def with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def star_groups(edges: DataFrame) -> DataFrame:
     """(center, id, n) -> rows (g, i, j, own, band, comp, id): a center and a block of its members are a group."""
-    sizes = edges.groupBy("center").agg(blocks_of().alias("k"))
+    sizes = edges.groupBy("center").agg(blocks_of(STAR).alias("k"))
     dealt = edges.join(sizes, "center").select("center", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("j"), "id")
     dealt = stored(dealt, "near-stars")
     sides = dealt.select("center", "j", F.col("j").alias("own"), "id").unionByName(dealt.select("center", "j").distinct().select("center", "j", F.lit(-1).alias("own"), F.col("center").alias("id")))
     return sides.select(F.col("center").alias("g"), F.lit(-1).alias("i"), "j", "own", F.lit(0).alias("band"), F.col("id").alias("comp"), "id")
 
 
-def blocks_of() -> Column:
+def blocks_of(members: int) -> Column:
     """Number of blocks of a group, by members and by shingles."""
-    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / BLOCK_SHINGLES)).cast("int")
 
 
 def block_groups(rest: DataFrame) -> DataFrame:
     """(key, band, id, n, comp) -> rows (g, i, j, own, band, comp, id): each pair of blocks of a bucket is a group."""
-    sizes = stored(rest.groupBy("key").agg(blocks_of().alias("k")), "near-blocks")
+    sizes = stored(rest.groupBy("key").agg(blocks_of(BLOCK).alias("k")), "near-blocks")
     own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     dealt = rest.join(small(sizes), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return dealt.select(F.col("key").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "comp", "id")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, stored, text_of
+from .common import BROADCAST_BYTES, WORD, free_name, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -46,6 +46,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return share.withColumn("top", level).select("source", "source_size", F.coalesce(F.least(F.col("lim"), F.col("top") * F.col("w")), F.lit(0.0)).alias("target"))
 
 
+#: Bytes that one row of the table of sources takes in a broadcast relation, about.
+SOURCE_ROW_BYTES = 256
+
+
+def per_source(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """``targets`` as a stored table; it is broadcast, so that no document moves, if its rows
+    and the longest name prove it small."""
+    per = stored(targets(sizes, weights, most), "mix-sources")
+    n, longest = per.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()
+    return F.broadcast(per) if n * (SOURCE_ROW_BYTES + longest) <= BROADCAST_BYTES else per
+
+
 def drawn(id_text: Column, seed: str) -> Column:
     """Uniform in [0, 1): the first 13 hex digits of an MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_text, F.lit("null"))))
@@ -56,12 +68,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """(id, source, size, source_size, target, n_copies) for each row of ``docs``."""
     thin = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
     thin = stored(thin, "mix-sizes")
-    per = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    per = per_source(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     return _with_copies(thin, per, "id", "source", "size", seed)
 
 
 def _with_copies(rows: DataFrame, per: DataFrame, id_col: str, source_col: str, size_col: str, seed: str) -> DataFrame:
-    # one row per source; not hinted: Spark broadcasts it only below its own limit
     src = free_name(rows, "mix_source")
     per = per.withColumnRenamed("source", src)
     joined = rows.join(per, rows[source_col].eqNullSafe(per[src]), "left").drop(src)
@@ -73,7 +84,7 @@ def _with_copies(rows: DataFrame, per: DataFrame, id_col: str, source_col: str,
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row repeated as the mix asks; columns unchanged."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(text_of(text_col))).alias("source_size"))
-    per = targets(sizes, weights, most)
+    per = per_source(sizes, weights, most)
     names = {c: free_name(docs, f"mix_{c}") for c in ("source", "source_size", "target", "n")}
     per = per.select(*(F.col(c).alias(names[c]) for c in ("source", "source_size", "target")))
     joined = docs.join(per, docs[source_col].eqNullSafe(per[names["source"]]), "left")

@@ -42,7 +42,7 @@ SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHE
 """
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit", "ends")
+    return token_counts.counts(table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -466,33 +466,40 @@ def test_every_prefix_count_is_exact(text):
     lib, c = vocab.library(path), token_counts.counter(path)
     want = [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
     assert c.prefix_counts(text) == want
-    n = c.longest_prefix(text, 3)
+    n = token_counts.longest_prefix(c.table(text), 3)
     assert want[n] <= 3 and all(w > 3 for w in want[n + 1 :])
+    d = c.table(text)
+    assert token_counts.decoded(token_counts.encoded(d), len(text)).tolist() == d.tolist()
 
 
-def test_checkpoints_are_token_ends(spark):
-    text = "word and other words, " * 200
-    r = token_counts.counts(frame(spark, [(1, text, "s")])).first()
-    lib = vocab.library(vocab.place("byte_bpe_50k.json"))
-    for k, end in enumerate(r.ends, 1):
-        assert len(lib.encode(text.encode()[:end].decode(), add_special_tokens=False).ids) == k * token_counts.EVERY
+def test_tables_with_wide_differences():
+    d = np.array([1, -300, 5])
+    assert token_counts.decoded(token_counts.encoded(d), 3).tolist() == d.tolist()
 
 
-def test_token_count_query_has_every_token_end(spark, sf_dir, documents, monkeypatch):
+@pytest.mark.parametrize("text", ["ab" * 300, "\n" * 300 + "x", " " * 140 + "y  z", "a\xa0\u2028 b\u3000\u3000c", "漢字 'll 'Re é́x  \n\n y"])
+def test_prefix_counts_of_odd_texts(text):
     path = vocab.place("byte_bpe_50k.json")
-    lib, seen = vocab.library(path), []
-    c = token_counts.counter(path)
-    monkeypatch.setattr(c, "ends", lambda t, f=c.ends: seen.append(t) or f(t))
-    for text in [*list(documents.values())[:200], "a<|endoftext|>b", "x  \n y don't 'll're", "ab" * 3000]:
-        ids = lib.encode(text, add_special_tokens=False).ids
-        ends = c.ends(text).tolist()
-        assert len(ends) == len(ids) and (ends or [0])[-1] == len(text.encode())
-    rows = registry.op9_token_counts(spark, sf_dir).where("n_tokens > 300").limit(20).collect()
+    lib = vocab.library(path)
+    assert token_counts.counter(path).prefix_counts(text) == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+
+
+def test_token_count_query_equals_the_library(spark, sf_dir, documents):
+    lib = vocab.library(vocab.place("byte_bpe_50k.json"))
+    size = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rows = registry.op9_token_counts(spark, sf_dir).collect()
+    assert len(rows) == len(documents)
+    rng = random.Random(6)
     for r in rows:
-        assert len(r.ends) == r.n_tokens
-        cut = documents[r.doc_id].encode()[: r.ends[299]].decode(errors="ignore")
-        assert len(lib.encode(cut, add_special_tokens=False).ids) <= 300
-    assert rows and seen
+        t = documents[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), size(t), size(t) > 512)
+        counts = np.cumsum(token_counts.decoded(r.prefix_table, len(t)), dtype=np.int64)
+        for i in rng.sample(range(len(t)), min(len(t), 5)):
+            assert counts[i] == size(t[: i + 1])
+        if r.over_limit:
+            assert size(t[: r.fits]) <= 512 < min(size(t[:i]) for i in range(r.fits + 1, min(len(t), r.fits + 40) + 1))
+        else:
+            assert r.fits == max([0, *np.flatnonzero(counts <= 512) + 1])
 
 
 # mixing
