@@ -6,7 +6,9 @@ class, id or role says are left out.  Every paragraph earns points for its lengt
 commas; they go to its parent whole, to the next ancestor by half, to the one above by a third,
 and so on; an element's points are discounted by the share of its text that lies in links.
 The best container is kept, with those of its siblings that score well or are long
-paragraphs with few links.
+paragraphs with few links.  Of what is kept, elements left out by kind or name go; outside of an
+<article> or <main> also lists, tables and boxes that are links by 60 % or more, within one only
+if a doubtful name (DOUBT) says so too.  Paragraphs always stay.
 
 White space of any kind within a block becomes one blank; blocks and line breaks are joined by one
 blank.  A null or empty page, or one without text outside of what is left out, gives an empty text.
@@ -39,17 +41,22 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 FENCE = {"ul", "ol", "dl", "table", "select", "body", "html"}
 WHOLE = {"html", "body", "article", "main"}
 #: Names that say an element is no article.
-OUT = re.compile(r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|sidebar|aside|rail|footer|foot|header|masthead|topbar|breadcrumbs?|crumbs|pagination|pager|comments?|commentlist|disqus|discussion|replies|respond|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|share|sharing|social|related|recommend\w*|widget|search|toolbar|tags|copyright|legal|disclaimer|complementary|contentinfo|banner|hidden)(?![a-z])")
+OUT = re.compile(r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|sidebar|aside|footer|masthead|topbar|breadcrumbs?|crumbs|pagination|pager|comments?|commentlist|disqus|cookies?|consent|gdpr|notice|notices|notification|popup|modal|overlay|subscribe|subscription|newsletter|social|related|recommend\w*|replies|respond|widget|toolbar|rail|foot|login|signup|alert|copyright|complementary|contentinfo|hidden)(?![a-z])")
+#: Names that say so outside of an article; within one it takes links as a second sign.
+DOUBT = re.compile(r"(?<![a-z])(?:share|sharing|search|tags|legal|disclaimer|header|discussion)(?![a-z])")
 GOOD = re.compile(r"(?<![a-z])(?:article|content|entry|post|story|main|body|text|prose)(?![a-z])")
 POINTS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0}
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "div", "section", "article", "main", "body"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "good", "out", "own", "size", "linked", "score")
+    __slots__ = ("tag", "parent", "kids", "good", "out", "doubt", "within", "own", "size", "linked", "score")
 
-    def __init__(self, tag: str, parent: Node | None, good: bool = False, out: bool = False):
-        self.tag, self.parent, self.good, self.out = tag, parent, good, out
+    def __init__(self, tag: str, parent: Node | None, good: bool = False, out: bool = False, doubt: bool = False):
+        self.tag, self.parent, self.good = tag, parent, good
+        #: Lies in an article, or is one.
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
+        self.out, self.doubt = out or doubt and not self.within, doubt
         self.kids: list[Node | str] = []
         self.own: list[str] = []
         self.size = self.linked = 0
@@ -57,18 +64,18 @@ class Node:
 
 
 @functools.lru_cache(1 << 12)
-def judged(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(speaks for an article, speaks against)."""
+def judged(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(speaks for an article, speaks against, may speak against)."""
     if not attrs.strip():
-        return False, False
+        return False, False, False
     got: dict[str, str] = {}
     for k, a, b, c in ATTR.findall(attrs):
         got.setdefault(k.lower(), a or b or c)
     if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", "").lower()):
-        return False, True
+        return False, True, False
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(got.get(k, "") for k in ("class", "id", "role"))).lower()
     good = bool(GOOD.search(names))
-    return good, bool(OUT.search(names)) and tag not in WHOLE
+    return good, bool(OUT.search(names)) and tag not in WHOLE, bool(DOUBT.search(names)) and tag not in WHOLE
 
 
 def tree(page: str) -> Node:
@@ -102,7 +109,7 @@ def tree(page: str) -> Node:
             continue
         if tag in ("html", "body") and node is root or tag == "html":
             if tag == "body":
-                node = Node("body", root, *judged(tag, m[3]))
+                node = Node("body", root, *judged(tag, m[3])[:2])
                 root.kids.append(node)
             continue
         if tag not in INLINE:
@@ -120,8 +127,8 @@ def tree(page: str) -> Node:
                 if up.tag in ENDS[tag]:
                     node = up.parent
                 up = up.parent
-        good, out = judged(tag, m[3])
-        new = Node(tag, node, good, out or tag in DROP)
+        good, out, doubt = judged(tag, m[3])
+        new = Node(tag, node, good, out or tag in DROP, doubt)
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -207,7 +214,9 @@ def text_of(nodes: list[Node]) -> str:
         if isinstance(x, str):
             out.append(x if "&" not in x else html.unescape(x))
             continue
-        if x.out or x.tag in ("ul", "ol", "table", "div", "section", "p") and x.linked and x.size and density(x) >= 0.6 and x not in nodes:
+        # lists of links are menus outside of an article; within one only by name
+        menu = x.doubt if x.within else x.tag in ("ul", "ol", "table", "div", "section")
+        if x.out or menu and x.size and density(x) >= 0.6 and x not in nodes:
             continue
         gap = x.tag not in INLINE
         if gap:

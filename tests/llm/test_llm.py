@@ -114,6 +114,34 @@ def test_any_page_has_some_text(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+LONG = "A paragraph of some length, with commas, and words enough to be scored as part of an article, surely."
+
+
+@pytest.mark.parametrize(
+    ("piece", "text"),
+    [
+        ("<p><a href=x>A paragraph that is one link</a></p>", "A paragraph that is one link"),
+        ("<ul><li><a href=x>Reference one</a><li><a href=y>Reference two</a></ul>", "Reference one Reference two"),
+        ('<div class="legal">Legal part of the story</div>', "Legal part of the story"),
+        ('<section class="discussion"><p>The authors discuss.</p></section>', "The authors discuss."),
+        ('<div class="entry-header"><h2>Heading</h2></div>', "Heading"),
+        ('<div class="share"><a href=x>Share on one</a> <a href=y>Share on two</a></div>', ""),
+        ('<div class="comments"><p>I agree, fully.</p></div>', ""),
+        ("<nav><a href=x>Home</a></nav>", ""),
+    ],
+)
+def test_pieces_of_an_article(piece, text):
+    page = f"<html><body><nav><a href=h>Home</a></nav><article><p>{LONG}</p>{piece}<p>{LONG}</p></article><footer>foot</footer></body></html>"
+    assert html_extract.main_text(page) == " ".join(filter(None, [LONG, text, LONG]))
+
+
+def test_empty_and_repeated_pages(spark):
+    schema = "page_id bigint, url string, html string"
+    assert html_extract.extracted(spark.createDataFrame([], schema)).count() == 0
+    d = spark.createDataFrame([(1, "u", "<p>same page</p>")] * 3 + [(None, None, "<p>x</p>")], schema)
+    assert sorted(r.text for r in html_extract.extracted(d).collect()) == ["same page"] * 3 + ["x"]
+
+
 def test_extra_columns_pass(spark):
     d = spark.createDataFrame([(1, "u", "<p>hello there</p>", "old"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     assert [(r.page_id, r.text) for r in html_extract.extracted(d).orderBy("page_id").collect()] == [(1, "hello there"), (2, "")]
@@ -420,6 +448,42 @@ def test_toxicity_held_out():
     assert ((s >= toxicity.CUT) == (y == 1)).mean() > 0.95
 
 
+def test_filters_see_the_order_of_words():
+    """Both words are in texts of both labels; only side by side are they toxic."""
+    import pyarrow as pa
+
+    rng, texts, labels = random.Random(5), [], []
+    for i in range(1500):
+        w = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(8, 30))]
+        at = rng.randrange(1, len(w) - 4)
+        w[at:at] = ["zor", "kan"] if i % 2 else ["zor", w[0], w[1], "kan"]
+        texts.append(" ".join(w))
+        labels.append(i % 2)
+    m = toxicity.train(texts[:1200], np.array(labels[:1200], float), ["en"] * 1200)
+    b, short, first = toxicity.features(pa.array(texts[1200:]))
+    hit = (m.scores(m.logits(m.pooled(b, first)), m.languages_of(short, first)) >= toxicity.CUT) == np.array(labels[1200:])
+    assert hit.mean() > 0.8  # any score by words alone is right in one half of the cases
+
+
+def test_training_reads_the_end_of_long_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 64)
+    rng = np.random.default_rng(3)
+    m = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS], [np.zeros(toxicity.FILTERS, np.float32) for _ in toxicity.WIDTHS], np.zeros(0), 0.0)
+    x = rng.integers(0, toxicity.BUCKETS, (1000, 3)).astype(np.int32)
+    got = np.concatenate([np.maximum(v, 0) for _, v in m.strongest(x)])
+    assert np.allclose(got, m.pooled(x, np.array([0, 1000]))[0], atol=1e-3)
+    assert max(a.max() for a, _ in m.strongest(x)) > 900
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in registry.op8_toxicity(spark, sf).collect() if r.held_out and r.doc_id in y]
+    toxic, clean = [r.predicted for r in rows if y[r.doc_id] == 1], [r.predicted for r in rows if y[r.doc_id] == 0]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.04 * len(clean)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
 def test_pooled_equals_a_plain_loop():
     import pyarrow as pa
 
