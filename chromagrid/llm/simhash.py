@@ -11,12 +11,16 @@ outweigh those against.  Votes for bits j and j + 32 are summed in the two halve
 fingerprints; one table per choice of that many blocks holds them first, and equal
 leading blocks make candidates, which are verified on all bits.  Equal fingerprints are
 one class; only classes are compared.  More blocks make more tables with longer leading
-keys, hence fewer candidates that aren't neighbours.
+keys, hence fewer candidates that aren't neighbours.  The classes of one leading key are cut into
+groups of about GROUP, each class meets each group as one array, and a pair counts in the first
+table only in which both stand together: no candidate pair is ever a row, and no key's classes
+come together in one task.
 
 A null text is empty; a text without words has the fingerprint of no votes (all zero).
 Words are lower-cased and taken between blanks and U+0009-U+000D.  Rows with a null id
 have no place in the order of documents: their edited text and what follows from it is null.
-Equal rows (id and text) give one row; of several texts of one id, the one that is largest lends
+Repeated rows (id and text) give a row each; their votes add up, which changes no sign (halves
+hold 2**32 code points of rows with one id and text).  Of several texts of one id, the one that is largest lends
 its head to the document before, and the least fingerprint counts as the next one's.  Further
 columns are not read.
 """
@@ -28,9 +32,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, free_name, partitions, stored, text_of
+from .common import BROADCAST_BYTES, SPACES, partitions, stored, text_of
 
 LANES = 0x0000000100000001
+RADIUS, BLOCKS = 3, 6
+#: Classes of a leading key that meet a class at a time, about.
+GROUP = 256
 
 
 def terms(words: Column) -> Column:
@@ -43,19 +50,19 @@ def terms(words: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys + votes summed: one row per distinct ``keys`` with its fingerprint ``fp``."""
+    """keys + votes summed: one row per distinct ``keys`` with its fingerprint ``fp`` and its number of ``copies``."""
     split = texts.select(*keys, F.split(F.lower(F.col(text_col)), SPACES).alias("sh_words"))
-    each = split.select(*keys, F.explode_outer(terms(F.col("sh_words"))).alias("t")).select(*keys, F.col("t.h").alias("h"), F.when(F.col("t.w") > 0, F.col("t.w")).otherwise(F.lit(0)).cast("bigint").alias("w"))
+    each = split.select(*keys, F.size("sh_words").alias("sh_n"), F.explode_outer(terms(F.col("sh_words"))).alias("t")).select(*keys, "sh_n", F.col("t.h").alias("h"), F.when(F.col("t.w") > 0, F.col("t.w")).otherwise(F.lit(0)).cast("bigint").alias("w"))
     h = F.coalesce(F.col("h"), F.lit(0).cast("bigint"))
     lanes = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES)) * F.col("w")).alias(f"v{j}") for j in range(32)]
-    votes = each.groupBy(*keys).agg(F.sum("w").alias("total"), *lanes)
+    votes = each.groupBy(*keys).agg(F.sum("w").alias("total"), (F.count(F.lit(1)) / F.max("sh_n")).cast("bigint").alias("copies"), *lanes)
     one, half = F.lit(1).cast("bigint"), F.lit(0xFFFFFFFF)
     fp = F.lit(0).cast("bigint")
     for j in range(32):
         low, high = F.col(f"v{j}").bitwiseAND(half), F.shiftrightunsigned(F.col(f"v{j}"), 32)
         for bit, n in ((j, low), (j + 32, high)):
             fp = fp.bitwiseOR(F.when(2 * n > F.col("total"), F.call_function("shiftleft", one, F.lit(bit))).otherwise(F.lit(0).cast("bigint")))
-    return votes.select(*keys, fp.alias("fp"))
+    return votes.select(*keys, "copies", fp.alias("fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -92,17 +99,21 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near (other
+    fingerprints of the table within RADIUS)."""
     both = edited(docs, id_col, text_col)
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
     rows = both.select("id", "next", "n_chars", F.xxhash64("text").alias("th"), F.sha2("edited", 256).alias("sha"), kinds.alias("x"))
     rows = rows.select("id", "next", "n_chars", "th", "sha", F.col("x.kind").alias("kind"), F.col("x.t").alias("t")).where("t IS NOT NULL")
     fps = fingerprints(rows, ["id", "next", "n_chars", "th", "sha", "kind"], "t")
-    fps = stored(fps.groupBy("id", "next", "n_chars", "th").agg(F.max("sha").alias("sha"), F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp")), "simhash-prints")
+    fps = stored(fps.groupBy("id", "next", "n_chars", "th").agg(F.max("sha").alias("sha"), F.max("copies").alias("copies"), F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp")), "simhash-prints")
     after = fps.where("id IS NOT NULL").groupBy(F.col("id").alias("next")).agg(F.min("fp").alias("next_fp"))
-    out = fps.join(after, "next", "left")
+    after = stored(after, "simhash-next")
+    near = stored(near_counts(fps.select("fp")), "simhash-near")
+    out = fps.join(after, "next", "left").join(_small(near, 48), "fp", "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     text = lambda c: F.lpad(F.lower(F.hex(F.col(c))), 16, "0")
-    return out.select(F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    return out.select(F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"))
 
 
 def block_tables(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -121,22 +132,44 @@ def _key(fp: Column, spans: list[tuple[int, int]]) -> Column:
     return key
 
 
-def neighbours(prints: DataFrame, radius: int = 3, blocks: int = 6, fp_col: str = "fp") -> DataFrame:
-    """(a, b, distance), a < b: all pairs of different fingerprints within ``radius``.
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, hinted for a broadcast only if its counted rows prove it small."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
-    With 6 blocks and radius 3 there are 20 tables, each led by 3 blocks (32 bits)."""
+
+def meetings(prints: DataFrame, radius: int, blocks: int, fp_col: str) -> DataFrame:
+    """(fp, near): for a class and a group of classes with an equal leading key, those within ``radius``
+    that meet it in no earlier table."""
     classes = prints.select(F.col(fp_col).alias("fp")).where("fp IS NOT NULL").distinct()
     tables = block_tables(blocks, radius)
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), _key(F.col("fp"), s).alias("k")) for i, s in enumerate(tables)])
-    dealt = stored(classes.select("fp", F.explode(keys).alias("x")).select("fp", F.col("x.t").alias("t"), F.col("x.k").alias("k")), "simhash-tables")
-    a, b = dealt.select(F.col("fp").alias("a"), "t", "k"), dealt.select(F.col("fp").alias("b"), "t", "k")
-    pairs = a.join(b, ["t", "k"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return pairs.select("a", "b").distinct().withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-
-
-def near_counts(prints: DataFrame, radius: int = 3, fp_col: str = "fp", out_col: str = "n_near") -> DataFrame:
-    """``prints`` with the number of other different fingerprints within ``radius``."""
-    fp = free_name(prints, "sh_fp")
-    pairs = neighbours(prints, radius, fp_col=fp_col)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias(fp)).groupBy(fp).agg(F.count(F.lit(1)).alias(out_col))
-    return prints.join(ends, prints[fp_col] == ends[fp], "left").drop(fp).withColumn(out_col, F.coalesce(out_col, F.lit(0)))
+    masks = [sum(((1 << width) - 1) << first for first, width in spans) for spans in tables]
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    keys = F.array(*[_key(F.col("fp"), s) for s in tables])
+    dealt = stored(classes.select("fp", F.posexplode(keys).alias("t", "k")), "simhash-tables")
+    many = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    many = stored(many.select("t", "k", F.ceil(F.col("m") / GROUP).cast("int").alias("groups")), "simhash-keys")
+    members = dealt.join(_small(many, 64), ["t", "k"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("groups")).cast("int"))
+    members = stored(members, "simhash-members")
+    groups = stored(members.groupBy("t", "k", F.col("own").alias("g")).agg(F.collect_list("fp").alias("others")), "simhash-groups")
+    asks = members.select("fp", "t", "k", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+
+    def close(other: Column) -> Column:
+        differing = F.col("fp").bitwiseXOR(other)
+        before = F.exists(F.slice(masks, F.lit(1), F.col("t")), lambda m: differing.bitwiseAND(m) == 0)
+        return (differing != 0) & (F.bit_count(differing) <= radius) & ~before
+
+    return asks.join(groups, ["t", "k", "g"]).select("fp", F.filter("others", close).alias("near"))
+
+
+def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, fp_col: str = "fp") -> DataFrame:
+    """(a, b, distance), a < b: all pairs of different fingerprints within ``radius``.
+
+    With 6 blocks and radius 3 there are 20 tables, each led by 3 blocks (32 bits)."""
+    pairs = meetings(prints, radius, blocks, fp_col).select(F.col("fp").alias("a"), F.explode("near").alias("b")).where("a < b")
+    return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, fp_col: str = "fp", out_col: str = "n_near") -> DataFrame:
+    """(fp, n_near) of the fingerprints that have others within ``radius``."""
+    met = meetings(prints, radius, blocks, fp_col).select("fp", F.size("near").alias("n")).where("n > 0")
+    return met.groupBy(F.col("fp").alias(fp_col)).agg(F.sum("n").cast("bigint").alias(out_col))

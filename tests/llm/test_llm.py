@@ -175,13 +175,31 @@ def test_simhash_edges(edge, empty):
     assert [(r.edited_sha256, r.near_edited, r.near_next) for r in every if r.doc_id is None] == [(None, None, None)]
 
 
-def test_neighbours_equal_all_pairs(spark):
+def test_simhash_of_repeated_rows(spark):
+    d = frame(spark, [(1, "some words of a text", "s")] * 3 + [(2, "other words", "s"), (2, "other words", "s"), (3, None, "s")])
+    rows = simhash.digest(d).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 1, 2, 2, 3]
+    one = {(r.edited_sha256, r.fingerprint) for r in rows if r.doc_id == 1}
+    assert one == {(r.edited_sha256, r.fingerprint) for r in simhash.digest(d.dropDuplicates()).collect() if r.doc_id == 1}
+
+
+def test_simhash_query_counts_neighbours(spark):
+    rows = registry.op3_simhash(spark, "/root/testdata/sf0.01").collect()
+    u = sorted({int(r.fingerprint, 16) for r in rows})
+    near = {a: sum(0 < (a ^ b).bit_count() <= simhash.RADIUS for b in u) for a in u}
+    assert all(r.n_near == near[int(r.fingerprint, 16)] for r in rows) and sum(near.values()) > 0
+
+
+def test_neighbours_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 4)  # several groups of a key
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(40)]
     prints = [b ^ sum(1 << k for k in rng.sample(range(63), rng.randrange(0, 6))) for b in base for _ in range(6)] + base
     got = {(r.a, r.b): r.distance for r in simhash.neighbours(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()}
     u = sorted(set(prints))
     assert got == {(a, b): (a ^ b).bit_count() for i, a in enumerate(u) for b in u[i + 1 :] if (a ^ b).bit_count() <= 3}
+    rows = simhash.neighbours(spark.createDataFrame([(p,) for p in prints], "fp bigint"))
+    assert rows.count() == len(got)  # each pair once
 
 
 # packing
