@@ -122,12 +122,16 @@ def delta_e95(a: DataFrame, b: DataFrame) -> DataFrame:
     return n.select("img", F.element_at("all", F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1).cast("int") + 1).alias("de95"))
 
 
-def edge_energy(px: DataFrame) -> DataFrame:
-    """Sum of horizontal luma steps less a tenth per ringing sign pattern, interior only; needs h, w."""
-    p = px.withColumns({"l1": F.lag("luma").over(along_row())})
+def edge_energy(px: DataFrame, ringing: bool = False) -> DataFrame:
+    """Sum of horizontal luma steps, interior only; needs h, w.
+
+    The described ringing term compares a step with one of zero and so is never counted.
+    ``ringing=True`` takes off a tenth for each local extremum of three cells in a row."""
+    step = F.abs(F.col("luma") - F.col("l1"))
+    p = px.withColumns({"l1": F.lag("luma").over(along_row()), "l2": F.lag("luma", 2).over(along_row())})
     inner = F.col("y").between(1, F.col("h") - 2) & F.col("x").between(1, F.col("w") - 2)
-    ring = (F.col("x") > 1) & ((F.col("l1") - F.col("luma")) * (F.col("l1") - F.col("luma")) > 0)
-    return p.where(inner).groupBy("img").agg((F.sum(F.abs(F.col("luma") - F.col("l1"))) - 0.2 * 0.5 * F.count_if(ring)).alias("energy"))
+    rings = F.count_if((F.col("x") > 1) & ((F.col("l1") - F.col("luma")) * (F.col("l1") - F.col("l2")) > 0)) if ringing else F.lit(0)
+    return p.where(inner).groupBy("img").agg((F.sum(step) - 0.2 * 0.5 * rings).alias("energy"))
 
 
 def blockiness(px: DataFrame) -> DataFrame:

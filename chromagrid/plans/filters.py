@@ -162,7 +162,7 @@ def n17_n18_resample(spark: SparkSession, d: str) -> DataFrame:
 
 def _phase_sql() -> str:
     parts = " UNION ALL ".join(f"SELECT {i} AS phase, {ox} AS ox, {oy} AS oy, img, y, x, {S.luma()} AS luma FROM {_resize_sql('mitchell', 20, 15, ox, oy)}" for i, (ox, oy) in enumerate(resample.PHASES[4]))
-    return f"""{HEAD}, ph AS ({parts}), l AS (SELECT *, lag(luma) OVER (PARTITION BY phase, img, y ORDER BY x) AS p FROM ph), e AS (SELECT img, phase, ox, oy, round(sum(abs(luma - p)) - 0.1 * count(*) FILTER (x > 1 AND (p - luma) * (p - luma) > 0), 6) AS energy FROM l WHERE y BETWEEN 1 AND 13 AND x BETWEEN 1 AND 18 GROUP BY ALL)
+    return f"""{HEAD}, ph AS ({parts}), l AS (SELECT *, lag(luma) OVER (PARTITION BY phase, img, y ORDER BY x) AS p FROM ph), e AS (SELECT img, phase, ox, oy, round(sum(abs(luma - p)), 6) AS energy FROM l WHERE y BETWEEN 1 AND 13 AND x BETWEEN 1 AND 18 GROUP BY ALL)
  SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY img ORDER BY energy DESC, phase) = 1"""
 
 
@@ -238,24 +238,56 @@ def r01_scene(spark: SparkSession, d: str) -> DataFrame:
     return rules.scene_class(_metric_rows(spark, d)).select("img", "votes", "kind", "subtype", "confidence")
 
 
-def _preset_values() -> str:
-    rows = [{"reason": k} | rules.BASE | v for k, v in rules.SETS.items()]
-    cols = list(rows[0])
-    return "(VALUES " + ", ".join("(" + ", ".join(repr(r[c]) for c in cols) + ")" for r in rows) + f") t({', '.join(cols)})"
+def _by_reason(otherwise: str, low: str = "", portrait: str = "", sky: str = "", edges: str = "", texture: str = "") -> str:
+    given = {"LOWLIGHT_STRONGNR": low, "PORTRAIT_SOFT": portrait, "SKY_GRADIENT_SAFE": sky, "ARCHITECTURE_EDGES": edges, "TEXTURE_KEEPER": texture}
+    return "CASE reason " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in given.items() if v) + f" ELSE {otherwise} END"
 
 
-@query(f"""WITH {_M}, c AS (SELECT *, {_REASON} AS reason, {_ADD} AS addons FROM m) SELECT img, c.reason || CASE WHEN grid_w < 180 THEN '+SMALL_CANVAS' WHEN grid_w >= 300 THEN '+LARGE_CANVAS' ELSE '' END AS reason, array_to_string(addons, ',') AS addons, preset, luma_radius, luma_eps::DOUBLE AS luma_eps, chroma_gain::DOUBLE AS chroma_gain, sharpen::DOUBLE AS sharpen, filter, dither::DOUBLE AS dither FROM c JOIN {_preset_values()} ON c.reason = t.reason""")
+# The presets as SQL, with values of its own: choice of the preset, then the canvas, then add-ons.
+_SPEC = f"""{_M}, c AS (SELECT *, {_REASON} AS reason, {_ADD} AS addons, (grid_w % 3 + 1)::DOUBLE AS r FROM m),
+ s0 AS (SELECT *, {_by_reason("'FOTO/AutoBalanced'", "'FOTO/LowLightISO'", "'FOTO/PortraitSoftSkin'", "'FOTO/LandscapeGradients'", "'FOTO/ArchitectureEdges'", "'FOTO/AnimalsFurFeather'")} AS preset,
+  0.5 AS wb_strength, {_by_reason("0.48", low="0.50")} AS gamma_target, {_by_reason("0.08", low="0.08 + 0.02", sky="0.08 + 0.02")} AS rolloff,
+  {_by_reason("3", low="5", texture="4")} AS luma_radius, {_by_reason("0.003", low="0.008", edges="0.003 * 0.8")} AS luma_eps, {_by_reason("1.0", low="1.8", portrait="1.4", edges="0.9", texture="1.1")} AS chroma_gain, true AS noise_flat_only,
+  {_by_reason("0.25", low="0.25 + 0.10", portrait="0.25 + 0.10", sky="0.25 + 0.05", edges="0.25 - 0.05")} AS smooth_flat, {_by_reason("0.10", portrait="0.10 + 0.05", texture="0.10 - 0.05")} AS smooth_other,
+  {_by_reason("-0.07", portrait="-0.10")} AS skin_sat_delta, {_by_reason("0.20", portrait="0.30")} AS skin_tone_smooth, {_by_reason("0.07", portrait="0.0", sky="0.10")} AS sky_hue_shift, {_by_reason("-0.04", portrait="0.0", sky="-0.06")} AS sky_v_delta, {_by_reason("0.0", sky="0.10")} AS sky_grad_smooth,
+  {_by_reason("0.8", edges="0.9")} AS edge_protect, {_by_reason("0.28", low="0.24", portrait="0.22", edges="0.33", texture="0.30")} AS sharpen, {_by_reason("1.0", low="1.1", portrait="0.9", edges="1.1")} AS sharpen_radius, {_by_reason("3", low="4", portrait="4", edges="2")} AS sharpen_threshold,
+  {_by_reason("0.50", low="0.55", sky="0.55", edges="0.45")} AS k_sigma, {_by_reason("0.5", edges="0.65")} AS edge_scale, 1.0 AS flat_scale, {_by_reason("'mitchell'", edges="'lanczos3'", texture="'lanczos3'")} AS "filter", {_by_reason("2", sky="3", edges="4")} AS micro_phase,
+  0.985 AS ssim_min, 0.98 AS edge_keep_min, 0.003 AS banding_max, 3.0 AS de95_max, true AS dering, true AS local_contrast, 1.8 AS clahe_clip,
+  {_by_reason("0.40", low="0.50", portrait="0.35", sky="0.55", edges="0.30", texture="0.45")} AS dither, {_by_reason("'Flat|Sky|Skin'", sky="'Flat|Sky'")} AS dither_mask, {_by_reason("'neutral'", portrait="'skin-neutral'", edges="'cool-neutral'", texture="'warm-natural'")} AS palette_bias, '16F' AS bit_depth, 'BALANCED' AS quality FROM c),
+ s1 AS (SELECT * REPLACE (reason || '+SMALL_CANVAS' AS reason, 'FOTO/SmallCanvasMinColors' AS preset, rolloff + 0.03 AS rolloff, 1.2 AS chroma_gain, smooth_flat + 0.10 AS smooth_flat, smooth_other + 0.05 AS smooth_other, -0.12 AS skin_sat_delta, 0.35 AS skin_tone_smooth, 0.12 AS sky_hue_shift, -0.07 AS sky_v_delta, 0.20 AS sharpen, 0.9 AS sharpen_radius, 3 AS sharpen_threshold, 0.60 AS k_sigma, 0.60 AS dither, 'low-count' AS palette_bias) FROM s0 WHERE grid_w < 180
+  UNION ALL SELECT * REPLACE (reason || '+LARGE_CANVAS' AS reason, 'FOTO/LargeCanvasHiDetail' AS preset, luma_eps * 0.75 AS luma_eps, 0.9 AS chroma_gain, 0.34 AS sharpen, 1.2 AS sharpen_radius, 2 AS sharpen_threshold, 0.45 AS k_sigma, 'lanczos3' AS "filter", micro_phase + 2 AS micro_phase, 0.35 AS dither, 'hi-detail' AS palette_bias) FROM s0 WHERE grid_w >= 300
+  UNION ALL SELECT * FROM s0 WHERE grid_w BETWEEN 180 AND 299),
+ sp AS (SELECT * REPLACE (CASE WHEN skin_pct >= 0.12 THEN skin_tone_smooth + 0.10 ELSE skin_tone_smooth END AS skin_tone_smooth, CASE WHEN skin_pct >= 0.12 THEN dither_mask || '|Skin' ELSE dither_mask END AS dither_mask,
+  CASE WHEN sky_pct >= 0.15 AND grad_sky >= 0.7 THEN greatest(0.10, sky_grad_smooth) ELSE sky_grad_smooth END AS sky_grad_smooth, CASE WHEN sky_pct >= 0.15 AND grad_sky >= 0.7 THEN greatest(dither, 0.55) ELSE dither END AS dither,
+  CASE WHEN edge_rate >= 0.28 AND var_lap BETWEEN 0.06 AND 0.12 THEN greatest(1, sharpen_threshold - 1) ELSE sharpen_threshold END AS sharpen_threshold), k_sigma * greatest(0.0, r - 1.0) AS sigma FROM s1)"""
+_SPEC_COLS = "preset wb_strength gamma_target rolloff luma_radius luma_eps chroma_gain noise_flat_only smooth_flat smooth_other skin_sat_delta skin_tone_smooth sky_hue_shift sky_v_delta sky_grad_smooth edge_protect sharpen sharpen_radius sharpen_threshold k_sigma edge_scale flat_scale filter micro_phase ssim_min edge_keep_min banding_max de95_max dering local_contrast clahe_clip dither dither_mask palette_bias bit_depth quality".split()
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    return rules.gated(_metric_rows(spark, d).withColumn("r", (F.col("grid_w") % 3 + 1).cast("double")))
+
+
+@query(f"""WITH {_SPEC} SELECT img, reason, array_to_string(addons, ',') AS addons, {', '.join(f'"{c}"' for c in _SPEC_COLS)}, round(sigma, 9) AS sigma_base, round(sigma * edge_scale, 9) AS sigma_edge, round(sigma * flat_scale, 9) AS sigma_flat FROM sp""")
 def r02_r03_r04_r05_presets(spark: SparkSession, d: str) -> DataFrame:
-    m = _metric_rows(spark, d).withColumns({"reason": rules.preset_choice(), "addons": rules.addons()})
-    t = m.join(F.broadcast(rules.preset_table(spark)), "reason")
-    return t.select("img", F.concat("reason", rules.canvas_modifier(F.col("grid_w"))).alias("reason"), F.array_join("addons", ",").alias("addons"), "preset", "luma_radius", "luma_eps", "chroma_gain", "sharpen", "filter", "dither")
+    sigmas = [F.round(c, 9).alias(c) for c in ("sigma_base", "sigma_edge", "sigma_flat")]
+    return _gated(spark, d).select("img", "reason", F.array_join("addons", ",").alias("addons"), *_SPEC_COLS, *sigmas)
+
+
+_PARAM_SQL = [
+    "'\"wb_strength\":' || wb_strength", "'\"gamma_target\":' || gamma_target", "'\"rolloff\":' || rolloff", "'\"nr_luma_r\":' || luma_radius", "'\"nr_luma_eps\":' || luma_eps", "'\"nr_chroma_gain\":' || chroma_gain", "'\"tex_flat\":' || smooth_flat", "'\"tex_nonflat\":' || smooth_other",
+    "'\"skin_sat_delta\":' || skin_sat_delta", "'\"skin_tone_smooth\":' || skin_tone_smooth", "'\"sky_hue_mode\":' || sky_hue_shift", "'\"sky_v_delta\":' || sky_v_delta", "'\"sky_grad_smooth\":' || sky_grad_smooth", "'\"edge_protect\":' || edge_protect", "'\"usm_amount\":' || sharpen", "'\"usm_radius\":' || sharpen_radius", "'\"usm_thr\":' || sharpen_threshold",
+    "'\"k_sigma\":' || k_sigma", "'\"edge_scale\":' || edge_scale", "'\"flat_scale\":' || flat_scale", "'\"filter\":\"' || CASE \"filter\" WHEN 'mitchell' THEN 'EWA_Mitchell' ELSE 'EWA_L3' END || '\"'", "'\"micro_phase\":' || micro_phase", "'\"verify_ssim\":' || ssim_min", "'\"verify_edge\":' || edge_keep_min", "'\"verify_banding\":' || banding_max", "'\"verify_de95\":' || de95_max",
+    "'\"post_dering\":true'", "'\"post_clahe_clip\":' || clahe_clip", "'\"dither_amp_L\":' || dither", "'\"dither_mask\":\"' || dither_mask || '\"'", "'\"palette_bias\":\"' || palette_bias || '\"'", "'\"quality\":\"BALANCED\"'",
+]
 
 
-@query(f"""WITH {_M}, c AS (SELECT *, {_REASON} AS reason, {_ADD} AS addons FROM m) SELECT img, '{{"preset":"P\\"' || reason || '","addons":[' || array_to_string(list_transform(addons, lambda v: '"' || v || '"'), ',') || '],"r":' || printf('%.4f', 1000 / greatest(1, grid_w)::DOUBLE) || ',"sigma":' || printf('%.4f', (grid_w % 8) / 8.0) || ',"covers":{{"edge":' || printf('%.3f', (grid_w % 16) / 16.0) || ',"flat":' || printf('%.3f', (grid_w % 4) / 4.0) || ',"skin":' || printf('%.3f', 1 / 4) || ',"sky":' || printf('%.3f', 1 / 2) || '}},"reason":"' || reason || '"}}' AS json FROM c""".replace("printf('%.4f', 1000 / greatest(1, grid_w)::DOUBLE)", "printf('%.4f', (grid_w % 2 + 1)::DOUBLE)").replace("(grid_w % 16) / 16.0", "((grid_w % 2) / 2.0)::DOUBLE").replace("(grid_w % 4) / 4.0", "((grid_w % 4) / 4.0)::DOUBLE").replace("(grid_w % 8) / 8.0", "((grid_w % 8) / 8.0)::DOUBLE"))
+@query(f"""WITH {_SPEC} SELECT img, '{{"preset":"' || preset || '","addons":[' || array_to_string(list_transform(addons, lambda v: '"' || v || '"'), ',') || '],"r":' || printf('%.4f', r) || ',"sigma":{{"base":' || printf('%.4f', sigma) || ',"edge":' || printf('%.4f', sigma * edge_scale) || ',"flat":' || printf('%.4f', sigma * flat_scale)
+ || '}},"covers":{{"edge":' || printf('%.3f', ((grid_w % 8) / 8.0)::DOUBLE) || ',"flat":' || printf('%.3f', ((grid_w % 4) / 4.0)::DOUBLE) || ',"skin":' || printf('%.3f', skin_pct::DOUBLE) || ',"sky":' || printf('%.3f', sky_pct::DOUBLE) || ',"hitex_fine":' || printf('%.3f', hitex_pct::DOUBLE) || ',"hitex_coarse":' || printf('%.3f', (hitex_pct / 2)::DOUBLE)
+ || '}},"reason":"' || reason || '","params":{{' || {" || ',' || ".join(_PARAM_SQL)} || '}}}}' AS json FROM sp""")
 def k10_preset_json(spark: SparkSession, d: str) -> DataFrame:
-    m = _metric_rows(spark, d).withColumns({"reason": rules.preset_choice(), "addons": rules.addons()})
     g = F.col("grid_w")
-    return sinks.preset_json(m.select("img", F.concat(F.lit('P"'), "reason").alias("preset"), "addons", (g % 2 + 1).cast("double").alias("r"), (g % 8 / 8.0).alias("sigma"), (g % 2 / 2.0).alias("edge_pct"), (g % 4 / 4.0).alias("flat_pct"), F.lit(0.25).alias("skin_pct"), F.lit(0.5).alias("sky_pct"), "reason"))
+    covers = {"edge_pct": g % 8 / 8.0, "flat_pct": g % 4 / 4.0, "hitex_fine_pct": F.col("hitex_pct"), "hitex_coarse_pct": F.col("hitex_pct") / 2}
+    return sinks.preset_json(_gated(spark, d).withColumns(covers))
 
 
 @query(f"WITH {S.F1}, {DIM} SELECT img, 'x' AS axis, i::INT AS \"at\", i % 10 = 0 AS bold FROM dim, range(65) t(i) WHERE i <= w UNION ALL SELECT img, 'y', i::INT, i % 10 = 0 FROM dim, range(5000) t(i) WHERE i <= h")

@@ -208,7 +208,7 @@ def _match_sql(space: str) -> str:
     de = f"round(sqrt({S.d2('lab_', 'mix_')}), 9)" if space == "lab" else "round(sqrt(power(ok_l - (l1+l2)/2, 2) + power(ok_a - (a1+a2)/2, 2) + power(ok_b - (k1+k2)/2, 2)), 9)"
     src = S.lab(mixed, "mix") if space == "lab" else "pr"
     ok = "de * 1.1 + 1e-9 < single" if space == "lab" else "de < single * 0.8"
-    return f"""pal AS (SELECT idx, r, g, b, {p}_l, {p}_a, {p}_b FROM {fn('(SELECT idx, (r * 3 + 20) % 256 AS r, (g * 5 + 7) % 256 AS g, b FROM sw WHERE idx < 12)')}), cat AS (SELECT code, r, g, b, {p}_l, {p}_a, {p}_b FROM {fn('sw')}),
+    return f"""pal AS (SELECT idx, r, g, b, {p}_l, {p}_a, {p}_b FROM {fn('(SELECT idx, (r * 3 + 20) % 256 AS r, (g * 5 + 7) % 256 AS g, b FROM sw)')}), cat AS (SELECT code, r, g, b, {p}_l, {p}_a, {p}_b FROM {fn('sw')}),
  nr AS (SELECT * FROM (SELECT p.idx, c.code, round(sqrt({S.d2(f'p.{p}_', f'c.{p}_')}), 9) AS d, row_number() OVER (PARTITION BY p.idx ORDER BY round(sqrt({S.d2(f'p.{p}_', f'c.{p}_')}), 9), c.code) AS rk FROM pal p, cat c) WHERE rk <= 6),
  pr AS (SELECT pal.*, a.rk AS ra, b.rk AS rb, a.code AS ca, b.code AS cb, x.r AS r1, x.g AS g1, x.b AS b1, y.r AS r2, y.g AS g2, y.b AS b2, x.{p}_l AS l1, x.{p}_a AS a1, x.{p}_b AS k1, y.{p}_l AS l2, y.{p}_a AS a2, y.{p}_b AS k2 FROM nr a JOIN nr b ON a.idx = b.idx AND a.rk {first} b.rk JOIN cat x ON x.code = a.code JOIN cat y ON y.code = b.code JOIN pal ON pal.idx = a.idx),
  bs AS (SELECT idx, min({{'de': {de}, 'ra': ra, 'rb': rb, 'ca': ca, 'cb': cb}}) AS m FROM {src} GROUP BY idx),
@@ -217,7 +217,7 @@ def _match_sql(space: str) -> str:
 
 
 def _palette(spark: SparkSession, d: str) -> DataFrame:
-    s = rasters.swatches(spark, d).where("idx < 12")
+    s = rasters.swatches(spark, d)
     return s.select("idx", ((F.col("r") * 3 + 20) % 256).alias("r"), ((F.col("g") * 5 + 7) % 256).alias("g"), "b")
 
 
@@ -239,13 +239,15 @@ def a29_match_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {S.F5}, {_match_sql('lab')} SELECT idx, CASE WHEN code_b IS NULL THEN x.r ELSE (x.r + y.r) // 2 END AS r, CASE WHEN code_b IS NULL THEN x.g ELSE (x.g + y.g) // 2 END AS g, CASE WHEN code_b IS NULL THEN x.b ELSE (x.b + y.b) // 2 END AS b FROM en JOIN sw x ON x.code = code_a LEFT JOIN sw y ON y.code = code_b".replace("SELECT idx, CASE WHEN code_b", "SELECT en.idx, CASE WHEN code_b"))
 def j08_j14_resolved(spark: SparkSession, d: str) -> DataFrame:
     s = rasters.swatches(spark, d)
-    return matching.resolved(12, matching.matched(_palette(spark, d), s), s)
+    p = _palette(spark, d)
+    return matching.resolved(p.count(), matching.matched(p, s), s)
 
 
-@query(f"WITH {S.F5}, {_match_sql('lab')} SELECT pal.idx, printf('#%02X%02X%02X', pal.r, pal.g, pal.b) AS rgb, CASE WHEN pal.idx < 8 THEN chr(65 + pal.idx) ELSE '?' END AS symbol, CASE WHEN pal.idx % 2 = 0 THEN 'TST' END AS brand, type, code_a AS code, code_b FROM pal LEFT JOIN en ON en.idx = pal.idx AND pal.idx % 2 = 0")
+@query(f"WITH {S.F5}, {_match_sql('lab')} SELECT pal.idx, printf('#%02X%02X%02X', pal.r, pal.g, pal.b) AS rgb, CASE WHEN pal.idx < 8 THEN chr(65 + pal.idx) ELSE '?' END AS symbol, CASE WHEN type IS NOT NULL THEN 'TST' END AS brand, type, code_a AS code, code_b FROM pal LEFT JOIN en ON en.idx = pal.idx + 3")
 def j09_k07_legend(spark: SparkSession, d: str) -> DataFrame:
     p = _palette(spark, d)
-    e = matching.matched(p, rasters.swatches(spark, d)).where("idx % 2 = 0")
+    # matches of shifted indexes: the last three colors have none
+    e = matching.matched(p, rasters.swatches(spark, d)).withColumn("idx", F.col("idx") - 3)
     sym = spark.range(8).select(F.col("id").cast("int").alias("idx"), F.char(F.col("id") + 65).alias("symbol"))
     return matching.legend(p, e, sym, "TST")
 
@@ -317,7 +319,7 @@ def a20_a21_a22_a23_r06_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {S.F1}, {S.UNIT}, s AS (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM u GROUP BY img), l AS (SELECT *, lag(luma) OVER ({R}) AS lx, lag(luma) OVER ({K}) AS ly FROM u),
- e AS (SELECT img, sum(abs(luma - lx)) - 0.1 * count(*) FILTER (x > 1 AND (lx - luma) * (lx - luma) > 0) AS e FROM l JOIN s USING (img) WHERE y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2 GROUP BY img),
+ e AS (SELECT img, sum(abs(luma - lx)) AS e FROM l JOIN s USING (img) WHERE y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2 GROUP BY img),
  b AS (SELECT img, avg(abs(luma - lx)) FILTER (x % 8 = 0 AND x > 0) AS v, avg(abs(luma - ly)) FILTER (y % 8 = 0 AND y > 0) AS h FROM l GROUP BY img)
 SELECT img, round(e, 5) AS energy, round(v, 6) AS vertical, round(h, 6) AS horizontal, round((v + h) * 0.5, 6) AS "both", round(CASE WHEN (v + h) * 0.5 >= 0.008 THEN least(0.7, 12 * (v + h) * 0.5) END, 6) AS strength FROM e JOIN b USING (img)""")
 def a24_a25_r07_energy_blockiness(spark: SparkSession, d: str) -> DataFrame:

@@ -237,7 +237,10 @@ def q19_t05_symbols(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(250).select(F.col("id").cast("int").alias("at"), sinks.symbols(F.col("id")).alias("symbol"))
 
 
-@query("WITH c AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT c_custkey, 'new' AS c_name, 0.0 AS c_acctbal FROM customer WHERE c_custkey % 4 = 0) SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n")
+@query("WITH h AS (SELECT max(c_custkey) // 2 AS half FROM customer), n AS (SELECT c_custkey + half AS c_custkey, 'new' AS c_name, 0.0 AS c_acctbal FROM customer, h) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n")
 def t06_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer is an old row; the new rows are all customers again, with keys moved up by half of the range."""
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
-    return sinks.upserted(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 4 = 0").select("c_custkey", F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal")), "c_custkey")
+    half = F.broadcast(c.agg(F.floor(F.max("c_custkey") / 2).alias("half")))
+    new = c.crossJoin(half).select((F.col("c_custkey") + F.col("half")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    return sinks.upserted(c, new, "c_custkey")

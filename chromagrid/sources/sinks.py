@@ -55,12 +55,28 @@ def overrides(rows: DataFrame) -> DataFrame:
     return rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(changed)))).alias("json"))
 
 
+# fixed values: names of the parameters in the JSON, in order
+PRESET_NAMES = {
+    "wb_strength": "wb_strength", "gamma_target": "gamma_target", "rolloff": "rolloff", "nr_luma_r": "luma_radius", "nr_luma_eps": "luma_eps", "nr_chroma_gain": "chroma_gain",
+    "tex_flat": "smooth_flat", "tex_nonflat": "smooth_other", "skin_sat_delta": "skin_sat_delta", "skin_tone_smooth": "skin_tone_smooth", "sky_hue_mode": "sky_hue_shift", "sky_v_delta": "sky_v_delta", "sky_grad_smooth": "sky_grad_smooth",
+    "edge_protect": "edge_protect", "usm_amount": "sharpen", "usm_radius": "sharpen_radius", "usm_thr": "sharpen_threshold", "k_sigma": "k_sigma", "edge_scale": "edge_scale", "flat_scale": "flat_scale",
+    "filter": "filter", "micro_phase": "micro_phase", "verify_ssim": "ssim_min", "verify_edge": "edge_keep_min", "verify_banding": "banding_max", "verify_de95": "de95_max",
+    "post_dering": "dering", "post_clahe_clip": "clahe_clip", "dither_amp_L": "dither", "dither_mask": "dither_mask", "palette_bias": "palette_bias", "quality": "quality",
+}
+
+
 def preset_json(m: DataFrame) -> DataFrame:
-    """m: img, preset, addons, r, sigma, edge_pct, flat_pct, skin_pct, sky_pct, reason."""
+    """m: img and the columns of rules.gated, with edge_pct, flat_pct, skin_pct, sky_pct, hitex_fine_pct, hitex_coarse_pct."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     f = lambda c, d: F.format_string(f"%.{d}f", F.col(c).cast("double"))
-    covers = F.concat(*(x for n in ("edge", "flat", "skin", "sky") for x in (F.lit(f'"{n}":'), f(f"{n}_pct", 3), F.lit("" if n == "sky" else ","))))
-    return m.select("img", F.concat(F.lit('{"preset":'), quoted(F.col("preset")), F.lit(',"addons":['), F.array_join(F.transform("addons", quoted), ","), F.lit('],"r":'), f("r", 4), F.lit(',"sigma":'), f("sigma", 4), F.lit(',"covers":{'), covers, F.lit('},"reason":'), quoted(F.col("reason")), F.lit("}")).alias("json"))
+    fields = lambda pairs: F.concat(F.lit("{"), *(x for i, (k, v) in enumerate(pairs) for x in (F.lit(("," if i else "") + f'"{k}":'), v)), F.lit("}"))
+    filter_ = F.when(F.col("filter") == "mitchell", "EWA_Mitchell").otherwise("EWA_L3")
+    text = {"filter": quoted(filter_), "dither_mask": quoted(F.col("dither_mask")), "palette_bias": quoted(F.col("palette_bias")), "quality": quoted(F.col("quality"))}
+    params = fields([(k, text.get(c, F.col(c).cast("string"))) for k, c in PRESET_NAMES.items()])
+    covers = fields([(n, f(f"{n}_pct", 3)) for n in ("edge", "flat", "skin", "sky", "hitex_fine", "hitex_coarse")])
+    sigma = fields([(n, f(f"sigma_{n}", 4)) for n in ("base", "edge", "flat")])
+    names = F.concat(F.lit("["), F.array_join(F.transform("addons", quoted), ","), F.lit("]"))
+    return m.select("img", fields([("preset", quoted(F.col("preset"))), ("addons", names), ("r", f("r", 4)), ("sigma", sigma), ("covers", covers), ("reason", quoted(F.col("reason"))), ("params", params)]).alias("json"))
 
 
 def log_json(events: DataFrame) -> DataFrame:

@@ -127,3 +127,40 @@ def test_symbols_of_every_image(spark, sf_dir):
     want = matching.thread_statistics(filters.f1(spark, sf_dir), rasters.swatches(spark, sf_dir), limit=10**6).collect()
     assert sorted((r.img, r.code) for r in got) == sorted((r.img, r.code) for r in want)
     assert len({r.img for r in got}) > 1 and len({(r.img, r.unique) for r in got}) == len(got)
+
+
+def test_edge_energy_equals_a_plain_loop(spark):
+    """The loop as described: the cell before is remembered at the end of each step."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from chromagrid.operators import metrics, stencils
+
+    rng, w, h = random.Random(8), 9, 7
+    luma = [[rng.randrange(256) / 255 for _ in range(w)] for _ in range(h)]
+    energy = ring = extremes = 0.0
+    for y in range(1, h - 1):
+        before = luma[y][0]
+        for x in range(1, w - 1):
+            now = luma[y][x]
+            energy += abs(now - before)
+            if x > 1 and (luma[y][x - 1] - now) * (before - luma[y][x - 1]) > 0:
+                ring += 0.5
+            if x > 1 and (luma[y][x - 1] - now) * (luma[y][x - 1] - luma[y][x - 2]) > 0:
+                extremes += 0.5
+            before = now
+    px = spark.createDataFrame([(0, y, x, luma[y][x]) for y in range(h) for x in range(w)], "img int, y int, x int, luma double")
+    px = px.withColumns({c: F.lit(0) for c in "rgb"})
+    assert abs(metrics.edge_energy(stencils.with_size(px)).first().energy - (energy - 0.2 * ring)) < 1e-9 and ring == 0
+    assert abs(metrics.edge_energy(stencils.with_size(px), ringing=True).first().energy - (energy - 0.2 * extremes)) < 1e-9
+
+
+def test_presets_add_up_on_a_canvas(spark):
+    from chromagrid.operators import rules
+
+    rows = {r.reason: r for r in rules.preset_table(spark, "MAX").collect()}
+    assert len(rows) == 21
+    r = rows["ARCHITECTURE_EDGES+LARGE_CANVAS"]
+    assert (r.preset, r.micro_phase, r.edge_scale, r.k_sigma, r.dither_mask) == ("FOTO/LargeCanvasHiDetail", 8, 0.65, 0.45, "Flat|Sky|Skin")
+    assert abs(r.luma_eps - 0.0018) < 1e-12 and rows["OLD_SCAN"].wb_strength == 0.7 and rows["AUTO_BALANCED+SMALL_CANVAS"].skin_tone_smooth == 0.35
