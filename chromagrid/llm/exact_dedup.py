@@ -56,17 +56,20 @@ def twice_set(keys: DataFrame, key: str, words: int) -> DataFrame:
     return pairs.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit"))).alias("twice"))
 
 
-def maybe_repeated(rows: DataFrame, key: str, n: int, flag: str) -> DataFrame:
-    """``rows`` with a boolean ``flag``: false only where ``key`` surely is unique."""
+def twice_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """The stored filter of all ``keys`` (hinted for a broadcast only if its counted rows prove it small) and its
+    number of words.  A larger filter is joined by a shuffle of the keys."""
+    n = keys.count()
     words = 1 << max(6, (max(n, 1) - 1).bit_length())
+    held = stored(twice_set(keys.select(key), key, words), "exact-filter")
+    return F.broadcast(held) if held.count() * FILTER_ROW_BYTES <= BROADCAST_BYTES else held, words
+
+
+def maybe_repeated(rows: DataFrame, key: str, held: DataFrame, words: int, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where ``key`` surely is unique."""
     place, bits = _probe(F.col(key), words)
-    held = twice_set(rows.select(key), key, words)
-    # a word holds a bit set twice only if two rows fall on it: at most n / 2 rows
-    if n // 2 * FILTER_ROW_BYTES <= BROADCAST_BYTES:
-        held = F.broadcast(held)
     word, twice, mask = (free_name(rows, x) for x in ("bf_word", "bf_twice", "bf_mask"))
-    held = held.select(F.col("word").alias(word), F.col("twice").alias(twice))
-    probed = rows.withColumns({word: place, mask: _mask(bits)}).join(held, word, "left")
+    probed = rows.withColumns({word: place, mask: _mask(bits)}).join(held.select(F.col("word").alias(word), F.col("twice").alias(twice)), word, "left")
     sure = F.coalesce(F.col(twice), F.lit(0).cast("bigint")).bitwiseAND(F.col(mask)) == F.col(mask)
     return probed.withColumn(flag, sure).drop(word, twice, mask)
 
@@ -76,7 +79,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = text_of(text_col)
     thin = docs.select(F.col(id_col).cast("bigint").alias("id"), F.char_length(text).cast("bigint").alias("len"), text_key(text).alias("sha"), F.monotonically_increasing_id().alias("row"))
     thin = stored(thin, "exact-keys")
-    marked = maybe_repeated(thin, "sha", thin.count(), "maybe")
+    marked = maybe_repeated(thin, "sha", *twice_filter(thin, "sha"), "maybe")
     order = F.struct((-F.col("len")).alias("l"), F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("row").alias("r"))
     # written first: a join of two plain exchanges is one that Spark can split at a hot text
     groups = stored(marked.where("maybe").groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")), "exact-groups")
@@ -92,15 +95,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct((-F.char_length(text)).alias("l"), F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"))
     keyed = docs.withColumns({sha: text_key(text), own: order})
     keys = stored(docs.select(text_key(text).alias(sha)), "exact-keys")
-    n = keys.count()
-    words = 1 << max(6, (max(n, 1) - 1).bit_length())
-    held = stored(twice_set(keys, sha, words), "exact-filter")
-    place, bits = _probe(F.col(sha), words)
-    small = n // 2 * FILTER_ROW_BYTES <= BROADCAST_BYTES
-    word, twice, mask = (free_name(docs, x) for x in ("bf_word", "bf_twice", "bf_mask"))
-    held = held.select(F.col("word").alias(word), F.col("twice").alias(twice))
-    probed = keyed.withColumns({word: place, mask: _mask(bits)}).join(F.broadcast(held) if small else held, word, "left")
-    probed = probed.withColumn(flag, F.coalesce(F.col(twice), F.lit(0).cast("bigint")).bitwiseAND(F.col(mask)) == F.col(mask))
+    probed = maybe_repeated(keyed, sha, *twice_filter(keys, sha), flag)
     best = free_name(docs, "ex_best")
     groups = stored(probed.where(flag).groupBy(sha).agg(F.min(own).alias(best)), "exact-groups")
     kept = probed.where(flag).join(groups, sha).where(F.col(own).eqNullSafe(F.col(best))).dropDuplicates([sha])

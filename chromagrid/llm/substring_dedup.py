@@ -3,8 +3,7 @@
 Token k-mers are edges of the graph; of each window of words only its smallest-hashed
 k-mer (the leftmost of equals) is kept as an anchor.  Equal windows have equal anchors at
 equal places, so nothing repeated is missed, and anchors are a small part of all k-mers.
-Consecutive windows with one anchor form a span: a nonbranching path, compacted to one
-row.  A 64-bit hash of its words and the 64-bit hash of its anchor know a span.  Joins on anchors and spans then decide
+Consecutive windows with one anchor form a span, one row.  Joins on anchors and spans then decide
 
 * an anchor in one document only: nothing here is repeated;
 * a span that begins in a smaller document: all its windows are repeated;
@@ -12,9 +11,12 @@ row.  A 64-bit hash of its words and the 64-bit hash of its anchor know a span.
   place): its windows are hashed one by one and looked up among the windows of all
   other such spans.
 
-Windows removed are mapped back to word positions of their documents, where the
-words are cut and what is left is hashed.  Equality of 128 bits (anchor and span, or
-anchor and window) stands for equality of words.
+Each of these carries the coordinates of its origin (document, row, word).  Spans and windows that
+follow one another both here and at their origin are compacted to one path.  Paths are
+verified: the words at the origin's coordinates are read again and their SHA-256 is compared
+with that of the words of the copy; a path whose words differ (equal hashes of other words)
+removes nothing.  Verified windows are mapped to the words of their documents, where they
+are cut and what is left is hashed.
 
 A null text has no words; a text shorter than a window has no windows.  Rows with equal ids
 are parts of one document and each keeps its own words; a null id is larger than
@@ -24,15 +26,16 @@ document only are kept.  Further columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import mapped, stored, text_of
+from .common import BROADCAST_BYTES, mapped, stored, text_of
 
 WINDOW = 50
 #: Words of a token k-mer.
@@ -124,32 +127,74 @@ def window_hashes(rows: DataFrame, window: int) -> DataFrame:
     return mapped(rows, run, "anchor bigint, hash bigint, row bigint, id bigint, lo int")
 
 
+def paths(pieces: DataFrame) -> DataFrame:
+    """(id, row, lo, n, origin): pieces that go on where the one before ends, here and at their origin, become one."""
+    shifted = pieces.withColumn("shift", F.col("lo") - F.col("origin.lo"))
+    along = Window.partitionBy("id", "row", "origin.id", "origin.row", "shift").orderBy("lo")
+    opens = F.coalesce((F.lag(F.col("lo") + F.col("n")).over(along) < F.col("lo")).cast("int"), F.lit(0))
+    # a run of windows of one document at a time
+    numbered = shifted.withColumn("opens", opens).withColumn("path", F.sum("opens").over(along))
+    path = numbered.groupBy("id", "row", F.col("origin.id").alias("o_id"), F.col("origin.row").alias("o_row"), "shift", "path").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("n")).alias("end"))
+    return path.select("id", "row", "lo", (F.col("end") - F.col("lo")).alias("n"), "o_id", "o_row", (F.col("lo") - F.col("shift")).alias("o_lo"))
+
+
+def words_hash(data: bytes, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> bytes:
+    """SHA-256 of the words lo .. hi - 1 of a text, joined by one blank."""
+    return hashlib.sha256(b" ".join(data[starts[lo] : ends[hi - 1]].split())).digest()
+
+
+def proofs(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(o_id, o_row, o_lo, n, sha): hashes of the words at the coordinates that ``wanted`` names."""
+    asked = stored(wanted.select("o_id", "o_row", "o_lo", "n").distinct(), "substr-origins-asked")
+    asked = stored(asked.groupBy(F.col("o_id").alias("id"), F.col("o_row").alias("row")).agg(F.collect_list(F.struct(F.col("o_lo").alias("lo"), "n")).alias("spans")), "substr-asked")
+    ids = stored(asked.select("id").distinct(), "substr-asked-ids")
+    few = docs.join(F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids, "id", "left_semi")
+    few = few.join(asked, ["id", "row"]).select("id", "row", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            raw, offs = W.utf8(part.column(2))
+            starts, ends, first = W.bounds(raw, offs)
+            data, lists = raw.tobytes(), part.column(3)
+            rows = [(i, x["lo"], x["n"], words_hash(data, starts, ends, first[i] + x["lo"], first[i] + x["lo"] + x["n"] + window - 1)) for i, spans in enumerate(lists.to_pylist()) for x in spans]
+            i, lo, n, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
+            pick = pa.array(i, pa.int64())
+            yield pa.record_batch([part.column(0).take(pick), part.column(1).take(pick), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(sha, pa.binary())], names=["o_id", "o_row", "o_lo", "n", "sha"])
+
+    # rows with equal id and text give equal hashes
+    return stored(mapped(few, run, "o_id bigint, o_row bigint, o_lo int, n int, sha binary").distinct(), "substr-proofs")
+
+
 def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """docs: (row, id, text) -> (id, row, cuts: array of (lo, n)): n windows from word lo on
-    begin in a document of a smaller id."""
+    """docs: (row, id, text) -> (id, row, cuts: array of (lo, n, sha)): n windows from word lo on
+    begin in a document of a smaller id, if their words have the hash ``sha``."""
     parts = stored(spans(docs, window, k), "substr-spans")
     # Aggregates are written before they are joined: a join of two plain exchanges, with nothing
     # on top that needs its keys together, is one that Spark can split at a hot anchor or span.
     shared = parts.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("span").alias("p"), F.max("span").alias("q")).where("a < b")
     shared = stored(shared.select("anchor", (F.col("p") < F.col("q")).alias("branches")), "substr-anchors")
     of = stored(parts.join(shared, "anchor"), "substr-repeated")
-    first = stored(of.groupBy("anchor", "span").agg(F.min("id").alias("origin")), "substr-origins")
+    place = F.struct("id", "row", "lo")
+    first = stored(of.groupBy("anchor", "span").agg(F.min(place).alias("origin")), "substr-origins")
     known = stored(of.join(first, ["anchor", "span"]).select("row", "id", "anchor", "lo", "n", "branches", "origin"), "substr-shared")
-    whole = known.where("origin < id").select("id", "row", "lo", "n")
-    open_ = known.where("origin = id AND branches").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("spans"))
+    whole = known.where("origin.id < id").select("id", "row", "lo", "n", "origin")
+    open_ = known.where("origin.id = id AND branches").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("spans"))
     each = window_hashes(docs.join(open_, ["id", "row"]).select("row", "id", "text", "spans"), window)
     each = stored(each, "substr-windows")
-    least = stored(each.groupBy("anchor", "hash").agg(F.min("id").alias("origin"), F.max("id").alias("top")).where("origin < top").drop("top"), "substr-least")
-    single = each.join(least, ["anchor", "hash"]).where("origin < id").select("id", "row", "lo", F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy("id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("cuts"))
+    least = stored(each.groupBy("anchor", "hash").agg(F.min(place).alias("origin"), F.max("id").alias("top")).where("origin.id < top").drop("top"), "substr-least")
+    single = each.join(least, ["anchor", "hash"]).where("origin.id < id").select("id", "row", "lo", F.lit(1).alias("n"), "origin")
+    found = stored(paths(whole.unionByName(single)), "substr-paths")
+    proven = found.join(proofs(docs, found, window), ["o_id", "o_row", "o_lo", "n"])
+    return proven.groupBy("id", "row").agg(F.collect_set(F.struct("lo", "n", "sha")).alias("cuts"))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """id, n_words, n_removed, kept_text of each row."""
     top = F.lit((1 << 63) - 1)
+    own = F.col(id_col).cast("bigint")
     # a row is known by id and text, which any second reading finds again
-    rows = docs.select(F.xxhash64(text_of(text_col)).alias("row"), F.coalesce(F.col(id_col).cast("bigint"), top).alias("id"), text_of(text_col).alias("text"))
-    cuts = repeated(rows, window, k)
+    rows = docs.select(F.xxhash64(text_of(text_col)).alias("row"), F.coalesce(own, top).alias("id"), text_of(text_col).alias("text"), own.alias("own"))
+    cuts = repeated(rows.drop("own"), window, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,30 +202,27 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 part = batch.slice(at, 64)
                 raw, offs = W.utf8(part.column(1))
                 starts, ends, first = W.bounds(raw, offs)
-                lists, data = part.column(2), raw.tobytes()
-                flat = lists.flatten()
-                lo, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2))
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                edge = np.concatenate([[0], np.cumsum(sizes)])
-                total, gone, kept = [], [], []
-                for i in range(part.num_rows):
-                    a, b = first[i], first[i + 1]
-                    m = slice(edge[i], edge[i + 1])
+                data, total, gone, kept = raw.tobytes(), [], [], []
+                for i, cuts_of in enumerate(part.column(2).to_pylist()):
+                    a, b = int(first[i]), int(first[i + 1])
                     depth = np.zeros(b - a + 1, np.int64)
-                    np.add.at(depth, lo[m], 1)
-                    np.add.at(depth, np.minimum(lo[m] + n[m] - 1 + window, b - a), -1)
+                    for x in cuts_of or []:
+                        hi = x["lo"] + x["n"] + window - 1
+                        if words_hash(data, starts, ends, a + x["lo"], a + hi) == x["sha"]:
+                            depth[x["lo"]] += 1
+                            depth[hi] -= 1
                     stay = np.flatnonzero(np.cumsum(depth[:-1]) == 0) + a
-                    total.append(int(b - a))
-                    gone.append(int(b - a - len(stay)))
+                    total.append(b - a)
+                    gone.append(b - a - len(stay))
                     if not gone[-1]:
                         kept.append(b" ".join(data[offs[i] : offs[i + 1]].split()).decode())
                     else:
                         kept.append(b" ".join([data[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]).decode())
                 yield pa.record_batch([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
-    joined = rows.join(cuts, ["id", "row"], "left").select("id", "text", "cuts")
+    joined = rows.join(cuts, ["id", "row"], "left").select("own", "text", "cuts")
     out = mapped(joined, run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
-    return out.select(F.nullif("id", top).alias(id_col), "n_words", "n_removed", "kept_text")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:

@@ -76,6 +76,8 @@ class WordIds(dict):
 
         self.path, self.older = path, {}
         spec = json.load(open(path, encoding="utf-8"))
+        if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) >= 1 << 16:
+            raise ValueError(f"{path}: ids do not fit in 16 bits")
         to_byte, special = byte_alphabet(), {t["content"] for t in spec["added_tokens"]}
         ranks = {}
         for t, i in spec["model"]["vocab"].items():

@@ -76,7 +76,7 @@ def test_exact_dedup_of_identical_rows(spark):
 
 def test_filter_never_misses_a_repeat(spark):
     d = spark.range(3000).select(F.col("id").alias("i"), F.concat(F.lit("k"), (F.col("id") % 2900).cast("string")).alias("key"))
-    flags = {r.i: r.maybe for r in exact_dedup.maybe_repeated(d, "key", 3000, "maybe").collect()}
+    flags = {r.i: r.maybe for r in exact_dedup.maybe_repeated(d, "key", *exact_dedup.twice_filter(d, "key"), "maybe").collect()}
     assert all(flags[i] for i in [*range(100), *range(2900, 3000)])
     assert sum(flags.values()) < 400
 
@@ -251,6 +251,16 @@ def test_packing_edges(spark, edge, empty):
     assert packing.pack(edge, weights=w).agg(F.sum("length")).first()[0] == packing.pack(edge).agg(F.sum("length")).first()[0]
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    """A multiset of whole documents comes back, whatever their ids."""
+    lib = vocab.library(vocab.place("word_bpe_49k.json"))
+    rows = [(None, "first text", "a"), (None, "second text here", "a"), (9, "same id", "b"), (9, "same id", "b"), (9, None, None)]
+    got = packing.pack(frame(spark, rows)).collect()
+    assert sorted(r.offset for r in got)[0] == 0 and sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+    crc = lambda t: zlib.crc32(np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == collections.Counter((i, crc(t)) for i, t, _ in rows)
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_chunk_ids_equal_the_library(text):
@@ -296,6 +306,36 @@ def test_substring_dedup_of_shared_passages(spark):
     assert got == brute_substring(docs, 10)
 
 
+def test_words_decide_where_hashes_are_equal(spark, monkeypatch):
+    """With word hashes of two values, nearly everything looks repeated; only equal words go."""
+    rng = random.Random(7)
+    common = " ".join(f"c{rng.randrange(9)}" for _ in range(14))
+    docs = [(i, " ".join([f"d{i}x{rng.randrange(3)}" for _ in range(12)]) + (f" {common}" if i % 3 == 0 else "")) for i in range(12)]
+    want = brute_substring(docs, 10)
+    real = substring_dedup.repeated
+
+    def wrong(rows, window, k):
+        cuts = real(rows, window, k)
+        # a false path in every document: words 0 .. 10, with the hash of other words
+        false = rows.select("id", "row", F.array(F.struct(F.lit(0).alias("lo"), F.lit(1).alias("n"), F.lit(b"no").alias("sha"))).alias("cuts"))
+        return cuts.unionByName(false).groupBy("id", "row").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+
+    monkeypatch.setattr(substring_dedup, "repeated", wrong)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(frame(spark, [(i, t, "s") for i, t in docs]), window=10, k=4).collect()}
+    assert got == want and any(n for _, n, _ in want.values())
+
+
+def test_paths_compact_what_follows_at_both_ends(spark):
+    rows = [(2, 0, 5, 3, (1, 0, 15)), (2, 0, 8, 1, (1, 0, 18)), (2, 0, 9, 2, (1, 0, 40)), (2, 0, 20, 1, (1, 0, 30))]
+    d = spark.createDataFrame(rows, "id bigint, row bigint, lo int, n int, origin struct<id:bigint,row:bigint,lo:int>")
+    assert sorted((r.lo, r.n, r.o_lo) for r in substring_dedup.paths(d).collect()) == [(5, 4, 15), (9, 2, 40), (20, 1, 30)]
+
+
+def test_largest_id_is_no_null(spark):
+    d = frame(spark, [((1 << 63) - 1, "a b", "s"), (None, "c", "s")])
+    assert {r.doc_id for r in substring_dedup.digest(d).collect()} == {(1 << 63) - 1, None}
+
+
 def test_substring_dedup_edges(edge, empty):
     assert substring_dedup.digest(edge).count() == len(edge_rows())
     assert substring_dedup.digest(empty).count() == 0
