@@ -10,8 +10,7 @@ Counts are exchanged in blocks.  Documents are dealt into batches; a batch sends
 distinct hashes of its words and word pairs, split by leading bits, with its counts; whoever
 gathers a range of hashes adds them up and answers each batch in its own order.  So a pair
 that is frequent costs one number per batch, and no table of counts has to fit anywhere.
-Hashes have as many bits as make a false match of a hash with any other a matter of one in
-2**26.  For learning, only histograms of ratios (bounded: a bin per 2 %) reach the driver.
+Hashes keep all their 64 bits.  For learning, only histograms of ratios (bounded: a bin per 2 %) reach the driver.
 
 A text's tokens are its lower-cased (A-Z) words and one end.  A null or empty text is the
 end alone.  A row without id belongs to the training rows.  Repeated rows count each.  An
@@ -29,7 +28,8 @@ from . import words as W
 from .common import stored, text_of
 
 MODULUS, HELD_OUT, DELETED = 7, 2, 5
-BATCH_ROWS = 2500
+#: UTF-8 bytes of a batch of documents, about.
+BATCH_BYTES = 8 << 20
 START, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93)
 #: Histogram bins per unit of a natural logarithm.
 FINE = 50
@@ -51,9 +51,9 @@ def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, before, begins
 
 
-def keys(tokens: np.ndarray, before: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def keys(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        return W.mix(tokens) >> np.uint64(64 - bits), W.mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) >> np.uint64(64 - bits)
+        return W.mix(tokens), W.mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
 
 
 def packed(sorted_keys: np.ndarray) -> bytes:
@@ -69,16 +69,16 @@ def unpacked(blob: bytes) -> np.ndarray:
 ANSWER = "batch bigint, part int, kind int, cls int, total binary, kept binary, bins array<bigint>, sums array<bigint>"
 
 
-def asked(batches: DataFrame, bits: int, part_bits: int) -> DataFrame:
+def asked(batches: DataFrame, part_bits: int) -> DataFrame:
     """What each batch wants counted: (part, kind, batch, cls, keys, counts)."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         batch, cls = key[0].as_py(), t.column("cls")[0].as_py()
         tokens, before, _ = stream(t.column("text"))
         out: list[tuple] = []
-        for kind, k in enumerate(keys(tokens, before, bits)):
+        for kind, k in enumerate(keys(tokens, before)):
             u, n = np.unique(k, return_counts=True)
-            edges = np.searchsorted(u, np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(bits - part_bits))
+            edges = np.append(np.searchsorted(u, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)), len(u))
             for p in np.flatnonzero(np.diff(edges)):
                 s = slice(edges[p], edges[p + 1])
                 out.append((int(p), kind, batch, cls, packed(u[s]), b"" if cls == 2 else n[s].astype(np.uint32).tobytes()))
@@ -134,9 +134,9 @@ def replies(t: pa.Table, kind: int, column: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, np.uint32) for _, b in rows]).astype(np.float64)
 
 
-def token_counts(tokens: np.ndarray, before: np.ndarray, begins: np.ndarray, right: pa.Table, column: str, bits: int, starts: float) -> tuple[np.ndarray, ...]:
+def token_counts(tokens: np.ndarray, before: np.ndarray, begins: np.ndarray, right: pa.Table, column: str, starts: float) -> tuple[np.ndarray, ...]:
     """For every token: c(word), c(word before), c(pair)."""
-    uni, pair = keys(tokens, before, bits)
+    uni, pair = keys(tokens, before)
     _, at = np.unique(uni, return_inverse=True)
     one = replies(right, 0, column)[at]
     _, at = np.unique(pair, return_inverse=True)
@@ -156,14 +156,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     turn = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % MODULUS, F.lit(0))
     cls = F.when(turn == HELD_OUT, 2).when(turn == DELETED, 1).otherwise(0)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), cls.cast("int").alias("cls"))
-    per = {r.cls: r.n for r in rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(per.values())
-    part_bits = max(4, (max(1, n // BATCH_ROWS) - 1).bit_length())
-    bits = min(64, 26 + (1000 * max(n, 1)).bit_length())
+    sizes = {r.cls: r for r in rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    per, many = {k: r.n for k, r in sizes.items()}, {k: max(1, -(-r.size // BATCH_BYTES)) for k, r in sizes.items()}
+    part_bits = max(4, (sum(many.values()) - 1).bit_length())
     # each class has batches of its own, so that the deleted rows can be read alone
-    many = F.when(F.col("cls") == 0, max(1, per.get(0, 0) // BATCH_ROWS)).when(F.col("cls") == 1, max(1, per.get(1, 0) // BATCH_ROWS)).otherwise(max(1, per.get(2, 0) // BATCH_ROWS))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", F.length("text")), many) * 3 + F.col("cls"))
-    answers = stored(answered(asked(rows, bits, part_bits)), "lm-counts")
+    of_cls = F.element_at(F.array(*(F.lit(many.get(k, 1)) for k in range(3))), F.col("cls") + 1)
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), of_cls) * 3 + F.col("cls"))
+    answers = stored(answered(asked(rows, part_bits)), "lm-counts")
     sums = dict(answers.where("batch < 0").select(F.explode(F.arrays_zip("bins", "sums")).alias("x")).groupBy(F.col("x.bins").alias("bin")).agg(F.sum("x.sums").alias("s")).collect())
     v, big_n, v_kept, n_kept = (float(sums.get(-i, 0)) for i in (1, 2, 3, 4))
     bins = np.array(sorted(b for b in sums if b >= 0), np.int64)
@@ -173,7 +172,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens, before, begins = stream(left.column("text"))
-        one, context, two = token_counts(tokens, before, begins, right, "kept", bits, docs_kept)
+        one, context, two = token_counts(tokens, before, begins, right, "kept", docs_kept)
         base = unigram * one / max(n_kept, 1) + (1 - unigram) / (v_kept + 1)
         b = bucket(context)
         with np.errstate(divide="ignore"):
@@ -196,7 +195,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens, before, begins = stream(left.column("text"))
-        one, context, two = token_counts(tokens, before, begins, right, "total", bits, docs_all)
+        one, context, two = token_counts(tokens, before, begins, right, "total", docs_all)
         floor = unigram * one / max(big_n, 1) + (1 - unigram) / (v + 1)
         share = by_bucket[bucket(context)]
         logs = np.log10(share * two / np.maximum(context, 1) + (1 - share) * floor)

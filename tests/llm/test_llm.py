@@ -469,6 +469,44 @@ def test_lm_scores(spark, sf_dir, documents):
     assert sum(rows[i].score for i in rows if out[i]) > sum(rows[i].base_score for i in rows if out[i])
 
 
+def test_lm_scores_equal_a_dictionary_model(spark, sf_dir, documents):
+    """The same model with dictionaries of words; its weights are learned without histograms."""
+    tokens = {i: [*WORD.findall(t.translate(LOWER)), None] for i, t in documents.items()}
+    turn = {i: zlib.crc32(str(i).encode()) % 7 for i in tokens}
+
+    def counted(ids):
+        one, two = collections.Counter(), collections.Counter()
+        for i in ids:
+            one.update(tokens[i])
+            two.update(zip([0, *tokens[i]], tokens[i], strict=False))
+        one[0] = len(ids)  # the start
+        return one, two, sum(one.values()) - len(ids), len(one) - 1
+
+    def em(ratios):
+        x, r = 0.5, np.array(ratios)
+        for _ in range(60):
+            x = float((x * r / (x * r + 1 - x)).mean())
+        return x
+
+    bucket = lambda c: 1 + int(math.log2(c)) if c else 0
+    one, two, n, v = counted([i for i in tokens if turn[i] not in (2, 5)])
+    pairs = [p for i in tokens if turn[i] == 5 for p in zip([0, *tokens[i]], tokens[i], strict=False)]
+    mix = em([one[w] / n * (v + 1) for _, w in pairs])
+    ratios = collections.defaultdict(list)
+    for a, w in pairs:
+        ratios[bucket(one[a])].append(two[a, w] / max(one[a], 1) / (mix * one[w] / n + (1 - mix) / (v + 1)))
+    weight = {k: em(r) if k else 0.0 for k, r in ratios.items()}
+    for k in range(1, 40):
+        weight.setdefault(k, weight.get(k - 1, 0.0))
+    one, two, n, v = counted([i for i in tokens if turn[i] != 2])
+    for r in registry.op7_lm_score(spark, sf_dir).collect():
+        want = 0.0
+        for a, w in zip([0, *tokens[r.doc_id]], tokens[r.doc_id], strict=False):
+            x = weight.get(bucket(one[a]), 0.0)
+            want += math.log10(x * two[a, w] / max(one[a], 1) + (1 - x) * (mix * one[w] / n + (1 - mix) / (v + 1)))
+        assert math.isclose(r.score, want, rel_tol=0.01)
+
+
 def test_lm_edges(edge, empty):
     rows = lm_score.scored(edge).collect()
     assert len(rows) == len(edge_rows()) and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {1}
