@@ -29,6 +29,14 @@ def textures(px: DataFrame) -> DataFrame:
     return above_quantile(above_quantile(px, "var3", 0.7, "hitex_fine"), "var9", 0.7, "hitex_coarse")
 
 
+def surfaces(px: DataFrame, mag: str = "mag") -> DataFrame:
+    """edge, flat, hitex_fine and hitex_coarse at once: all quantiles in one aggregate, one row per image to join back."""
+    q = px.groupBy("img").agg(F.percentile(mag, F.lit(0.85)).alias("q_edge"), F.percentile("var7", F.lit(0.35)).alias("q_flat"), F.percentile("var3", F.lit(0.7)).alias("q_fine"), F.percentile("var9", F.lit(0.7)).alias("q_coarse"))
+    edge = F.col(mag) > F.greatest(F.lit(0.02), F.col("q_edge") * 0.5)
+    masks = {"edge": edge, "flat": F.col("var7") < F.col("q_flat"), "hitex_fine": F.col("var3") > F.col("q_fine"), "hitex_coarse": F.col("var9") > F.col("q_coarse")}
+    return px.join(q, "img").withColumns(masks).drop("q_edge", "q_flat", "q_fine", "q_coarse")
+
+
 def skin(px: DataFrame) -> DataFrame:
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     _, cb, cr = C.ycbcr(r, g, b)

@@ -36,14 +36,14 @@ def nearest(colors: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataF
     pal = pal.select("idx", *(F.col(c).alias(f"p_{c}") for c in keys))
     exact = (lambda d: F.round(d, 12)) if metric == "oklab" else (lambda d: d)
     mine = tuple(F.col(c) for c in keys)
-    if palette.limit(SMALL + 1).count() <= SMALL:
-        # the palette is one array of at most SMALL entries: no row per pair, no aggregation
-        one = pal.agg(F.sort_array(F.collect_list(F.struct(*pal.columns))).alias("pal"))
-        near = F.array_min(F.transform("pal", lambda p: F.struct(exact(C.squared(mine, tuple(p[f"p_{c}"] for c in keys))).alias("d"), p["idx"].alias("idx"))))
-        best = own.join(F.broadcast(one), F.lit(True)).select(*RGB, near.alias("m")).where("m IS NOT NULL")
-    else:
-        d = exact(C.squared(mine, tuple(F.col(f"p_{c}") for c in keys)))
-        best = own.join(pal, F.lit(True)).groupBy(*RGB).agg(F.min(F.struct(d.alias("d"), F.col("idx"))).alias("m"))
+    # the palette is cut into arrays of about SMALL entries: a color meets an array, no row is made for a pair
+    blocks = max(1, -(-palette.count() // SMALL))
+    arrays = pal.groupBy(F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*pal.columns)).alias("pal"))
+    near = F.array_min(F.transform("pal", lambda p: F.struct(exact(C.squared(mine, tuple(p[f"p_{c}"] for c in keys))).alias("d"), p["idx"].alias("idx"))))
+    met = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")) if blocks > 1 else own.withColumn("block", F.lit(0).cast("bigint"))
+    best = met.join(F.broadcast(arrays) if blocks == 1 else arrays, "block").select(*RGB, near.alias("m"))
+    if blocks > 1:
+        best = best.groupBy(*RGB).agg(F.min("m").alias("m"))
     return best.select(*RGB, F.col("m.idx").alias("idx"), F.col("m.d").alias("d"))
 
 

@@ -103,10 +103,10 @@ def cleaned_islands(idx: np.ndarray, below: int, full_border: bool = False) -> n
         hit = (size[lab[a]] < below) & (idx[a] != idx[b]) & ((lab[b] > lab[a]) | full_border)
         for k, c in zip(lab[a][hit].tolist(), idx[b][hit].tolist(), strict=True):
             votes.setdefault(k, {})[c] = votes.get(k, {}).get(c, 0) + 1
-    new = idx.copy()
+    to, moved = np.zeros(h * w, idx.dtype), np.zeros(h * w, bool)
     for k, v in votes.items():
-        new[lab == k] = min(v, key=lambda c: (-v[c], c & 7, c))
-    return new
+        to[k], moved[k] = min(v, key=lambda c: (-v[c], c & 7, c)), True
+    return np.where(moved[lab], to[lab], idx)
 
 
 def islands(px: DataFrame, below: int = 2, full_border: bool = False) -> DataFrame:

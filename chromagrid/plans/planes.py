@@ -90,7 +90,7 @@ SELECT img, y, x, mag > q.t AS edge, round(var7, 9) < t7 AS flat, round(var3, 9)
 def f01_f02_f03_a01_masks(spark: SparkSession, d: str) -> DataFrame:
     p = stencils.local_variance(stencils.sobel(linear_luma(f1(spark, d)), "luma"), "luma")
     p = p.withColumns({c: F.round(c, 9) for c in ("var3", "var7", "var9")})
-    return masks.textures(masks.flats(masks.edges(p))).select("img", "y", "x", "edge", "flat", "hitex_fine", "hitex_coarse")
+    return masks.surfaces(p).select("img", "y", "x", "edge", "flat", "hitex_fine", "hitex_coarse")
 
 
 def _morph(src: str, c: str) -> str:

@@ -226,6 +226,12 @@ def k18_k19_k21_log_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.log_json(e.select("ts", F.lit("INFO").alias("level"), F.col("event_type").alias("category"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("s"), F.col("user_id").cast("string"))).alias("session"), F.create_map(F.lit("k"), F.col("event_type")).alias("data")))
 
 
+@query("""SELECT strftime(ts, '%Y%m%d-%H%M%S') AS id, '{"id":"' || strftime(ts, '%Y%m%d-%H%M%S') || '","started_at_utc":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","device":"m' || user_id || '/' || event_type || '","sdk":' || (event_id % 40)::INT || '}' AS json FROM events""")
+def k21_session_metadata(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return sinks.session_json(e.select(F.col("ts").alias("started"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("maker"), F.col("event_type").alias("model"), (F.col("event_id") % 40).cast("int").alias("sdk")))
+
+
 @query('SELECT * FROM (SELECT user_id, what, "at", row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, what) AS rank FROM (SELECT user_id, event_type AS what, max(event_id) AS "at" FROM events GROUP BY user_id, event_type)) WHERE rank <= 2')
 def k20_t04_recent(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "what")

@@ -85,6 +85,13 @@ def log_json(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(iso.alias("ts"), "level", "category", "message", "session", "data")).alias("line"))
 
 
+def session_json(sessions: DataFrame) -> DataFrame:
+    """sessions: started timestamp (session time zone UTC), maker, model, sdk -> (id, json) of a session's metadata."""
+    id_ = F.date_format("started", "yyyyMMdd-HHmmss")
+    fields = F.struct(id_.alias("id"), F.date_format("started", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at_utc"), F.concat_ws("/", "maker", "model").alias("device"), F.col("sdk"))
+    return sessions.select(id_.alias("id"), F.to_json(fields).alias("json"))
+
+
 def symbols(at: Column) -> Column:
     """Symbol at place ``at`` (from 0): shapes, then letters and digits, then all again with primes."""
     pool = F.array(*map(F.lit, SHAPES + LETTERS))

@@ -164,3 +164,15 @@ def test_presets_add_up_on_a_canvas(spark):
     r = rows["ARCHITECTURE_EDGES+LARGE_CANVAS"]
     assert (r.preset, r.micro_phase, r.edge_scale, r.k_sigma, r.dither_mask) == ("FOTO/LargeCanvasHiDetail", 8, 0.65, 0.45, "Flat|Sky|Skin")
     assert abs(r.luma_eps - 0.0018) < 1e-12 and rows["OLD_SCAN"].wb_strength == 0.7 and rows["AUTO_BALANCED+SMALL_CANVAS"].skin_tone_smooth == 0.35
+
+
+def test_nearest_colors_of_a_palette_in_blocks(spark, monkeypatch):
+    from chromagrid.operators import matching
+
+    pal = spark.createDataFrame([(i, i * 7 % 256, i * 31 % 256, i * 13 % 256) for i in range(40)], "idx int, r int, g int, b int")
+    px = spark.createDataFrame([(i * 5 % 256, i * 11 % 256, i * 17 % 256) for i in range(60)], "r int, g int, b int")
+    for metric in ("rgb", "oklab"):
+        whole = sorted(matching.nearest(px, pal, metric).collect())
+        with monkeypatch.context() as m:
+            m.setattr(matching, "SMALL", 7)
+            assert sorted(matching.nearest(px, pal, metric).collect()) == whole
