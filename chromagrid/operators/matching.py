@@ -38,9 +38,9 @@ def nearest(colors: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataF
     mine = tuple(F.col(c) for c in keys)
     # the palette is cut into arrays of about SMALL entries: a color meets an array, no row is made for a pair
     blocks = max(1, -(-palette.count() // SMALL))
-    arrays = pal.groupBy(F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*pal.columns)).alias("pal"))
+    arrays = pal.groupBy(F.pmod(F.xxhash64("idx"), F.lit(blocks).cast("bigint")).alias("block")).agg(F.collect_list(F.struct(*pal.columns)).alias("pal"))
     near = F.array_min(F.transform("pal", lambda p: F.struct(exact(C.squared(mine, tuple(p[f"p_{c}"] for c in keys))).alias("d"), p["idx"].alias("idx"))))
-    met = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")) if blocks > 1 else own.withColumn("block", F.lit(0).cast("bigint"))
+    met = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))) if blocks > 1 else own.withColumn("block", F.lit(0).cast("bigint"))
     best = met.join(F.broadcast(arrays) if blocks == 1 else arrays, "block").select(*RGB, near.alias("m"))
     if blocks > 1:
         best = best.groupBy(*RGB).agg(F.min("m").alias("m"))
