@@ -37,3 +37,26 @@ def test_toxic_labels_mostly_go_and_clean_ones_stay(spark):
     assert sum(i not in left for i in toxic) > 0.7 * len(toxic)
     assert sum(i in left for i in clean) > 0.97 * len(clean)
     assert toxicity.CUT == 0.7
+
+
+def test_run_on_null_empty_and_repeated_rows(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    long = " ".join(f"w{i % 700}" for i in range(20_000))
+    rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (3, "one text of some words", "en", None, 22), (3, "one text of some words", "en", None, 22), (None, "another text of other words", None, "a", 27), (4, long, "en", "b", len(long)), (5, long + " more", "en", "b", len(long) + 5), (6, "last one", "de", "c", 8)]
+    labels = spark.createDataFrame([(2, 0, 0), (6, 1, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    for name, held in (("edge", rows), ("none", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(held, schema).write.parquet(f"{sf}/documents.parquet")
+        labels.where("true" if held else "false").write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        seen = []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf), "test-edge")
+            assert docs.columns == schema.replace(",", "").split()[::2]
+            seen.append(docs.collect())
+        if held:
+            assert len(seen[1]) == 6 - (len(rows) - len(seen[0])) and sum(r.doc_id == 3 for r in seen[1]) == 1
+            assert [r.doc_id for r in seen[2] if r.doc_id in (4, 5)] == [4] and any(r.doc_id is None for r in seen[2])
+        got = corpus_pipeline.run(spark, sf).collect()
+        assert (len(got) > 0) == bool(held)
+        assert {r.doc_id for r in got} == {r.doc_id for r in (seen[3])}
