@@ -4,12 +4,15 @@ The words of each source are summed; a target number of words for each source
 follows from the weights, never above ``most`` times what the source holds, with
 the excess shared again by weight until no source is above its limit.  A document
 of a source with rate r = target / size is emitted floor(r) times and once more
-when a uniform number drawn from a hash of seed and id lies below the fraction,
-so any rerun draws the same copies.
+when a uniform draw, hashed from seed and id, lies below the source's cut, so any
+rerun draws the same copies.  The cut is the fraction of r as a share of words: the
+draws' quantile nearest to it, so that a source of few or uneven documents misses
+its target by half the words of one draw at most, and not by those of sqrt(n)
+documents as with a cut at the fraction itself, to which it tends as n grows.
 
 A null text has no words, a null source is a source of its own (last in order),
 a null id draws like the string of that name.  A source without words has rate 0.
-Rows with equal ids draw alike.  Further columns are carried along.
+Rows with equal ids draw alike; of two cuts equally near the lower one is taken.  Further columns are carried along.
 """
 
 from __future__ import annotations
@@ -50,45 +53,57 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 SOURCE_ROW_BYTES = 256
 
 
-def per_source(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """``targets`` as a stored table; it is broadcast, so that no document moves, if its rows
-    and the longest name prove it small."""
-    per = stored(targets(sizes, weights, most), "mix-sources")
+def cuts(draws: DataFrame, per: DataFrame) -> DataFrame:
+    """``per`` with times (whole copies) and cut: (source, draw, words) is summed up in the
+    order of draws, at most DRAWS rows a source, up to where the sum is nearest to the
+    words that the fraction asks for."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    per = per.withColumn("times", F.floor(rate)).withColumn("want", (rate - F.col("times")) * F.col("source_size"))
+    upto = Window.partitionBy("source").orderBy("draw")
+    off = F.abs(F.sum("words").over(upto) - F.col("want"))
+    steps = draws.join(per.select(F.col("source").alias("s"), "want"), F.col("source").eqNullSafe(F.col("s"))).select("source", F.struct(off.alias("off"), (F.col("draw") + 1).alias("cut")).alias("step"))
+    best = steps.groupBy(F.col("source").alias("s")).agg(F.min("step").alias("best"))
+    cut = F.when(F.col("best.off") < F.col("want"), F.col("best.cut")).otherwise(F.lit(0))
+    return per.join(best, per["source"].eqNullSafe(best["s"])).select("source", "source_size", "target", "times", cut.alias("cut"))
+
+
+def per_source(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source, source_size, target, times, cut) from rows of (source, draw, size), stored; it is
+    broadcast, so that no document moves, if its rows and the longest name prove it small."""
+    draws = stored(rows.groupBy("source", "draw").agg(F.sum("size").alias("words")), "mix-draws")
+    sizes = draws.groupBy("source").agg(F.sum("words").alias("source_size"))
+    per = stored(targets(sizes, weights, most), "mix-targets")
+    per = stored(cuts(draws, per), "mix-sources")
     n, longest = per.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()
     return F.broadcast(per) if n * (SOURCE_ROW_BYTES + longest) <= BROADCAST_BYTES else per
 
 
+#: Values of a draw: four hex digits.
+DRAWS = 1 << 16
+
+
 def drawn(id_text: Column, seed: str) -> Column:
-    """Uniform in [0, 1): the first 13 hex digits of an MD5."""
+    """Uniform among 0 .. DRAWS - 1: the first four hex digits of an MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_text, F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(id, source, size, source_size, target, n_copies) for each row of ``docs``."""
-    thin = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
+    draw = drawn(F.col(id_col).cast("string"), seed)
+    thin = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"), draw.alias("draw"))
     thin = stored(thin, "mix-sizes")
-    per = per_source(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    return _with_copies(thin, per, "id", "source", "size", seed)
-
-
-def _with_copies(rows: DataFrame, per: DataFrame, id_col: str, source_col: str, size_col: str, seed: str) -> DataFrame:
-    src = free_name(rows, "mix_source")
-    per = per.withColumnRenamed("source", src)
-    joined = rows.join(per, rows[source_col].eqNullSafe(per[src]), "left").drop(src)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    n = F.floor(rate) + F.when(drawn(F.col(id_col).cast("string"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("n_copies", n.cast("bigint"))
+    per = per_source(thin, weights, most).withColumnRenamed("source", "s")
+    joined = thin.join(per, thin["source"].eqNullSafe(per["s"]), "left")
+    return joined.select("id", "source", "size", "source_size", "target", (F.col("times") + (F.col("draw") < F.col("cut")).cast("bigint")).alias("n_copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row repeated as the mix asks; columns unchanged."""
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(text_of(text_col))).alias("source_size"))
-    per = per_source(sizes, weights, most)
-    names = {c: free_name(docs, f"mix_{c}") for c in ("source", "source_size", "target", "n")}
-    per = per.select(*(F.col(c).alias(names[c]) for c in ("source", "source_size", "target")))
+    draw = drawn(F.col(id_col).cast("string"), seed)
+    per = per_source(docs.select(F.col(source_col).alias("source"), draw.alias("draw"), word_count(text_of(text_col)).alias("size")), weights, most)
+    names = {c: free_name(docs, f"mix_{c}") for c in ("source", "times", "cut", "n")}
+    per = per.select(*(F.col(c).alias(names[c]) for c in ("source", "times", "cut")))
     joined = docs.join(per, docs[source_col].eqNullSafe(per[names["source"]]), "left")
-    rate = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(F.lit(0.0))
-    n = F.floor(rate) + F.when(drawn(F.col(id_col).cast("string"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    one = joined.withColumn(names["n"], F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
-    return one.select(*docs.columns)
+    n = F.col(names["times"]) + (draw < F.col(names["cut"])).cast("bigint")
+    return joined.withColumn(names["n"], F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)

@@ -696,3 +696,14 @@ def test_taken_words_come_near_their_targets(spark):
     d = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"))
     per = mixing.copies(d).groupBy("source").agg(F.sum(F.col("size") * F.col("n_copies")).alias("t"), F.max("target").alias("target")).collect()
     assert all(abs(r.t - r.target) < 0.05 * r.target for r in per)
+
+
+def test_sources_of_uneven_documents_come_within_half_a_draw(spark, sf_dir):
+    rows = mixing.copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    per = collections.defaultdict(list)
+    for r in rows:
+        per[r.source].append(r)
+    for group in per.values():
+        taken = sum(r.size * r.n_copies for r in group)
+        assert abs(taken - group[0].target) <= max(r.size for r in group)
+    assert len({r.n_copies for r in rows}) > 1
