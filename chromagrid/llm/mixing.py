@@ -53,33 +53,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 SOURCE_ROW_BYTES = 256
 
 
+def proven_small(per: DataFrame) -> bool:
+    """Whether the rows of a stored table of sources and its longest name fit into a broadcast."""
+    n, longest = per.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()
+    return n * (SOURCE_ROW_BYTES + longest) <= BROADCAST_BYTES
+
+
 def cuts(draws: DataFrame, per: DataFrame) -> DataFrame:
-    """``per`` with times (whole copies) and cut: (source, draw, words) is summed up in the
-    order of draws, at most DRAWS rows a source, up to where the sum is nearest to the
-    words that the fraction asks for."""
+    """``per`` with times (whole copies) and cut, from rows of (source, draw, words).
+
+    The words are summed in the order of draws up to where the sum is nearest to what the
+    fraction asks for: first over parts of PART draws, then within the part in which that lies,
+    so that no source brings more than DRAWS / PART or PART rows together."""
+    near = F.broadcast if proven_small(per) else (lambda df: df)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = per.withColumn("times", F.floor(rate)).withColumn("want", (rate - F.col("times")) * F.col("source_size"))
-    upto = Window.partitionBy("source").orderBy("draw")
-    off = F.abs(F.sum("words").over(upto) - F.col("want"))
-    steps = draws.join(per.select(F.col("source").alias("s"), "want"), F.col("source").eqNullSafe(F.col("s"))).select("source", F.struct(off.alias("off"), (F.col("draw") + 1).alias("cut")).alias("step"))
-    best = steps.groupBy(F.col("source").alias("s")).agg(F.min("step").alias("best"))
-    cut = F.when(F.col("best.off") < F.col("want"), F.col("best.cut")).otherwise(F.lit(0))
-    return per.join(best, per["source"].eqNullSafe(best["s"])).select("source", "source_size", "target", "times", cut.alias("cut"))
+    asked = per.where("want > 0").select(F.col("source").alias("s"), "want")
+    part = F.floor(F.col("draw") / PART)
+    parts = draws.groupBy("source", part.alias("part")).agg(F.sum("words").alias("words"))
+    parts = parts.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("part")))
+    here = parts.join(near(asked), F.col("source").eqNullSafe(F.col("s"))).where("upto >= want and upto - words < want")
+    here = here.select("s", "want", F.col("part").alias("in_part"), (F.col("upto") - F.col("words")).alias("base"))
+    off = F.abs(F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("draw")) - F.col("want"))
+    fine = draws.join(near(here), F.col("source").eqNullSafe(F.col("s")) & (part == F.col("in_part")))
+    steps = fine.select("s", "want", "in_part", "base", F.struct(off.alias("off"), (F.col("draw") + 1).alias("cut")).alias("step"))
+    best = steps.groupBy("s", "want", "in_part", "base").agg(F.min("step").alias("best"))
+    cut = F.when(F.col("best.off") < F.col("want") - F.col("base"), F.col("best.cut")).otherwise(F.col("in_part") * PART)
+    best = best.select("s", cut.alias("cut"))
+    return per.join(best, per["source"].eqNullSafe(best["s"]), "left").select("source", "source_size", "target", "times", F.coalesce("cut", F.lit(0)).cast("bigint").alias("cut"))
 
 
 def per_source(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size, target, times, cut) from rows of (source, draw, size), stored; it is
-    broadcast, so that no document moves, if its rows and the longest name prove it small."""
+    broadcast, so that no document moves, if it is proven small."""
     draws = stored(rows.groupBy("source", "draw").agg(F.sum("size").alias("words")), "mix-draws")
     sizes = draws.groupBy("source").agg(F.sum("words").alias("source_size"))
     per = stored(targets(sizes, weights, most), "mix-targets")
     per = stored(cuts(draws, per), "mix-sources")
-    n, longest = per.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()
-    return F.broadcast(per) if n * (SOURCE_ROW_BYTES + longest) <= BROADCAST_BYTES else per
+    return F.broadcast(per) if proven_small(per) else per
 
 
 #: Values of a draw: four hex digits.
 DRAWS = 1 << 16
+#: Draws of a part in the search for a cut.
+PART = 1 << 8
 
 
 def drawn(id_text: Column, seed: str) -> Column:
