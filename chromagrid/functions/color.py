@@ -196,6 +196,23 @@ def tonemapped(v: Column, space: Column, headroom: float = 3.0) -> tuple[Column,
     return F.when(hdr, clamp(soft_knee(v, headroom), 0, 1)).otherwise(v), hdr
 
 
+def linear_plane(rgb: Triple, gamut: tuple | None = None, decoded: bool = False) -> Triple:
+    """Unit channels as linear sRGB: the transfer curve is undone unless ``decoded``, then ``gamut``, a
+    3 x 3 matrix from the primaries of the source, is applied."""
+    lin = rgb if decoded else tuple(linear(c) for c in rgb)
+    return lin if gamut is None else times(gamut, lin)
+
+
+def tonemapped_plane(rgb: Triple, alpha: Column, space: Column, premultiplied: bool = True, headroom: float = 3.0) -> tuple[Triple, Column]:
+    """(channels, applied) of linear channels: in HDR color spaces the knee works on values freed from
+    alpha, which is put on again."""
+    a, hdr = clamp(alpha, 0, 1), F.coalesce(space.isin("BT2020_PQ", "BT2020_HLG"), F.lit(False))
+    free = lambda c: F.when(a > 1e-6, c / a).otherwise(c) if premultiplied else c
+    toned = lambda c: F.greatest(_lit(0), soft_knee(free(c), headroom))
+    back = lambda c: clamp(toned(c) * a if premultiplied else toned(c), 0, 1)
+    return tuple(F.when(hdr, back(c)).otherwise(c) for c in rgb), hdr
+
+
 def brightness_contrast(c: Column, brightness: float, contrast: float) -> Column:
     """Both in percent, -100 to 100."""
     k = 259.0 * (contrast + 255.0) / (255.0 * (259.0 - contrast))

@@ -76,6 +76,32 @@ def thread_statistics(px: DataFrame, swatches: DataFrame, limit: int = 50, fabri
     return per.join(small(swatches.select("idx", "code")), "idx").select("img", "rank", "code", "count", "percent", F.round(metres, 4).alias("metres"))
 
 
+def hex_statistics(px: DataFrame, limit: int = 50) -> DataFrame:
+    """Thread statistics without a palette: per image its ``limit`` commonest colors by their hex code
+    (of equal counts the least), which is also the name; whole percent."""
+    per = px.groupBy("img", *RGB).agg(F.count(F.lit(1)).alias("count"))
+    every = Window.partitionBy("img")
+    code = C.hex_of(*(F.col(c) for c in RGB))
+    rank = F.row_number().over(every.orderBy(F.desc("count"), "r", "g", "b"))
+    per = per.withColumns({"percent": F.floor(F.col("count") * 100 / F.sum("count").over(every)), "rank": rank}).where(F.col("rank") <= max(1, limit))
+    return per.select("img", "rank", code.alias("code"), code.alias("name"), *RGB, "count", "percent")
+
+
+def remapped(px: DataFrame, lut: DataFrame, quant_size: int, legend_size: int) -> DataFrame:
+    """px(img, y, x, idx) with idx through lut(idx, to).
+
+    Errors: sizes that differ (at once); an index that the table lacks; an image of several indexes
+    that would be left with one (when the result is read)."""
+    if not quant_size or quant_size != legend_size:
+        raise ValueError(f"legend of {legend_size} colors for {quant_size}")
+    p = px.join(small(lut.select("idx", "to")), "idx", "left")
+    ends = p.groupBy(F.col("img").alias("of")).agg((F.min("idx") < F.max("idx")).alias("many"), (F.min("to") == F.max("to")).alias("one"))
+    p = p.join(ends, F.col("img") == F.col("of"))
+    out = F.raise_error(F.concat(F.lit("index out of range: "), F.col("idx").cast("string"))).cast("int")
+    same = F.raise_error(F.concat(F.lit("indexes collapse in image "), F.col("img").cast("string"))).cast("int")
+    return p.select("img", "y", "x", F.when(F.col("to").isNull(), out).when(F.col("many") & F.col("one"), same).otherwise(F.col("to")).alias("idx"))
+
+
 def candidates(palette: DataFrame, catalog: DataFrame, space: str, top: int) -> DataFrame:
     """(idx, rank, code, d): the ``top`` catalog colors nearest to each palette color."""
     fn = C.cielab if space == "lab" else lambda *c: C.oklab(*c, clamped=True)

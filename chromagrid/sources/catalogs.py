@@ -36,6 +36,15 @@ def colors(cats: DataFrame) -> DataFrame:
     return last.select("brand", "code", F.col("c.name").alias("name"), r.alias("r"), g.alias("g"), b.alias("b")).where("r IS NOT NULL")
 
 
+def strict_colors(cats: DataFrame) -> DataFrame:
+    """``colors``; a brand without any is an error when the result is read."""
+    found = colors(cats)
+    names = cats.select("brand").distinct().withColumnRenamed("brand", "named")
+    every = names.join(found, F.col("named") == F.col("brand"), "left")
+    code = F.when(F.col("brand").isNull(), F.raise_error(F.concat(F.lit("empty palette of brand "), F.col("named"))).cast("string")).otherwise(F.col("code"))
+    return every.select(F.col("named").alias("brand"), code.alias("code"), "name", "r", "g", "b")
+
+
 def brands(cats: DataFrame) -> DataFrame:
     """Distinct brands in order; DMC if there is none."""
     found = cats.select("brand").distinct()
@@ -43,12 +52,19 @@ def brands(cats: DataFrame) -> DataFrame:
     return found.unionByName(none).orderBy("brand")
 
 
-def resolved_path(docs: DataFrame, brand: str) -> DataFrame:
-    """The file of a brand: exact stem, then lower, then upper case, then any case, then by id."""
+def resolved_path(docs: DataFrame, brand: str, strict: bool = False) -> DataFrame:
+    """The file of a brand: stem in lower case, in upper case, with a capital, in any case, then by id.
+
+    ``strict``: if there is none, an error that lists the stems tried and the files at hand."""
+    title = brand[:1].upper() + brand[1:]
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     ident = F.get_json_object("json", "$.id")
-    rank = F.when(stem == brand, 0).when(stem == brand.lower(), 1).when(stem == brand.upper(), 2).when(F.lower(stem) == brand.lower(), 3).when(F.lower(ident) == brand.lower(), 4)
-    return docs.withColumn("rank", rank).where("rank IS NOT NULL").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    rank = F.when(stem == brand.lower(), 0).when(stem == brand.upper(), 1).when(stem == title, 2).when(F.lower(stem) == brand.lower(), 3).when(F.lower(ident) == brand.lower(), 4)
+    best = F.min_by("path", F.when(rank.isNotNull(), F.struct(rank, F.col("path"))))
+    if strict:
+        tried = f"no file of brand {brand}; tried {brand.lower()}, {brand.upper()}, {title}; at hand: "
+        best = F.coalesce(best, F.raise_error(F.concat(F.lit(tried), F.array_join(F.sort_array(F.collect_set("path")), ", "))).cast("string"))
+    return docs.agg(best.alias("path"))
 
 
 def matches(docs: DataFrame) -> DataFrame:

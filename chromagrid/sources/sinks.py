@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import hex_of, pale
+from ..functions.color import hex_of, luma709, pale
+from ..operators import matching
 
 #: Symbols in the order of assignment (fixed values): shapes, then letters and digits.
 SHAPES = "●○■□▲△▼▽◆◇★☆✚✖✦✧◐◑◒◓◔◕◼◻◈◉◍◎⬟⬢⬣⬤"
@@ -55,6 +56,14 @@ def overrides(rows: DataFrame) -> DataFrame:
     return rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(changed)))).alias("json"))
 
 
+def legend_document(rows: DataFrame) -> DataFrame:
+    """rows: idx, code, name, rgb, symbol, shown -> (json): entries by idx, null codes and names left
+    out, and the overrides: symbols shown in place of their own."""
+    changed = F.when(F.col("symbol") != F.col("shown"), F.struct(F.col("idx").cast("string"), F.col("shown")))
+    entries = F.sort_array(F.collect_list(F.struct("idx", "code", "name", "rgb", "symbol")))
+    return rows.agg(F.to_json(F.struct(entries.alias("entries"), F.map_from_entries(F.sort_array(F.collect_list(changed))).alias("overrides"))).alias("json"))
+
+
 # fixed values: names of the parameters in the JSON, in order
 PRESET_NAMES = {
     "wb_strength": "wb_strength", "gamma_target": "gamma_target", "rolloff": "rolloff", "nr_luma_r": "luma_radius", "nr_luma_eps": "luma_eps", "nr_chroma_gain": "chroma_gain",
@@ -111,6 +120,37 @@ def preview_size(w: Column, h: Column, cell: int = 6, most: int = 2800) -> tuple
     return F.greatest(F.lit(1), F.floor(w * cell * s)).cast("int"), F.greatest(F.lit(1), F.floor(h * cell * s)).cast("int")
 
 
+def preview_cells(px: DataFrame, cell: int = 6, most: int = 2800) -> DataFrame:
+    """Each cell's rectangle, ends excluded, in the preview; px needs w and h.
+
+    Nearest neighbour: a preview pixel shows the cell under its middle, so the ends follow from
+    arithmetic.  Cells that no middle meets have no row."""
+    width, height = preview_size(F.col("w"), F.col("h"), cell, most)
+    p = px.withColumns({"pw": width.cast("bigint"), "ph": height.cast("bigint")})
+    start = lambda at, size, whole: F.ceil((2 * at * size - whole) / (2 * whole)).cast("int")
+    axis = lambda c, size, whole: (start(F.col(c), F.col(size), F.col(whole)), start(F.col(c) + 1, F.col(size), F.col(whole)))
+    (left, right), (top, bottom) = axis("x", "pw", "w"), axis("y", "ph", "h")
+    p = p.select("img", "y", "x", left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"), "r", "g", "b")
+    return p.where("left < right and top < bottom")
+
+
+def preview_pixels(cells: DataFrame) -> DataFrame:
+    """(img, y, x, r, g, b) of the preview from its rectangles."""
+    rows = cells.withColumn("py", F.explode(F.sequence(F.col("top"), F.col("bottom") - 1)))
+    return rows.withColumn("px", F.explode(F.sequence(F.col("left"), F.col("right") - 1))).select("img", F.col("py").alias("y"), F.col("px").alias("x"), "r", "g", "b")
+
+
+def preview_lines(dims: DataFrame, cell: int = 6, most: int = 2800, bold: int = 10) -> DataFrame:
+    """(img, axis, line, at, bold, stroke): the lines of the scaled grid that lie within the preview."""
+    width, height = preview_size(F.col("w"), F.col("h"), cell, most)
+    scale = F.least(F.lit(1.0), F.least(most / (F.col("w") * cell), most / (F.col("h") * cell)))
+    p = dims.select("img", scale.alias("scale"), F.explode(F.array(F.struct(F.lit("x").alias("axis"), width.alias("size")), F.struct(F.lit("y").alias("axis"), height.alias("size")))).alias("a"))
+    last = F.floor(F.col("a.size") / (cell * F.col("scale"))).cast("int")
+    p = p.select("img", "scale", "a.axis", F.explode(F.sequence(F.lit(0), last)).alias("line"))
+    thick = F.col("line") % bold == 0
+    return p.select("img", "axis", "line", (F.col("line") * cell * F.col("scale")).alias("at"), thick.alias("bold"), F.when(thick, F.greatest(F.lit(1.0), 1.5 * F.col("scale"))).otherwise(F.lit(1.0)).alias("stroke"))
+
+
 def grid_lines(dims: DataFrame, bold: int = 10) -> DataFrame:
     """(img, axis, at, bold) of all grid lines of images (img, w, h)."""
     v = dims.select("img", F.lit("x").alias("axis"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("at"))
@@ -118,14 +158,25 @@ def grid_lines(dims: DataFrame, bold: int = 10) -> DataFrame:
     return v.unionByName(h).withColumn("bold", F.col("at") % bold == 0)
 
 
-def page_plan(dims: DataFrame, page_w: int, page_h: int, overlap: int) -> DataFrame:
-    """(img, page, sx, sy, ex, ey): pages in row order."""
+def cells_on_page(side_mm: Column, margin_mm: float, cell_mm: float) -> Column:
+    """Whole cells along a side of a page, at 72 points an inch."""
+    pt = 72 / 25.4
+    usable = F.round(side_mm * pt) - 2 * margin_mm * pt
+    return F.greatest(F.lit(1), F.floor(usable / max(1.0, cell_mm * pt))).cast("int")
+
+
+def page_plan(dims: DataFrame, page_w: int, page_h: int, overlap: int, legend: bool = False) -> DataFrame:
+    """(img, page, sx, sy, ex, ey): pages in row order; ``legend`` adds a last page without cells."""
     step_x, step_y = max(1, page_w - overlap), max(1, page_h - overlap)
     n = lambda c, s: F.greatest(F.lit(1), F.ceil((F.col(c) - overlap) / s)).cast("int")
     p = dims.withColumns({"nx": n("w", step_x), "ny": n("h", step_y)})
     p = p.withColumn("py", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).withColumn("px", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
     sx, sy = F.col("px") * step_x, F.col("py") * step_y
-    return p.select("img", (F.col("py") * F.col("nx") + F.col("px") + 1).alias("page"), sx.alias("sx"), sy.alias("sy"), F.least(F.col("w"), sx + page_w).alias("ex"), F.least(F.col("h"), sy + page_h).alias("ey"))
+    pages = p.select("img", (F.col("py") * F.col("nx") + F.col("px") + 1).alias("page"), sx.alias("sx"), sy.alias("sy"), F.least(F.col("w"), sx + page_w).alias("ex"), F.least(F.col("h"), sy + page_h).alias("ey"))
+    if not legend:
+        return pages
+    last = dims.select("img", (n("w", step_x) * n("h", step_y) + 1).alias("page"))
+    return pages.unionByName(last, allowMissingColumns=True)
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -133,6 +184,56 @@ def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
+def copied(table: DataFrame, key: str, of: Column, new_key: Column) -> DataFrame:
+    """``table`` and again its rows that meet ``of``, under ``new_key``."""
+    return table.unionByName(table.where(of).withColumn(key, new_key))
+
+
+def deleted(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return table.join(keys.select(key), key, "left_anti")
+
+
+def touched(table: DataFrame, keys: DataFrame, key: str, stamp: str, at: Column) -> DataFrame:
+    """Rows of the keys get ``at`` as their stamp."""
+    hit = keys.select(F.col(key).alias("_hit")).distinct()
+    return table.join(hit, F.col(key) == F.col("_hit"), "left").withColumn(stamp, F.when(F.col("_hit").isNotNull(), at).otherwise(F.col(stamp))).drop("_hit")
+
+
+def symbol_pool(base: DataFrame, more: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """Distinct symbols of two tables (symbol), less those of a third."""
+    pool = base.select("symbol").union(more.select("symbol")).distinct()
+    return pool if without is None else pool.exceptAll(without.select("symbol").distinct())
+
+
+def export_cells(px: DataFrame, palette: DataFrame, cell: int = 16) -> DataFrame:
+    """Each cell's symbol where it is drawn: by the nearest palette color (8-bit), dark on light and light
+    on dark with an outline of the other.  palette: idx, r, g, b, symbol; a null symbol isn't drawn."""
+    near = matching.nearest(px, palette).join(matching.small(palette.select("idx", "symbol")), "idx").where("symbol IS NOT NULL")
+    p = px.join(near.select("r", "g", "b", "symbol"), ["r", "g", "b"])
+    dark = luma709(*(F.col(c) for c in "rgb")) > 140
+    return p.select("img", "y", "x", "symbol", ((F.col("x") + 0.5) * cell).alias("left"), ((F.col("y") + 0.7) * cell).alias("base"), F.when(dark, "black").otherwise("white").alias("ink"), F.when(dark, "white").otherwise("black").alias("outline"))
+
+
+def legend_flow(items: DataFrame, width: float, cell: int = 16) -> DataFrame:
+    """items: pos, parts (widths of symbol, code, name and percent) -> (pos, left, top) below the picture.
+
+    Items follow each other with gaps and wrap at the margin.  A legend has one row per thread, so it
+    is folded in one array."""
+    margin, gap = max(12.0, cell * 0.75), max(8.0, cell * 0.75)
+    swatch, text = max(16.0, cell * 1.2), max(16.0, cell * 1.2)
+    row = float(int(max(swatch, text) + max(6.0, cell * 0.5)))
+    size = F.lit(swatch) + F.aggregate("parts", F.lit(0.0), lambda s, w: s + gap + w)
+    every = items.select("pos", size.alias("size")).agg(F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("items"))
+    start = F.struct(F.lit(margin).alias("at"), F.lit(margin).alias("top"), F.expr("cast(array() as array<struct<pos:int,left:double,top:double>>)").alias("out"))
+
+    def step(s: Column, i: Column) -> Column:
+        wrap = s["at"] + i["size"] > width - margin
+        left, top = F.when(wrap, F.lit(margin)).otherwise(s["at"]), F.when(wrap, s["top"] + row).otherwise(s["top"])
+        return F.struct((left + i["size"] + gap).alias("at"), top.alias("top"), F.concat(s["out"], F.array(F.struct(i["pos"].cast("int").alias("pos"), left.alias("left"), top.alias("top")))).alias("out"))
+
+    return every.select(F.explode(F.aggregate("items", start, step)["out"]).alias("o")).select("o.*")
+
+
 def flow_rows(items: DataFrame, width: int) -> DataFrame:
     """items: pos, size -> also row and left: items are set side by side and wrap at ``width``.
 
