@@ -1,11 +1,16 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass one sets four bits of one 64-bit word per text hash and keeps, of the
-filter, only the bits that were set at least twice.  Pass two probes that
-filter: a row whose four bits were all set twice may be repeated, every other
+Pass one sets three bits per text hash within one block of 32768 bits and keeps, of
+the filter, only the bits that were set at least twice.  Pass two probes that
+filter: a row whose bits were all set twice may be repeated, every other
 row is certainly alone and passes straight through.  Only the possibly repeated
 rows are shuffled by their SHA-256 and grouped exactly, so false positives of
-the filter cost time and never change the result.
+the filter (3 % of the single texts) cost time and never change the result.
+
+The filter grows with the table, eight bits a text.  It is cut into ranges of blocks that
+each fit into a broadcast of FILTER_BYTES (some 65 million texts).  With more than one range
+the rows are written once by range, without a shuffle, and each range is
+probed with its own part of the filter.
 
 Texts are equal when they are identical without white space (blank and
 U+0009-U+000D).  Of equal texts the one with the most code points stays, then
@@ -16,62 +21,83 @@ columns are carried along and never read.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, SPACES, free_name, stored, text_of
 
-#: A filter word per row, 64 bits; four bits of it belong to a text.
-BITS_A_TEXT = 4
-#: Bytes that one row of the filter takes in a broadcast relation, at most.
-FILTER_ROW_BYTES = 48
-
-
-def text_key(text: Column) -> Column:
-    """Lowercase hex SHA-256 of the text without white space."""
-    return F.sha2(F.regexp_replace(text, SPACES, ""), 256)
+#: Bits of a block of the filter (as many as a bitmap aggregate holds), and of a text in it.
+BLOCK_BITS = 1 << 15
+BITS_A_TEXT = 3
+#: Texts that share a block, on average.
+TEXTS_A_BLOCK = BLOCK_BITS // 8
+#: Bytes that a block takes in a broadcast relation, at most, and those of a broadcast.
+BLOCK_BYTES = BLOCK_BITS // 8 + 128
+FILTER_BYTES = BROADCAST_BYTES
 
 
-def _probe(key: Column, words: int) -> tuple[Column, list[Column]]:
-    place = F.xxhash64(key).bitwiseAND(F.lit(words - 1))
-    spread = F.xxhash64(key, F.lit(7))
-    bits = [F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(BITS_A_TEXT)]
-    return place, bits
+class Filter(NamedTuple):
+    """The bits set twice: stored rows (range, block, twice), and how texts are dealt to them."""
 
+    held: DataFrame
+    blocks: int
+    a_range: int
 
-def _mask(bits: list[Column]) -> Column:
-    one = F.lit(1).cast("bigint")
-    out = F.call_function("shiftleft", one, bits[0])
-    for b in bits[1:]:
-        out = out.bitwiseOR(F.call_function("shiftleft", one, b))
-    return out
+    def block(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.blocks))
 
+    def range(self, block: Column) -> Column:
+        return F.floor(block / self.a_range).cast("int")
 
-def twice_set(keys: DataFrame, key: str, words: int) -> DataFrame:
-    """The filter after pass one: (word, twice), the bits set by two rows or more."""
-    place, bits = _probe(F.col(key), words)
-    seen = keys.select(place.alias("word"), F.explode(F.array_distinct(F.array(*bits))).alias("bit"))
-    pairs = seen.groupBy("word", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    one = F.lit(1).cast("bigint")
-    return pairs.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit"))).alias("twice"))
+    @property
+    def ranges(self) -> int:
+        return -(-self.blocks // self.a_range)
 
 
-def twice_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """The stored filter of all ``keys`` (hinted for a broadcast only if its counted rows prove it small) and its
-    number of words.  A larger filter is joined by a shuffle of the keys."""
-    n = keys.count()
-    words = 1 << max(6, (max(n, 1) - 1).bit_length())
-    held = stored(twice_set(keys.select(key), key, words), "exact-filter")
-    return F.broadcast(held) if held.count() * FILTER_ROW_BYTES <= BROADCAST_BYTES else held, words
+def text_key(text: Column) -> Column:
+    """Lowercase hex SHA-256 of the text without white space."""
+    return F.sha2(F.regexp_replace(text, SPACES, ""), 256)
 
 
-def maybe_repeated(rows: DataFrame, key: str, held: DataFrame, words: int, flag: str) -> DataFrame:
-    """``rows`` with a boolean ``flag``: false only where ``key`` surely is unique."""
-    place, bits = _probe(F.col(key), words)
-    word, twice, mask = (free_name(rows, x) for x in ("bf_word", "bf_twice", "bf_mask"))
-    probed = rows.withColumns({word: place, mask: _mask(bits)}).join(held.select(F.col("word").alias(word), F.col("twice").alias(twice)), word, "left")
-    sure = F.coalesce(F.col(twice), F.lit(0).cast("bigint")).bitwiseAND(F.col(mask)) == F.col(mask)
-    return probed.withColumn(flag, sure).drop(word, twice, mask)
+def _places(key: Column) -> list[Column]:
+    spread = F.xxhash64(key, F.lit(7))
+    return [F.shiftrightunsigned(spread, 15 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(BITS_A_TEXT)]
+
+
+def _is_set(bitmap: Column, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.bit_get(byte, (place % 8).cast("int")) == 1
+
+
+def twice_filter(keys: DataFrame, key: str) -> Filter:
+    """The stored filter of all ``keys``."""
+    blocks = max(1, -(-keys.count() // TEXTS_A_BLOCK))
+    made = Filter(keys, blocks, max(1, FILTER_BYTES // BLOCK_BYTES))
+    seen = keys.select(made.block(F.col(key)).alias("block"), F.explode(F.array_distinct(F.array(*_places(F.col(key))))).alias("place"))
+    twice = seen.groupBy("block", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # dealt by block before the bitmaps are made: a bitmap per task and block would be far more than its bits
+    maps = twice.repartition("block").groupBy("block").agg(F.bitmap_construct_agg("place").alias("twice"))
+    return made._replace(held=stored(maps.withColumn("range", made.range(F.col("block"))), "exact-filter"))
+
+
+def maybe_repeated(rows: DataFrame, key: str, held: Filter, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where ``key`` surely is unique.  No row is shuffled."""
+    block, part, twice = (free_name(rows, x) for x in ("bf_block", "bf_range", "bf_twice"))
+    dealt = rows.withColumn(block, held.block(F.col(key)))
+    if held.ranges > 1:
+        dealt = stored(dealt.withColumn(part, held.range(F.col(block))), "exact-ranges", part)
+    out = []
+    for i in range(held.ranges):
+        maps = F.broadcast(held.held.where(F.col("range") == i).select(F.col("block").alias(block), F.col("twice").alias(twice)))
+        probed = (dealt if held.ranges == 1 else dealt.where(F.col(part) == i)).join(maps, block, "left")
+        sure = F.lit(True)
+        for place in _places(F.col(key)):
+            sure = sure & _is_set(F.col(twice), place)
+        out.append(probed.withColumn(flag, F.coalesce(sure, F.lit(False))).select(*rows.columns, flag))
+    return reduce(DataFrame.unionByName, out)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +105,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = text_of(text_col)
     thin = docs.select(F.col(id_col).cast("bigint").alias("id"), F.char_length(text).cast("bigint").alias("len"), text_key(text).alias("sha"), F.monotonically_increasing_id().alias("row"))
     thin = stored(thin, "exact-keys")
-    marked = maybe_repeated(thin, "sha", *twice_filter(thin, "sha"), "maybe")
+    marked = maybe_repeated(thin, "sha", twice_filter(thin, "sha"), "maybe")
     order = F.struct((-F.col("len")).alias("l"), F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("row").alias("r"))
     # written first: a join of two plain exchanges is one that Spark can split at a hot text
     groups = stored(marked.where("maybe").groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")), "exact-groups")
@@ -90,13 +116,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its repeated texts; all columns pass through."""
-    sha, own, flag = (free_name(docs, x) for x in ("ex_sha", "ex_own", "ex_maybe"))
+    sha, own, flag, best = (free_name(docs, x) for x in ("ex_sha", "ex_own", "ex_maybe", "ex_best"))
     text = text_of(text_col)
     order = F.struct((-F.char_length(text)).alias("l"), F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"))
     keyed = docs.withColumns({sha: text_key(text), own: order})
-    keys = stored(docs.select(text_key(text).alias(sha)), "exact-keys")
-    probed = maybe_repeated(keyed, sha, *twice_filter(keys, sha), flag)
-    best = free_name(docs, "ex_best")
-    groups = stored(probed.where(flag).groupBy(sha).agg(F.min(own).alias(best)), "exact-groups")
+    keys = stored(keyed.select(sha, own), "exact-keys")
+    held = twice_filter(keys, sha)
+    # the rows that stay are found on the keys alone
+    groups = stored(maybe_repeated(keys, sha, held, flag).where(flag).groupBy(sha).agg(F.min(own).alias(best)), "exact-groups")
+    probed = maybe_repeated(keyed, sha, held, flag)
     kept = probed.where(flag).join(groups, sha).where(F.col(own).eqNullSafe(F.col(best))).dropDuplicates([sha])
     return probed.where(~F.col(flag)).select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -76,11 +76,35 @@ def test_exact_dedup_of_identical_rows(spark):
 
 def test_filter_never_misses_a_repeat(spark):
     d = spark.range(3000).select(F.col("id").alias("i"), F.concat(F.lit("k"), (F.col("id") % 2900).cast("string")).alias("key"))
-    flags = {r.i: r.maybe for r in exact_dedup.maybe_repeated(d, "key", *exact_dedup.twice_filter(d, "key"), "maybe").collect()}
+    flags = {r.i: r.maybe for r in exact_dedup.maybe_repeated(d, "key", exact_dedup.twice_filter(d, "key"), "maybe").collect()}
     assert all(flags[i] for i in [*range(100), *range(2900, 3000)])
     assert sum(flags.values()) < 400
 
 
+def test_filter_in_ranges_shuffles_no_row_and_changes_nothing(spark, edge, monkeypatch):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("k "), (F.col("id") % 2900).cast("string")).alias("text"))
+    whole, edges = set(exact_dedup.decisions(d).collect()), {r.doc_id for r in exact_dedup.keep_first(edge).collect()}
+    monkeypatch.setattr(exact_dedup, "TEXTS_A_BLOCK", 100)
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 8 * exact_dedup.BLOCK_BYTES)
+    held = exact_dedup.twice_filter(d, "text")
+    assert (held.blocks, held.ranges) == (30, 4)
+    marked = exact_dedup.maybe_repeated(d, "text", held, "maybe")
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 4 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    flags = {r.doc_id: r.maybe for r in marked.collect()}
+    assert len(flags) == 3000 and all(flags[i] for i in [*range(100), *range(2900, 3000)]) and sum(flags.values()) < 400
+    assert set(exact_dedup.decisions(d).collect()) == whole
+    assert len(exact_dedup.keep_first(d).collect()) == 2900
+    monkeypatch.setattr(exact_dedup, "TEXTS_A_BLOCK", 2)
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", exact_dedup.BLOCK_BYTES)
+    assert {r.doc_id for r in exact_dedup.keep_first(edge).collect()} == edges
+
+
+def test_share_of_single_texts_that_the_filter_holds(spark):
+    d = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    assert exact_dedup.maybe_repeated(d, "key", exact_dedup.twice_filter(d, "key"), "maybe").where("maybe").count() < 8000  # 3 % expected
+
+
 # HTML
 
 
