@@ -139,9 +139,13 @@ def _step(colors: DataFrame, centers: np.ndarray) -> list:
 
 def spread_start(colors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
     """Seeded k-means++ start: each next center falls on the color at which the running sum of
-    squared distance times count passes a drawn share."""
+    squared distance times count passes a drawn share.
+
+    The running sum is taken over one total per range of positions, then within the range that
+    holds the share."""
     rng = np.random.default_rng(seed)
-    w = Window.orderBy("pos")
+    colors = colors.repartitionByRange("pos").withColumn("pid", F.spark_partition_id()).cache()
+    w = Window.partitionBy("pid").orderBy("pos")
     centers: list[list[float]] = []
     for i in range(k):
         if not centers:
@@ -150,12 +154,19 @@ def spread_start(colors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
             ds = [sum(((F.col(a) - v) * (F.col(a) - v) for a, v in zip("lab", c, strict=True)), F.lit(0.0)) for c in centers]
             weight = (F.least(*ds) if len(ds) > 1 else ds[0]) * F.col("n")
         mass = colors.withColumn("wt", weight)
-        total = mass.agg(F.sum("wt")).first()[0] or 0.0
-        if not total:
+        parts = sorted(mass.groupBy("pid").agg(F.sum("wt").alias("wt")).collect())
+        upto = np.cumsum([r.wt for r in parts])
+        if not len(parts) or not upto[-1]:
             break
         share = 0.5 if i == 0 else float(rng.random())
-        hit = mass.withColumn("run", F.sum("wt").over(w)).where(F.col("run") >= share * total).orderBy("pos").select("l", "a", "b").first()
+        at = int(np.searchsorted(upto, share * upto[-1]))
+        before = float(upto[at - 1]) if at else 0.0
+        inside = mass.where(F.col("pid") == parts[at].pid).withColumn("run", F.sum("wt").over(w) + before)
+        # rounding may leave the last sum of a range just below the share
+        last = F.coalesce(F.min_by(F.struct("l", "a", "b"), F.when(F.col("run") >= share * upto[-1], F.col("pos"))), F.max_by(F.struct("l", "a", "b"), F.col("pos")))
+        hit = inside.agg(last.alias("c")).first().c
         centers.append([hit.l, hit.a, hit.b])
+    colors.unpersist()
     return np.array(centers)
 
 

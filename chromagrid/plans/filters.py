@@ -313,7 +313,7 @@ def q03_q07_floyd_steinberg(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dithered(f1(spark, d).withColumn("edge", F.col("x") % 5 == 0), _PAL)
 
 
-@query()
+@query(f"WITH {S.F1} SELECT img, y, x, CASE WHEN r + g + b > 384 THEN 1 ELSE 0 END AS idx FROM f1")
 def q04_q08_mapped_colors(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dithered(f1(spark, d), _PAL, "none", nearest=lambda r, g, b: (r + g + b > 384).astype(np.int32))
 
@@ -354,8 +354,7 @@ def q11_q12_q14_grown_palette(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q16_merged_colors(spark: SparkSession, d: str) -> DataFrame:
-    # at most a few hundred palette rows
-    pal = [tuple(r) for r in rasters.swatches(spark, d).orderBy("idx").select("r", "g", "b").limit(256).collect()]
+    pal = [tuple(r) for r in rasters.swatches(spark, d).orderBy("idx").select("r", "g", "b").collect()]
     return spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(kernels.merged_colors(pal, 0.08))], "idx int, r int, g int, b int")
 
 
@@ -376,7 +375,7 @@ def q17_q18_q20_symbols(spark: SparkSession, d: str) -> DataFrame:
     return used.groupBy("img").applyInArrow(run, f"img {used.schema['img'].dataType.simpleString()}, code string, symbol string, unique string")
 
 
-@query()
+@query(f"WITH {S.F3}, {S.TRIO}, {S.IDX} SELECT img, y, x, idx FROM ix")
 def k03_k06_s04_s05_index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     p = index(spark, d)
     files = sinks.index_bytes(p, 3).join(rasters.sizes(p), "img")
@@ -388,12 +387,18 @@ def k17_flow_legend(spark: SparkSession, d: str) -> DataFrame:
     return sinks.flow_rows(rasters.swatches(spark, d).select(F.col("idx").alias("pos"), (F.length("code") * 3 + F.col("idx") % 5).cast("int").alias("size")), 120)
 
 
-@query()
+@query(f"WITH {S.F1} SELECT img, y, x, r, g, b, CASE WHEN r > 120 THEN 255 ELSE 0 END AS alpha FROM f1")
 def k01_k11_planes(spark: SparkSession, d: str) -> DataFrame:
     """Hand-off of a plane and a mask as columns of a table by image."""
     return f1(spark, d).select("img", "y", "x", *(C.byte(C.encoded(C.linear(C.unit(F.col(c))))).alias(c) for c in "rgb"), F.when(F.col("r") > 120, 255).otherwise(0).alias("alpha"))
 
 
+@query(f"WITH {S.F1} SELECT img, y, x, r, g, b FROM f1")
+def s01_s16_k01_k02_png_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Each image as a PNG file's bytes and decoded again."""
+    return rasters.png_pixels(sinks.png_files(f1(spark, d)))
+
+
 @query()
 def k01_k02_png_files(spark: SparkSession, d: str) -> DataFrame:
     return sinks.png_files(f1(spark, d)).select("img", "name", F.length("content").alias("bytes"))

@@ -6,6 +6,11 @@ checked on data that another engine derives too.  Real images come in through
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,56 @@ def read_images(spark: SparkSession, path: str, cap: int = 16_000_000) -> DataFr
     return px.select("img", (F.col("y0") / F.col("step")).cast("int").alias("y"), (F.col("x0") / F.col("step")).cast("int").alias("x"), F.when(gray, at(1)).otherwise(at(3)).alias("r"), F.when(gray, at(1)).otherwise(at(2)).alias("g"), at(1).alias("b"))
 
 
+def png_plane(data: bytes) -> np.ndarray:
+    """(h, w, 3) of a PNG of 8-bit gray, RGB or either with alpha (dropped), without interlace or palette."""
+    w, h, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
+    wide = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind, 0)
+    if depth != 8 or interlace or not wide:
+        raise ValueError(f"PNG of depth {depth}, kind {kind}, interlace {interlace}")
+    body, at = b"", 8
+    while at < len(data):
+        (size,), tag = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+        body += data[at + 8 : at + 8 + size] if tag == b"IDAT" else b""
+        at += size + 12
+    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * wide)
+    out = np.zeros((h, w, wide), np.uint8)
+    up = np.zeros((w, wide), np.int64)
+    for y in range(h):
+        how, row = int(raw[y, 0]), raw[y, 1:].reshape(w, wide).astype(np.int64)
+        if how == 1:
+            row = row.cumsum(axis=0)
+        elif how == 2:
+            row = row + up
+        elif how >= 3:
+            left, corner = np.zeros(wide, np.int64), np.zeros(wide, np.int64)
+            for x in range(w):
+                if how == 3:
+                    guess = (left + up[x]) // 2
+                else:
+                    p = left + up[x] - corner
+                    near = np.abs(np.stack([p - left, p - up[x], p - corner]))
+                    guess = np.choose(near.argmin(axis=0), [left, up[x], corner])
+                left, corner = (row[x] + guess) & 255, up[x]
+                row[x] = left
+        up = row & 255
+        out[y] = up
+    return out[..., :3] if wide > 2 else np.repeat(out[..., :1], 3, axis=2)
+
+
+def png_pixels(files: DataFrame) -> DataFrame:
+    """files: (img, content binary) of PNG -> px, a batch per image; a null content has no pixels."""
+
+    def run(batches):
+        for b in batches:
+            for img, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if data is not None:
+                    p = png_plane(data)
+                    y, x = (v.ravel().astype(np.int32) for v in np.indices(p.shape[:2]))
+                    yield pa.record_batch([pa.array(np.full(len(y), img, np.int64)), pa.array(y), pa.array(x), *(pa.array(p[..., c].ravel().astype(np.int32)) for c in range(3))], names=["img", "y", "x", "r", "g", "b"])
+
+    return files.select(F.col("img").cast("bigint"), "content").mapInArrow(run, "img bigint, y int, x int, r int, g int, b int")
+
+
 def _ch(v: Column) -> Column:
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((v.cast("double") + 0.6) * 212.5))).cast("int")
 

@@ -23,9 +23,12 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 def index_bytes(px: DataFrame, k: int = 256) -> DataFrame:
     """(img, cells, content): one byte per cell in row order, clamped to 0..k-1."""
-    one = F.struct("y", "x", F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(min(k, 256) - 1), F.col("idx")))), 2, "0").alias("h"))
-    got = px.groupBy("img").agg(F.sort_array(F.collect_list(one)).alias("a"))
-    return got.select("img", F.size("a").alias("cells"), F.unhex(F.array_join(F.transform("a", lambda s: s["h"]), "")).alias("content"))
+    one = F.struct("x", F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(min(k, 256) - 1), F.col("idx")))), 2, "0").alias("h"))
+    # a row of the image first, so that an image's group holds a string per row and no struct per cell
+    rows = px.groupBy("img", "y").agg(F.sort_array(F.collect_list(one)).alias("a"))
+    rows = rows.select("img", F.struct("y", F.array_join(F.transform("a", lambda s: s["h"]), "").alias("h")).alias("row"))
+    whole = rows.groupBy("img").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda s: s["h"]), "")).alias("content"))
+    return whole.select("img", F.octet_length("content").alias("cells"), "content")
 
 
 def recolored(px: DataFrame, palette: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,10 @@
 """Files in and out: images, catalogs, logs."""
 
+import struct
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chromagrid.plans import scalars
@@ -16,6 +20,28 @@ def test_png_round_trip(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, px.select("y", "x", "r", "g", "b").collect()))
 
 
+@pytest.mark.parametrize("how", range(5))
+def test_png_filters(how):
+    rgb = np.random.default_rng(how).integers(0, 256, (5, 7, 3)).astype(int)
+    body, none = b"", np.zeros(3, int)
+    for y in range(5):
+        body += bytes([how])
+        for x in range(7):
+            a, b, c = (rgb[y, x - 1] if x else none), (rgb[y - 1, x] if y else none), (rgb[y - 1, x - 1] if x and y else none)
+            paeth = [min((abs(i + j - k - v), n, v) for n, v in enumerate((i, j, k)))[2] for i, j, k in zip(a, b, c, strict=True)]
+            guess = [none, a, b, (a + b) // 2, np.array(paeth)][how]
+            body += ((rgb[y, x] - guess) % 256).astype(np.uint8).tobytes()
+    chunk = lambda tag, data: struct.pack(">I", len(data)) + tag + data + b"\0\0\0\0"
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    assert (rasters.png_plane(data) == rgb).all()
+
+
+def test_png_pixels_of_null_and_odd_files(spark):
+    assert rasters.png_pixels(spark.createDataFrame([(1, None)], "img int, content binary")).count() == 0
+    with pytest.raises(ValueError, match="depth 16"):
+        rasters.png_plane(b"\0" * 16 + struct.pack(">IIBBBBB", 1, 1, 16, 2, 0, 0, 0))
+
+
 def test_large_images_are_sampled_down(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(sinks.png(np.zeros((40, 60, 3), np.uint8)))
     dims = rasters.sizes(rasters.read_images(spark, str(tmp_path), cap=600)).first()

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chromagrid.operators import kernels, matching
+from chromagrid.operators import kernels, matching, metrics
 from chromagrid.sources import catalogs
 
 SHARES = {
@@ -183,3 +183,12 @@ def test_catalog_errors(spark):
     assert (found("ABC"), found("aBC"), found("X")) == ("p/abc.json", "p/abc.json", "p/Abc.json")
     with pytest.raises(Exception, match="no file of brand dmc; tried dmc, DMC, Dmc; at hand: p/Abc.json, p/abc.json"):
         found("dmc")
+
+
+def test_element_at_a_place_of_the_sorted_list(spark):
+    rng = np.random.default_rng(4)
+    lists = {1: rng.random(400), 2: np.zeros(50), 3: np.array([0.25]), 4: np.round(rng.random(300) * 1e-4, 6), 5: np.repeat([0.1, 0.2], [19, 1])}
+    px = spark.createDataFrame([(i, float(v)) for i, vs in lists.items() for v in vs], "img int, v double")
+    got = {r.img: r["at"] for r in metrics.at_place(px, "v", 0.95).collect()}
+    assert got == {i: sorted(vs)[min(int(len(vs) * 0.95), len(vs) - 1)] for i, vs in lists.items()}
+    assert metrics.at_place(px.where("false"), "v", 0.95).count() == 0
