@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, lm_score, minhash, mixing, packing, simhash, substring_dedup, token_counts, toxicity
+from . import alignment, conversations, exact_dedup, html_extract, lm_score, minhash, mixing, packing, simhash, substring_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -80,5 +80,18 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_html_extract": op2_html_extract, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_minhash": op6_minhash, "op7_lm_score": op7_lm_score, "op8_toxicity": op8_toxicity, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repairs(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_html_extract": op2_html_extract, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_minhash": op6_minhash, "op7_lm_score": op7_lm_score, "op8_toxicity": op8_toxicity, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing, "op11_conversation_repair": op11_conversation_repair, "op12_warc": op12_warc, "op13_alignment": op13_alignment}
 SQL = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
