@@ -1,6 +1,7 @@
 """Order-dependent kernels: error diffusion, cleaning in place, palettes built step by step.
 
-Error diffusion is serial within an image and parallel over images.  Palette loops run on
+Error diffusion and cleaning are parallel over images; within one, left-to-right orders go a front of pixels at
+a time, serpentine ones a pixel at a time.  Palette loops run on
 distinct colors with counts; only the few centers are on the driver."""
 
 from __future__ import annotations
@@ -26,26 +27,65 @@ def to_oklab(rgb: np.ndarray) -> np.ndarray:
     return np.cbrt(np.maximum(lin @ np.array(C.LMS).T, 0)) @ np.array(C.OK).T
 
 
-def diffused(plane: np.ndarray, palette: np.ndarray, taps: tuple = FLOYD, cap: float = 1e9, edge: np.ndarray | None = None, serpentine: bool = True, strength: float = 1.0, bounds: tuple[float, float] | None = None, mirror_rows: bool = False) -> np.ndarray:
-    """Index of the nearest palette color of each pixel with its error spread on.
+def diffused(plane: np.ndarray, palette: np.ndarray | None = None, taps: tuple = FLOYD, cap: float = 1e9, edge: np.ndarray | None = None, strength: float = 1.0, bounds: tuple[float, float] | None = None, mirror_rows: bool = False, choose: Callable | None = None) -> np.ndarray:
+    """Serpentine error diffusion: index of the nearest palette color of each pixel with its error spread on.
+    Odd rows go from right to left.
 
+    A row starts where the one before has ended, so no two pixels can be taken at a time; the
+    loop runs on plain floats.  ``bounds`` hold after each addition.  ``choose`` maps the three channels of a pixel to a value and its
+    color, in place of the palette; values are given back.
     ``mirror_rows``: odd passes take row h - 1 - y, which leaves rows of an even height
     untouched (kept for comparison only)."""
     h, w, _ = plane.shape
-    v, out = plane.astype(np.float64).copy(), np.zeros((h, w), np.int32)
+    v, out = plane.astype(np.float64).tolist(), np.zeros((h, w), np.int32)
+    halved = edge.tolist() if edge is not None else None
+    if choose is None:
+        colors = [tuple(map(float, c)) for c in palette]
+
+        def choose(a: float, b: float, c: float) -> tuple[int, tuple[float, float, float]]:
+            k = min(range(len(colors)), key=[(a - p) * (a - p) + (b - q) * (b - q) + (c - r) * (c - r) for p, q, r in colors].__getitem__)
+            return k, colors[k]
+
     for yy in range(h):
-        forward = not serpentine or yy % 2 == 0
+        forward = yy % 2 == 0
         y = h - 1 - yy if mirror_rows and not forward else yy
         for x in range(w) if forward else range(w - 1, -1, -1):
-            k = int(((palette - v[y, x]) ** 2).sum(axis=1).argmin())
+            k, color = choose(*v[y][x])
             out[y, x] = k
-            e = np.clip(v[y, x] - palette[k], -cap, cap) * strength * (0.5 if edge is not None and edge[y, x] else 1.0)
+            share_of = strength * (0.5 if halved is not None and halved[y][x] else 1.0)
+            e = [min(cap, max(-cap, a - b)) * share_of for a, b in zip(v[y][x], color, strict=True)]
             for dx, dy, share in taps:
                 nx, ny = x + (dx if forward else -dx), y + dy
                 if 0 <= nx < w and ny < h:
-                    v[ny, nx] += e * share
-                    if bounds:
-                        v[ny, nx] = np.clip(v[ny, nx], *bounds)
+                    got = [a + b * share for a, b in zip(v[ny][nx], e, strict=True)]
+                    v[ny][nx] = [min(bounds[1], max(bounds[0], a)) for a in got] if bounds else got
+    return out
+
+
+def diffused_in_rows(plane: np.ndarray, palette: np.ndarray, taps: tuple = FLOYD, strength: float = 1.0, read_bounds: tuple[float, float] | None = None) -> np.ndarray:
+    """Error diffusion from left to right in every row, a front of pixels at a time.
+
+    A pixel's error goes to its right and to rows below, one column back at most, so pixels of equal x + 2y don't
+    depend on each other: each front is one numpy step.  A pixel adds up what it gets in the order in which a
+    loop over rows would have brought it, so the result equals that loop's to the bit.  ``read_bounds`` hold
+    when a pixel is read, not when it is added to."""
+    h, w, _ = plane.shape
+    up, left = max(dy for _, dy, _ in taps), max(dx for dx, _, _ in taps)
+    # errors with a margin of zeros around them
+    e = np.zeros((h + up, w + left + 1, 3))
+    out = np.zeros((h, w), np.int32)
+    arriving = sorted(taps, key=lambda t: (-t[1], -t[0]))
+    for front in range(w + 2 * (h - 1)):
+        ys = np.arange(max(0, (front - w + 2) // 2), min(h - 1, front // 2) + 1)
+        xs = front - 2 * ys
+        v = plane[ys, xs].astype(np.float64)
+        for dx, dy, share in arriving:
+            v = v + e[ys - dy + up, xs - dx + left] * share
+        if read_bounds:
+            v = np.clip(v, *read_bounds)
+        k = ((palette[None] - v[:, None]) ** 2).sum(axis=2).argmin(axis=1)
+        out[ys, xs] = k
+        e[ys + up, xs + left] = (v - palette[k]) * strength
     return out
 
 
@@ -53,13 +93,19 @@ def _planes(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([p["r"], p["g"], p["b"]], axis=2).astype(np.float64)
 
 
-def dithered(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "floyd", space: str = "rgb", cap: float = 0.67, strength: float = 1.0, nearest: Callable | None = None) -> DataFrame:
+def dithered(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "floyd", space: str = "rgb", cap: float = 0.67, strength: float | None = None, nearest: Callable | None = None, drop_below: bool = False) -> DataFrame:
     """px(img, y, x, r, g, b[, edge]) -> (img, y, x, idx).  method: none, floyd, atkinson.
 
-    ``nearest``: a Python callable that maps (r, g, b) arrays to palette indices, used instead
-    of diffusion by the palette's distance for method none."""
+    The order of pixels follows from what is asked for.  ``space="oklab"``: left to right in every row, errors
+    whole (no cap, no bounds, ``edge`` is not read).  ``strength`` given: left to right on channels 0..255 that are bounded when
+    read, the error times the strength (0 to 1); ``drop_below`` leaves out the 5/16 that
+    go to the pixel below.  Else serpentine on channels 0..1: errors within ``cap``, halved where ``edge``, bounded
+    after each addition.
+    Method none takes each pixel's nearest color; ``nearest`` may be a Python callable for it that maps (r, g, b)
+    arrays to palette indices."""
     pal = np.array(palette, np.float64)
     edge = "edge" in px.columns
+    taps = FLOYD if method == "floyd" else ATKINSON
 
     def kernel(_: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         rgb = _planes(p)
@@ -69,12 +115,46 @@ def dithered(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "
         if method == "none":
             d = ((v[:, :, None, :] - q[None, None]) ** 2).sum(axis=3)
             return {"idx": d.argmin(axis=2).astype(np.int32)}
-        got = diffused(v, q, FLOYD if method == "floyd" else ATKINSON, cap, p.get("edge"), strength=strength, bounds=None if space == "oklab" else (0.0, 1.0))
-        return {"idx": got}
+        if space == "oklab":
+            return {"idx": diffused_in_rows(v, q, taps)}
+        if strength is not None:
+            used = tuple(t for t in taps if not (drop_below and t[:2] == (0, 1)))
+            return {"idx": diffused_in_rows(rgb, pal, used, min(1.0, max(0.0, strength)), (0.0, 255.0))}
+        return {"idx": diffused(v, q, taps, cap, p.get("edge"), bounds=(0.0, 1.0))}
 
     return by_image(px, kernel, ["r", "g", "b"] + ["edge"] * edge, {"idx": "int"})
 
 
+def dithered_by(px: DataFrame, color: Callable[[float, float, float], tuple[int, int, int]], cap: float = 0.67) -> DataFrame:
+    """Serpentine diffusion with a callable: px(img, y, x, r, g, b[, edge]) -> its colors (img, y, x, r, g, b).
+
+    ``color`` maps the channels 0..1 of a pixel, error included, to a color of channels 0..255; its error is spread
+    like that of a palette."""
+    edge = "edge" in px.columns
+
+    def choose(r: float, g: float, b: float) -> tuple[int, tuple[float, float, float]]:
+        got = color(r, g, b)
+        return got[0] << 16 | got[1] << 8 | got[2], (got[0] / 255.0, got[1] / 255.0, got[2] / 255.0)
+
+    def kernel(_: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        got = diffused(_planes(p) / 255.0, None, FLOYD, cap, p.get("edge"), bounds=(0.0, 1.0), choose=choose)
+        return {"r": got >> 16, "g": got >> 8 & 255, "b": got & 255}
+
+    return by_image(px, kernel, ["r", "g", "b"] + ["edge"] * edge, {"r": "int", "g": "int", "b": "int"})
+
+
+def dither(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "none") -> DataFrame:
+    """Colors (img, y, x, r, g, b) by method: none gives the image back, floyd and atkinson the palette's
+    colors by diffusion in OKLab."""
+    if method == "none":
+        return px.select("img", "y", "x", "r", "g", "b")
+    if method not in ("floyd", "atkinson"):
+        raise ValueError(f"no method {method!r}: none, floyd, atkinson")
+    pal = F.array(*(F.struct(*(F.lit(int(v)).alias(c) for c, v in zip("rgb", p, strict=True))) for p in palette))
+    got = dithered(px, palette, method, "oklab").withColumn("c", F.element_at(pal, F.col("idx") + 1))
+    return got.select("img", "y", "x", *(F.col(f"c.{c}").alias(c) for c in "rgb"))
+
+
 def ordered_tile(size: int = 64, seed: int = 1234567) -> np.ndarray:
     """Threshold tile from a linear congruential sequence, relaxed twice in place."""
     out = np.empty(size * size)
@@ -104,19 +184,23 @@ def ordered(px: DataFrame, amp: float = 0.28) -> DataFrame:
 
 
 def singles_cleaned(idx: np.ndarray, passes: int = 2) -> np.ndarray:
-    """In place, in reading order: a cell without an equal among its eight neighbours takes their
-    commonest color if that occurs twice or more (least color of equals)."""
+    """In place, in reading order: an inner cell without an equal among its eight neighbours takes their
+    commonest color if that occurs twice or more (least color of equals).  Cells of the border stay.
+
+    A cell reads the new values of its left neighbour and of the row above, so cells of equal x + 2y are one numpy step."""
     v = idx.copy()
     h, w = v.shape
-    for _ in range(passes):
-        for y in range(h):
-            for x in range(w):
-                near = v[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].ravel().tolist()
-                near.remove(v[y, x])
-                if v[y, x] not in near and near:
-                    best = min(set(near), key=lambda c: (-near.count(c), c))
-                    if near.count(best) >= 2:
-                        v[y, x] = best
+    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    for _ in range(passes if h > 2 and w > 2 else 0):
+        for front in range(3, w - 2 + 2 * (h - 2) + 1):
+            ys = np.arange(max(1, (front - w + 3) // 2), min(h - 2, (front - 1) // 2) + 1)
+            xs = front - 2 * ys
+            near = np.stack([v[ys + dy, xs + dx] for dy, dx in around], axis=1)
+            votes = (near[:, :, None] == near[:, None, :]).sum(axis=2)
+            most = votes.max(axis=1)
+            best = np.where(votes == most[:, None], near, np.iinfo(near.dtype).max).min(axis=1)
+            alone = ~(near == v[ys, xs][:, None]).any(axis=1) & (most >= 2)
+            v[ys, xs] = np.where(alone, best, v[ys, xs])
     return v
 
 

@@ -308,36 +308,16 @@ def n21_n22_ordered_dither(spark: SparkSession, d: str) -> DataFrame:
 _PAL = [(40, 60, 90), (120, 130, 110), (220, 180, 160), (10, 10, 10), (250, 250, 250)]
 
 
-@query()
-def q03_q07_floyd_steinberg(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.dithered(f1(spark, d).withColumn("edge", F.col("x") % 5 == 0), _PAL)
-
-
 @query(f"WITH {S.F1} SELECT img, y, x, CASE WHEN r + g + b > 384 THEN 1 ELSE 0 END AS idx FROM f1")
 def q04_q08_mapped_colors(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dithered(f1(spark, d), _PAL, "none", nearest=lambda r, g, b: (r + g + b > 384).astype(np.int32))
 
 
-@query()
-def q05_floyd_oklab(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.dithered(f1(spark, d), _PAL, "floyd", "oklab", cap=1e9)
-
-
-@query()
-def q06_atkinson_oklab(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.dithered(f1(spark, d), _PAL, "atkinson", "oklab", cap=1e9)
-
-
 @query()
 def q02_islands(spark: SparkSession, d: str) -> DataFrame:
     return topology.islands(index(spark, d), 3)
 
 
-@query()
-def q09_clean_singles(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.clean_singles(index(spark, d))
-
-
 def _centers(spark: SparkSession, c: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(c)], "idx int, l double, a double, b double")
 

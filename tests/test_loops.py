@@ -26,22 +26,24 @@ def oklab(rgb):
     return [sum(a * b for a, b in zip(row, roots, strict=True)) for row in o]
 
 
-def diffused(plane, palette, method, cap, edge, strength, bounds):
+def diffused(plane, palette, method, cap=1e9, edge=None, strength=1.0, bounds=None, serpentine=False, read=None, without=()):
+    """Index of each pixel, visited one by one; left to right in every row unless serpentine."""
     h, w = len(plane), len(plane[0])
     v = [[list(p) for p in row] for row in plane]
     out = [[0] * w for _ in range(h)]
     for y in range(h):
-        right = y % 2 == 0
+        right = not serpentine or y % 2 == 0
         for i in range(w):
             x = i if right else w - 1 - i
-            ds = [sum((a - b) ** 2 for a, b in zip(v[y][x], p, strict=True)) for p in palette]
+            own = [clip(c, *read) for c in v[y][x]] if read else v[y][x]
+            ds = [sum((a - b) ** 2 for a, b in zip(own, p, strict=True)) for p in palette]
             k = out[y][x] = ds.index(min(ds))
             half = 0.5 if edge is not None and edge[y][x] else 1.0
             for c in range(3):
-                e = clip(v[y][x][c] - palette[k][c], -cap, cap) * strength * half
+                e = clip(own[c] - palette[k][c], -cap, cap) * strength * half
                 for dx, dy, share in SHARES[method]:
                     a, b = x + (dx if right else -dx), y + dy
-                    if 0 <= a < w and b < h:
+                    if (dx, dy) not in without and 0 <= a < w and b < h:
                         v[b][a][c] += e * share
                         if bounds:
                             v[b][a][c] = clip(v[b][a][c], *bounds)
@@ -54,15 +56,24 @@ PALETTE = [(0, 0, 0), (250, 240, 230), (200, 40, 30), (20, 90, 180)]
 
 @given(PLANES, st.sampled_from(["floyd", "atkinson"]), st.sampled_from([1e9, 0.1]), st.booleans(), st.sampled_from([1.0, 0.6]), st.booleans())
 @settings(max_examples=120, deadline=None)
-def test_error_diffusion_pixel_by_pixel(rgb, method, cap, edges, strength, bounded):
+def test_serpentine_diffusion_pixel_by_pixel(rgb, method, cap, edges, strength, bounded):
     edge = rgb[..., 0] % 2 == 0 if edges else None
     bounds = (0.0, 1.0) if bounded else None
     taps = kernels.FLOYD if method == "floyd" else kernels.ATKINSON
-    got = kernels.diffused(rgb / 255.0, np.array(PALETTE) / 255.0, taps, cap, edge, strength=strength, bounds=bounds)
-    want = diffused((rgb / 255.0).tolist(), (np.array(PALETTE) / 255.0).tolist(), method, cap, edge, strength, bounds)
+    got = kernels.diffused(rgb / 255.0, np.array(PALETTE) / 255.0, taps, cap, edge, strength, bounds)
+    want = diffused((rgb / 255.0).tolist(), (np.array(PALETTE) / 255.0).tolist(), method, cap, edge, strength, bounds, serpentine=True)
     assert got.tolist() == want
 
 
+@given(PLANES, st.sampled_from(["floyd", "atkinson"]), st.sampled_from([1.0, 0.6]), st.booleans(), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_fronts_equal_rows_from_left_to_right(rgb, method, strength, bounded, below):
+    taps = tuple(t for t in (kernels.FLOYD if method == "floyd" else kernels.ATKINSON) if below or t[:2] != (0, 1))
+    read = (0.0, 255.0) if bounded else None
+    got = kernels.diffused_in_rows(rgb.astype(float), np.array(PALETTE, float), taps, strength, read)
+    assert got.tolist() == diffused(rgb.tolist(), PALETTE, method, strength=strength, read=read, without=() if below else [(0, 1)])
+
+
 def pixels(spark, seed=3, h=9, w=11, images=2, step=40):
     rng = np.random.default_rng(seed)
     rgb = rng.integers(0, 256, (images, h, w, 3)) // step * step
@@ -70,13 +81,46 @@ def pixels(spark, seed=3, h=9, w=11, images=2, step=40):
     return rgb, spark.createDataFrame(rows, "img int, y int, x int, r int, g int, b int")
 
 
+def indices(df, shape):
+    out = np.full(shape, -1)
+    for r in df.collect():
+        out[r.img, r.y, r.x] = r.idx
+    return out.tolist()
+
+
 @pytest.mark.parametrize("method", ["floyd", "atkinson"])
 def test_dithering_in_oklab_pixel_by_pixel(spark, method):
     rgb, px = pixels(spark)
-    got = {(r.img, r.y, r.x): r.idx for r in kernels.dithered(px, PALETTE, method, "oklab", strength=0.8).collect()}
+    want = [diffused([[oklab(p) for p in row] for row in plane.tolist()], [oklab(p) for p in PALETTE], method) for plane in rgb]
+    assert indices(kernels.dithered(px.withColumn("edge", px.x > 3), PALETTE, method, "oklab"), rgb.shape[:3]) == want
+    back = {(r.img, r.y, r.x): (r.r, r.g, r.b) for r in kernels.dither(px, PALETTE, method).collect()}
+    assert all(back[i, y, x] == PALETTE[want[i][y][x]] for i, y, x in np.ndindex(rgb.shape[:3]))
+
+
+def test_dithering_with_strength_pixel_by_pixel(spark):
+    rgb, px = pixels(spark)
+    for strength, drop in ((0.4, False), (1.0, True)):
+        want = [diffused(plane.tolist(), PALETTE, "floyd", strength=strength, read=(0, 255), without=[(0, 1)] * drop) for plane in rgb]
+        assert indices(kernels.dithered(px, PALETTE, strength=strength, drop_below=drop), rgb.shape[:3]) == want
+    assert indices(kernels.dithered(px, PALETTE, strength=0.0), rgb.shape[:3]) == indices(kernels.dithered(px, PALETTE, "none"), rgb.shape[:3])
+
+
+def test_dithering_by_a_callable_of_the_palette(spark):
+    rgb, px = pixels(spark)
+    px = px.withColumn("edge", px.y % 3 == 0)
+    nearest = lambda *v: min(PALETTE, key=lambda p: sum((a - b / 255.0) ** 2 for a, b in zip(v, p, strict=True)))
+    got = {(r.img, r.y, r.x): (r.r, r.g, r.b) for r in kernels.dithered_by(px, nearest).collect()}
+    edge = [[y % 3 == 0] * rgb.shape[2] for y in range(rgb.shape[1])]
     for i, plane in enumerate(rgb):
-        want = diffused([[oklab(p) for p in row] for row in plane.tolist()], [oklab(p) for p in PALETTE], method, 0.67, None, 0.8, None)
-        assert all(got[i, y, x] == want[y][x] for y in range(len(want)) for x in range(len(want[0])))
+        want = diffused((plane / 255.0).tolist(), (np.array(PALETTE) / 255.0).tolist(), "floyd", 0.67, edge, bounds=(0.0, 1.0), serpentine=True)
+        assert all(got[i, y, x] == PALETTE[want[y][x]] for y in range(len(want)) for x in range(len(want[0])))
+
+
+def test_no_dither_gives_the_image_back(spark):
+    _, px = pixels(spark)
+    assert sorted(kernels.dither(px, PALETTE).collect()) == sorted(px.collect())
+    with pytest.raises(ValueError, match="no method"):
+        kernels.dither(px, PALETTE, "bayer")
 
 
 def test_ordered_dither_pixel_by_pixel(spark):
@@ -101,13 +145,13 @@ def test_ordered_dither_pixel_by_pixel(spark):
 
 def test_singles_cell_by_cell():
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        idx = rng.integers(0, 4, (int(rng.integers(1, 7)), int(rng.integers(1, 7))))
+    for _ in range(200):
+        idx = rng.integers(0, 5, (int(rng.integers(1, 9)), int(rng.integers(1, 9))))
         v = idx.tolist()
         for _ in range(2):
-            for y in range(len(v)):
-                for x in range(len(v[0])):
-                    near = [v[b][a] for b in (y - 1, y, y + 1) for a in (x - 1, x, x + 1) if (a, b) != (x, y) and 0 <= b < len(v) and 0 <= a < len(v[0])]
+            for y in range(1, len(v) - 1):
+                for x in range(1, len(v[0]) - 1):
+                    near = [v[b][a] for b in (y - 1, y, y + 1) for a in (x - 1, x, x + 1) if (a, b) != (x, y)]
                     counts = sorted((-near.count(c), c) for c in set(near))
                     if v[y][x] not in near and counts and counts[0][0] <= -2:
                         v[y][x] = counts[0][1]

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from chromagrid.plans import exports, filters, planes, scalars
+from chromagrid.plans import diffusion, exports, filters, planes, scalars
 
-SQL = scalars.SQL | planes.SQL | filters.SQL | exports.SQL
-QUERIES = scalars.QUERIES | planes.QUERIES | filters.QUERIES | exports.QUERIES
+SQL = scalars.SQL | planes.SQL | filters.SQL | exports.SQL | diffusion.SQL
+QUERIES = scalars.QUERIES | planes.QUERIES | filters.QUERIES | exports.QUERIES | diffusion.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
