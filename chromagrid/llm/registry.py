@@ -84,14 +84,67 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repairs(table(spark, sf_dir, "conversations"), damage=True)
 
 
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+hit AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS kind
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM (SELECT *, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+found AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(lag(role) OVER (PARTITION BY conv ORDER BY i), 1) || left(role, 1) AS two
+  FROM placed),
+edits(q, edit, initial, becomes, cost, r) AS (VALUES
+  (0, 'D', '', '', 3, 0), (1, 'D', '', '', 3, 1), (2, 'D', '', '', 3, 2), (3, 'D', '', '', 3, 3),
+  (0, 'K', 's', '', 0, 1), (0, 'K', 'u', '', 0, 2), (1, 'K', 'u', '', 0, 2), (3, 'K', 'u', '', 0, 2), (2, 'K', 'a', '', 0, 3),
+  (0, 'R', '', 'user', 2, 2), (1, 'R', '', 'user', 2, 2), (3, 'R', '', 'user', 2, 2), (2, 'R', '', 'assistant', 2, 3)),
+inserts(r, cost, audit, lines, q) AS (VALUES
+  (0, 0, '', '', 0), (1, 0, '', '', 1), (2, 0, '', '', 2), (3, 0, '', '', 3), (0, 2, 'I', chr(10) || 'user:', 2), (1, 2, 'I', chr(10) || 'user:', 2), (3, 2, 'I', chr(10) || 'user:', 2),
+  (2, 2, 'I', chr(10) || 'assistant:', 3), (0, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3), (1, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3)),
+step(conv, i, q, best) AS (
+  SELECT conv, 0::BIGINT, q, {'cost': cost::BIGINT, 'audit': audit, 'lines': lines} FROM (SELECT DISTINCT conv_id AS conv FROM conversations), inserts WHERE r = 0
+  UNION ALL
+  SELECT s.conv, s.i + 1, n.q, min({'cost': s.best.cost + e.cost + n.cost + CASE WHEN e.edit <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': s.best.audit || e.edit || n.audit,
+    'lines': s.best.lines || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || e.becomes || ':' || f.text END || n.lines})
+  FROM step s JOIN found f ON f.conv IS NOT DISTINCT FROM s.conv AND f.i = s.i + 1
+  JOIN edits e ON e.q = s.q AND (e.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (e.edit <> 'K' OR e.initial = left(f.role, 1))
+  JOIN inserts n ON n.r = e.r GROUP BY s.conv, s.i + 1, n.q),
+total AS (
+  SELECT c.conv, count(f.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id AS conv FROM conversations) c LEFT JOIN found f ON f.conv IS NOT DISTINCT FROM c.conv GROUP BY c.conv),
+ended AS (SELECT s.conv, min(best) AS best FROM step s JOIN total t ON s.conv IS NOT DISTINCT FROM t.conv AND s.i = t.n WHERE q IN (0, 3) GROUP BY s.conv)
+SELECT t.conv AS conv_id, gaps, blank, duplicate, truncated, illegal, best.cost AS cost, best.audit AS audit, sha256(substr(best.lines, 2)) AS repaired_sha256
+FROM total t JOIN ended e ON t.conv IS NOT DISTINCT FROM e.conv
+"""
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS newest FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN newest <> page_id OR page_id IS NULL AND newest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN newest <> page_id OR page_id IS NULL THEN newest END AS refers_to
+FROM g
+"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_html_extract": op2_html_extract, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_minhash": op6_minhash, "op7_lm_score": op7_lm_score, "op8_toxicity": op8_toxicity, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing, "op11_conversation_repair": op11_conversation_repair, "op12_warc": op12_warc, "op13_alignment": op13_alignment}
-SQL = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_warc": OP12_SQL}
