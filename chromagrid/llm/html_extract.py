@@ -5,14 +5,15 @@ article by kind (menus, headers, footers, asides, forms, scripts and the like) o
 class, id or role says are left out.  Every paragraph earns points for its length and its
 commas; they go to its parent whole, to the next ancestor by half, to the one above by a third,
 and so on; an element's points are discounted by the share of its text that lies in links.
-The best container is kept, with those of its siblings that score well or are long
-paragraphs with few links.  Of what is kept, elements left out by kind or name go; outside of an
-<article> or <main> also lists, tables and boxes that are links by 60 % or more, within one only
-if a doubtful name (DOUBT) says so too.  Paragraphs always stay.
+The best container is kept, widened to the article it lies in, with those of its siblings (or, for
+an article, those of the other articles) that score a fifth of its points or more, and the paragraphs and headings beside them.
+Of what is kept, elements left out by kind or name go; outside of an <article> or <main> also lists, tables
+and boxes that are links by 60 % or more.  Within one, a doubtful name (DOUBT) needs that many links as a second
+sign, paragraphs go by a plain name (OUT) only, and of a <header> the headings stay.
 
 White space of any kind within a block becomes one blank; blocks and line breaks are joined by one
 blank.  A null or empty page, or one without text outside of what is left out, gives an empty text.
-Repeated rows give equal texts; url and further columns are passed through.
+Repeated rows give equal texts; url and further columns are passed through, but for one of the output's name, which it replaces.
 """
 
 from __future__ import annotations
@@ -41,9 +42,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 FENCE = {"ul", "ol", "dl", "table", "select", "body", "html"}
 WHOLE = {"html", "body", "article", "main"}
 #: Names that say an element is no article.
-OUT = re.compile(r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|sidebar|aside|footer|masthead|topbar|breadcrumbs?|crumbs|pagination|pager|comments?|commentlist|disqus|cookies?|consent|gdpr|notice|notices|notification|popup|modal|overlay|subscribe|subscription|newsletter|social|related|recommend\w*|replies|respond|widget|toolbar|rail|foot|login|signup|alert|copyright|complementary|contentinfo|hidden)(?![a-z])")
+OUT = re.compile(r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|sidebar|aside|footer|masthead|topbar|breadcrumbs?|crumbs|pagination|pager|comments?|commentlist|disqus|cookies?|consent|gdpr|notice|notices|notification|popup|modal|overlay|subscribe|subscription|newsletter|social|replies|respond|login|signup|copyright|contentinfo|hidden)(?![a-z])")
 #: Names that say so outside of an article; within one it takes links as a second sign.
-DOUBT = re.compile(r"(?<![a-z])(?:share|sharing|search|tags|legal|disclaimer|header|discussion)(?![a-z])")
+DOUBT = re.compile(r"(?<![a-z])(?:share|sharing|search|tags|legal|disclaimer|header|discussion|related|recommend\w*|widget|toolbar|rail|foot|alert|complementary)(?![a-z])")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 GOOD = re.compile(r"(?<![a-z])(?:article|content|entry|post|story|main|body|text|prose)(?![a-z])")
 POINTS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0}
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "div", "section", "article", "main", "body"}
@@ -119,7 +121,7 @@ def tree(page: str) -> Node:
                 up = up.parent
             if up.tag == "p" and tag not in VOID:
                 node = up.parent
-            elif up.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            elif up.tag in HEADINGS and tag in HEADINGS:
                 node = up.parent
         if tag in ENDS:
             up = node
@@ -128,7 +130,7 @@ def tree(page: str) -> Node:
                     node = up.parent
                 up = up.parent
         good, out, doubt = judged(tag, m[3])
-        new = Node(tag, node, good, out or tag in DROP, doubt)
+        new = Node(tag, node, good, out or tag in DROP and not (tag == "header" and node.within), doubt and tag != "p")
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -185,44 +187,68 @@ def best(order: list[Node]) -> Node | None:
     return max(top, key=lambda x: x.score * (1 - density(x)), default=None)
 
 
-def kept(top: Node) -> list[Node]:
-    """The best container, widened to the article it lies in, and its worthy siblings."""
-    up = top
-    while up is not None:
-        if up.tag in ("article", "main") and density(up) < 0.5:
-            top = up
-            break
-        up = up.parent
+def points(x: Node) -> float:
+    """What paragraphs have given to an element, discounted by its links."""
+    return (x.score - POINTS.get(x.tag, 0.0) - (15.0 if x.good else 0.0)) * (1 - density(x))
+
+
+def article_of(x: Node | None) -> Node | None:
+    """The nearest <article> or <main> around an element (itself, too) that isn't links by half."""
+    while x is not None and not (x.tag in ("article", "main") and density(x) < 0.5):
+        x = x.parent
+    return x
+
+
+def inside(x: Node, y: Node) -> bool:
+    while x is not None and x is not y:
+        x = x.parent
+    return x is y
+
+
+def kept(top: Node, order: list[Node]) -> list[Node]:
+    """The best container, widened to the article it lies in, and its worthy siblings, in page order."""
+    article = article_of(top)
+    top = article or top
+    least = 0.2 * points(top)
+    worthy = lambda x: x is top or density(x) < 0.3 and points(x) >= least
+    if article is not None:
+        every: list[Node] = []
+        for x in order:  # outer ones come first
+            if x.tag == top.tag and x.size and worthy(x) and not any(inside(x, y) for y in every):
+                every.append(x)
+        if len(every) > 1:
+            return every
     if top.parent is None:
         return [top]
-    least, out = max(10.0, 0.2 * top.score * (1 - density(top))), []
+    out = []
     for x in top.parent.kids:
-        if x is top:
-            out.append(x)
-        elif isinstance(x, Node) and not x.out and x.size:
-            long = x.tag == "p" and (x.size >= 80 and density(x) < 0.25)
-            if long or (x.score * (1 - density(x)) - POINTS.get(x.tag, 0.0) >= least and density(x) < 0.3):
+        if isinstance(x, Node) and (x is top or not x.out and x.size):
+            beside = x.tag in HEADINGS | {"p", "pre", "blockquote"} and density(x) < 0.5
+            if beside or x is top or x.tag not in INLINE and worthy(x):
                 out.append(x)
     return out
 
 
 def text_of(nodes: list[Node]) -> str:
     out: list[str] = []
-    stack: list[Node | str] = list(reversed(nodes))
+    #: (element or text, whether it lies in the header of an article and no heading)
+    stack: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(nodes)]
     while stack:
-        x = stack.pop()
+        x, head = stack.pop()
         if isinstance(x, str):
-            out.append(x if "&" not in x else html.unescape(x))
+            if not head:
+                out.append(x if "&" not in x else html.unescape(x))
             continue
         # lists of links are menus outside of an article; within one only by name
         menu = x.doubt if x.within else x.tag in ("ul", "ol", "table", "div", "section")
         if x.out or menu and x.size and density(x) >= 0.6 and x not in nodes:
             continue
+        head = (head or x.tag == "header") and x.tag not in HEADINGS
         gap = x.tag not in INLINE
         if gap:
             out.append(" ")
-            stack.append(" ")
-        stack += list(reversed(x.kids))
+            stack.append((" ", False))
+        stack += [(k, head) for k in reversed(x.kids)]
     return " ".join("".join(out).split())
 
 
@@ -234,7 +260,7 @@ def main_text(page: str | None) -> str:
     if top is None:
         body = next((x for x in order if x.tag == "body"), order[0])
         return text_of([body])
-    return text_of(kept(top))
+    return text_of(kept(top, order))
 
 
 def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -731,3 +731,25 @@ def test_sources_of_uneven_documents_come_within_half_a_draw(spark, sf_dir):
         taken = sum(r.size * r.n_copies for r in group)
         assert abs(taken - group[0].target) <= max(r.size for r in group)
     assert len({r.n_copies for r in rows}) > 1
+
+
+# html extraction: what stays in and beside an article
+
+STORY = "Some long paragraph text, with a comma, that goes on for more than one hundred characters so that it counts as text."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{STORY}</p></div><p>Short para.</p><div><p>{STORY}</p></div>", f"{STORY} Short para. {STORY}"),
+        (f"<div><article><p>{STORY} One</p></article></div><div><article><p>{STORY} Two</p><p>{STORY}</p></article></div>", f"{STORY} One {STORY} Two {STORY}"),
+        (f"<article><p>{STORY}</p><p class='disclaimer'><a href=x>Linked words</a></p></article>", f"{STORY} Linked words"),
+        (f"<article><p>{STORY}</p><section id='related'><h2>Related work</h2><p>Body.</p></section><div class='widget-text'>Wid.</div><p class='alert'>Al.</p></article>", f"{STORY} Related work Body. Wid. Al."),
+        (f"<article><p>{STORY}</p><div class='related'><a href=1>Other page</a></div><div class='ad'>Buy.</div><div class='comments'><p>{STORY}</p></div></article>", STORY),
+        (f"<nav>n</nav><h1>Title</h1><div><p>{STORY}</p><p>{STORY}</p></div><footer>f</footer>", f"Title {STORY} {STORY}"),
+        (f"<header>site</header><article><header><h1>Head</h1><span>by me</span></header><p>{STORY}</p></article>", f"Head {STORY}"),
+        (f"<main><article><p>{STORY}</p></article><div class='related'><a href=1>Other page</a></div></main>", STORY),
+    ],
+)
+def test_text_of_an_article_stays(page, want):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>") == want
