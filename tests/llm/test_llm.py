@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chromagrid.llm import exact_dedup, html_extract, lm_score, minhash, mixing, packing, registry, simhash, substring_dedup, token_counts, toxicity, vocab
+from chromagrid.llm.common import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -74,9 +75,14 @@ def test_exact_dedup_of_identical_rows(spark):
     assert sum(r.kept for r in exact_dedup.decisions(d).collect()) == 1
 
 
+def flagged_by(d, key):
+    dealt = exact_dedup.blocks_of(d.count())
+    return exact_dedup.flagged(stored(d.withColumn("part", dealt.range(F.col(key))), "test-exact", "part"), key, "part", "maybe", dealt)
+
+
 def test_filter_never_misses_a_repeat(spark):
     d = spark.range(3000).select(F.col("id").alias("i"), F.concat(F.lit("k"), (F.col("id") % 2900).cast("string")).alias("key"))
-    flags = {r.i: r.maybe for r in exact_dedup.maybe_repeated(d, "key", exact_dedup.twice_filter(d, "key"), "maybe").collect()}
+    flags = {r.i: r.maybe for r in flagged_by(d, "key").collect()}
     assert all(flags[i] for i in [*range(100), *range(2900, 3000)])
     assert sum(flags.values()) < 400
 
@@ -86,11 +92,15 @@ def test_filter_in_ranges_shuffles_no_row_and_changes_nothing(spark, edge, monke
     whole, edges = set(exact_dedup.decisions(d).collect()), {r.doc_id for r in exact_dedup.keep_first(edge).collect()}
     monkeypatch.setattr(exact_dedup, "TEXTS_A_BLOCK", 100)
     monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 8 * exact_dedup.BLOCK_BYTES)
-    held = exact_dedup.twice_filter(d, "text")
-    assert (held.blocks, held.ranges) == (30, 4)
-    marked = exact_dedup.maybe_repeated(d, "text", held, "maybe")
-    plan = marked._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 4 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    dealt = exact_dedup.blocks_of(3000)
+    assert (dealt.blocks, dealt.ranges) == (30, 4)
+    rows = d.withColumn("part", dealt.range(F.col("text")))
+    maps = exact_dedup.twice_filter(d, "text", dealt)
+    for i in range(4):  # a job holds the filter of one range
+        plan = exact_dedup.probe_plan(rows, "text", "part", "maybe", dealt, maps, i)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    marked = flagged_by(d, "text")
+    assert "Broadcast" not in marked._jdf.queryExecution().executedPlan().toString()
     flags = {r.doc_id: r.maybe for r in marked.collect()}
     assert len(flags) == 3000 and all(flags[i] for i in [*range(100), *range(2900, 3000)]) and sum(flags.values()) < 400
     assert set(exact_dedup.decisions(d).collect()) == whole
@@ -102,7 +112,7 @@ def test_filter_in_ranges_shuffles_no_row_and_changes_nothing(spark, edge, monke
 
 def test_share_of_single_texts_that_the_filter_holds(spark):
     d = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
-    assert exact_dedup.maybe_repeated(d, "key", exact_dedup.twice_filter(d, "key"), "maybe").where("maybe").count() < 8000  # 3 % expected
+    assert flagged_by(d, "key").where("maybe").count() < 8000  # 3 % expected
 
 
 # HTML
