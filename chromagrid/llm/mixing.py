@@ -3,16 +3,19 @@
 The words of each source are summed; a target number of words for each source
 follows from the weights, never above ``most`` times what the source holds, with
 the excess shared again by weight until no source is above its limit.  A document
-of a source with rate r = target / size is emitted floor(r) times and once more
-when a uniform draw, hashed from seed and id, lies below the source's cut, so any
-rerun draws the same copies.  The cut is the fraction of r as a share of words: the
-draws' quantile nearest to it, so that a source of few or uneven documents misses
-its target by half the words of one draw at most, and not by those of sqrt(n)
-documents as with a cut at the fraction itself, to which it tends as n grows.
+of a source with rate r = target / size is emitted floor(r) times and once more with the
+probability r - floor(r) = f.  The draw is hashed from seed, source and id, so any rerun draws the same copies, and it is systematic:
+the documents of a source are ordered by size class (four to a doubling) and hash, and of the first k
+of them floor(u + k f) are taken, u being uniform by the source's hash.  Each document's probability is f, as with
+independent draws, but every class gives its share, so a source misses its target by few of its documents and not by
+sqrt(n) of them.
+
+The order is never made: documents are counted by cell (source, class, range of hashes), a cell knows how many it gives from
+the counts before it, and these are its documents of the least hashes.  A cell holds CELL documents on average, at most.
 
 A null text has no words, a null source is a source of its own (last in order),
 a null id draws like the string of that name.  A source without words has rate 0.
-Rows with equal ids draw alike; of two cuts equally near the lower one is taken.  Further columns are carried along.
+Rows with equal ids and sizes draw alike, so at the border of a cell's share they are all taken.  Further columns are carried along.
 """
 
 from __future__ import annotations
@@ -59,68 +62,70 @@ def proven_small(per: DataFrame) -> bool:
     return n * (SOURCE_ROW_BYTES + longest) <= BROADCAST_BYTES
 
 
-def cuts(draws: DataFrame, per: DataFrame) -> DataFrame:
-    """``per`` with times (whole copies) and cut, from rows of (source, draw, words).
+#: Documents of a cell, on average over all cells of a class.
+CELL = 1 << 20
+#: Hex digits of a hash that make a draw.
+DIGITS = 13
+
+
+def size_class(size: Column) -> Column:
+    """Text that orders sizes by their highest bit and the two below it."""
+    bits = F.bin(size)
+    return F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.rpad(F.substring(bits, 2, 2), 2, "0"))
+
+
+def hashed(seed: str, *parts: Column) -> Column:
+    """Uniform among 0 .. 16 ** DIGITS - 1."""
+    text = F.concat_ws(":", F.lit(seed), *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("bigint")
 
-    The words are summed in the order of draws up to where the sum is nearest to what the
-    fraction asks for: first over parts of PART draws, then within the part in which that lies,
-    so that no source brings more than DRAWS / PART or PART rows together."""
-    near = F.broadcast if proven_small(per) else (lambda df: df)
+
+def with_cells(docs: DataFrame, n: int, seed: str, id_col: Column, source: Column, size: Column, names: dict[str, str]) -> DataFrame:
+    """``docs`` with size, draw, class and range of hashes under ``names``."""
+    ranges = 1 << max(0, -(-n // CELL) - 1).bit_length()
+    out = docs.withColumns({names["size"]: size, names["draw"]: hashed(seed, id_col)})
+    return out.withColumns({names["kind"]: size_class(F.col(names["size"])), names["range"]: F.floor(F.col(names["draw"]) / (16**DIGITS // ranges)).cast("int")})
+
+
+def cells(thin: DataFrame, seed: str, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source, kind, range, source_size, target, times, cut), stored, from rows of (source, size, draw, kind, range): a
+    document of a cell is taken times times, and once more if its draw is ``cut`` or less.  Broadcast if proven small, so that no document moves."""
+    sums = stored(thin.groupBy("source", "kind", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix-cells")
+    per = stored(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per = per.withColumn("times", F.floor(rate)).withColumn("want", (rate - F.col("times")) * F.col("source_size"))
-    asked = per.where("want > 0").select(F.col("source").alias("s"), "want")
-    part = F.floor(F.col("draw") / PART)
-    parts = draws.groupBy("source", part.alias("part")).agg(F.sum("words").alias("words"))
-    parts = parts.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("part")))
-    here = parts.join(near(asked), F.col("source").eqNullSafe(F.col("s"))).where("upto >= want and upto - words < want")
-    here = here.select("s", "want", F.col("part").alias("in_part"), (F.col("upto") - F.col("words")).alias("base"))
-    off = F.abs(F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("draw")) - F.col("want"))
-    fine = draws.join(near(here), F.col("source").eqNullSafe(F.col("s")) & (part == F.col("in_part")))
-    steps = fine.select("s", "want", "in_part", "base", F.struct(off.alias("off"), (F.col("draw") + 1).alias("cut")).alias("step"))
-    best = steps.groupBy("s", "want", "in_part", "base").agg(F.min("step").alias("best"))
-    cut = F.when(F.col("best.off") < F.col("want") - F.col("base"), F.col("best.cut")).otherwise(F.col("in_part") * PART)
-    best = best.select("s", cut.alias("cut"))
-    return per.join(best, per["source"].eqNullSafe(best["s"]), "left").select("source", "source_size", "target", "times", F.coalesce("cut", F.lit(0)).cast("bigint").alias("cut"))
-
-
-def per_source(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """(source, source_size, target, times, cut) from rows of (source, draw, size), stored; it is
-    broadcast, so that no document moves, if it is proven small."""
-    draws = stored(rows.groupBy("source", "draw").agg(F.sum("size").alias("words")), "mix-draws")
-    sizes = draws.groupBy("source").agg(F.sum("words").alias("source_size"))
-    per = stored(targets(sizes, weights, most), "mix-targets")
-    per = stored(cuts(draws, per), "mix-sources")
-    return F.broadcast(per) if proven_small(per) else per
-
-
-#: Values of a draw: four hex digits.
-DRAWS = 1 << 16
-#: Draws of a part in the search for a cut.
-PART = 1 << 8
-
-
-def drawn(id_text: Column, seed: str) -> Column:
-    """Uniform among 0 .. DRAWS - 1: the first four hex digits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_text, F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
+    per = per.withColumn("times", F.floor(rate)).withColumn("f", rate - F.col("times")).withColumn("u", hashed(f"{seed}:source", F.col("source")) / F.lit(float(16**DIGITS))).withColumnRenamed("source", "s")
+    near = F.broadcast if proven_small(per.withColumnRenamed("s", "source")) else (lambda df: df)
+    before = Window.partitionBy("source").orderBy("kind", "range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("k", F.coalesce(F.sum("n").over(before), F.lit(0))).join(near(per), F.col("source").eqNullSafe(F.col("s")))
+    upto = lambda k: F.floor(F.col("u") + k * F.col("f"))
+    placed = stored(placed.select("source", "kind", "range", "source_size", "target", "times", (upto(F.col("k") + F.col("n")) - upto(F.col("k"))).cast("int").alias("m")), "mix-shares")
+    draws = thin.groupBy("source", "kind", "range").agg(F.sort_array(F.collect_list("draw")).alias("draws")).select(F.col("source").alias("s"), F.col("kind").alias("q"), F.col("range").alias("v"), "draws")
+    small = proven_small(placed)
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("kind") == F.col("q")) & (F.col("range") == F.col("v"))
+    cut = F.when(F.col("m") > 0, F.element_at("draws", F.greatest(F.col("m"), F.lit(1)))).otherwise(F.lit(-1)).cast("bigint")
+    out = stored(draws.join(F.broadcast(placed) if small else placed, same).select("source", "kind", "range", "source_size", "target", "times", cut.alias("cut")), "mix-cuts")
+    return F.broadcast(out) if small else out
+
+
+NAMES = {c: c for c in ("size", "draw", "kind", "range")}
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(id, source, size, source_size, target, n_copies) for each row of ``docs``."""
-    draw = drawn(F.col(id_col).cast("string"), seed)
-    thin = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"), draw.alias("draw"))
-    thin = stored(thin, "mix-sizes")
-    per = per_source(thin, weights, most).withColumnRenamed("source", "s")
-    joined = thin.join(per, thin["source"].eqNullSafe(per["s"]), "left")
-    return joined.select("id", "source", "size", "source_size", "target", (F.col("times") + (F.col("draw") < F.col("cut")).cast("bigint")).alias("n_copies"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    thin = stored(with_cells(rows, docs.count(), seed, F.col("id"), F.col("source"), word_count(text_of("text")), NAMES).drop("text"), "mix-sizes")
+    per = cells(thin, seed, weights, most).select(*(F.col(c).alias(f"c_{c}") for c in ("source", "kind", "range")), "source_size", "target", "times", "cut")
+    joined = thin.join(per, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("kind") == F.col("c_kind")) & (F.col("range") == F.col("c_range")), "left")
+    return joined.select("id", "source", "size", "source_size", "target", (F.col("times") + (F.col("draw") <= F.col("cut")).cast("bigint")).alias("n_copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row repeated as the mix asks; columns unchanged."""
-    draw = drawn(F.col(id_col).cast("string"), seed)
-    per = per_source(docs.select(F.col(source_col).alias("source"), draw.alias("draw"), word_count(text_of(text_col)).alias("size")), weights, most)
-    names = {c: free_name(docs, f"mix_{c}") for c in ("source", "times", "cut", "n")}
-    per = per.select(*(F.col(c).alias(names[c]) for c in ("source", "times", "cut")))
-    joined = docs.join(per, docs[source_col].eqNullSafe(per[names["source"]]), "left")
-    n = F.col(names["times"]) + (draw < F.col(names["cut"])).cast("bigint")
-    return joined.withColumn(names["n"], F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    names = {c: free_name(docs, f"mix_{c}") for c in NAMES}
+    own = with_cells(docs, docs.count(), seed, F.col(id_col), F.col(source_col), word_count(text_of(text_col)), names)
+    thin = stored(own.select(F.col(source_col).alias("source"), *(F.col(names[c]).alias(c) for c in NAMES)), "mix-sizes")
+    per = cells(thin, seed, weights, most).select(*(F.col(c).alias(free_name(docs, f"mix_of_{c}")) for c in ("source", "kind", "range", "times", "cut")))
+    source, kind, hashes, times, cut = per.columns
+    joined = own.join(per, F.col(source_col).eqNullSafe(F.col(source)) & (F.col(names["kind"]) == F.col(kind)) & (F.col(names["range"]) == F.col(hashes)), "left")
+    n = F.col(times) + (F.col(names["draw"]) <= F.col(cut)).cast("bigint")
+    return joined.withColumn(free_name(joined, "mix_n"), F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)

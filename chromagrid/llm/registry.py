@@ -35,12 +35,14 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE
         - coalesce(sum(lim) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
         / sum(w) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY lim / w, source NULLS LAST) AS place FROM r),
 t AS (SELECT source, source_size, coalesce(least(lim, w * (SELECT arg_min(level, place) FROM l WHERE level * w <= lim)), 0.0) AS target FROM l),
-j AS (SELECT doc_id, size, d.source, source_size, target, floor(rate)::BIGINT AS times, (rate - floor(rate)) * source_size AS want,
-        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 4))::BIGINT AS draw
-      FROM d JOIN (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t) t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT source, want, draw + 1 AS cut, abs(sum(sum(size)) OVER (PARTITION BY source ORDER BY draw)::DOUBLE - want) AS off FROM j GROUP BY source, want, draw),
-b AS (SELECT source, CASE WHEN min(off) < any_value(want) THEN arg_min(cut, (off, cut)) ELSE 0 END AS cut FROM c GROUP BY source)
-SELECT doc_id, size, source_size, target, size * (times + CASE WHEN draw < cut THEN 1 ELSE 0 END) AS taken FROM j JOIN b ON j.source IS NOT DISTINCT FROM b.source
+p AS (SELECT *, floor(rate)::BIGINT AS times, rate - floor(rate) AS f, ('0x' || substr(md5('mix:source:' || coalesce(source, 'null')), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u
+      FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)),
+j AS (SELECT doc_id, size, source, lpad(length(bin(size))::VARCHAR, 2, '0') || rpad(substr(bin(size), 2, 2), 2, '0') AS kind,
+        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS draw FROM d),
+n AS (SELECT source, kind, list_sort(list(draw)) AS draws, count(*) AS n, sum(count(*)) OVER (PARTITION BY source ORDER BY kind) - count(*) AS k FROM j GROUP BY source, kind),
+c AS (SELECT n.source, kind, source_size, target, times, CASE WHEN floor(u + (k + n) * f) > floor(u + k * f) THEN draws[(floor(u + (k + n) * f) - floor(u + k * f))::BIGINT] ELSE -1 END AS cut
+      FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, size * (times + CASE WHEN draw <= cut THEN 1 ELSE 0 END) AS taken FROM j JOIN c ON j.source IS NOT DISTINCT FROM c.source AND j.kind = c.kind
 """
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

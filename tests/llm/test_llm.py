@@ -732,15 +732,44 @@ def test_taken_words_come_near_their_targets(spark):
     assert all(abs(r.t - r.target) < 0.05 * r.target for r in per)
 
 
-def test_sources_of_uneven_documents_come_within_half_a_draw(spark, sf_dir):
-    rows = mixing.copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
-    per = collections.defaultdict(list)
-    for r in rows:
-        per[r.source].append(r)
-    for group in per.values():
-        taken = sum(r.size * r.n_copies for r in group)
-        assert abs(taken - group[0].target) <= max(r.size for r in group)
-    assert len({r.n_copies for r in rows}) > 1
+def test_sources_of_uneven_documents_come_near_their_targets(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for cell in (mixing.CELL, 20):
+        monkeypatch.setattr(mixing, "CELL", cell)
+        rows = mixing.copies(docs).collect()
+        per = collections.defaultdict(list)
+        for r in rows:
+            per[r.source].append(r)
+        for group in per.values():
+            taken, rate = sum(r.size * r.n_copies for r in group), group[0].target / max(1, group[0].source_size)
+            assert abs(taken - group[0].target) <= 2 * max(r.size for r in group)
+            assert abs(sum(r.n_copies for r in group) - rate * len(group)) <= 1
+        assert len({r.n_copies for r in rows}) > 1
+        assert mixing.mixed(docs).count() == sum(r.n_copies for r in rows)
+
+
+def test_each_document_is_drawn_with_the_probability_of_the_fraction(spark):
+    """900 sources of equal sizes stand for as many seeds; rates are 1.875, 0.75 and 0.375 in turn."""
+    sizes = [1, 1, 2, 3, 3, 5, 8, 13, 21, 34, 55, 200]
+    rows = [(100 * i + j, " ".join(["w"] * n), f"s{i:04d}") for i in range(900) for j, n in enumerate(sizes)]
+    got = {r.id: r.n_copies for r in mixing.copies(frame(spark, rows)).collect()}
+    for turn, rate in enumerate((1.875, 0.75, 0.375)):
+        for j in range(len(sizes)):
+            n = [got[100 * i + j] for i in range(turn, 900, 3)]
+            f = rate % 1
+            assert set(n) <= {int(rate), int(rate) + 1} and abs(sum(n) / 300 - rate) < 3.5 * (f * (1 - f) / 300) ** 0.5
+
+
+def test_reruns_agree(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    once, again = (sorted((r.id, r.n_copies) for r in mixing.copies(d).collect()) for d in (docs, docs.repartition(7)))
+    assert once == again
+
+
+def test_toxicity_replaces_a_column_of_its_name(spark):
+    m = toxicity.train(["good words", "zork zork"] * 20, np.array([0.0, 1.0] * 20), ["en"] * 40)
+    d = spark.createDataFrame([("good words", "old", 1)], "text string, Score string, label int")
+    assert toxicity.scored(d, m).columns == ["text", "label", "score"]
 
 
 # html extraction: what stays in and beside an article
