@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .stencils import along_col, along_row
 
 
@@ -72,42 +73,98 @@ def by_image(px: DataFrame, kernel: Callable[[np.ndarray, dict[str, np.ndarray]]
     return px.select("img", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *ins).groupBy("img").applyInArrow(run, schema)
 
 
+def merged(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of nodes 0 .. n - 1 with edges (u, v): the least node of each one's component."""
+    top = np.arange(n)
+    while True:
+        a, b = top[u], top[v]
+        if (a == b).all():
+            return top
+        # a component hangs itself under its least neighbour, then all paths are shortened
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (top[top] != top).any():
+            top = top[top]
+
+
 def labels(idx: np.ndarray) -> np.ndarray:
-    """4-connected areas, each named by its least cell number: spreading minima along runs."""
+    """4-connected areas, each named by its least cell number: runs are nodes, cells of equal color that lie one above
+    the other are edges."""
     h, w = idx.shape
-    out = np.arange(h * w).reshape(h, w)
-    right, down = idx[:, 1:] == idx[:, :-1], idx[1:] == idx[:-1]
-    while True:
-        old = out.copy()
-        for view, same in ((out, right), (out.T, down.T)):
-            for k in range(1, view.shape[1]):
-                s = same[:, k - 1]
-                view[:, k] = np.where(s, np.minimum(view[:, k], view[:, k - 1]), view[:, k])
-            for k in range(view.shape[1] - 2, -1, -1):
-                s = same[:, k]
-                view[:, k] = np.where(s, np.minimum(view[:, k], view[:, k + 1]), view[:, k])
-        if (old == out).all():
-            return out
-
-
-def cleaned_islands(idx: np.ndarray, below: int, full_border: bool = False) -> np.ndarray:
+    begins = np.ones((h, w), bool)
+    begins[:, 1:] = idx[:, 1:] != idx[:, :-1]
+    run = np.cumsum(begins.ravel()).reshape(h, w) - 1
+    same = idx[1:] == idx[:-1]
+    top = merged(int(run[-1, -1]) + 1 if run.size else 0, run[1:][same], run[:-1][same])
+    return np.flatnonzero(begins.ravel())[top[run]] if run.size else run
+
+
+#: Side of the tiles in which areas are found first; a tile is one group.
+TILE = 1024
+
+
+def _tile_labels(t: pa.Table) -> pa.Table:
+    """Cells of a tile with the place of the first cell of their area within it, row << 32 | column."""
+    y, x, idx = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "idx"))
+    top, left = y.min(), x.min()
+    plane = np.full((y.max() - top + 1, x.max() - left + 1), np.iinfo(np.int64).min)
+    plane[y - top, x - left] = idx
+    first = labels(plane)[y - top, x - left]
+    label = (first // plane.shape[1] + top << 32) + first % plane.shape[1] + left
+    return t.select(["img", "y", "x", "idx"]).append_column("label", pa.array(label))
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(img, u, v) with u > v -> (img, u, v): v is the least node of u's component.
+
+    Rounds of stars: each node's larger neighbours are tied to its least one, then each node's smaller
+    neighbours to the least of them, until no edge changes; the number of rounds grows with the logarithm of the nodes.  Groups are
+    only aggregated, the joins are ones that Spark can split at a node of many edges."""
+    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("img", "u", "v"))).first())
+    e = stored(edges.distinct(), "area-edges")
+    before = None
+    while (now := sign(e)) != before:
+        before = now
+        both = e.unionByName(e.select("img", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("img", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = stored(both.where("v > u").join(least, ["img", "u"]).select("img", F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "area-edges")
+        least = large.groupBy("img", "u").agg(F.min("v").alias("m"))
+        small = large.join(least, ["img", "u"]).where("v <> m").select("img", F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "area-edges")
+    return e
+
+
+def components(px: DataFrame, tile: int = TILE) -> DataFrame:
+    """px(img, y, x, idx) -> also label: the place (row << 32 | column) of the first cell, in reading order, of
+    the 4-connected area of equal idx.  Stored.
+
+    Areas are found within tiles, and where two tiles meet, equal cells tie theirs together.  An image of any size is spread
+    over tasks; of its areas only those that reach a tile's border take part in the joins."""
+    kinds = dict(px.dtypes)
+    cells = px.select("img", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("idx").cast("int").alias("idx"))
+    dealt = cells.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
+    local = stored(dealt.groupBy("img", "ty", "tx").applyInArrow(_tile_labels, f"img {kinds['img']}, y int, x int, idx int, label bigint"), "area-tiles")
+
+    def ties(at: str) -> DataFrame:
+        here = local.where(F.col(at) % tile == 0)
+        there = local.where(F.col(at) % tile == tile - 1).withColumn(at, F.col(at) + 1).withColumnRenamed("label", "other")
+        met = here.join(there, ["img", "y", "x", "idx"]).where("label <> other")
+        return met.select("img", F.greatest("label", "other").alias("u"), F.least("label", "other").alias("v"))
+
+    up = roots(ties("y").unionByName(ties("x"))).withColumnRenamed("u", "label")
+    return stored(local.join(up, ["img", "label"], "left").select("img", "y", "x", "idx", F.coalesce("v", "label").alias("label")), "area-cells")
+
+
+def islands(px: DataFrame, below: int = 2, full_border: bool = False, tile: int = TILE) -> DataFrame:
     """Areas of fewer than ``below`` cells take the commonest color among bordering cells of areas
-    that come later (``full_border``: of all areas); ties: least color & 7, then least color."""
-    lab = labels(idx)
-    h, w = idx.shape
-    size = np.bincount(lab.ravel(), minlength=h * w)
-    votes: dict[int, dict[int, int]] = {}
-    for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
-        a = (slice(max(0, -dy), h - max(0, dy)), slice(max(0, -dx), w - max(0, dx)))
-        b = (slice(max(0, dy), h - max(0, -dy)), slice(max(0, dx), w - max(0, -dx)))
-        hit = (size[lab[a]] < below) & (idx[a] != idx[b]) & ((lab[b] > lab[a]) | full_border)
-        for k, c in zip(lab[a][hit].tolist(), idx[b][hit].tolist(), strict=True):
-            votes.setdefault(k, {})[c] = votes.get(k, {}).get(c, 0) + 1
-    to, moved = np.zeros(h * w, idx.dtype), np.zeros(h * w, bool)
-    for k, v in votes.items():
-        to[k], moved[k] = min(v, key=lambda c: (-v[c], c & 7, c)), True
-    return np.where(moved[lab], to[lab], idx)
-
-
-def islands(px: DataFrame, below: int = 2, full_border: bool = False) -> DataFrame:
-    return by_image(px, lambda _, p: {"idx": cleaned_islands(p["idx"], below, full_border).astype(np.int32)}, ["idx"], {"idx": "int"})
+    that come later in reading order (``full_border``: of all areas); ties: least color & 7, then least color."""
+    cells = components(px, tile)
+    few = cells.groupBy("img", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < below).select("img", "label")
+    small = stored(cells.join(few, ["img", "label"]), "area-islands")
+    around = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))))).alias("at")
+    asked = small.select("img", F.col("label").alias("island"), F.col("idx").alias("own"), around).select("img", "island", "own", "at.y", "at.x")
+    votes = asked.join(cells, ["img", "y", "x"]).where((F.col("idx") != F.col("own")) & (F.lit(full_border) | (F.col("label") > F.col("island"))))
+    votes = votes.groupBy("img", "island", "idx").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("idx").bitwiseAND(F.lit(7)).alias("low"), F.col("idx").alias("idx")))
+    to = votes.groupBy("img", "island").agg(best.alias("best")).select("img", F.col("island").alias("label"), F.col("best.idx").alias("to"))
+    moved = small.join(to, ["img", "label"]).select("img", "y", "x", "to")
+    return cells.join(moved, ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("to", "idx").alias("idx"))

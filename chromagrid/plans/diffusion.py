@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels
+from ..operators import kernels, topology
 from . import sql as S
 from .planes import f1, index
 
@@ -145,9 +145,38 @@ def _cleaned_sql(src: str, out: str) -> str:
 {out} AS MATERIALIZED (SELECT img, y, x, idx FROM {out}_done WHERE t = c AND t >= 0)"""
 
 
-@query(f"WITH RECURSIVE {S.F3}, {S.TRIO}, {S.IDX}, noisy AS (SELECT img, y, x, CASE WHEN (x * 7 + y * 3) % 11 = 0 THEN (idx + 1 + x % 4) % 5 ELSE idx END AS idx FROM ix), {_cleaned_sql('noisy', 'once')}, {_cleaned_sql('once', 'twice')} SELECT * FROM twice")
-def q09_clean_singles(spark: SparkSession, d: str) -> DataFrame:
-    """The index map with cells scattered over it, and cleaned."""
-    p = index(spark, d)
+_NOISY = f"{S.F3}, {S.TRIO}, {S.IDX}, noisy AS (SELECT img, y, x, CASE WHEN (x * 7 + y * 3) % 11 = 0 THEN (idx + 1 + x % 4) % 5 ELSE idx END AS idx FROM ix)"
+
+
+def noisy(spark: SparkSession, d: str) -> DataFrame:
+    """The index map with cells scattered over it."""
     odd = F.when((F.col("x") * 7 + F.col("y") * 3) % 11 == 0, (F.col("idx") + 1 + F.col("x") % 4) % 5).otherwise(F.col("idx"))
-    return kernels.clean_singles(p.withColumn("idx", odd.cast("int")))
+    return index(spark, d).withColumn("idx", odd.cast("int"))
+
+
+@query(f"WITH RECURSIVE {_NOISY}, {_cleaned_sql('noisy', 'once')}, {_cleaned_sql('once', 'twice')} SELECT * FROM twice")
+def q09_clean_singles(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.clean_singles(noisy(spark, d))
+
+
+#: Areas by a closure over runs: part(img, y, x, idx, label), label in reading order.
+_AREAS = """run AS (SELECT *, max(CASE WHEN new THEN x END) OVER (PARTITION BY img, y ORDER BY x) AS x0 FROM (SELECT *, idx IS DISTINCT FROM lag(idx) OVER (PARTITION BY img, y ORDER BY x) AS new FROM noisy)),
+tie AS MATERIALIZED (SELECT DISTINCT a.img, a.y::BIGINT * 65536 + a.x0 AS u, b.y::BIGINT * 65536 + b.x0 AS v FROM run a JOIN run b ON b.img = a.img AND b.x = a.x AND b.y IN (a.y - 1, a.y + 1) AND b.idx = a.idx),
+reach(img, u, v) AS (SELECT DISTINCT img, y::BIGINT * 65536 + x0, y::BIGINT * 65536 + x0 FROM run UNION SELECT r.img, r.u, t.v FROM reach r JOIN tie t ON t.img = r.img AND t.u = r.v),
+part AS (SELECT r.img, y, x, idx, label FROM run r JOIN (SELECT img, u, min(v) AS label FROM reach GROUP BY img, u) l ON l.img = r.img AND l.u = r.y::BIGINT * 65536 + r.x0)"""
+_ISLANDS = """small AS (SELECT img, label FROM part GROUP BY img, label HAVING count(*) < 3),
+vote AS (SELECT a.img, a.label, b.idx, count(*) AS n FROM part a JOIN small USING (img, label) JOIN part b ON b.img = a.img AND abs(b.y - a.y) + abs(b.x - a.x) = 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.idx <> a.idx AND b.label > a.label GROUP BY a.img, a.label, b.idx),
+best AS (SELECT img, label, min({'n': -n, 'low': idx & 7, 'idx': idx}) AS best FROM vote GROUP BY img, label)"""
+
+
+@query(f"WITH RECURSIVE {_NOISY}, {_AREAS}, {_ISLANDS} SELECT img, y, x, coalesce(best.idx, part.idx) AS idx FROM part LEFT JOIN best USING (img, label)")
+def q02_islands(spark: SparkSession, d: str) -> DataFrame:
+    """In tiles of 16 x 16, so that areas cross many of them."""
+    return topology.islands(noisy(spark, d), 3, tile=16)
+
+
+@query(f"WITH RECURSIVE {_NOISY}, {_AREAS} SELECT img, label // 65536 AS y, label % 65536 AS x, count(*) AS cells FROM part GROUP BY img, label")
+def q02_areas(spark: SparkSession, d: str) -> DataFrame:
+    """First cell and size of each area of equal color."""
+    got = topology.components(noisy(spark, d), tile=16).groupBy("img", "label").agg(F.count(F.lit(1)).alias("cells"))
+    return got.select("img", F.shiftright("label", 32).alias("y"), F.col("label").bitwiseAND(F.lit(0xFFFFFFFF)).alias("x"), "cells")

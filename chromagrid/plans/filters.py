@@ -313,11 +313,6 @@ def q04_q08_mapped_colors(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dithered(f1(spark, d), _PAL, "none", nearest=lambda r, g, b: (r + g + b > 384).astype(np.int32))
 
 
-@query()
-def q02_islands(spark: SparkSession, d: str) -> DataFrame:
-    return topology.islands(index(spark, d), 3)
-
-
 def _centers(spark: SparkSession, c: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(c)], "idx int, l double, a double, b double")
 

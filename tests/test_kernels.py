@@ -37,9 +37,7 @@ def test_labels_equal_flood_fill(idx):
     assert (topology.labels(idx) == flood(idx)).all()
 
 
-@given(planes(), st.integers(1, 4))
-@settings(max_examples=150, deadline=None)
-def test_islands_follow_reading_order(idx, below):
+def cleaned(idx, below, full):
     lab = flood(idx)
     h, w = idx.shape
     want = idx.copy()
@@ -49,11 +47,57 @@ def test_islands_follow_reading_order(idx, below):
             votes = {}
             for y, x in cells:
                 for c, d in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-                    if 0 <= c < h and 0 <= d < w and idx[c, d] != idx[y, x] and lab[c, d] > k:
+                    if 0 <= c < h and 0 <= d < w and idx[c, d] != idx[y, x] and (full or lab[c, d] > k):
                         votes[idx[c, d]] = votes.get(idx[c, d], 0) + 1
             if votes:
                 want[lab == k] = min(votes, key=lambda c: (-votes[c], c & 7, c))
-    assert (topology.cleaned_islands(idx, below) == want).all()
+    return want
+
+
+def spiral(n):
+    """A winding corridor of ones: one area through all tiles."""
+    out, y, x, dy, dx = np.zeros((n, n), int), 0, 0, 0, 1
+    out[0, 0] = 1
+    free = lambda y, x: 0 <= y < n and 0 <= x < n and not out[y, x]
+    while True:
+        ahead = free(y + dy, x + dx) and (not (0 <= y + 2 * dy < n and 0 <= x + 2 * dx < n) or not out[y + 2 * dy, x + 2 * dx])
+        if not ahead:
+            dy, dx = dx, -dy
+            if not (free(y + dy, x + dx) and not (0 <= y + 2 * dy < n and 0 <= x + 2 * dx < n and out[y + 2 * dy, x + 2 * dx])):
+                return out
+        y, x = y + dy, x + dx
+        out[y, x] = 1
+
+
+@pytest.fixture(scope="module")
+def images():
+    rng = np.random.default_rng(6)
+    return [spiral(17), np.zeros((9, 12), int), np.arange(6).reshape(2, 3), np.indices((8, 9)).sum(axis=0) % 2] + [rng.integers(0, int(rng.integers(2, 5)), tuple(rng.integers(1, 14, 2))) for _ in range(25)]
+
+
+def frame(spark, images):
+    return spark.createDataFrame([(i, y, x, int(m[y, x])) for i, m in enumerate(images) for y, x in np.ndindex(m.shape)], "img int, y int, x int, idx int")
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_areas_over_tiles_equal_flood_fill(spark, images, tile):
+    assert (spiral(17) == 1).sum() > 100 and len(np.unique(flood(spiral(17))[spiral(17) == 1])) == 1
+    got = [np.full(m.shape, -1) for m in images]
+    for r in topology.components(frame(spark, images), tile).collect():
+        got[r.img][r.y, r.x] = (r.label >> 32) * images[r.img].shape[1] + (r.label & 0xFFFFFFFF)
+    assert all((g == flood(m)).all() for g, m in zip(got, images, strict=True))
+
+
+@pytest.mark.parametrize(("tile", "below", "full"), [(4, 3, False), (5, 4, True), (1024, 2, False)])
+def test_islands_follow_reading_order(spark, images, tile, below, full):
+    got = [np.full(m.shape, -1) for m in images]
+    for r in topology.islands(frame(spark, images), below, full, tile).collect():
+        got[r.img][r.y, r.x] = r.idx
+    assert all((g == cleaned(m, below, full)).all() for g, m in zip(got, images, strict=True))
+
+
+def test_no_cells_no_areas(spark, images):
+    assert topology.islands(frame(spark, images).where("false"), 3).count() == 0
 
 
 def test_error_diffusion_keeps_the_mean_and_visits_all_rows():
