@@ -119,9 +119,15 @@ def a14_hex_statistics(spark: SparkSession, d: str) -> DataFrame:
     return matching.hex_statistics(rasters.blocky_images(spark, d), 12)
 
 
-@query("SELECT brand, code, name, r, g, b FROM (VALUES ('ONE', '1', 'b', 4, 5, 6), ('ONE', '2', 'c', 7, 8, 9), ('TWO', '1', NULL, 255, 0, 16)) t(brand, code, name, r, g, b)")
+@query("""WITH p AS (SELECT upper(replace(p_brand, '#', '-')) AS brand, p_partkey AS k FROM part), c AS (SELECT brand, (k % 12)::VARCHAR AS code, k, (k * 7 % 256)::INT AS r, (k * 13 % 256)::INT AS g, (k * 29 % 256)::INT AS b FROM p)
+SELECT brand, code, 'n' || k AS name, r, g, b FROM c QUALIFY row_number() OVER (PARTITION BY brand, code ORDER BY k DESC) = 1""")
 def s07_strict_colors(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.createDataFrame([("p/one.json", '{"colors":[{"code":"1","name":"a","rgb":"010203"},{"code":"1","name":"b","rgb":"#040506"},{"code":"2","name":"c","rgb":"070809"}]}'), ("p/x.json", '{"id":"two","colors":[{"code":"1","rgb":"#FF0010"}]}')], "path string, json string")
+    """A catalog per brand, its colors from its parts; of equal codes the last wins."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.regexp_replace("p_brand", "#", "-").alias("brand"), F.col("p_partkey").alias("k"))
+    k = F.col("k")
+    color = F.format_string('{"code":"%d","name":"n%d","rgb":"%s%02X%02X%02X"}', k % 12, k, F.when(k % 2 == 0, "#").otherwise(""), k * 7 % 256, k * 13 % 256, k * 29 % 256)
+    each = p.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct(k, color.alias("c")))).alias("cs"))
+    docs = each.select(F.concat(F.lit("p/"), "brand", F.lit(".json")).alias("path"), F.concat(F.lit('{"colors":['), F.array_join(F.col("cs.c"), ","), F.lit("]}")).alias("json"))
     return catalogs.strict_colors(catalogs.catalogs(docs))
 
 

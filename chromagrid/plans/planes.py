@@ -103,12 +103,12 @@ def _morph(src: str, c: str) -> str:
 _CB, _CR = S.fit("(-0.168736*r-0.331264*g+0.5*b+128)"), S.fit("(0.5*r-0.418688*g-0.081312*b+128)")
 
 
-@query(f"""WITH {S.F6}, {S.LUMA6}, vr AS (SELECT * FROM {_var_sql('lum')}), q AS (SELECT quantile_cont(round(var7, 9), 0.5) AS qt FROM vr), k AS (SELECT img, y, x, (r > 95 AND g > 40 AND b > 20 AND greatest(r,g,b)-least(r,g,b) > 15 AND abs(r-g) > 15 AND r > g AND r > b AND {_CR} BETWEEN 133 AND 173 AND {_CB} BETWEEN 77 AND 127)::INT AS skin,
+@query(f"""WITH {S.F6}, {S.LUMA6}, vr AS (SELECT * FROM {_var_sql('lum')}), q AS (SELECT img, quantile_cont(round(var7, 9), 0.5) AS qt FROM vr GROUP BY img), k AS (SELECT img, y, x, (r > 95 AND g > 40 AND b > 20 AND greatest(r,g,b)-least(r,g,b) > 15 AND abs(r-g) > 15 AND r > g AND r > b AND {_CR} BETWEEN 133 AND 173 AND {_CB} BETWEEN 77 AND 127)::INT AS skin,
  (hue BETWEEN 190 AND 250 AND (t - n)/greatest(t, 1e-9) BETWEEN 0.1 AND 0.8 AND t >= 0.55 AND round(var7, 9) <= qt)::INT AS sky FROM (SELECT *, greatest(r,g,b)/255.0 AS t, least(r,g,b)/255.0 AS n,
- CASE WHEN greatest(r,g,b) = least(r,g,b) THEN 0.0 WHEN r >= g AND r >= b THEN (g-b)/(greatest(r,g,b)-least(r,g,b))::DOUBLE + CASE WHEN g < b THEN 6 ELSE 0 END WHEN g >= b THEN (b-r)/(greatest(r,g,b)-least(r,g,b))::DOUBLE + 2 ELSE (r-g)/(greatest(r,g,b)-least(r,g,b))::DOUBLE + 4 END * 60 AS hue FROM vr), q)
+ CASE WHEN greatest(r,g,b) = least(r,g,b) THEN 0.0 WHEN r >= g AND r >= b THEN (g-b)/(greatest(r,g,b)-least(r,g,b))::DOUBLE + CASE WHEN g < b THEN 6 ELSE 0 END WHEN g >= b THEN (b-r)/(greatest(r,g,b)-least(r,g,b))::DOUBLE + 2 ELSE (r-g)/(greatest(r,g,b)-least(r,g,b))::DOUBLE + 4 END * 60 AS hue FROM vr) JOIN q USING (img))
 SELECT img, y, x, skin = 1 AS skin, sky = 1 AS sky FROM {_morph(_morph('k', 'skin'), 'sky')}""".replace("CASE WHEN greatest(r,g,b) = least(r,g,b)", "60 * (CASE WHEN greatest(r,g,b) = least(r,g,b)").replace("+ 4 END * 60 AS hue", "+ 4 END) AS hue"))
 def f04_f05_n04_skin_sky(spark: SparkSession, d: str) -> DataFrame:
-    p = stencils.local_variance(linear_luma(rasters.scene(spark)), "luma").withColumn("var7", F.round("var7", 9))
+    p = stencils.local_variance(linear_luma(rasters.scenes(spark, d)), "luma").withColumn("var7", F.round("var7", 9))
     return masks.sky(masks.skin(p)).select("img", "y", "x", "skin", "sky")
 
 
@@ -252,11 +252,12 @@ def j09_k07_legend(spark: SparkSession, d: str) -> DataFrame:
     return matching.legend(p, e, sym, "TST")
 
 
-@query(f"""WITH {S.F4}, p AS (SELECT 0 AS img, i AS px, j AS py, i * 36 AS sx, j * 26 AS sy, least(240, i * 36 + 40) AS ex, least(136, j * 26 + 30) AS ey FROM range(7) t(i), range(6) u(j) WHERE i < ceil(236 / 36.0) AND j < ceil(132 / 26.0))
-SELECT px AS page_x, py AS page_y, count(*) AS cells, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(r)::BIGINT AS sum_r FROM p JOIN f4 ON x >= sx AND x < ex AND y >= sy AND y < ey GROUP BY ALL""")
+@query(f"""WITH {S.F1}, n AS (SELECT img, w, h, greatest(1, ceil((w - 4) / 16.0))::INT AS nx, greatest(1, ceil((h - 4) / 11.0))::INT AS ny FROM (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM f1 GROUP BY img)),
+p AS (SELECT img, i AS px, j AS py, i * 16 AS sx, j * 11 AS sy, least(w, i * 16 + 20) AS ex, least(h, j * 11 + 15) AS ey FROM n, (SELECT unnest(range(5000)) AS j) u, (SELECT unnest(range(6)) AS i) t WHERE i < nx AND j < ny)
+SELECT p.img, px AS page_x, py AS page_y, count(*) AS cells, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(r)::BIGINT AS sum_r FROM p JOIN f1 ON f1.img = p.img AND x >= sx AND x < ex AND y >= sy AND y < ey GROUP BY p.img, px, py""")
 def j07_page_cells(spark: SparkSession, d: str) -> DataFrame:
-    p = matching.pages_of_cells(stencils.with_size(rasters.checkerboard(spark)), 40, 30, 4)
-    return p.groupBy("page_x", "page_y").agg(F.count(F.lit(1)).alias("cells"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.sum("r").alias("sum_r"))
+    p = matching.pages_of_cells(stencils.with_size(f1(spark, d)), 20, 15, 4)
+    return p.groupBy("img", "page_x", "page_y").agg(F.count(F.lit(1)).alias("cells"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.sum("r").alias("sum_r"))
 
 
 @query(f"WITH {S.F1}, s AS (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM f1 GROUP BY img), n AS (SELECT *, greatest(1, ceil((w - 2) / 18.0))::INT AS nx, greatest(1, ceil((h - 2) / 13.0))::INT AS ny FROM s) SELECT img, (j * nx + i + 1)::INT AS page, i * 18 AS sx, j * 13 AS sy, least(w, i * 18 + 20) AS ex, least(h, j * 13 + 15) AS ey FROM n, range(9) t(i), range(30) u(j) WHERE i < nx AND j < ny")

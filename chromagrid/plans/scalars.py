@@ -100,16 +100,17 @@ def p12_p13_p34_luma_ycbcr(spark: SparkSession, d: str) -> DataFrame:
     return rasters.embedding_images(spark, d).select("img", "y", "x", F.round(C.luma709(*rgb()), 6).alias("l709"), C.luma709_int(*rgb()).alias("li"), F.round(C.luma601(*rgb()), 6).alias("l601"), cb.alias("cb"), cr.alias("cr"), C.symbol_ink(*rgb()).alias("ink"))
 
 
-@query("""WITH v AS (SELECT i, i / 100.0 AS v, ['SRGB','BT2020_PQ','BT2020_HLG','DISPLAY_P3'][i % 4 + 1] AS space FROM range(301) t(i)),
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, i, i / 100.0 AS v, ['SRGB','BT2020_PQ','BT2020_HLG','DISPLAY_P3'][l_suppkey % 4 + 1] AS space FROM (SELECT *, l_partkey % 301 AS i FROM lineitem)),
 w AS (SELECT *, power(greatest(v, 0.0), 1 / (2523.0/32)) AS p, 0.17883277 AS a FROM v),
 k AS (SELECT *, CASE WHEN v <= 1 THEN v ELSE 1 + (v-1)/(1+(v-1)/3) END AS knee FROM w)
-SELECT i, round(power(greatest(p - 3424.0/4096, 0.0)/(2413.0/128 - 2392.0/128*p), 1/(2610.0/16384)) * (10000.0/203), 4) AS pq,
+SELECT l_orderkey, l_linenumber, i, round(power(greatest(p - 3424.0/4096, 0.0)/(2413.0/128 - 2392.0/128*p), 1/(2610.0/16384)) * (10000.0/203), 4) AS pq,
  round(CASE WHEN v <= 0.5 THEN v*v/3 ELSE (exp((v - (0.5 - a*ln(4*a)))/a) + (1-4*a))/12 END, 6) AS hlg, round(knee, 6) AS knee, round(CASE WHEN space LIKE 'BT2020%' THEN greatest(0.0, least(1.0, knee)) ELSE v END, 6) AS toned, space LIKE 'BT2020%' AS applied,
  NOT (space = 'SRGB') AS icc FROM k WHERE i <= 100 OR i > 100""".replace("round(power(greatest(p -", "round(CASE WHEN i > 100 THEN 0 ELSE power(greatest(p -").replace("* (10000.0/203), 4)", "* (10000.0/203) END, 4)"))
 def p16_p17_p18_p19_s03_hdr(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.range(301).select(F.col("id").alias("i"), (F.col("id") / 100.0).alias("v"), F.element_at(F.array(*map(F.lit, ("SRGB", "BT2020_PQ", "BT2020_HLG", "DISPLAY_P3"))), (F.col("id") % 4 + 1).cast("int")).alias("space"))
+    v = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("i", F.col("l_partkey") % 301)
+    v = v.select("l_orderkey", "l_linenumber", "i", (F.col("i") / 100.0).alias("v"), F.element_at(F.array(*map(F.lit, ("SRGB", "BT2020_PQ", "BT2020_HLG", "DISPLAY_P3"))), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("space"))
     toned, applied = C.tonemapped(F.col("v"), F.col("space"))
-    return v.select("i", F.round(F.when(F.col("i") > 100, 0.0).otherwise(C.pq_to_linear(F.col("v"))), 4).alias("pq"), F.round(C.hlg_to_linear(F.col("v")), 6).alias("hlg"), F.round(C.soft_knee(F.col("v")), 6).alias("knee"), F.round(toned, 6).alias("toned"), applied.alias("applied"), C.icc_confident(F.col("space")).alias("icc"))
+    return v.select("l_orderkey", "l_linenumber", "i", F.round(F.when(F.col("i") > 100, 0.0).otherwise(C.pq_to_linear(F.col("v"))), 4).alias("pq"), F.round(C.hlg_to_linear(F.col("v")), 6).alias("hlg"), F.round(C.soft_knee(F.col("v")), 6).alias("knee"), F.round(toned, 6).alias("toned"), applied.alias("applied"), C.icc_confident(F.col("space")).alias("icc"))
 
 
 @query(f"""WITH {S.F1}, bc AS (SELECT img, y, x, {', '.join(S.fit(f'(({c} - 128.0) * (259.0 * 275.0 / (255.0 * 239.0)) + 128.0 + 25.5)') + f' AS {c}1, {S.fit(f"(power({c} / 255.0, 1 / 1.8) * 255.0)")} AS {c}2, {S.fit(f"({c} + (128.0 - {c}) * 0.3)")} AS {c}3, floor(({c} + 255) / 2)::INT AS {c}4, ({c} + g) // 2 AS {c}5' for c in 'rgb')} FROM f1) SELECT * FROM bc""")
@@ -148,10 +149,11 @@ def p29_p30_p31_p32_k13_sizes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("k", gw.alias("gw"), gh.alias("gh"), F.round(C.physical_cm(c("w"), c("k") % 20), 6).alias("cm"), F.round(C.thread_metres(c("w"), F.lit(14.0), F.lit(2.0), F.lit(10.0)), 6).alias("metres"), F.round(ratio, 6).alias("ratio"), F.round(sigma, 6).alias("sigma"), pw.alias("pw"), ph.alias("ph"))
 
 
-@query(f"WITH {S.F6}, o AS (SELECT unnest(range(1, 10))::INT AS o) SELECT o, y AS sy, x AS sx, CASE o WHEN 2 THEN 63 - x WHEN 3 THEN 63 - x WHEN 5 THEN y WHEN 6 THEN 47 - y WHEN 7 THEN 47 - y WHEN 8 THEN y ELSE x END AS nx, CASE o WHEN 3 THEN 47 - y WHEN 4 THEN 47 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 63 - x WHEN 8 THEN 63 - x ELSE y END AS ny FROM f6, o")
+@query(f"""WITH {S.F1}, dim AS (SELECT img, max(x) AS mx, max(y) AS my FROM f1 GROUP BY img), o AS (SELECT unnest(range(1, 10))::INT AS o) SELECT img, o, y AS sy, x AS sx, CASE o WHEN 2 THEN mx - x WHEN 3 THEN mx - x WHEN 5 THEN y WHEN 6 THEN my - y WHEN 7 THEN my - y WHEN 8 THEN y ELSE x END AS nx,
+ CASE o WHEN 3 THEN my - y WHEN 4 THEN my - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN mx - x WHEN 8 THEN mx - x ELSE y END AS ny FROM f1 JOIN dim USING (img), o""")
 def s02_exif_orientation(spark: SparkSession, d: str) -> DataFrame:
-    p = resample.with_size(rasters.scene(spark)).withColumns({"sy": F.col("y"), "sx": F.col("x")})
-    parts = [resample.oriented(p, o).select(F.lit(o).alias("o"), "sy", "sx", F.col("x").alias("nx"), F.col("y").alias("ny")) for o in range(1, 10)]
+    p = resample.with_size(rasters.embedding_images(spark, d)).withColumns({"sy": F.col("y"), "sx": F.col("x")})
+    parts = [resample.oriented(p, o).select("img", F.lit(o).alias("o"), "sy", "sx", F.col("x").alias("nx"), F.col("y").alias("ny")) for o in range(1, 10)]
     out = parts[0]
     for q in parts[1:]:
         out = out.unionByName(q)
@@ -238,9 +240,10 @@ def k20_t04_recent(spark: SparkSession, d: str) -> DataFrame:
     return catalogs.newest(e, "what", F.col("event_id"), 2, ["user_id"]).select("user_id", "what", "at", "rank")
 
 
-@query("SELECT i::INT AS at, (regexp_extract_all('●○■□▲△▼▽◆◇★☆✚✖✦✧◐◑◒◓◔◕◼◻◈◉◍◎⬟⬢⬣⬤ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', '.'))[i % 94 + 1] || repeat('''', i // 94) AS symbol FROM range(250) t(i)")
+@query("SELECT p_partkey, i::INT AS at, (regexp_extract_all('●○■□▲△▼▽◆◇★☆✚✖✦✧◐◑◒◓◔◕◼◻◈◉◍◎⬟⬢⬣⬤ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', '.'))[i % 94 + 1] || repeat('''', (i // 94)::INT) AS symbol FROM (SELECT p_partkey, p_partkey % 250 AS i FROM part)")
 def q19_t05_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(250).select(F.col("id").cast("int").alias("at"), sinks.symbols(F.col("id")).alias("symbol"))
+    p = spark.read.parquet(f"{d}/part.parquet").withColumn("i", F.col("p_partkey") % 250)
+    return p.select("p_partkey", F.col("i").cast("int").alias("at"), sinks.symbols(F.col("i")).alias("symbol"))
 
 
 @query("WITH h AS (SELECT max(c_custkey) // 2 AS half FROM customer), n AS (SELECT c_custkey + half AS c_custkey, 'new' AS c_name, 0.0 AS c_acctbal FROM customer, h) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n")

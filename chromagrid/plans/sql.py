@@ -17,10 +17,9 @@ def _ch(k: int) -> str:
 F1 = f"""f1 AS (SELECT img, y::INT AS y, x::INT AS x, {_ch(0)} AS r, {_ch(21)} AS g, {_ch(42)} AS b FROM
  (SELECT label AS img, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, embedding AS e, unnest(range(64)) AS x FROM embeddings))"""
 F3 = f"""{F1}, f3 AS (SELECT a.img, a.y, a.x, s.r, s.g, s.b FROM f1 a JOIN f1 s ON s.img = a.img AND s.y = a.y // 6 AND s.x = a.x // 6)"""
-F6 = """f6 AS (SELECT 0 AS img, y, x, CASE WHEN y < 20 THEN 80 + x // 2 WHEN x BETWEEN 16 AND 47 AND y BETWEEN 24 AND 44 THEN 200 + x % 8 ELSE 40 + (x * 7 + y * 13) % 40 END AS r,
- CASE WHEN y < 20 THEN 140 + y WHEN x BETWEEN 16 AND 47 AND y BETWEEN 24 AND 44 THEN 140 + y % 8 ELSE 90 + (x * 5 + y * 3) % 50 END AS g,
- CASE WHEN y < 20 THEN 230 WHEN x BETWEEN 16 AND 47 AND y BETWEEN 24 AND 44 THEN 110 ELSE 50 END AS b
- FROM (SELECT (i % 64)::INT AS x, (i // 64)::INT AS y FROM range(3072) t(i)))"""
+F6 = f"""{F1}, f6 AS (SELECT img, y, x, CASE WHEN y < 20 THEN 80 + x // 2 + r % 3 WHEN x BETWEEN 16 AND 47 AND y BETWEEN 24 AND 44 THEN 200 + r % 8 ELSE 40 + r % 40 END AS r,
+ CASE WHEN y < 20 THEN 140 + y + g % 3 WHEN x BETWEEN 16 AND 47 AND y BETWEEN 24 AND 44 THEN 140 + g % 8 ELSE 90 + g % 50 END AS g,
+ CASE WHEN y < 20 THEN 230 + b % 3 WHEN x BETWEEN 16 AND 47 AND y BETWEEN 24 AND 44 THEN 110 + b % 4 ELSE 50 END AS b FROM f1)"""
 F4 = """f4 AS (SELECT 0 AS img, y, x, v AS r, v AS g, v AS b FROM (SELECT x, y, CASE WHEN (x // 6 + y // 6) % 2 = 0 THEN 0 ELSE 255 END AS v FROM
  (SELECT (i % 240)::INT AS x, (i // 240)::INT AS y FROM range(32640) t(i))))"""
 F5 = """sw AS (SELECT 'TST' AS brand, p_brand AS code, i::INT AS idx, (i * 53 % 256)::INT AS r, (i * 97 % 256)::INT AS g, (i * 193 % 256)::INT AS b FROM

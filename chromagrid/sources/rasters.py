@@ -99,16 +99,15 @@ def blocky_images(spark: SparkSession, d: str) -> DataFrame:
     return cells.join(src, ["img", "sy", "sx"]).select("img", "y", "x", "r", "g", "b")
 
 
-def scene(spark: SparkSession) -> DataFrame:
-    """A small picture with sky, skin and texture, by arithmetic alone."""
-    p = spark.range(64 * 48).select((F.col("id") % 64).cast("int").alias("x"), F.floor(F.col("id") / 64).cast("int").alias("y"))
+def scenes(spark: SparkSession, d: str) -> DataFrame:
+    """The embedding images with sky above, a patch of skin and texture below; their own channels are its noise."""
+    p = embedding_images(spark, d)
     x, y = F.col("x"), F.col("y")
     sky, skin = y < 20, x.between(16, 47) & y.between(24, 44)
-    half = F.floor(x / 2).cast("int")
-    r = F.when(sky, 80 + half).when(skin, 200 + x % 8).otherwise(40 + (x * 7 + y * 13) % 40)
-    g = F.when(sky, 140 + y).when(skin, 140 + y % 8).otherwise(90 + (x * 5 + y * 3) % 50)
-    b = F.when(sky, 230).when(skin, 110).otherwise(50)
-    return p.select(F.lit(0).alias("img"), "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
+    r = F.when(sky, 80 + F.floor(x / 2) + F.col("r") % 3).when(skin, 200 + F.col("r") % 8).otherwise(40 + F.col("r") % 40)
+    g = F.when(sky, 140 + y + F.col("g") % 3).when(skin, 140 + F.col("g") % 8).otherwise(90 + F.col("g") % 50)
+    b = F.when(sky, 230 + F.col("b") % 3).when(skin, 110 + F.col("b") % 4).otherwise(50)
+    return p.select("img", "y", "x", *(v.cast("int").alias(c) for v, c in ((r, "r"), (g, "g"), (b, "b"))))
 
 
 def checkerboard(spark: SparkSession, w: int = 240, h: int = 136, cell: int = 6) -> DataFrame:
