@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
@@ -208,22 +208,29 @@ def clean_singles(px: DataFrame) -> DataFrame:
     return by_image(px, lambda _, p: {"idx": singles_cleaned(p["idx"]).astype(np.int32)}, ["idx"], {"idx": "int"})
 
 
-def counted_colors(px: DataFrame) -> DataFrame:
-    """(l, a, b, n) of distinct colors: what palette loops work on."""
-    one = px.groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("img", "y", "x")).alias("pos"))
-    return one.select("n", "pos", *(v.alias(k) for k, v in zip("lab", C.oklab(F.col("r"), F.col("g"), F.col("b"), True), strict=True)))
+def counted_colors(px: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(l, a, b, n, w) of distinct colors: what palette loops work on.  n: cells; w: their importance, or n."""
+    w = F.sum(weight) if weight is not None else F.count(F.lit(1)).cast("double")
+    one = px.groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"), w.alias("w"), F.min(F.struct("img", "y", "x")).alias("pos"))
+    return one.select("n", "w", "pos", *(v.alias(k) for k, v in zip("lab", C.oklab(F.col("r"), F.col("g"), F.col("b"), True), strict=True)))
 
 
-def _step(colors: DataFrame, centers: np.ndarray) -> list:
-    """Per center: weighted sums, weight and error of the colors nearest to it."""
-    d = F.array(*[sum(((F.col(k) - float(v)) * (F.col(k) - float(v)) for k, v in zip("lab", c, strict=True)), F.lit(0.0)) for c in centers])
-    near = colors.withColumn("d", d).withColumn("m", F.array_min("d")).withColumn("c", F.array_position("d", F.col("m")) - 1)
-    return near.groupBy("c").agg(F.sum("n").alias("n"), *(F.sum(F.col(k) * F.col("n")).alias(k) for k in "lab"), F.sum(F.col("m") * F.col("n")).alias("err")).collect()
+def _distances(centers: np.ndarray) -> Column:
+    return F.array(*[sum(((F.col(k) - float(v)) * (F.col(k) - float(v)) for k, v in zip("lab", c, strict=True)), F.lit(0.0)) for c in centers])
+
+
+def _step(colors: DataFrame, centers: np.ndarray, moved: np.ndarray | None = None) -> list:
+    """Per center: sums of l, a, b by importance (l, a, b), importance w, cells n and error by importance, of the colors nearest
+    to it.  ``moved``: where the error is measured to, if not to ``centers``."""
+    near = colors.withColumn("d", _distances(centers)).withColumn("m", F.array_min("d")).withColumn("c", F.array_position("d", F.col("m")) - 1)
+    if moved is not None:
+        near = near.withColumn("m", F.element_at(_distances(moved), (F.col("c") + 1).cast("int")))
+    return near.groupBy("c").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), *(F.sum(F.col(k) * F.col("w")).alias(k) for k in "lab"), F.sum(F.col("m") * F.col("w")).alias("err")).collect()
 
 
 def spread_start(colors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
     """Seeded k-means++ start: each next center falls on the color at which the running sum of
-    squared distance times count passes a drawn share.
+    squared distance times importance passes a drawn share.
 
     The running sum is taken over one total per range of positions, then within the range that
     holds the share."""
@@ -233,10 +240,10 @@ def spread_start(colors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
     centers: list[list[float]] = []
     for i in range(k):
         if not centers:
-            weight = F.col("n").cast("double")
+            weight = F.col("w")
         else:
             ds = [sum(((F.col(a) - v) * (F.col(a) - v) for a, v in zip("lab", c, strict=True)), F.lit(0.0)) for c in centers]
-            weight = (F.least(*ds) if len(ds) > 1 else ds[0]) * F.col("n")
+            weight = (F.least(*ds) if len(ds) > 1 else ds[0]) * F.col("w")
         mass = colors.withColumn("wt", weight)
         parts = sorted(mass.groupBy("pid").agg(F.sum("wt").alias("wt")).collect())
         upto = np.cumsum([r.wt for r in parts])
@@ -254,34 +261,74 @@ def spread_start(colors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
     return np.array(centers)
 
 
-def k_means(px: DataFrame, k: int, rounds: int = 6, seed: int = 1) -> np.ndarray:
-    """Centers (k, 3) in OKLab by Lloyd's rounds on distinct colors; an empty cluster stays put."""
-    colors = counted_colors(px).cache()
-    centers = spread_start(colors, k, seed)
+def oversampled_start(colors: DataFrame, k: int, seed: int = 1, rounds: int = 4) -> np.ndarray:
+    """Seeded start by oversampling: a fixed number of passes, whatever ``k``.
+
+    Each round draws every color with the probability 2 k w d2 / (sum of w d2), d2 being its squared distance to
+    what is drawn already, by a hash of seed, round and place; then the drawn colors, weighted by the importance of the colors
+    nearest to them (some 2 k a round, on the driver), are thinned to k by the same rule one at a time."""
+    colors = colors.cache()
+    first = colors.orderBy("pos").first()
+    centers = np.array([[first.l, first.a, first.b]])
+    for r in range(rounds):
+        d = colors.withColumn("d", F.array_min(_distances(centers)) * F.col("w"))
+        total = d.agg(F.sum("d")).first()[0]
+        if not total:
+            break
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(r), "pos"), 11) / float(1 << 53)
+        got = d.where(u < F.col("d") * (2.0 * k / total)).orderBy("pos").select("l", "a", "b").collect()
+        centers = np.vstack([centers, *([[x.l, x.a, x.b]] for x in got)])
+    weight = np.zeros(len(centers))
+    for row in _step(colors, centers):
+        weight[row.c] = row.w
+    colors.unpersist()
+    rng, d = np.random.default_rng(seed), np.ones(len(centers))
+    chosen: list[int] = []
+    while len(chosen) < min(k, len(centers)):
+        mass = np.cumsum(weight * d)
+        if not mass[-1]:
+            break
+        at = int(np.searchsorted(mass, (0.5 if not chosen else rng.random()) * mass[-1]))
+        chosen.append(min(at, len(centers) - 1))
+        far = ((centers - centers[chosen[-1]]) ** 2).sum(axis=1)
+        d = np.minimum(d, far) if len(chosen) > 1 else far
+    return centers[chosen]
+
+
+def k_means(px: DataFrame, k: int, rounds: int = 6, seed: int = 1, weight: Column | None = None, start: np.ndarray | None = None, oversample: bool = False) -> np.ndarray:
+    """Centers (k, 3) in OKLab by Lloyd's rounds on distinct colors; an empty cluster stays put.  ``start``: centers to begin
+    with; else spread_start, or oversampled_start with ``oversample``."""
+    colors = counted_colors(px, weight).cache()
+    centers = np.array(start, np.float64) if start is not None else (oversampled_start if oversample else spread_start)(colors, k, seed)
     for _ in range(rounds):
         for row in _step(colors, centers):
-            centers[row.c] = [row.l / row.n, row.a / row.n, row.b / row.n]
+            centers[row.c] = [row.l / row.w, row.a / row.w, row.b / row.w]
     colors.unpersist()
     return centers
 
 
-def grown_palette(px: DataFrame, start: int = 4, most: int = 8, rounds: int = 64, least_gain: float = 0.01, apart: float = 0.03, seed: int = 1) -> np.ndarray:
-    """Greedy growth: the cluster of the worst mean error gives a new center at its weighted mean,
-    both are refined on all colors, close centers are pushed apart; ends when the mean gain of the last
-    five steps falls below ``least_gain``."""
-    colors = counted_colors(px).cache()
-    centers, before, gains = spread_start(colors, start, seed), None, []
+def grown_palette(px: DataFrame, start: int = 4, most: int = 8, rounds: int = 64, least_gain: float = 0.01, apart: float = 0.03, seed: int = 1, weight: Column | None = None, centers: np.ndarray | None = None) -> np.ndarray:
+    """Greedy growth: the cluster of the worst error per cell gives a new center at its weighted mean, both are refined on all
+    colors, the error is taken, and close centers are pushed apart; ends when the mean gain of the last five steps falls below
+    ``least_gain``.
+
+    ``weight``: importance of a cell.  The worst cluster is looked for with the colors still dealt to the centers as they were before
+    the push, and errors measured to where they are after it.  ``centers``: to begin with, in place of a drawn start."""
+    colors = counted_colors(px, weight).cache()
+    centers = spread_start(colors, start, seed) if centers is None else np.array(centers, np.float64)
+    dealt, before, gains = centers, None, []
     for _ in range(rounds):
         if len(centers) >= most:
             break
-        rows = _step(colors, centers)
+        rows = _step(colors, dealt, centers)
         worst = max(rows, key=lambda r: (r.err / r.n, -r.c))
-        centers = np.vstack([centers, [worst.l / worst.n, worst.a / worst.n, worst.b / worst.n]])
+        centers = np.vstack([centers, [worst.l / worst.w, worst.a / worst.w, worst.b / worst.w]])
         two = centers[[worst.c, len(centers) - 1]]
         for row in _step(colors, two):
-            centers[[worst.c, len(centers) - 1][row.c]] = [row.l / row.n, row.a / row.n, row.b / row.n]
+            centers[[worst.c, len(centers) - 1][row.c]] = [row.l / row.w, row.a / row.w, row.b / row.w]
+        dealt = centers.copy()
+        error = sum(r.err for r in _step(colors, dealt))
         centers = pushed_apart(centers, apart)
-        error = sum(r.err for r in _step(colors, centers))
         gains.append(1.0 if before is None else before - error)
         before = error
         if np.mean(gains[-5:]) < least_gain:

@@ -1,11 +1,15 @@
 """Nearest-color and catalog matching.
 
 Pixels are many and colors few: colors are made distinct first, matched against the
-palette, and joined back.  Palettes and catalogs have at most a few thousand rows (checked by
-``small``) and are broadcast; anything larger is joined without a hint."""
+palette, and joined back.  Large palettes get an index of the color cube.  Catalogs of at most a few thousand rows (checked by
+``small``) are broadcast; anything larger is joined without a hint."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +30,74 @@ def with_oklab(df: DataFrame, prefix: str = "ok", clamped: bool = True) -> DataF
     return df.withColumns({f"{prefix}_{n}": v for n, v in zip("lab", lab, strict=True)})
 
 
+#: Entries from which a palette gets an index of the color cube, and entries of a part of it.
+CUBE_FROM, CUBE_ENTRIES = 128, 1 << 20
+
+
+def cell_box(cell: int, bits: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest keys of the colors in a cell of the cube, ``bits`` bits a channel."""
+    side = 256 >> bits
+    low = np.array([cell >> k * bits & (1 << bits) - 1 for k in (2, 1, 0)], np.float64) * side
+    if metric == "rgb":
+        return low, low + side - 1
+    unit = (low[:, None] + np.arange(side)) / 255.0
+    linear = np.where(unit <= 0.04045, unit / 12.92, ((unit + 0.055) / 1.055) ** 2.4)
+    every = np.stack(np.meshgrid(*linear, indexing="ij"), axis=-1).reshape(-1, 3)
+    keys = np.cbrt(every @ np.array(C.LMS).T) @ np.array(C.OK).T
+    return keys.min(axis=0), keys.max(axis=0)
+
+
+def possible(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Places of the entries that can be nearest to something in a box: no farther from it, at best, than some entry is
+    at worst.  Distances are rounded to 12 digits before ties are looked at, hence the margin."""
+    worst = (np.maximum(np.abs(keys - low), np.abs(keys - high)) ** 2).sum(axis=1).min()
+    return np.flatnonzero((np.maximum(np.maximum(low - keys, keys - high), 0) ** 2).sum(axis=1) <= worst + 1e-9)
+
+
+def cube_index(own: DataFrame, pal: DataFrame, names: list[str], metric: str) -> DataFrame:
+    """(cell, pal): for each of the 32,768 cells of the color cube that ``own`` has a color in, the palette entries that can be
+    nearest there, found within those of the 512 larger cells around them.
+
+    The entries go to the tasks as one array, CUBE_ENTRIES at most (32 MB); ``pal`` is such a part of a palette."""
+    rows = pal.select("idx", *names).collect()
+    sent = own.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], np.float64).reshape(len(rows), 3)))
+    entry = pa.struct([("idx", pa.int64()), *((n, pa.float64()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idx, keys = sent.value
+        around: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
+        for batch in batches:
+            cells, lists = [], []
+            for coarse, cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if coarse != around[0]:
+                    around = coarse, possible(keys, *cell_box(coarse, 3, metric))
+                at = around[1][possible(keys[around[1]], *cell_box(cell, 5, metric))]
+                cells.append(cell)
+                lists.append(at)
+            sizes = np.cumsum([0, *map(len, lists)])
+            at = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            flat = pa.StructArray.from_arrays([pa.array(idx[at]), *(pa.array(keys[at, k]) for k in range(3))], fields=list(entry))
+            yield pa.record_batch([pa.array(cells, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["cell", "pal"])
+
+    cells = own.select(_coarse().alias("coarse"), _cell().alias("cell")).distinct()
+    dealt = cells.repartition("coarse").sortWithinPartitions("coarse", "cell")
+    return dealt.mapInArrow(run, f"cell int, pal array<struct<idx: bigint, {', '.join(f'{n}: double' for n in names)}>>")
+
+
+def _cell() -> Column:
+    return (F.shiftleft(F.shiftright("r", 3), 10) + F.shiftleft(F.shiftright("g", 3), 5) + F.shiftright("b", 3)).cast("int")
+
+
+def _coarse() -> Column:
+    return (F.shiftleft(F.shiftright("r", 5), 6) + F.shiftleft(F.shiftright("g", 5), 3) + F.shiftright("b", 5)).cast("int")
+
+
 def nearest(colors: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataFrame:
     """(r, g, b, idx, d): for each distinct color the palette row of least squared distance,
-    the first of equals.  metric: rgb (8-bit) or oklab."""
+    the first of equals.  metric: rgb (8-bit) or oklab.
+
+    A palette of up to CUBE_FROM entries is one array that each color looks through; of a larger one a color
+    looks at the entries only that can be nearest in its cell of the color cube.  No row is made for a pair."""
     own = colors.select(*RGB).distinct()
     keys, pal = RGB, palette.select("idx", *RGB)
     if metric == "oklab":
@@ -36,15 +105,23 @@ def nearest(colors: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataF
     pal = pal.select("idx", *(F.col(c).alias(f"p_{c}") for c in keys))
     exact = (lambda d: F.round(d, 12)) if metric == "oklab" else (lambda d: d)
     mine = tuple(F.col(c) for c in keys)
-    # the palette is cut into arrays of about SMALL entries: a color meets an array, no row is made for a pair
-    blocks = max(1, -(-palette.count() // SMALL))
-    arrays = pal.groupBy(F.pmod(F.xxhash64("idx"), F.lit(blocks).cast("bigint")).alias("block")).agg(F.collect_list(F.struct(*pal.columns)).alias("pal"))
     near = F.array_min(F.transform("pal", lambda p: F.struct(exact(C.squared(mine, tuple(p[f"p_{c}"] for c in keys))).alias("d"), p["idx"].alias("idx"))))
-    met = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))) if blocks > 1 else own.withColumn("block", F.lit(0).cast("bigint"))
-    best = met.join(F.broadcast(arrays) if blocks == 1 else arrays, "block").select(*RGB, near.alias("m"))
-    if blocks > 1:
-        best = best.groupBy(*RGB).agg(F.min("m").alias("m"))
-    return best.select(*RGB, F.col("m.idx").alias("idx"), F.col("m.d").alias("d"))
+    n = palette.count()
+    if n <= CUBE_FROM:
+        best = own.join(F.broadcast(pal.agg(F.collect_list(F.struct(*pal.columns)).alias("pal"))), F.lit(True)).select(*RGB, near.alias("m"))
+    else:
+        names, parts = [f"p_{c}" for c in keys], -(-n // CUBE_ENTRIES)
+        found = []
+        for i in range(parts):  # a palette has 2 ** 24 colors at most
+            index = cube_index(own, pal.where(F.pmod(F.xxhash64("idx"), F.lit(parts)) == i), names, metric)
+            found.append(own.withColumn("cell", _cell()).join(index, "cell").select(*RGB, near.alias("m")))
+        best = found[0]
+        for more in found[1:]:
+            best = best.unionByName(more)
+        best = best.groupBy(*RGB).agg(F.min("m").alias("m")) if parts > 1 else best
+    kind = palette.schema["idx"].dataType
+    whole = "long" if metric == "rgb" else "double"
+    return best.where("m IS NOT NULL").select(*RGB, F.col("m.idx").cast(kind).alias("idx"), F.col("m.d").cast(whole).alias("d"))
 
 
 def indexed(px: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataFrame:

@@ -211,13 +211,35 @@ def test_presets_add_up_on_a_canvas(spark):
     assert abs(r.luma_eps - 0.0018) < 1e-12 and rows["OLD_SCAN"].wb_strength == 0.7 and rows["AUTO_BALANCED+SMALL_CANVAS"].skin_tone_smooth == 0.35
 
 
-def test_nearest_colors_of_a_palette_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("metric", ["rgb", "oklab"])
+def test_nearest_colors_by_the_cube_equal_a_full_scan(spark, monkeypatch, metric):
     from chromagrid.operators import matching
 
-    pal = spark.createDataFrame([(i, i * 7 % 256, i * 31 % 256, i * 13 % 256) for i in range(40)], "idx int, r int, g int, b int")
-    px = spark.createDataFrame([(i * 5 % 256, i * 11 % 256, i * 17 % 256) for i in range(60)], "r int, g int, b int")
-    for metric in ("rgb", "oklab"):
-        whole = sorted(matching.nearest(px, pal, metric).collect())
-        with monkeypatch.context() as m:
-            m.setattr(matching, "SMALL", 7)
-            assert sorted(matching.nearest(px, pal, metric).collect()) == whole
+    rng = np.random.default_rng(3)
+    own, pal = rng.integers(0, 256, (700, 3)), rng.integers(0, 256, (400, 3))
+    pal[200:260] = pal[:60]  # equal entries: the first counts
+    own[:100] = pal[100:200]
+    px = spark.createDataFrame([tuple(map(int, c)) for c in own], "r int, g int, b int")
+    palette = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(pal)], "idx int, r int, g int, b int")
+    with monkeypatch.context() as m:
+        m.setattr(matching, "CUBE_FROM", 1000)
+        whole = sorted(matching.nearest(px, palette, metric).collect())
+    assert sorted(matching.nearest(px, palette, metric).collect()) == whole
+    monkeypatch.setattr(matching, "CUBE_ENTRIES", 150)
+    assert sorted(matching.nearest(px, palette, metric).collect()) == whole
+    a, b = (v.astype(float) if metric == "rgb" else kernels.to_oklab(v.astype(float)) for v in (own, pal))
+    d = ((a[:, None] - b[None]) ** 2).sum(axis=2).round(12)
+    want = {tuple(c): int(k) for c, k in zip(own.tolist(), d.argmin(axis=1), strict=True)}
+    assert {(r.r, r.g, r.b): r.idx for r in whole} == want
+
+
+def test_a_palette_entry_that_can_be_nearest_is_never_left_out():
+    from chromagrid.operators import matching
+
+    rng = np.random.default_rng(8)
+    pal = kernels.to_oklab(rng.integers(0, 256, (3000, 3)).astype(float))
+    for cell in rng.integers(0, 1 << 15, 20).tolist():
+        kept = set(matching.possible(pal, *matching.cell_box(cell, 5, "oklab")).tolist())
+        corner = np.array([cell >> 10 & 31, cell >> 5 & 31, cell & 31]) * 8
+        own = kernels.to_oklab((corner + rng.integers(0, 8, (200, 3))).astype(float))
+        assert set(((own[:, None] - pal[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()) <= kept and len(kept) < 600

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chromagrid.operators import kernels, matching, metrics
 from chromagrid.sources import catalogs
@@ -184,12 +185,61 @@ def test_k_means_pixel_by_pixel(spark):
     assert np.allclose(kernels.k_means(px, 4), centers, atol=1e-9)
 
 
-def test_a_grown_palette_stays_in_its_bounds(spark):
+def grown(labs, imp, centers, most, rounds, least_gain, apart):
+    """Growth cell by cell: labs (n, 3), imp (n)."""
+    nearest = lambda cs: ((labs[:, None] - cs[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assign, before, gains = nearest(centers), None, []
+    for _ in range(rounds):
+        if len(centers) >= most:
+            break
+        cost = [(imp[assign == c] * ((labs[assign == c] - centers[c]) ** 2).sum(axis=1)).sum() / max(1, (assign == c).sum()) for c in range(len(centers))]
+        worst = int(np.argmax(cost))
+        mine = assign == worst
+        centers = np.vstack([centers, (labs[mine] * imp[mine, None]).sum(axis=0) / imp[mine].sum()])
+        pair = [worst, len(centers) - 1]
+        side = ((labs[:, None] - centers[pair][None]) ** 2).sum(axis=2).argmin(axis=1)
+        for i, c in enumerate(pair):
+            if (side == i).any():
+                centers[c] = (labs[side == i] * imp[side == i, None]).sum(axis=0) / imp[side == i].sum()
+        assign = nearest(centers)
+        error = (imp * ((labs - centers[assign]) ** 2).sum(axis=1)).sum()
+        centers = kernels.pushed_apart(centers, apart)
+        gains.append(1.0 if before is None else before - error)
+        before = error
+        if np.mean(gains[-5:]) < least_gain:
+            break
+    return centers
+
+
+@pytest.mark.parametrize(("weighted", "least_gain", "apart"), [(False, -1.0, 0.0), (True, -1.0, 0.2), (True, 0.5, 0.05)])
+def test_a_grown_palette_cell_by_cell(spark, weighted, least_gain, apart):
     rgb, px = pixels(spark)
     labs = np.array([oklab(p) for p in rgb.reshape(-1, 3).tolist()])
+    imp = np.where((np.arange(len(labs)) % rgb.shape[2]) % 3 == 0, 1.6, 0.9) if weighted else np.ones(len(labs))
+    weight = F.when(F.col("x") % 3 == 0, 1.6).otherwise(0.9) if weighted else None
+    start = np.array([oklab(p) for p in PALETTE[:2]])
+    got = kernels.grown_palette(px, most=6, least_gain=least_gain, apart=apart, weight=weight, centers=start)
+    assert np.allclose(got, grown(labs, imp, start, 6, 64, least_gain, apart), atol=1e-9)
+    assert len(got) == 6 or least_gain > 0
+
+
+def test_a_start_by_oversampling_takes_as_many_jobs_for_any_number_of_centers(spark):
+    rgb, px = pixels(spark, h=20, w=30, step=9)
+    labs = np.array([oklab(p) for p in rgb.reshape(-1, 3).tolist()])
     error = lambda cs: ((labs[:, None] - cs[None]) ** 2).sum(axis=2).min(axis=1).sum()
-    grown = kernels.grown_palette(px, 3, 6, apart=0.0, least_gain=-1.0)
-    assert len(grown) == 6 and error(grown) < error(kernels.spread_start(kernels.counted_colors(px), 3))
+    colors = kernels.counted_colors(px).cache()
+    colors.count()
+    jobs, errors = [], []
+    for k in (4, 24):
+        spark.sparkContext.setJobGroup(f"start-{k}", "")
+        centers = kernels.oversampled_start(colors, k)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"start-{k}")))
+        errors.append(error(centers))
+        assert len(centers) == k and (centers == kernels.oversampled_start(colors, k)).all()
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 4  # adaptive plans take a job more or less
+    assert errors[1] < errors[0] and errors[1] < 2 * error(kernels.k_means(px, 24))
+    assert error(kernels.k_means(px, 24, oversample=True)) < errors[1]
 
 
 def test_merged_colors_one_by_one():
