@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
+from ..sources.stored import stored
 from .topology import by_image
 
 # fixed values: (dx, dy, share) of the error
@@ -366,6 +367,37 @@ def merged_colors(palette: list[tuple[int, int, int]], least: float = 0.02) -> l
     return [tuple(int(sum(v) / len(g)) for v in zip(*g, strict=True)) for g in groups]
 
 
+def merged_palette(palette: DataFrame, least: float = 0.02) -> DataFrame:
+    """``merged_colors`` of palette(idx, r, g, b) in rounds of joins: (home, size, r, g, b), home being the idx of the
+    representative that came first.
+
+    A color is a representative if none before it within ``least`` (OKLab) is one.  Each round decides all colors whose nearer
+    ones before are decided; the rounds are as many as the longest chain of such colors.  Pairs within ``least`` come
+    from an equi-join on cells of that size."""
+    lab = C.oklab(F.col("r"), F.col("g"), F.col("b"), True)
+    p = palette.select("idx", "r", "g", "b").withColumns(dict(zip(("l", "a", "o"), lab, strict=True)))
+    cells = [F.floor(F.col(k) / least).cast("bigint") for k in ("l", "a", "o")]
+    own = p.select("idx", "l", "a", "o", *(c.alias(f"c{i}") for i, c in enumerate(cells)))
+    for i in range(3):
+        own = own.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
+    before = p.select(F.col("idx").alias("j"), F.col("l").alias("pl"), F.col("a").alias("pa"), F.col("o").alias("po"), *(c.alias(f"c{i}") for i, c in enumerate(cells)))
+    far = F.sqrt((F.col("l") - F.col("pl")) ** 2 + (F.col("a") - F.col("pa")) ** 2 + (F.col("o") - F.col("po")) ** 2)
+    near = stored(own.join(before, ["c0", "c1", "c2"]).where((F.col("j") < F.col("idx")) & (far < least)).select(F.col("idx").alias("i"), "j"), "merge-near")
+    open_, heads = p.select("idx"), None
+    while open_.limit(1).count():
+        # colors with an open one or a representative before them can't be representatives now
+        new = stored(open_.join(near.join(open_.withColumnRenamed("idx", "j"), "j", "left_semi"), F.col("idx") == F.col("i"), "left_anti"), "merge-heads")
+        heads = new if heads is None else heads.unionByName(new)
+        joined = near.join(new.withColumnRenamed("idx", "j"), "j", "left_semi").select(F.col("i").alias("idx"))
+        open_ = stored(open_.join(new, "idx", "left_anti").join(joined, "idx", "left_anti"), "merge-open")
+    if heads is None:
+        heads = open_
+    homes = near.join(heads.withColumnRenamed("idx", "j"), "j", "left_semi").groupBy(F.col("i").alias("idx")).agg(F.min("j").alias("home"))
+    homes = homes.join(heads, "idx", "left_anti").unionByName(heads.withColumn("home", F.col("idx")))
+    whole = [F.floor(F.sum(c) / F.count(F.lit(1))).cast("int").alias(c) for c in ("r", "g", "b")]
+    return palette.join(homes, "idx").groupBy("home").agg(F.count(F.lit(1)).alias("size"), *whole)
+
+
 def smart_symbols(threads: list[tuple[str, float, int]], dense: str, open_: str, cross: str, rest: str) -> dict[str, str]:
     """threads: (code, luma 0..1, count).  By falling count, light cells get dense glyphs first, dark
     cells open ones, others crossed ones; the first unused is taken."""

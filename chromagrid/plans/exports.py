@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..operators import matching, stencils
-from ..sources import catalogs, rasters, sinks
+from ..sources import catalogs, files, rasters, sinks
+from ..sources.stored import shared_folder
 from . import sql as S
 
 QUERIES: dict = {}
@@ -147,3 +150,26 @@ def t06_projects(spark: SparkSession, d: str) -> DataFrame:
     every = sinks.copied(c.withColumn("stamp", F.lit(0)), "c_custkey", F.col("c_acctbal") > 5000, F.col("c_custkey") + top)
     every = sinks.deleted(every, c.where("c_acctbal < 0"), "c_custkey")
     return sinks.touched(every, c.where("c_acctbal > 8000"), "c_custkey", "stamp", F.lit(7))
+
+
+@query(f"""WITH {S.F1}, dim AS (SELECT img, w, h, CASE WHEN w * h > 2000 THEN greatest(1, floor(w * sqrt(2000.0 / (w * h))))::BIGINT ELSE w END AS tw, CASE WHEN w * h > 2000 THEN greatest(1, floor(h * sqrt(2000.0 / (w * h))))::BIGINT ELSE h END AS th FROM (SELECT img, (max(x) + 1)::BIGINT AS w, (max(y) + 1)::BIGINT AS h FROM f1 GROUP BY img)),
+tx AS (SELECT img, x, t AS tx, least((t + 1) * w, (x + 1) * tw) - greatest(t * w, x * tw) AS cx FROM (SELECT DISTINCT img, x FROM f1) JOIN dim USING (img), range(64) r(t) WHERE t >= x * tw // w AND t <= ((x + 1) * tw - 1) // w),
+ty AS (SELECT img, y, t AS ty, least((t + 1) * h, (y + 1) * th) - greatest(t * h, y * th) AS cy FROM (SELECT DISTINCT img, y FROM f1) JOIN dim USING (img), range(5000) r(t) WHERE t >= y * th // h AND t <= ((y + 1) * th - 1) // h)
+SELECT 'scan-' || f1.img || '.png' AS file, any_value(tw)::INT AS w, any_value(th)::INT AS h, ty::INT AS y, tx::INT AS x, {', '.join(f'floor(sum({c} * cx * cy) / sum(cx * cy)::DOUBLE + 0.5)::INT AS {c}' for c in 'rgb')}
+FROM f1 JOIN tx ON tx.img = f1.img AND tx.x = f1.x JOIN ty ON ty.img = f1.img AND ty.y = f1.y JOIN dim ON dim.img = f1.img GROUP BY f1.img, tx, ty""")
+def s01_k01_k02_capped_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Images written as PNG files by the committing sink, scanned by bands and scaled down to 2000 cells."""
+    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    files.write_files(rasters.embedding_images(spark, d), folder, prefix="scan-")
+    return files.area_fitted(files.scan_png(spark, folder), 2000, "file")
+
+
+@query(f"WITH {S.F1} SELECT 'index-' || img || '.bin' AS file, (max(x) + 1)::INT * (max(y) + 1)::INT AS bytes, md5(string_agg(chr(65 + (x + y) % 7), '' ORDER BY y, x)) AS letters FROM f1 GROUP BY img")
+def k03_k06_index_files(spark: SparkSession, d: str) -> DataFrame:
+    """Index files by the committing sink, read back as whole files."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    px = rasters.embedding_images(spark, d).select("img", "y", "x", ((F.col("x") + F.col("y")) % 7).alias("idx"))
+    files.write_files(px, folder, "index", "index-", 7)
+    got = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+    letters = F.translate(F.decode("content", "ISO-8859-1"), "".join(map(chr, range(7))), "ABCDEFG")
+    return got.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.length("content").alias("bytes"), F.md5(letters).alias("letters"))

@@ -300,11 +300,6 @@ def n20_s16_area_scale(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.area_scaled(f1(spark, d), 4))
 
 
-@query()
-def n21_n22_ordered_dither(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.ordered(f1(spark, d))
-
-
 _PAL = [(40, 60, 90), (120, 130, 110), (220, 180, 160), (10, 10, 10), (250, 250, 250)]
 
 
@@ -313,43 +308,6 @@ def q04_q08_mapped_colors(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dithered(f1(spark, d), _PAL, "none", nearest=lambda r, g, b: (r + g + b > 384).astype(np.int32))
 
 
-def _centers(spark: SparkSession, c: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(c)], "idx int, l double, a double, b double")
-
-
-@query()
-def q10_k_means(spark: SparkSession, d: str) -> DataFrame:
-    return _centers(spark, kernels.k_means(rasters.blocky_images(spark, d), 5, 3))
-
-
-@query()
-def q11_q12_q14_grown_palette(spark: SparkSession, d: str) -> DataFrame:
-    return _centers(spark, kernels.grown_palette(rasters.blocky_images(spark, d), 3, 6, 3))
-
-
-@query()
-def q16_merged_colors(spark: SparkSession, d: str) -> DataFrame:
-    pal = [tuple(r) for r in rasters.swatches(spark, d).orderBy("idx").select("r", "g", "b").collect()]
-    return spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(kernels.merged_colors(pal, 0.08))], "idx int, r int, g int, b int")
-
-
-@query()
-def q17_q18_q20_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of all colors that an image uses, for each image."""
-    sw = rasters.swatches(spark, d)
-    used = matching.thread_statistics(f1(spark, d), sw, limit=sw.count()).select("img", "rank", "code", "count")
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("rank").to_pylist()
-        smart = kernels.smart_symbols([(r["code"], (i * 37 % 100) / 100, r["count"]) for i, r in enumerate(rows)], "■▲●", "□△○", "✚✖☆", sinks.LETTERS)
-        smart = kernels.set_symbol(smart, rows[0]["code"], "@", sinks.LETTERS)
-        unique = kernels.unique_symbols(list(smart.values()), sinks.LETTERS)
-        out = {"code": pa.array(smart.keys(), pa.string()), "symbol": pa.array(smart.values(), pa.string()), "unique": pa.array(unique, pa.string())}
-        return pa.table({"img": group.column("img"), **out})
-
-    return used.groupBy("img").applyInArrow(run, f"img {used.schema['img'].dataType.simpleString()}, code string, symbol string, unique string")
-
-
 @query(f"WITH {S.F3}, {S.TRIO}, {S.IDX} SELECT img, y, x, idx FROM ix")
 def k03_k06_s04_s05_index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     p = index(spark, d)

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from chromagrid.plans import diffusion, exports, filters, planes, scalars, tiled
+from chromagrid.plans import diffusion, exports, filters, palettes, planes, scalars, tiled
 
-SQL = scalars.SQL | planes.SQL | filters.SQL | exports.SQL | diffusion.SQL | tiled.SQL
-QUERIES = scalars.QUERIES | planes.QUERIES | filters.QUERIES | exports.QUERIES | diffusion.QUERIES | tiled.QUERIES
+SQL = scalars.SQL | planes.SQL | filters.SQL | exports.SQL | diffusion.SQL | tiled.SQL | palettes.SQL
+QUERIES = scalars.QUERIES | planes.QUERIES | filters.QUERIES | exports.QUERIES | diffusion.QUERIES | tiled.QUERIES | palettes.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
