@@ -161,7 +161,7 @@ def s01_k01_k02_capped_scan(spark: SparkSession, d: str) -> DataFrame:
     """Images written as PNG files by the committing sink, scanned by bands and scaled down to 2000 cells."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     files.write_files(rasters.embedding_images(spark, d), folder, prefix="scan-")
-    return files.area_fitted(files.scan_png(spark, folder), 2000, "file")
+    return rasters.area_fitted(files.scan_png(spark, folder), 2000, "file")
 
 
 @query(f"WITH {S.F1} SELECT 'index-' || img || '.bin' AS file, (max(x) + 1)::INT * (max(y) + 1)::INT AS bytes, md5(string_agg(chr(65 + (x + y) % 7), '' ORDER BY y, x)) AS letters FROM f1 GROUP BY img")

@@ -150,22 +150,6 @@ def scan_png(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("png_cells").option("path", path).load()
 
 
-def area_fitted(px: DataFrame, cap: int = 16_000_000, key: str = "img") -> DataFrame:
-    """px(key, w, h, y, x, r, g, b) of images above ``cap`` cells scaled down to it: width and height times sqrt(cap / cells), rounded
-    down, each target cell the mean of what it covers by area.  Weights are whole numbers, so no order of sums matters."""
-    w, h = F.col("w").cast("bigint"), F.col("h").cast("bigint")
-    scale = F.sqrt(F.lit(float(cap)) / (w * h))
-    to = lambda v: F.when(w * h > cap, F.greatest(F.lit(1), F.floor(v * scale))).otherwise(v).cast("bigint")
-    p = px.withColumns({"tw": to(w), "th": to(h)})
-    for at, n, m in (("x", "w", "tw"), ("y", "h", "th")):
-        n_, m_ = F.col(n).cast("bigint"), F.col(m)
-        p = p.withColumn(f"t{at}", F.explode(F.sequence(F.floor(F.col(at) * m_ / n_), F.floor(((F.col(at) + 1) * m_ - 1) / n_))))
-        p = p.withColumn(f"c{at}", F.least((F.col(f"t{at}") + 1) * n_, (F.col(at) + 1) * m_) - F.greatest(F.col(f"t{at}") * n_, F.col(at) * m_))
-    share = F.col("cx") * F.col("cy")
-    sums = p.groupBy(key, "tw", "th", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x")).agg(*(F.sum(F.col(c) * share).alias(c) for c in "rgb"), F.sum(share).alias("all"))
-    return sums.select(key, F.col("tw").cast("int").alias("w"), F.col("th").cast("int").alias("h"), "y", "x", *(F.floor(F.col(c) / F.col("all") + 0.5).cast("int").alias(c) for c in "rgb"))
-
-
 # sinks
 
 

@@ -15,17 +15,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def area_fitted(px: DataFrame, cap: int = 16_000_000, key: str = "img") -> DataFrame:
+    """px(key, w, h, y, x, r, g, b) of images above ``cap`` cells scaled down to it: width and height times sqrt(cap / cells), rounded
+    down, each target cell the mean of what it covers by area.  Weights are whole numbers, so no order of sums matters."""
+    w, h = F.col("w").cast("bigint"), F.col("h").cast("bigint")
+    scale = F.sqrt(F.lit(float(cap)) / (w * h))
+    to = lambda v: F.when(w * h > cap, F.greatest(F.lit(1), F.floor(v * scale))).otherwise(v).cast("bigint")
+    p = px.withColumns({"tw": to(w), "th": to(h)})
+    for at, n, m in (("x", "w", "tw"), ("y", "h", "th")):
+        n_, m_ = F.col(n).cast("bigint"), F.col(m)
+        p = p.withColumn(f"t{at}", F.explode(F.sequence(F.floor(F.col(at) * m_ / n_), F.floor(((F.col(at) + 1) * m_ - 1) / n_))))
+        p = p.withColumn(f"c{at}", F.least((F.col(f"t{at}") + 1) * n_, (F.col(at) + 1) * m_) - F.greatest(F.col(f"t{at}") * n_, F.col(at) * m_))
+    share = F.col("cx") * F.col("cy")
+    sums = p.groupBy(key, "tw", "th", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x")).agg(*(F.sum(F.col(c) * share).alias(c) for c in "rgb"), F.sum(share).alias("all"))
+    return sums.select(key, F.col("tw").cast("int").alias("w"), F.col("th").cast("int").alias("h"), "y", "x", *(F.floor(F.col(c) / F.col("all") + 0.5).cast("int").alias(c) for c in "rgb"))
+
+
 def read_images(spark: SparkSession, path: str, cap: int = 16_000_000) -> DataFrame:
-    """px of all images under ``path`` with their sizes; images above ``cap`` pixels
-    are sampled down to it by whole steps.  The decoder gives rows of BGR bytes."""
+    """px of all images under ``path`` that Spark's decoder knows (JPEG and others; files.scan_png reads PNG by bands); images above ``cap`` cells
+    are scaled down to it (area_fitted).  The decoder gives rows of BGR bytes."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("width") * F.col("height") / float(cap)))).cast("int")
-    sized = raw.withColumn("step", step).select(F.xxhash64("origin").alias("img"), "origin", "width", "height", "nChannels", "data", "step")
-    rows = sized.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.col("step"))))
-    at = lambda c: F.conv(F.hex(F.expr(f"substring(data, (y0 * width + x0) * nChannels + {c}, 1)")), 16, 10).cast("int")
-    px = rows.withColumn("x0", F.explode(F.sequence(F.lit(0), F.col("width") - 1, F.col("step"))))
+    sized = raw.select(F.xxhash64("origin").alias("img"), F.col("width").alias("w"), F.col("height").alias("h"), "nChannels", "data")
+    px = sized.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    at = lambda c: F.conv(F.hex(F.expr(f"substring(data, (y * w + x) * nChannels + {c}, 1)")), 16, 10).cast("int")
     gray = F.col("nChannels") == 1
-    return px.select("img", (F.col("y0") / F.col("step")).cast("int").alias("y"), (F.col("x0") / F.col("step")).cast("int").alias("x"), F.when(gray, at(1)).otherwise(at(3)).alias("r"), F.when(gray, at(1)).otherwise(at(2)).alias("g"), at(1).alias("b"))
+    px = px.select("img", "w", "h", "y", "x", F.when(gray, at(1)).otherwise(at(3)).alias("r"), F.when(gray, at(1)).otherwise(at(2)).alias("g"), at(1).alias("b"))
+    return area_fitted(px, cap).select("img", "y", "x", "r", "g", "b")
 
 
 def png_plane(data: bytes) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chromagrid.sources import files
+from chromagrid.sources import files, rasters
 
 
 def frame(spark, planes):
@@ -103,7 +103,7 @@ def test_scaling_takes_the_square_root_of_the_cap(spark):
     rng = np.random.default_rng(4)
     plane = rng.integers(0, 256, (23, 31))
     px = spark.createDataFrame([(7, 31, 23, y, x, int(plane[y, x]), 0, 255) for y in range(23) for x in range(31)] + [(8, 1, 1, 0, 0, 9, 9, 9)], "img int, w int, h int, y int, x int, r int, g int, b int")
-    rows = files.area_fitted(px, 200).collect()
+    rows = rasters.area_fitted(px, 200).collect()
     w, h = int(31 * (200 / 713) ** 0.5), int(23 * (200 / 713) ** 0.5)
     assert {(r.w, r.h) for r in rows if r.img == 7} == {(w, h)} and sum(r.img == 7 for r in rows) == w * h
     assert [(r.w, r.h, r.r) for r in rows if r.img == 8] == [(1, 1, 9)]
