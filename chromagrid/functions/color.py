@@ -196,10 +196,26 @@ def tonemapped(v: Column, space: Column, headroom: float = 3.0) -> tuple[Column,
     return F.when(hdr, clamp(soft_knee(v, headroom), 0, 1)).otherwise(v), hdr
 
 
-def linear_plane(rgb: Triple, gamut: tuple | None = None, decoded: bool = False) -> Triple:
+#: fixed values of the curve of BT.2020 (and, rounded, BT.709): factor, slope and exponent.
+BT2020 = (1.09929682680944, 4.5, 0.45, 0.0181053951)
+
+
+def decoded_by(curve: str | float, c: Column) -> Column:
+    """A unit channel as linear light.  ``curve``: srgb, bt2020, linear, or the exponent of a power curve."""
+    if curve == "srgb":
+        return linear(c)
+    if curve == "linear":
+        return c
+    if curve == "bt2020":
+        a, slope, power, knee = BT2020
+        return F.when(c < knee * slope, c / slope).otherwise(F.pow((c + (a - 1)) / a, F.lit(1 / power)))
+    return F.pow(F.greatest(c, _lit(0)), F.lit(float(curve)))
+
+
+def linear_plane(rgb: Triple, gamut: tuple | None = None, decoded: bool = False, curve: str | float = "srgb") -> Triple:
     """Unit channels as linear sRGB: the transfer curve is undone unless ``decoded``, then ``gamut``, a
     3 x 3 matrix from the primaries of the source, is applied."""
-    lin = rgb if decoded else tuple(linear(c) for c in rgb)
+    lin = rgb if decoded else tuple(decoded_by(curve, c) for c in rgb)
     return lin if gamut is None else times(gamut, lin)
 
 

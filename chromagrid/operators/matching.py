@@ -142,15 +142,17 @@ def assigned_error(px: DataFrame, palette: DataFrame, weight: Column) -> DataFra
     return indexed(px, palette, "oklab").groupBy("img").agg(F.sum(F.col("d") * weight).alias("error"))
 
 
-def thread_statistics(px: DataFrame, swatches: DataFrame, limit: int = 50, fabric: int = 14, strands: int = 2, waste: int = 10) -> DataFrame:
-    """Per image the swatches used: count, whole percent, metres of thread; the ``limit`` most used."""
+def thread_statistics(px: DataFrame, swatches: DataFrame, limit: int = 50, fabric: int = 14, strands: int = 2, waste: int = 10, described: bool = False) -> DataFrame:
+    """Per image the swatches used: count, whole percent, metres of thread; the ``limit`` most used.  ``described``: also the
+    swatch's name, hex code and color."""
     counts = px.groupBy("img", *RGB).agg(F.count(F.lit(1)).alias("n"))
     per = counts.join(nearest(counts, swatches, "oklab").select(*RGB, "idx"), list(RGB)).groupBy("img", "idx").agg(F.sum("n").alias("count"))
     every = Window.partitionBy("img")
     rank = F.row_number().over(every.orderBy(F.desc("count"), "idx"))
     per = per.withColumns({"percent": F.floor(F.col("count") * 100 / F.sum("count").over(every)), "rank": rank}).where(F.col("rank") <= limit)
     metres = C.thread_metres(F.col("count"), F.lit(float(fabric)), F.lit(float(strands)), F.lit(float(waste)))
-    return per.join(small(swatches.select("idx", "code")), "idx").select("img", "rank", "code", "count", "percent", F.round(metres, 4).alias("metres"))
+    more = ["name", C.hex_of(*(F.col(c) for c in RGB)).alias("hex"), *RGB] if described else []
+    return per.join(small(swatches.select("idx", "code", *(["name", *RGB] if described else []))), "idx").select("img", "rank", "code", *more, "count", "percent", F.round(metres, 4).alias("metres"))
 
 
 def hex_statistics(px: DataFrame, limit: int = 50) -> DataFrame:

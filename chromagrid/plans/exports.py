@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..operators import matching, stencils
-from ..sources import catalogs, files, rasters, sinks
+from ..sources import catalogs, files, projects, rasters, sinks
 from ..sources.stored import shared_folder
 from . import sql as S
 
@@ -173,3 +173,38 @@ def k03_k06_index_files(spark: SparkSession, d: str) -> DataFrame:
     got = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
     letters = F.translate(F.decode("content", "ISO-8859-1"), "".join(map(chr, range(7))), "ABCDEFG")
     return got.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.length("content").alias("bytes"), F.md5(letters).alias("letters"))
+
+
+_NAMED = """near AS (SELECT c.r, c.g, c.b, m.idx AS idx FROM (SELECT c.r, c.g, c.b, min({'d': round(DIST, 12), 'idx': s.idx}) AS m FROM OWN c, SWATCH s GROUP BY c.r, c.g, c.b) c)"""
+_NAMED = _NAMED.replace("DIST", S.d2("c.ok_", "s.ok_")).replace("OWN", S.ok("(SELECT DISTINCT r, g, b FROM f3)")).replace("SWATCH", f"(SELECT * FROM {S.ok('sw')})")
+
+
+@query(f"""WITH {S.F3}, {S.F5}, {_NAMED}, k AS (SELECT img, idx, count(*) AS n FROM f3 JOIN near USING (r, g, b) GROUP BY img, idx),
+t AS (SELECT *, (n * 100 // sum(n) OVER (PARTITION BY img))::BIGINT AS percent, row_number() OVER (PARTITION BY img ORDER BY n DESC, idx) AS rank FROM k)
+SELECT img, rank, code, 'thread ' || code AS name, printf('#%02X%02X%02X', r, g, b) AS hex, r, g, b, n AS count, percent FROM t JOIN sw USING (idx) WHERE rank <= 9""")
+def a14_named_statistics(spark: SparkSession, d: str) -> DataFrame:
+    sw = rasters.swatches(spark, d).withColumn("name", F.concat(F.lit("thread "), "code"))
+    return matching.thread_statistics(rasters.blocky_images(spark, d), sw, 9, described=True).drop("metres")
+
+
+_DEC = {"srgb": S.lin("u"), "gamma": "power(u, 2.2)", "bt2020": "(CASE WHEN u < 0.0181053951 * 4.5 THEN u / 4.5 ELSE power((u + 0.09929682680944) / 1.09929682680944, 1 / 0.45) END)"}
+
+
+@query(f"WITH {S.F1} SELECT img, y, x, {', '.join(f'round({e.replace(chr(117), f"({c} / 255.0)") if n == "gamma" else e.replace("(u ", f"({c} / 255.0 ").replace(" u ", f" {c} / 255.0 ")}, 6) AS {c}_{n}' for n, e in _DEC.items() for c in 'rgb')} FROM f1")
+def p14_transfer_curves(spark: SparkSession, d: str) -> DataFrame:
+    p = rasters.embedding_images(spark, d)
+    out = {f"{c}_{n}": F.round(v, 6) for n, curve in (("srgb", "srgb"), ("gamma", 2.2), ("bt2020", "bt2020")) for c, v in zip("rgb", C.linear_plane(tuple(C.unit(F.col(c)) for c in "rgb"), curve=curve), strict=True)}
+    return p.select("img", "y", "x", *(v.alias(k) for k, v in out.items()))
+
+
+@query(SQL["t06_projects"])
+def t06_repository(spark: SparkSession, d: str) -> DataFrame:
+    """As t06_projects, by the versioned table on disk: five versions."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal")
+    top = c.agg(F.max("c_custkey")).first()[0] or 0
+    p = projects.Projects(spark, f"{shared_folder(spark)}/projects-{uuid.uuid4().hex}", "c_custkey bigint, c_acctbal double, stamp int", "c_custkey")
+    p.save(c.withColumn("stamp", F.lit(0)))
+    p.copy(c.where("c_acctbal > 5000").withColumn("as", F.col("c_custkey") + top), "as")
+    p.delete(c.where("c_acctbal < 0"))
+    p.touch(c.where("c_acctbal > 8000"), "stamp", F.lit(7))
+    return p.rows()
