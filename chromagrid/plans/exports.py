@@ -11,6 +11,7 @@ from ..functions import color as C
 from ..operators import matching, stencils
 from ..sources import catalogs, files, projects, rasters, sinks
 from ..sources.stored import shared_folder
+from ..streaming import logs
 from . import sql as S
 
 QUERIES: dict = {}
@@ -208,3 +209,25 @@ def t06_repository(spark: SparkSession, d: str) -> DataFrame:
     p.delete(c.where("c_acctbal < 0"))
     p.touch(c.where("c_acctbal > 8000"), "stamp", F.lit(7))
     return p.rows()
+
+
+@query("""SELECT * FROM (SELECT user_id % 50 AS device, session, "at", events, row_number() OVER (PARTITION BY user_id % 50 ORDER BY "at" DESC, session)::INT AS rank
+FROM (SELECT user_id % 50 AS user_id, event_type || (event_id % 11)::VARCHAR AS session, max(event_id) AS "at", count(*) AS events FROM events GROUP BY ALL)) WHERE rank <= 5""")
+def k18_k20_session_state(spark: SparkSession, d: str) -> DataFrame:
+    """The newest five sessions of each device by a stream with state, which reads the events once."""
+    at, key = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    # a stream reads folders: the table's own, or of a single file the one it lies in
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema)
+    events = source.option("pathGlobFilter", "events.parquet").parquet(d) if single else source.parquet(f"{d}/events.parquet")
+    e = events.select((F.col("user_id") % 50).alias("device"), F.concat("event_type", (F.col("event_id") % 11).cast("string")).alias("session"), F.col("event_id").alias("at"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        kept = logs.newest_sessions(e, 5)
+        write = kept.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/batch-{n}"))
+        write.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(kept.schema).parquet(f"{at}/batch-0")
