@@ -165,11 +165,11 @@ def test_callable_and_plain_nearest_agree(spark):
 
 def test_symbols_of_every_image(spark, sf_dir):
     from chromagrid.operators import matching
-    from chromagrid.plans import filters
+    from chromagrid.plans import palettes, planes
     from chromagrid.sources import rasters
 
-    got = filters.QUERIES["q17_q18_q20_symbols"](spark, sf_dir).collect()
-    want = matching.thread_statistics(filters.f1(spark, sf_dir), rasters.swatches(spark, sf_dir), limit=10**6).collect()
+    got = palettes.QUERIES["q17_q18_q20_symbols"](spark, sf_dir).collect()
+    want = matching.thread_statistics(planes.f1(spark, sf_dir), rasters.swatches(spark, sf_dir), limit=10**6).collect()
     assert sorted((r.img, r.code) for r in got) == sorted((r.img, r.code) for r in want)
     assert len({r.img for r in got}) > 1 and len({(r.img, r.unique) for r in got}) == len(got)
 
@@ -211,6 +211,16 @@ def test_presets_add_up_on_a_canvas(spark):
     assert abs(r.luma_eps - 0.0018) < 1e-12 and rows["OLD_SCAN"].wb_strength == 0.7 and rows["AUTO_BALANCED+SMALL_CANVAS"].skin_tone_smooth == 0.35
 
 
+def test_merging_in_rounds_equals_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    palette = [tuple(int(v) for v in c) for c in rng.integers(100, 150, (80, 3))]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(palette)], "idx int, r int, g int, b int")
+    got = kernels.merged_palette(df, 0.03).orderBy("home").collect()
+    assert [(r.r, r.g, r.b) for r in got] == kernels.merged_colors(palette, 0.03)
+    assert sum(r["size"] for r in got) == 80 and 1 < len(got) < 80
+    assert kernels.merged_palette(df.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("metric", ["rgb", "oklab"])
 def test_nearest_colors_by_the_cube_equal_a_full_scan(spark, monkeypatch, metric):
     from chromagrid.operators import matching
