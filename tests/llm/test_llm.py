@@ -792,3 +792,15 @@ STORY = "Some long paragraph text, with a comma, that goes on for more than one
 )
 def test_text_of_an_article_stays(page, want):
     assert html_extract.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_training_sends_only_the_model_to_the_driver(spark, monkeypatch):
+    rows = toxic_docs(60)
+    docs, labels = frame(spark, [(i, t, "a") for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    few = toxicity.sampled(docs, labels, None, 50, "doc_id", "text", "lang").collect()
+    sent, real = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(self.columns) or real(self))
+    got = toxicity.fitted(docs, labels, sample=50)
+    want = toxicity.train([r.t for r in few], np.array([r.y for r in few]), [r.l for r in few])
+    assert sent == [["model"]]
+    assert (got.table == want.table).all() and (got.shifts == want.shifts).all()
