@@ -40,7 +40,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tail = vocab.word_ids(path), end.to_bytes(2, "little")
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            ids = [words.ids(t or "") + tail for t in batch.column(3).to_pylist()]
+            ids = [x + tail for x in words.many([t or "" for t in batch.column(3).to_pylist()])]
             words.trim()
             yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "id", "source", "n", "ids"])
 

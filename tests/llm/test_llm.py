@@ -804,3 +804,22 @@ def test_training_sends_only_the_model_to_the_driver(spark, monkeypatch):
     want = toxicity.train([r.t for r in few], np.array([r.y for r in few]), [r.l for r in few])
     assert sent == [["model"]]
     assert (got.table == want.table).all() and (got.shifts == want.shifts).all()
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'stmdrevlSTL 12é²ª\xad!\n\t_<|☃\x00\x1cÀµ"), max_size=20) | st.text(max_size=8), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_many_texts_equal_the_library(texts):
+    path = vocab.place("word_bpe_49k.json")
+    want = [e.ids for e in vocab.library(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in vocab.word_ids(path).many(texts)] == want
+
+
+def test_latin_texts_are_encoded_together(monkeypatch):
+    """No text below U+0100 is cut into chunks, but for very long ones."""
+    words = vocab.WordIds(vocab.place("word_bpe_49k.json"))
+    texts = ["it's Été, 12 x", "", "two\nlines", "we'll  'reside'", "ü" * 50] * 3
+    want = [words.ids(t) for t in texts]
+    monkeypatch.setattr(vocab, "AT_ONCE", 40)
+    assert words.many(texts) == want
+    monkeypatch.setattr(words, "ids", None)
+    assert words.many(texts[:4]) == want[:4]
