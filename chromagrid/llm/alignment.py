@@ -22,6 +22,7 @@ empty table gives no rows.  Further columns are not read.
 
 from __future__ import annotations
 
+import collections
 import functools
 import hashlib
 import zlib
@@ -74,8 +75,9 @@ class Pair:
     def cuts(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of A and of B lie before each place where both end."""
         ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        _, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        return i + 1, j + 1
+        marks = np.zeros((2, max(ends_a[-1], ends_b[-1]) + 1), bool)
+        marks[0, ends_a] = marks[1, ends_b] = True
+        return np.flatnonzero(marks[1, ends_a]) + 1, np.flatnonzero(marks[0, ends_b]) + 1
 
     def links(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
         """Pairs of ids whose bytes overlap, for each pair of tokens of one group."""
@@ -103,6 +105,7 @@ class Groups:
 
     def __init__(self, tokens: Pair):
         self.tokens, self.one = tokens, {}
+        self.names = list(map(str, range(max(len(tokens.a_size), len(tokens.b_size)))))
 
     def keys(self, text: str | None) -> tuple[int, int, list[str]]:
         a, b = self.tokens.tokens(text)
@@ -113,14 +116,13 @@ class Groups:
         single = (upto_a - from_a == 1) & (upto_b - from_b == 1)
         ids_a, ids_b = np.array(a), np.array(b)
         codes = np.where(single, ids_a[from_a] << 32 | ids_b[from_b], -1 - np.arange(len(upto_a))).tolist()
-        one, out = self.one, []
-        for g, code in enumerate(codes):
-            key = one.get(code) if code >= 0 else None
-            if key is None:
-                key = f"{','.join(map(str, a[from_a[g] : upto_a[g]]))}|{','.join(map(str, b[from_b[g] : upto_b[g]]))}"
-                if code >= 0:
-                    one[code] = key
-            out.append(key)
+        one, out = self.one, list(map(self.one.get, codes))
+        name_a, name_b = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
+        lo_a, hi_a, lo_b, hi_b = (x.tolist() for x in (from_a, upto_a, from_b, upto_b))
+        for g in [g for g, key in enumerate(out) if key is None]:
+            out[g] = key = f"{','.join(name_a[lo_a[g] : hi_a[g]])}|{','.join(name_b[lo_b[g] : hi_b[g]])}"
+            if codes[g] >= 0:
+                one[codes[g]] = key
         return len(a), len(b), out
 
     def trim(self) -> None:
@@ -141,12 +143,19 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def numbered() -> dict[str, int]:
+    """A dictionary that numbers its keys as they are first asked for."""
+    out: collections.defaultdict[str, int] = collections.defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 def _encoder(a_path: str, b_path: str):
     """Texts -> blocks: the distinct groups, and per document how many of ``at`` (places) and ``times`` are its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups(pair(a_path, b_path))
-        place: dict[str, int] = {}
+        place = numbered()
         docs: list[tuple] = []
         ats, times, size = [], [], 0
 
@@ -158,7 +167,7 @@ def _encoder(a_path: str, b_path: str):
             lists = [list(place), has, ids, n_a, n_b, shas]
             kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             arrays = [pa.array([docs[0][0]]), *(pa.array([v], pa.list_(k)) for v, k in zip(lists, kinds, strict=True)), *(pa.array([packed(v)]) for v in ([len(x) for x in ats], at, n))]
-            place, docs, ats, times, size = {}, [], [], [], 0
+            place, docs, ats, times, size = numbered(), [], [], [], 0
             groups.trim()
             return pa.record_batch(arrays, names=[x.split()[0] for x in BLOCK.split(", ")])
 
@@ -166,7 +175,7 @@ def _encoder(a_path: str, b_path: str):
             for row, number, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n_a, n_b, keys = groups.keys(text)
                 sha = hashlib.sha256(";".join(keys).encode()).hexdigest() if keys else ""
-                mine = np.fromiter((place.setdefault(k, len(place)) for k in keys), np.int32, len(keys))
+                mine = np.fromiter(map(place.__getitem__, keys), np.int32, len(keys))
                 at, n = np.unique(mine, return_counts=True)
                 docs.append((row, number, n_a, n_b, sha))
                 ats.append(at.astype(np.int32))

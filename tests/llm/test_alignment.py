@@ -101,3 +101,14 @@ def test_links_of_a_group():
 def test_numbers_are_packed():
     values = [0, 1, 255, 256, 70_000, 2**31]
     assert alignment.unpacked(alignment.packed(values)).tolist() == values and alignment.unpacked(alignment.packed([])).tolist() == []
+
+
+def test_cuts_are_where_both_sides_end(monkeypatch):
+    """Found without a sort."""
+    p = alignment.pair(vocab.place("byte_bpe_50k.json"), vocab.place("piece_bpe_32k.model"))
+    a, b = p.tokens("hyperbolic zyxwvut, ünï 漢字 and and")
+    ends = [[sum(size[x] for x in side[: i + 1]) for i in range(len(side))] for side, size in ((a, p.a_size), (b, p.b_size))]
+    both = sorted(set(ends[0]) & set(ends[1]))
+    monkeypatch.setattr(alignment.np, "intersect1d", None)
+    upto_a, upto_b = p.cuts(a, b)
+    assert [ends[0][i - 1] for i in upto_a] == both == [ends[1][j - 1] for j in upto_b]
