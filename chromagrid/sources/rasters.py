@@ -97,21 +97,33 @@ def _ch(v: Column) -> Column:
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((v.cast("double") + 0.6) * 212.5))).cast("int")
 
 
-def embedding_images(spark: SparkSession, d: str) -> DataFrame:
-    """One image per label, a row per vector."""
+def _embedding_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(img, y, embedding): an image per label, a row per vector."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    rows = e.select(F.col("label").alias("img"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("y"), "embedding")
+    return e.select(F.col("label").alias("img"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("y"), "embedding")
+
+
+def _row_cells(rows: DataFrame, side: int = 1) -> DataFrame:
+    """The 64 cells of each row (img, y, embedding); ``side`` cells beside each other show the value of one."""
     px = rows.select("img", "y", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
-    at = lambda k: _ch(F.col("embedding")[F.pmod(F.col("x") + k, F.lit(64))])
+    at = lambda k: _ch(F.col("embedding")[F.pmod(F.floor(F.col("x") / side).cast("int") + k, F.lit(64))])
     return px.select("img", "y", "x", at(0).alias("r"), at(21).alias("g"), at(42).alias("b"))
 
 
+def embedding_images(spark: SparkSession, d: str) -> DataFrame:
+    """One image per label, a row per vector."""
+    return _row_cells(_embedding_rows(spark, d))
+
+
 def blocky_images(spark: SparkSession, d: str) -> DataFrame:
-    """The embedding images in blocks of 6 x 6."""
-    px = embedding_images(spark, d)
-    src = px.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), "r", "g", "b")
-    cells = px.select("img", "y", "x", F.floor(F.col("y") / 6).cast("int").alias("sy"), F.floor(F.col("x") / 6).cast("int").alias("sx"))
-    return cells.join(src, ["img", "sy", "sx"]).select("img", "y", "x", "r", "g", "b")
+    """The embedding images in blocks of 6 x 6, without images of no label.
+
+    A block's rows repeat one vector, so vectors are repeated and no cells are joined: Spark takes the size of cells for
+    that of their vectors, and would send a whole image to the driver for such a join."""
+    rows = _embedding_rows(spark, d).where("img IS NOT NULL").withColumn("h", F.count(F.lit(1)).over(Window.partitionBy("img")))
+    first = F.col("y") * 6
+    rows = rows.where(first < F.col("h"))
+    return _row_cells(rows.select("img", F.explode(F.sequence(first, F.least(first + 5, F.col("h") - 1).cast("int"))).alias("y"), "embedding"), 6)
 
 
 def scenes(spark: SparkSession, d: str) -> DataFrame:
