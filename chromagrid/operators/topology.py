@@ -118,7 +118,8 @@ def roots(edges: DataFrame) -> DataFrame:
 
     Rounds of stars: each node's larger neighbours are tied to its least one, then each node's smaller
     neighbours to the least of them, until no edge changes; the number of rounds grows with the logarithm of the nodes.  Groups are
-    only aggregated, the joins are ones that Spark can split at a node of many edges."""
+    only aggregated, the joins are ones that Spark can split at a node of many edges.  Here and in what follows they are asked for by a hint:
+    stored cells take so few bytes a row that Spark would send millions of them to the driver for a broadcast."""
     sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("img", "u", "v"))).first())
     e = stored(edges.distinct(), "area-edges")
     before = None
@@ -126,9 +127,9 @@ def roots(edges: DataFrame) -> DataFrame:
         before = now
         both = e.unionByName(e.select("img", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("img", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.where("v > u").join(least, ["img", "u"]).select("img", F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "area-edges")
+        large = stored(both.where("v > u").join(least.hint("merge"), ["img", "u"]).select("img", F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "area-edges")
         least = large.groupBy("img", "u").agg(F.min("v").alias("m"))
-        small = large.join(least, ["img", "u"]).where("v <> m").select("img", F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), ["img", "u"]).where("v <> m").select("img", F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "area-edges")
     return e
 
@@ -147,11 +148,11 @@ def components(px: DataFrame, tile: int = TILE) -> DataFrame:
     def ties(at: str) -> DataFrame:
         here = local.where(F.col(at) % tile == 0)
         there = local.where(F.col(at) % tile == tile - 1).withColumn(at, F.col(at) + 1).withColumnRenamed("label", "other")
-        met = here.join(there, ["img", "y", "x", "idx"]).where("label <> other")
+        met = here.join(there.hint("merge"), ["img", "y", "x", "idx"]).where("label <> other")
         return met.select("img", F.greatest("label", "other").alias("u"), F.least("label", "other").alias("v"))
 
     up = roots(ties("y").unionByName(ties("x"))).withColumnRenamed("u", "label")
-    return stored(local.join(up, ["img", "label"], "left").select("img", "y", "x", "idx", F.coalesce("v", "label").alias("label")), "area-cells")
+    return stored(local.join(up.hint("merge"), ["img", "label"], "left").select("img", "y", "x", "idx", F.coalesce("v", "label").alias("label")), "area-cells")
 
 
 def islands(px: DataFrame, below: int = 2, full_border: bool = False, tile: int = TILE) -> DataFrame:
@@ -159,12 +160,12 @@ def islands(px: DataFrame, below: int = 2, full_border: bool = False, tile: int
     that come later in reading order (``full_border``: of all areas); ties: least color & 7, then least color."""
     cells = components(px, tile)
     few = cells.groupBy("img", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < below).select("img", "label")
-    small = stored(cells.join(few, ["img", "label"]), "area-islands")
+    small = stored(cells.join(few.hint("merge"), ["img", "label"]), "area-islands")
     around = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))))).alias("at")
     asked = small.select("img", F.col("label").alias("island"), F.col("idx").alias("own"), around).select("img", "island", "own", "at.y", "at.x")
-    votes = asked.join(cells, ["img", "y", "x"]).where((F.col("idx") != F.col("own")) & (F.lit(full_border) | (F.col("label") > F.col("island"))))
+    votes = asked.join(cells.hint("merge"), ["img", "y", "x"]).where((F.col("idx") != F.col("own")) & (F.lit(full_border) | (F.col("label") > F.col("island"))))
     votes = votes.groupBy("img", "island", "idx").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("idx").bitwiseAND(F.lit(7)).alias("low"), F.col("idx").alias("idx")))
     to = votes.groupBy("img", "island").agg(best.alias("best")).select("img", F.col("island").alias("label"), F.col("best.idx").alias("to"))
-    moved = small.join(to, ["img", "label"]).select("img", "y", "x", "to")
-    return cells.join(moved, ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("to", "idx").alias("idx"))
+    moved = small.join(to.hint("merge"), ["img", "label"]).select("img", "y", "x", "to")
+    return cells.join(moved.hint("merge"), ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("to", "idx").alias("idx"))

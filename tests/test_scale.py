@@ -29,3 +29,13 @@ def test_blocky_images_without_label_have_no_cells(spark, tmp_path):
     assert len(got) == 8 * 64 and {r.img for r in got} == {1}
     first = {r.y: r.r for r in got if r.x == 0}
     assert first[0] == first[5] != first[6] == first[7]
+
+
+def test_areas_and_islands_broadcast_no_cells(spark, sf_dir, monkeypatch):
+    """Stored cells are small files, so all their joins were broadcast."""
+    plans, keep = [], topology.stored
+    monkeypatch.setattr(topology, "stored", lambda df, name: (plans.append(plan(df)), keep(df, name))[1])
+    plans.append(plan(topology.islands(diffusion.noisy(spark, sf_dir).select("img", "y", "x", "idx"), 3, tile=16)))
+    joins = [p for p in plans[1:] if "Join" in p]  # the first plan makes the cells
+    assert len(joins) >= 4
+    assert not any("BroadcastHashJoin" in p for p in joins)
