@@ -1,12 +1,13 @@
 """Order-dependent kernels: error diffusion, cleaning in place, palettes built step by step.
 
 Error diffusion and cleaning are parallel over images; within one, left-to-right orders go a front of pixels at
-a time, serpentine ones a pixel at a time.  Palette loops run on
+a time, serpentine ones a pixel at a time, of which a task holds a few rows only.  Palette loops run on
 distinct colors with counts; only the few centers are on the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..sources.stored import stored
-from .topology import by_image
+from .topology import by_image, by_row
 
 # fixed values: (dx, dy, share) of the error
 FLOYD = ((1, 0, 7 / 16), (-1, 1, 3 / 16), (0, 1, 5 / 16), (1, 1, 1 / 16))
@@ -28,6 +29,37 @@ def to_oklab(rgb: np.ndarray) -> np.ndarray:
     return np.cbrt(np.maximum(lin @ np.array(C.LMS).T, 0)) @ np.array(C.OK).T
 
 
+Choice = Callable[[float, float, float], tuple[int, tuple[float, float, float]]]
+
+
+def nearest_of(palette: np.ndarray) -> Choice:
+    """Maps channels to the index and color of the nearest palette color, the first of equals."""
+    colors = [tuple(map(float, c)) for c in palette]
+
+    def choose(a: float, b: float, c: float) -> tuple[int, tuple[float, float, float]]:
+        k = min(range(len(colors)), key=[(a - p) * (a - p) + (b - q) * (b - q) + (c - r) * (c - r) for p, q, r in colors].__getitem__)
+        return k, colors[k]
+
+    return choose
+
+
+def _spread(v: list[list[list[float]]], halved: list | None, forward: bool, choose: Choice, taps: tuple, cap: float, strength: float, bounds: tuple[float, float] | None) -> list[int]:
+    """Values of the row v[0]; its errors go to itself and to the rows below it, v[1], v[2] and so on, as far as they are there."""
+    w = len(v[0])
+    out = [0] * w
+    for x in range(w) if forward else range(w - 1, -1, -1):
+        k, color = choose(*v[0][x])
+        out[x] = k
+        share_of = strength * (0.5 if halved is not None and halved[x] else 1.0)
+        e = [min(cap, max(-cap, a - b)) * share_of for a, b in zip(v[0][x], color, strict=True)]
+        for dx, dy, share in taps:
+            nx = x + (dx if forward else -dx)
+            if 0 <= nx < w and dy < len(v):
+                got = [a + b * share for a, b in zip(v[dy][nx], e, strict=True)]
+                v[dy][nx] = [min(bounds[1], max(bounds[0], a)) for a in got] if bounds else got
+    return out
+
+
 def diffused(plane: np.ndarray, palette: np.ndarray | None = None, taps: tuple = FLOYD, cap: float = 1e9, edge: np.ndarray | None = None, strength: float = 1.0, bounds: tuple[float, float] | None = None, mirror_rows: bool = False, choose: Callable | None = None) -> np.ndarray:
     """Serpentine error diffusion: index of the nearest palette color of each pixel with its error spread on.
     Odd rows go from right to left.
@@ -39,30 +71,35 @@ def diffused(plane: np.ndarray, palette: np.ndarray | None = None, taps: tuple =
     untouched (kept for comparison only)."""
     h, w, _ = plane.shape
     v, out = plane.astype(np.float64).tolist(), np.zeros((h, w), np.int32)
-    halved = edge.tolist() if edge is not None else None
-    if choose is None:
-        colors = [tuple(map(float, c)) for c in palette]
-
-        def choose(a: float, b: float, c: float) -> tuple[int, tuple[float, float, float]]:
-            k = min(range(len(colors)), key=[(a - p) * (a - p) + (b - q) * (b - q) + (c - r) * (c - r) for p, q, r in colors].__getitem__)
-            return k, colors[k]
-
+    halved = edge.tolist() if edge is not None else [None] * h
+    choose, reach = choose or nearest_of(palette), max(dy for _, dy, _ in taps) + 1
     for yy in range(h):
-        forward = yy % 2 == 0
-        y = h - 1 - yy if mirror_rows and not forward else yy
-        for x in range(w) if forward else range(w - 1, -1, -1):
-            k, color = choose(*v[y][x])
-            out[y, x] = k
-            share_of = strength * (0.5 if halved is not None and halved[y][x] else 1.0)
-            e = [min(cap, max(-cap, a - b)) * share_of for a, b in zip(v[y][x], color, strict=True)]
-            for dx, dy, share in taps:
-                nx, ny = x + (dx if forward else -dx), y + dy
-                if 0 <= nx < w and ny < h:
-                    got = [a + b * share for a, b in zip(v[ny][nx], e, strict=True)]
-                    v[ny][nx] = [min(bounds[1], max(bounds[0], a)) for a in got] if bounds else got
+        y = h - 1 - yy if mirror_rows and yy % 2 else yy
+        out[y] = _spread(v[y : y + reach], halved[y], yy % 2 == 0, choose, taps, cap, strength, bounds)
     return out
 
 
+def diffused_by_row(rows: Iterator[dict[str, np.ndarray]], choose: Choice, taps: tuple, cap: float) -> Iterator[np.ndarray]:
+    """``diffused`` of channels 0..255 taken to 0..1 and bounded, halved where ``edge``: each row's values as soon as the rows that
+    its errors go to are there, so that only those are held."""
+    reach, passed = max(dy for _, dy, _ in taps) + 1, 0
+    held: deque = deque()
+
+    def first() -> np.ndarray:
+        nonlocal passed
+        got = _spread([v for v, _ in held], held[0][1], passed % 2 == 0, choose, taps, cap, 1.0, (0.0, 1.0))
+        held.popleft()
+        passed += 1
+        return np.array(got, np.int32)
+
+    for p in rows:
+        held.append(((_planes(p) / 255.0).tolist(), p["edge"].tolist() if "edge" in p else None))
+        if len(held) == reach:
+            yield first()
+    while held:
+        yield first()
+
+
 def diffused_in_rows(plane: np.ndarray, palette: np.ndarray, taps: tuple = FLOYD, strength: float = 1.0, read_bounds: tuple[float, float] | None = None) -> np.ndarray:
     """Error diffusion from left to right in every row, a front of pixels at a time.
 
@@ -91,7 +128,7 @@ def diffused_in_rows(plane: np.ndarray, palette: np.ndarray, taps: tuple = FLOYD
 
 
 def _planes(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.stack([p["r"], p["g"], p["b"]], axis=2).astype(np.float64)
+    return np.stack([p["r"], p["g"], p["b"]], axis=-1).astype(np.float64)
 
 
 def dithered(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "floyd", space: str = "rgb", cap: float = 0.67, strength: float | None = None, nearest: Callable | None = None, drop_below: bool = False) -> DataFrame:
@@ -107,6 +144,7 @@ def dithered(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "
     pal = np.array(palette, np.float64)
     edge = "edge" in px.columns
     taps = FLOYD if method == "floyd" else ATKINSON
+    ins = ["r", "g", "b"] + ["edge"] * edge
 
     def kernel(_: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         rgb = _planes(p)
@@ -118,12 +156,15 @@ def dithered(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "
             return {"idx": d.argmin(axis=2).astype(np.int32)}
         if space == "oklab":
             return {"idx": diffused_in_rows(v, q, taps)}
-        if strength is not None:
-            used = tuple(t for t in taps if not (drop_below and t[:2] == (0, 1)))
-            return {"idx": diffused_in_rows(rgb, pal, used, min(1.0, max(0.0, strength)), (0.0, 255.0))}
-        return {"idx": diffused(v, q, taps, cap, p.get("edge"), bounds=(0.0, 1.0))}
+        used = tuple(t for t in taps if not (drop_below and t[:2] == (0, 1)))
+        return {"idx": diffused_in_rows(rgb, pal, used, min(1.0, max(0.0, strength)), (0.0, 255.0))}
 
-    return by_image(px, kernel, ["r", "g", "b"] + ["edge"] * edge, {"idx": "int"})
+    def serpentine(rows: Iterator[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+        return ({"idx": k} for k in diffused_by_row(rows, nearest_of(pal / 255.0), taps, cap))
+
+    if method != "none" and space != "oklab" and strength is None:
+        return by_row(px, serpentine, ins, {"idx": "int"})
+    return by_image(px, kernel, ins, {"idx": "int"})
 
 
 def dithered_by(px: DataFrame, color: Callable[[float, float, float], tuple[int, int, int]], cap: float = 0.67) -> DataFrame:
@@ -137,11 +178,10 @@ def dithered_by(px: DataFrame, color: Callable[[float, float, float], tuple[int,
         got = color(r, g, b)
         return got[0] << 16 | got[1] << 8 | got[2], (got[0] / 255.0, got[1] / 255.0, got[2] / 255.0)
 
-    def kernel(_: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        got = diffused(_planes(p) / 255.0, None, FLOYD, cap, p.get("edge"), bounds=(0.0, 1.0), choose=choose)
-        return {"r": got >> 16, "g": got >> 8 & 255, "b": got & 255}
+    def serpentine(rows: Iterator[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+        return ({"r": k >> 16, "g": k >> 8 & 255, "b": k & 255} for k in diffused_by_row(rows, choose, FLOYD, cap))
 
-    return by_image(px, kernel, ["r", "g", "b"] + ["edge"] * edge, {"r": "int", "g": "int", "b": "int"})
+    return by_row(px, serpentine, ["r", "g", "b"] + ["edge"] * edge, {"r": "int", "g": "int", "b": "int"})
 
 
 def dither(px: DataFrame, palette: list[tuple[int, int, int]], method: str = "none") -> DataFrame:

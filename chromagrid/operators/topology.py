@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -73,6 +76,80 @@ def by_image(px: DataFrame, kernel: Callable[[np.ndarray, dict[str, np.ndarray]]
     return px.select("img", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *ins).groupBy("img").applyInArrow(run, schema)
 
 
+#: Cells that a kernel by rows gives back at a time.
+CELLS = 1 << 14
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], ins: list[str]) -> Iterator[tuple[int, pa.Scalar, int, int, np.ndarray, dict[str, np.ndarray]]]:
+    """(number of the image, img, w, y, x, columns) of each row of batches in the order of img, y, x."""
+    nth, last, row, parts = -1, None, None, []
+
+    def whole() -> tuple:
+        return *row, np.concatenate([x for x, _ in parts]), {c: np.concatenate([p[c] for _, p in parts]) for c in ins}
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        runs = pc.run_end_encode(b.column(0))
+        ends = runs.run_ends.to_numpy()
+        w, y, x = (b.column(i).to_numpy() for i in (1, 2, 3))
+        cols = {c: b.column(4 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(ins)}
+        cuts = np.union1d(np.flatnonzero(y[1:] != y[:-1]) + 1, ends)
+        for lo, hi in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+            img = runs.values[int(np.searchsorted(ends, lo, side="right"))]
+            new = nth < 0 or img.as_py() != last
+            nth, last = nth + new, img.as_py()
+            now = (nth, img, int(w[lo]), int(y[lo]))
+            if row is not None and (now[0], now[3]) != (row[0], row[3]):
+                yield whole()
+                parts = []
+            row = now
+            parts.append((x[lo:hi], {c: v[lo:hi] for c, v in cols.items()}))
+    if row is not None:
+        yield whole()
+
+
+def by_row(px: DataFrame, kernel: Callable[[Iterator[dict[str, np.ndarray]]], Iterator[dict[str, np.ndarray]]], ins: list[str], outs: dict[str, str]) -> DataFrame:
+    """``by_image`` for kernels that go from row to row: rows (w) in, as many rows out in their order.
+
+    An image is one task, in which Spark sorts its cells; of it Python holds the rows that the kernel keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, image in groupby(_rows_of(batches, ins), lambda r: r[0]):
+            places, out, n, img = deque(), [], 0, None
+
+            def rows(image: Iterator = image, places: deque = places) -> Iterator[dict[str, np.ndarray]]:
+                at = 0
+                for _, img, w, y, x, cols in image:
+                    for there in (*(False,) * (y - at), True):  # rows without a cell are zeros
+                        places.append((img, y, x) if there else None)
+                        planes = {c: np.zeros(w, v.dtype) for c, v in cols.items()}
+                        if there:
+                            for c, v in cols.items():
+                                planes[c][x] = v
+                        yield planes
+                    at = y + 1
+
+            def batch(img: pa.Scalar, out: list, n: int) -> pa.RecordBatch:
+                return pa.record_batch([pa.repeat(img, n), *(pa.array(np.concatenate(v), pa.int32()) for v in zip(*out, strict=True))], names=["img", "y", "x", *outs])
+
+            for got in kernel(rows()):
+                if place := places.popleft():
+                    img, y, x = place
+                    out.append((np.full(len(x), y, np.int32), x, *(got[c][x] for c in outs)))
+                    n += len(x)
+                    if n >= CELLS:
+                        yield batch(img, out, n)
+                        out, n = [], 0
+            if n:
+                yield batch(img, out, n)
+
+    kinds = dict(px.dtypes)
+    schema = ", ".join([f"img {kinds['img']}", "y int", "x int", *(f"{c} {k}" for c, k in outs.items())])
+    cells = px.select("img", (F.max("x").over(Window.partitionBy("img")) + 1).cast("int").alias("w"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *ins)
+    return cells.sortWithinPartitions("img", "y", "x").mapInArrow(run, schema)
+
+
 def merged(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Of nodes 0 .. n - 1 with edges (u, v): the least node of each one's component."""
     top = np.arange(n)

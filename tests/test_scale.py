@@ -39,3 +39,54 @@ def test_areas_and_islands_broadcast_no_cells(spark, sf_dir, monkeypatch):
     joins = [p for p in plans[1:] if "Join" in p]  # the first plan makes the cells
     assert len(joins) >= 4
     assert not any("BroadcastHashJoin" in p for p in joins)
+
+
+def _cells(spark):
+    """Two images of a gap of two rows, missing cells and rows cut by batches, and one without a name."""
+    rows = [(img, y, x, (x * 37 + y * 11) % 256, (x * 5 + y * 71) % 256, (x * y) % 256, x % 5 == 0) for img in (3, 4, None) for y in range(23) for x in range(17 + (img or 0)) if y not in (5, 6) and (x * y) % 13 != 12]
+    return spark.createDataFrame(rows, "img int, y int, x int, r int, g int, b int, edge boolean")
+
+
+def test_diffusion_by_rows_equals_that_of_the_plane(spark):
+    import numpy as np
+    from chromagrid.operators import kernels
+
+    px = _cells(spark)
+    want = {}
+    for img in (3, 4, None):
+        cells = [r for r in px.collect() if r.img == img]
+        plane, edge = np.zeros((23, 17 + (img or 0), 3)), np.zeros((23, 17 + (img or 0)), bool)
+        for r in cells:
+            plane[r.y, r.x], edge[r.y, r.x] = (r.r, r.g, r.b), r.edge
+        for method, taps in (("floyd", kernels.FLOYD), ("atkinson", kernels.ATKINSON)):
+            got = kernels.diffused(plane / 255.0, np.array(diffusion.PALETTE) / 255.0, taps, 0.67, edge, bounds=(0.0, 1.0))
+            want |= {(method, img, r.y, r.x): int(got[r.y, r.x]) for r in cells}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(m, r.img, r.y, r.x): r.idx for m in ("floyd", "atkinson") for r in kernels.dithered(px, diffusion.PALETTE, m).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["q03_q07_floyd_steinberg", "q04_diffusion_by_callable"])
+def test_serpentine_diffusion_takes_no_whole_image(name, spark, sf_dir):
+    p = plan(entry.queries()[name](spark, sf_dir))
+    assert "MapInArrow" in p and "FlatMapGroups" not in p
+
+
+def test_diffusion_holds_a_few_rows():
+    import numpy as np
+    from chromagrid.operators import kernels
+
+    read = 0
+
+    def rows():
+        nonlocal read
+        for y in range(1000):
+            read += 1
+            yield {c: np.full(8, y % 256) for c in "rgb"}
+
+    for done, _ in enumerate(kernels.diffused_by_row(rows(), kernels.nearest_of(np.array([[0, 0, 0], [1, 1, 1]])), kernels.ATKINSON, 0.67)):
+        assert read <= done + 3
+    assert done == 999
