@@ -413,9 +413,12 @@ def merged_palette(palette: DataFrame, least: float = 0.02) -> DataFrame:
 
     A color is a representative if none before it within ``least`` (OKLab) is one.  Each round decides all colors whose nearer
     ones before are decided; the rounds are as many as the longest chain of such colors.  Pairs within ``least`` come
-    from an equi-join on cells of that size."""
+    from an equi-join on cells of that size.
+
+    Equal colors are one, of the first's idx, counted: what comes later of them joins the representative that the first joined, or is."""
     lab = C.oklab(F.col("r"), F.col("g"), F.col("b"), True)
-    p = palette.select("idx", "r", "g", "b").withColumns(dict(zip(("l", "a", "o"), lab, strict=True)))
+    colors = stored(palette.groupBy("r", "g", "b").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n")), "merge-colors")
+    p = colors.select("idx", "r", "g", "b").withColumns(dict(zip(("l", "a", "o"), lab, strict=True)))
     cells = [F.floor(F.col(k) / least).cast("bigint") for k in ("l", "a", "o")]
     own = p.select("idx", "l", "a", "o", *(c.alias(f"c{i}") for i, c in enumerate(cells)))
     for i in range(3):
@@ -434,8 +437,8 @@ def merged_palette(palette: DataFrame, least: float = 0.02) -> DataFrame:
         heads = open_
     homes = near.join(heads.withColumnRenamed("idx", "j"), "j", "left_semi").groupBy(F.col("i").alias("idx")).agg(F.min("j").alias("home"))
     homes = homes.join(heads, "idx", "left_anti").unionByName(heads.withColumn("home", F.col("idx")))
-    whole = [F.floor(F.sum(c) / F.count(F.lit(1))).cast("int").alias(c) for c in ("r", "g", "b")]
-    return palette.join(homes, "idx").groupBy("home").agg(F.count(F.lit(1)).alias("size"), *whole)
+    whole = [F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("int").alias(c) for c in ("r", "g", "b")]
+    return colors.join(homes, "idx").groupBy("home").agg(F.sum("n").alias("size"), *whole)
 
 
 def smart_symbols(threads: list[tuple[str, float, int]], dense: str, open_: str, cross: str, rest: str) -> dict[str, str]:

@@ -1,8 +1,9 @@
 """Plans and memory of queries on large tables, told from small ones."""
 
 import __spark_entry__ as entry
+import numpy as np
 import pytest
-from chromagrid.operators import topology
+from chromagrid.operators import kernels, topology
 from chromagrid.plans import diffusion
 from chromagrid.sources import rasters
 
@@ -48,9 +49,6 @@ def _cells(spark):
 
 
 def test_diffusion_by_rows_equals_that_of_the_plane(spark):
-    import numpy as np
-    from chromagrid.operators import kernels
-
     px = _cells(spark)
     want = {}
     for img in (3, 4, None):
@@ -76,9 +74,6 @@ def test_serpentine_diffusion_takes_no_whole_image(name, spark, sf_dir):
 
 
 def test_diffusion_holds_a_few_rows():
-    import numpy as np
-    from chromagrid.operators import kernels
-
     read = 0
 
     def rows():
@@ -90,3 +85,20 @@ def test_diffusion_holds_a_few_rows():
     for done, _ in enumerate(kernels.diffused_by_row(rows(), kernels.nearest_of(np.array([[0, 0, 0], [1, 1, 1]])), kernels.ATKINSON, 0.67)):
         assert read <= done + 3
     assert done == 999
+
+
+def test_equal_colors_are_merged_as_one(spark, monkeypatch):
+    near, keep = {}, kernels.stored
+    monkeypatch.setattr(kernels, "stored", lambda df, name: near.setdefault(name, keep(df, name)) if name == "merge-near" else keep(df, name))
+    colors = [((k % 7) * 9, (k % 5) * 11, (k % 3) * 40) for k in range(900)]
+    px = spark.createDataFrame([(k, *c) for k, c in enumerate(colors)], "idx long, r int, g int, b int")
+    got = {r.home: (r.size, r.r, r.g, r.b) for r in kernels.merged_palette(px, 0.05).collect()}
+    assert near["merge-near"].count() < 105 * 105  # 105 different colors, not 900
+    labs = [kernels.to_oklab(np.array(c, float)) for c in colors]
+    heads, groups = [], {}
+    for k, lab in enumerate(labs):
+        home = next((h for h in heads if ((labs[h] - lab) ** 2).sum() ** 0.5 < 0.05), None)
+        if home is None:
+            heads.append(home := k)
+        groups.setdefault(home, []).append(colors[k])
+    assert got == {h: (len(g), *(sum(v) // len(g) for v in zip(*g, strict=True))) for h, g in groups.items()}
