@@ -15,14 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from chromagrid.llm import exact_dedup, minhash, mixing, packing, toxicity
 from chromagrid.llm.common import free_name, stored, table
 
-#: Rows of each label that the toxicity classifier is fit on, at most (toxicity.SAMPLE).
-LABELLED_SAMPLE = toxicity.SAMPLE
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the calibrated cut."""
     score = free_name(docs, "toxicity")
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), sample=LABELLED_SAMPLE)
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model, out_col=score).where(f"{score} < {toxicity.CUT}").drop(score)
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -823,3 +824,32 @@ def test_latin_texts_are_encoded_together(monkeypatch):
     assert words.many(texts) == want
     monkeypatch.setattr(words, "ids", None)
     assert words.many(texts[:4]) == want[:4]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word that none of the 1500 toxic rows of the least hashes has, in parts whose order doesn't matter."""
+    monkeypatch.setattr(toxicity, "PART", 1500, raising=False)
+    words = [f"w{i}" for i in range(60)]
+    rng = np.random.default_rng(5)
+    ids = spark.range(5000).withColumn("h", F.xxhash64("id")).orderBy("h").collect()
+    toxic = [r.id for r in ids if r.id % 2]
+    bad = dict.fromkeys(toxic[:1500], "zork") | dict.fromkeys(toxic[1500:], "blick")
+    rows = [(r.id, " ".join([*rng.choice(words, 8), bad.get(r.id, "w0"), *rng.choice(words, 3)]), "en") for r in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r.id, r.id % 2) for r in ids], "doc_id long, toxic int")
+    m = toxicity.fitted(docs, labels)
+    b, short, first = toxicity.features(pa.array([f"w1 w2 {w} w3 w4 w5" for w in ("zork", "blick", "w7", "w9")]))
+    got = m.scores(m.logits(m.pooled(b, first)), m.languages_of(short, first)) >= toxicity.CUT
+    assert got.tolist() == [True, True, False, False]
+    again = toxicity.fitted(docs.repartition(7), labels.repartition(3))
+    assert all((p == q).all() for p, q in zip([m.table, m.shifts, m.by_language, *m.dense()], [again.table, again.shifts, again.by_language, *again.dense()], strict=True)) and m.bias == again.bias
+
+
+def test_toxicity_thresholds_of_counts():
+    rng = np.random.default_rng(2)
+    y, z = rng.integers(0, 2, 400).astype(float), rng.integers(-40, 40, 400) / 8
+    every = np.array(sorted({(a, b) for a, b in zip(z, y, strict=True)}))
+    n = np.array([((z == a) & (y == b)).sum() for a, b in every])
+    cut = toxicity.best_threshold(every[:, 0], every[:, 1], None, n)
+    errors = lambda t: ((z > t) != (y == 1)).sum()
+    assert errors(cut) == min(errors(t) for t in np.arange(-6, 6, 1 / 16))
